@@ -7,8 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from critiq.llm import licenses, mixing, tokens
-from critiq.llm.shared import table
+from critiq.llm import licenses, mixing, quality, tokens, toxicity
+from critiq.llm.shared import fold, table
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tagger = toxicity.train_toxicity(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
+    scored = toxicity.score_toxicity(docs, tagger, 0.7)
+    return scored.withColumn("held_out", fold("doc_id", 3) == 1)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = quality.train_quality(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    scored = quality.score_quality(docs, machine, 0.3)
+    return scored.withColumn("held_out", fold("doc_id", 5) == 0)
 
 
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +40,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_license_scans, op9_token_output, op10_source_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_toxicity, op7_quality, op8_license_scans, op9_token_output, op10_source_mixing)}
 
 ORACLES: dict[str, str] = {
     "op10_source_mixing": r"""
