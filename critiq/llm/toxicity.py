@@ -24,11 +24,11 @@ from critiq.llm.quality import labelled_sample
 from critiq.llm.shared import Hasher, chunks, code_points, mix, utf8, words_of
 
 #: Labelled documents to learn from, per label.
-TRAIN_PER_LABEL = 1500
+TRAIN_PER_LABEL = 800
 #: A mark explains at least so many toxic documents, and so large a share of the documents that hold it is toxic.
-LEAST_DOCUMENTS, LEAST_PRECISION = 12, 0.995
+LEAST_DOCUMENTS, LEAST_PRECISION = 20, 0.995
 #: A frequent mark has so many toxic documents, and so many different pairs of neighbours per occurrence.
-FREQUENT, LEAST_CONTEXTS = 60, 0.8
+FREQUENT, LEAST_CONTEXTS = 40, 0.8
 CHAIN = 128
 TABLE = 1 << 18
 PREFIXES, SUFFIXES = (3, 4, 5, 6), (3, 4)
@@ -70,15 +70,16 @@ def tokens_of(column: pa.Array) -> Tokens:
     return Tokens(data, offsets, starts, ends, doc, np.cumsum(new) - 1, place % CHAIN, columns)
 
 
-def _pad(chain: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Chains by falling length: each token's row, each row's length, and how many rows are longer than each step."""
+def _steps(chain: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each token stands if all first tokens come first, longest chains ahead, then all second ones, and so
+    on; and where each step begins. A chain's row is the same in every step it reaches."""
     length = np.bincount(chain)
     order = np.argsort(-length, kind="stable")
     row = np.empty(len(order), np.int64)
     row[order] = np.arange(len(order))
-    length = length[order]
-    active = np.searchsorted(-length, -np.arange(length[0]), "left")
-    return row[chain], length, active
+    reach = np.searchsorted(-length[order], -np.arange(length.max()), "left")
+    begin = np.concatenate(([0], np.cumsum(reach)))
+    return begin[place] + row[chain], begin
 
 
 @dataclass
@@ -95,22 +96,21 @@ class Tagger:
         return self._passes(tokens)[0] if len(tokens.doc) else np.zeros(0)
 
     def _passes(self, tokens: Tokens):
-        row, length, active = _pad(tokens.chain, tokens.place)
-        emit = np.zeros((len(active), len(length)))
-        emit[tokens.place, row] = np.exp(np.clip(self.weights[tokens.columns].sum(1), -40, 40))
+        at, begin = _steps(tokens.chain, tokens.place)
+        emit = np.empty(len(at))
+        emit[at] = np.exp(np.clip(self.weights[tokens.columns].sum(1), -40, 40))
         (a00, a01), (a10, a11) = np.exp(self.moves)
-        ahead, back = np.ones_like(emit), np.ones_like(emit)
-        ahead[0] = emit[0] * np.exp(self.start)
-        for t in range(1, len(active)):
-            r, n = ahead[t - 1, : active[t]], active[t]
-            ahead[t, :n] = emit[t, :n] * (a01 + r * a11) / (a00 + r * a10)
-        for t in range(len(active) - 2, -1, -1):
-            n = active[t + 1]
-            q = emit[t + 1, :n] * back[t + 1, :n]
-            back[t, :n] = (a10 + a11 * q) / (a00 + a01 * q)
+        ahead, back = emit.copy(), np.ones(len(at))
+        steps = [slice(*x) for x in zip(begin[:-1], begin[1:], strict=True)]
+        ahead[steps[0]] *= np.exp(self.start)
+        for before, now in zip(steps, steps[1:], strict=False):
+            r = ahead[before][: now.stop - now.start]
+            ahead[now] *= (a01 + r * a11) / (a00 + r * a10)
+        for now, after in zip(steps[-2::-1], steps[:0:-1], strict=True):
+            q = emit[after] * back[after]
+            back[now][: len(q)] = (a10 + a11 * q) / (a00 + a01 * q)
         odds = np.clip(ahead * back, 0, 1e30)
-        p = (odds / (1 + odds))[tokens.place, row]
-        return p, row, emit, ahead, back, active
+        return (odds / (1 + odds))[at], at, emit, ahead, back
 
     def summary(self, tokens: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Per token the marginal; per document the two inputs of the calibration."""
@@ -192,6 +192,7 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 60, rate: floa
     number = np.cumsum(chosen) - 1
     part = Tokens(tokens.data, tokens.offsets, tokens.starts[keep], tokens.ends[keep], tokens.doc[keep], number[tokens.chain[keep]], tokens.place[keep], tokens.columns[keep])
     y = y[keep]
+    del tokens
     follows = np.flatnonzero(part.place > 0)
     seen_moves = np.zeros((2, 2))
     np.add.at(seen_moves, (y[follows - 1], y[follows]), 1)
@@ -199,12 +200,11 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 60, rate: floa
     g_w, g_m, g_s = np.full(TABLE, 1e-8), np.full((2, 2), 1e-8), 1e-8
     flat, width = part.columns.ravel(), part.columns.shape[1]
     for _ in range(rounds):
-        p, row, emit, ahead, back, active = tagger._passes(part)
+        p, at, emit, ahead, back = tagger._passes(part)
         # expected moves: weights of the four pairs of states at each step
         moves = np.exp(tagger.moves)
         expected = np.zeros((2, 2))
-        r = ahead[part.place[follows] - 1, row[follows]]
-        q = (emit * back)[part.place[follows], row[follows]]
+        r, q = ahead[at[follows - 1]], (emit * back)[at[follows]]
         four = np.stack([np.full_like(r, moves[0, 0]), moves[0, 1] * q, moves[1, 0] * r, moves[1, 1] * r * q])
         expected = (four / four.sum(0)).sum(1).reshape(2, 2)
         d_w = np.bincount(flat, np.repeat(p - y, width), minlength=TABLE) + decay * tagger.weights
@@ -216,7 +216,7 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 60, rate: floa
         tagger.weights -= rate * d_w / np.sqrt(g_w)
         tagger.moves -= 0.1 * d_m / np.sqrt(g_m)
         tagger.start -= 0.1 * d_s / np.sqrt(g_s)
-    _, inputs = tagger.summary(tokens, len(toxic))
+    inputs = np.concatenate([tagger.summary(tokens_of(pa.array(texts[i : i + 100], pa.string())), len(texts[i : i + 100]))[1] for i in range(0, len(texts), 100)])
     at = np.zeros(3)
     for _ in range(40):  # Newton steps with a small ridge
         s = 1 / (1 + np.exp(-np.clip(inputs @ at, -30, 30)))
