@@ -55,14 +55,14 @@ def lowest(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(n)
 
 
-def chunks(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that `column` holds about CHUNK_BYTES in each; one longer text stands alone."""
+def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that `column` holds about `limit` bytes in each; one longer text stands alone."""
     for batch in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < len(size):
             base = size[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(size, base + CHUNK_BYTES, "right")))
+            end = max(at + 1, int(np.searchsorted(size, base + limit, "right")))
             yield batch.slice(at, end - at)
             at = end
 

@@ -8,21 +8,25 @@ skip the other pages; a reader of the metadata columns never touches `ids`.
 
 from __future__ import annotations
 
-import re
+import struct
 import uuid
 import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from critiq.llm.shared import chunks, shared_dir, single_threaded
+from critiq.llm.shared import CHUNK_BYTES, chunks, shared_dir, single_threaded
 
-#: Units (a word with what is attached to it) whose ids a Python worker remembers; a full memory starts anew.
-REMEMBERED = 300_000
+#: Words whose ids a Python worker remembers; a full memory starts anew.
+REMEMBERED = 1_000_000
+#: The byte-level BPE's pattern of pieces.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_SPACE_BEHIND_SPACE = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
 FILE_SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("part", T.IntegerType()),
@@ -30,38 +34,87 @@ FILE_SCHEMA = T.StructType([
     T.StructField("n_tokens", T.LongType()),
     T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
 ])
-# No piece of a byte-level BPE reaches over a single space that stands before a visible character, so
-# cutting there leaves the ids of the whole unchanged.
-_CUT = re.compile(r"(?= \S)")
-_UNEVEN = re.compile(r"[^\S ]|\s\s|\s\Z")
+
+
+class _Pieces(dict):
+    """Ids of a piece, as bytes, by the library's BPE model."""
+
+    def __init__(self, model):
+        self.model = model
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        rest = [b for b in range(256) if b not in plain]
+        # the model's alphabet of bytes: visible Latin-1 as it is, the others from 256 on
+        self.alphabet = {b: 0x100 + i for i, b in enumerate(rest)}
+
+    def encode(self, piece: str) -> bytes:
+        found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))
+        return struct.pack(f"<{len(found)}I", *[token.id for token in found])
+
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = ids = self.encode(piece)
+        return ids
+
+
+class _Units(dict):
+    """Ids of a run of characters that has `before` (a space or nothing) in front of it; only words are remembered."""
+
+    def __init__(self, pieces: _Pieces, before: str):
+        import regex
+
+        self.pieces, self.before, self.find = pieces, before, regex.compile(PIECES).findall
+
+    def __missing__(self, unit: str) -> bytes:
+        if unit.isalpha():
+            self[unit] = ids = self.pieces.encode(self.before + unit)
+            return ids
+        if unit[-1:] in (".", ",") and unit[:-1].isalpha():
+            return self[unit[:-1]] + self.pieces[unit[-1]]
+        return b"".join(map(self.pieces.__getitem__, self.find(self.before + unit)))
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library; units that were seen before come from memory."""
+    """Ids of whole texts by the tokenizers library's byte-level BPE; runs seen before come from memory.
+
+    No piece of the BPE reaches over a space that follows a visible character, so texts are cut before such spaces
+    and each distinct run of a block is encoded once. Texts with a space behind other white space are cut into
+    pieces by the pattern.
+    """
 
     def __init__(self, path: str):
         single_threaded()
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def units(self, text: str) -> list[str]:
-        if not _UNEVEN.search(text):
-            first, *rest = text.split(" ")
-            return [first, *map(" ".__add__, rest)]
-        return [part for part in _CUT.split(text) if part]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        cut = [self.units(text) for text in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({unit for units in cut for unit in units}.difference(self.known))
-        for unit, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[unit] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, units)) for units in cut]
+        self.pieces = _Pieces(Tokenizer.from_file(path).model)
+        self.first, self.later = _Units(self.pieces, ""), _Units(self.pieces, " ")
+
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (null: empty), each text's followed by end_id, and the n + 1 offsets."""
+        for memory in (self.pieces, self.first, self.later):
+            if len(memory) > REMEMBERED:
+                memory.clear()
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        uneven = pc.match_substring_regex(texts, _SPACE_BEHIND_SPACE)
+        cut = pc.split_pattern(pc.if_else(uneven, "", texts), " ")
+        units = cut.flatten().dictionary_encode()
+        # entries: the distinct runs behind a space, then what each text begins with, then the end
+        offsets = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
+        codes = units.indices.to_numpy().astype(np.int64)
+        runs = units.dictionary.to_numpy(zero_copy_only=False)
+        entries = list(map(self.later.__getitem__, runs))
+        n_units, n = len(entries), len(texts)
+        entries += map(self.first.__getitem__, runs[codes[offsets[:-1]]])
+        for i in np.flatnonzero(uneven.to_numpy(zero_copy_only=False)):
+            entries[n_units + i] = b"".join(map(self.pieces.__getitem__, self.first.find(texts[int(i)].as_py())))
+        entries.append(np.array([end_id], "<u4").tobytes())
+        length = np.array([len(x) // 4 for x in entries], np.int64)
+        begin = np.cumsum(length) - length
+        all_ids = np.frombuffer(b"".join(entries), "<i4")
+        codes[offsets[:-1]] = n_units + np.arange(n)
+        codes = np.insert(codes, offsets[1:], n_units + n)
+        size = length[codes]
+        ends = np.cumsum(size)
+        ids = all_ids[np.repeat(begin[codes] - (ends - size), size) + np.arange(ends[-1] if n else 0)]
+        return ids, np.concatenate(([0], ends))[np.concatenate(([0], offsets[1:] + np.arange(1, n + 1)))]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -88,16 +141,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 2,
         from pyspark import TaskContext
 
         encoder, part, total = _encoder(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
-        for batch in chunks(batches):
-            ids = [x + end for x in encoder([text or "" for text in batch.column("text").to_pylist()])]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
-            before = total + np.cumsum(n) - n
-            total += int(n.sum())
-            offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+        for batch in chunks(batches, limit=4 * CHUNK_BYTES):
+            values, offsets = encoder(batch.column("text"), end_id)
+            n = np.diff(offsets)
+            before = total + offsets[:-1]
+            total += int(offsets[-1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(before), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets), values)],
+                [batch.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(before), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))],
                 names=FILE_SCHEMA.names,
             )
 
