@@ -30,7 +30,7 @@ LEAST_DOCUMENTS, LEAST_PRECISION = 20, 0.995
 #: A frequent mark has so many toxic documents, and so many different pairs of neighbours per occurrence.
 FREQUENT, LEAST_CONTEXTS = 40, 0.8
 CHAIN = 128
-TABLE = 1 << 18
+TABLE = 1 << 20
 PREFIXES, SUFFIXES = (3, 4, 5, 6), (3, 4)
 _END = np.zeros(256, bool)
 _END[[0x0A, 0x0D, 0x21, 0x2E, 0x3F]] = True
