@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from critiq.llm import decontam, licenses, mixing, neardup, quality, tokens, toxicity
+from critiq.llm import decontam, language, licenses, mixing, neardup, quality, tokens, toxicity
 from critiq.llm.shared import fold, table
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    classifier = language.train_language(docs, fold("doc_id", 5) != 0)
+    found = language.identify_language(docs, classifier)
+    return found.withColumn("held_out", fold("doc_id", 5) == 0)
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -48,7 +55,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_near_duplicates, op4_toxicity, op6_decontamination, op7_quality, op8_license_scans, op9_token_output, op10_source_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language, op3_near_duplicates, op4_toxicity, op6_decontamination, op7_quality, op8_license_scans, op9_token_output, op10_source_mixing)}
 
 ORACLES: dict[str, str] = {
     "op10_source_mixing": r"""
