@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from critiq.llm import decontam, language, licenses, mixing, neardup, quality, tokens, toxicity
+from critiq.llm import decontam, language, licenses, mixing, neardup, quality, secrets, tokens, toxicity
 from critiq.llm.shared import fold, table
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan_secrets(docs, secrets.train_secrets(docs))
+    base = "filter(spans, s -> s.kind != 'model')"
+    joined = "array_join(transform({}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in secrets.KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(F.expr(joined.format(base)), 256).alias("base_sha256"), F.expr(joined.format("spans")).alias("spans"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     classifier = language.train_language(docs, fold("doc_id", 5) != 0)
@@ -55,7 +64,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language, op3_near_duplicates, op4_toxicity, op6_decontamination, op7_quality, op8_license_scans, op9_token_output, op10_source_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_language, op3_near_duplicates, op4_toxicity, op6_decontamination, op7_quality, op8_license_scans, op9_token_output, op10_source_mixing)}
 
 ORACLES: dict[str, str] = {
     "op10_source_mixing": r"""
