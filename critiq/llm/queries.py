@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from critiq.llm import decontam, language, licenses, mixing, neardup, quality, secrets, tokens, toxicity
+from critiq.llm import decontam, language, licenses, mixing, neardup, neighbours, quality, secrets, tokens, toxicity
 from critiq.llm.shared import fold, table
 
 
@@ -38,6 +38,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", fold("doc_id", 3) == 1)
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -64,7 +69,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_language, op3_near_duplicates, op4_toxicity, op6_decontamination, op7_quality, op8_license_scans, op9_token_output, op10_source_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_language, op3_near_duplicates, op4_toxicity, op5_neighbours, op6_decontamination, op7_quality, op8_license_scans, op9_token_output, op10_source_mixing)}
 
 ORACLES: dict[str, str] = {
     "op10_source_mixing": r"""
