@@ -9,8 +9,8 @@ n + t log t throws for n shingles and t bins.
 Documents with equal sets stand for one another. Sets that agree on all rows of a band share a bucket. A bucket's
 members are checked against its smallest member first, on full sets; confirmed links give components. In buckets
 that still hold several components, sets that provably link with nothing (too large a share of their shingles
-occurs in no other candidate) leave, and what is left is checked pair by pair across components, each pair in the
-first band that it shares. So a bucket of thousands of copies costs its size, and no candidate pair stays unchecked.
+occurs in no other candidate) leave, and of what is left, the pairs across components that could still reach the
+threshold beside such shingles are checked, each in the first band that it shares. So a bucket of thousands of copies costs its size, and no candidate pair stays unchecked.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,12 +121,16 @@ def _set_table(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, n long, shingles array<long>")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets meet 100 * shared >= percent * united, counted on the full sets."""
+def counted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, shared, united) for the pairs (a, b): the sizes of their full sets' intersection and union."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-    return both.filter(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
+    return both.select("a", "b", "shared", (F.size("sa") + F.size("sb") - F.col("shared")).alias("united"))
+
+
+def linked(percent: int) -> Column:
+    return 100 * F.col("shared") >= percent * F.col("united")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -172,25 +176,32 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, rows: int =
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     stars = placed.filter((F.col("doc_id") != F.col("hub.doc_id")) & fits(F.col("n"), F.col("hub.n"))).select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
     sets = saved(_set_table(docs, placed.select("doc_id").distinct(), k).dropDuplicates(["doc_id"]), "sets")
-    links = saved(confirmed(stars, sets, percent), "stars")
-    roots = components(links)
+    stars = saved(counted(stars, sets), "stars")
+    roots = components(stars.filter(linked(percent)))
 
     def several(rows: DataFrame) -> DataFrame:
         """The rows of buckets that still hold more than one component."""
         open_keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
         return rows.join(open_keys, "key", "left_semi")
 
-    rooted = placed.select("key", "doc_id", "n").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    rooted = placed.select("key", "doc_id", "n", F.col("hub.doc_id").alias("hub")).join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     rest = saved(several(rooted), "rest")
     found = sets.join(rest.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("shingle"))
     alone = found.groupBy("shingle").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id")).filter("c = 1").groupBy("doc_id").agg(F.count("*").alias("own"))
-    rest = rest.join(alone, "doc_id", "left").filter(100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= percent * F.col("n")).drop("own")
-    rest = saved(several(rest).join(reps.select("doc_id", "bands"), "doc_id"), "rest")
-    left = rest.select("key", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "root", "bands")])
-    right = rest.select("key", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "root", "bands")])
+    rest = rest.join(alone, "doc_id", "left").fillna(0, ["own"]).filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
+    with_hub = stars.select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), "shared")
+    rest = several(rest).join(with_hub, ["hub", "doc_id"], "left").withColumn("shared", F.when(F.col("hub") == F.col("doc_id"), F.col("n")).otherwise(F.col("shared")))
+    rest = saved(rest.join(reps.select("doc_id", "bands"), "doc_id"), "rest")
+    left, right = (rest.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "n", "own", "shared", "root", "bands")]) for side in "ab")
+    # Two sets share nothing of either's own shingles. In the hub of their bucket they share what the smaller
+    # part there holds at most, and outside of it (where all own shingles are) what the smaller rest holds.
+    beside = F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b"))
+    outside = F.least(*[F.col(f"n_{x}") - F.col(f"own_{x}") - F.col(f"shared_{x}") for x in "ab"])
+    most = F.least(beside, F.when(F.col("shared_a").isNotNull() & F.col("shared_b").isNotNull(), F.least("shared_a", "shared_b") + outside))
+    possible = 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
     first = F.element_at(F.filter(F.arrays_zip("bands_a", "bands_b"), lambda z: z["bands_a"] == z["bands_b"]), 1)["bands_a"]
-    across = left.join(right, "key").filter((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("root_a") != F.col("root_b")) & fits(F.col("n_a"), F.col("n_b")) & (first == F.col("key")))
-    more = saved(confirmed(across.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")), sets, percent), "across")
+    across = left.join(right, "key").filter((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("root_a") != F.col("root_b")) & possible & (first == F.col("key")))
+    more = saved(counted(across.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")), sets).filter(linked(percent)).select("a", "b"), "across")
     # the components so far are links already: only the new links are added to them
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     ranked = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("root", "rep").alias("component_id"))
