@@ -1,4 +1,6 @@
 """Registered queries over the tables and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from critiq.plans import catalog
+
+QUERIES = {**catalog.QUERIES}
+ORACLES = {**catalog.ORACLES}
