@@ -1,6 +1,6 @@
 """Registered queries over the tables and their SQL."""
 
-from critiq.plans import catalog
+from critiq.plans import catalog, reviews
 
-QUERIES = {**catalog.QUERIES}
-ORACLES = {**catalog.ORACLES}
+QUERIES = {**catalog.QUERIES, **reviews.QUERIES}
+ORACLES = {**catalog.ORACLES, **reviews.ORACLES}
