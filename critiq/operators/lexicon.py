@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from critiq.functions.numeric import renormalised
@@ -64,6 +63,10 @@ def lexicon_coverage(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
     return rows.groupBy("category").agg(F.count_distinct("token").alias("tokens"), F.count("__seen").alias("seen"), F.count(F.when(F.col("token").rlike("[^a-z0-9]"), 1)).alias("unreachable"))
 
 
+def _hits(terms: list[str] | None) -> Column:
+    return F.size(F.filter("__tokens", lambda t: t.isin(terms))) if terms else F.lit(0)
+
+
 def review_scores(reviews: DataFrame, lexicon: dict[str, list[str]]) -> DataFrame:
     """A row per review: token count, counts per category, shares among hits (null without any), per 100 tokens, and soft shares.
 
@@ -74,7 +77,7 @@ def review_scores(reviews: DataFrame, lexicon: dict[str, list[str]]) -> DataFram
     few = sum(map(len, lexicon.values())) <= TERMS_IN_ROW
     rows = reviews.withColumn("__tokens", found).withColumn("n_tokens", F.size("__tokens"))
     if few:
-        rows = rows.withColumns({f"{c}_count": F.size(F.filter("__tokens", lambda t, terms=lexicon.get(c, []): t.isin(terms))) if lexicon.get(c) else F.lit(0) for c in FUN})
+        rows = rows.withColumns({f"{c}_count": _hits(lexicon.get(c)) for c in FUN})
     else:
         terms = reviews.sparkSession.createDataFrame([(t, c) for c, all_ in lexicon.items() for t in set(all_)], "token string, category string")
         hits = rows.select("appid", "reviewId", F.explode("__tokens").alias("token")).join(terms, "token").groupBy("appid", "reviewId").pivot("category", list(FUN)).count()

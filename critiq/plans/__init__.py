@@ -1,6 +1,6 @@
 """Registered queries over the tables and their SQL."""
 
-from critiq.plans import catalog, reviews
+from critiq.plans import catalog, reviews, scoring
 
-QUERIES = {**catalog.QUERIES, **reviews.QUERIES}
-ORACLES = {**catalog.ORACLES, **reviews.ORACLES}
+QUERIES = {**catalog.QUERIES, **reviews.QUERIES, **scoring.QUERIES}
+ORACLES = {**catalog.ORACLES, **reviews.ORACLES, **scoring.ORACLES}
