@@ -20,7 +20,7 @@ from critiq.llm.shared import SPACE, Hasher, chunks, lowest, mix, utf8, words_of
 BUCKETS = 1 << 15
 RANK = 8
 #: Labelled documents to learn from, per label; the rest of the labels stay unused.
-TRAIN_PER_LABEL = 2000
+TRAIN_PER_LABEL = 1500
 STATISTICS = ("log_chars", "log_words", "distinct_share", "repeat_share", "symbol_share", "digit_share", "upper_share", "line_share",
               "mean_word", "attached_share", "single_share", "top_word_share", "wide_share")
 BINS = 24
@@ -103,7 +103,9 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 6, rate: float
     if len(set(labels)) < 2:
         machine.factors[:] = 0
         return machine
-    columns, values, starts = features(pa.array(texts, pa.string()))
+    parts = [features(pa.array(texts[i : i + 100], pa.string())) for i in range(0, len(texts), 100)]
+    columns, values = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    starts = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))))
     g_linear, g_factors, g_bias = np.full(WIDTH, 1e-6), np.full((WIDTH, RANK), 1e-6), 1e-6
     # batches are runs of a shuffled order; both labels weigh as they occur
     for _ in range(epochs):
