@@ -80,6 +80,6 @@ def mix_sources(docs: DataFrame, size: Column | None = None, weights: tuple[floa
 
 def repeat_documents(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix takes them: each row as many times as its copies, with the columns of docs. Rows share ids only if they are repeated rows."""
-    copies = mix_sources(docs, **options).groupBy("doc_id").agg(F.max("copies").cast("int").alias("__copies"))
-    rows = docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).drop(copies["doc_id"]).filter("__copies > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copies", "__copy")
+    copies = mix_sources(docs, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").cast("int").alias("__copies"))
+    rows = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id"))).filter("__copies > 0")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

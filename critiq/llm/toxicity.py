@@ -25,10 +25,12 @@ from critiq.llm.shared import Hasher, chunks, code_points, mix, utf8, words_of
 
 #: Labelled documents to learn from, per label.
 TRAIN_PER_LABEL = 800
-#: A mark explains at least so many toxic documents, and so large a share of the documents that hold it is toxic.
-LEAST_DOCUMENTS, LEAST_PRECISION = 20, 0.995
-#: A frequent mark has so many toxic documents, and so many different pairs of neighbours per occurrence.
-FREQUENT, LEAST_CONTEXTS = 40, 0.8
+#: A mark explains at least this share of the toxic documents (and FEWEST), and so large a share of the documents that
+#: hold it is toxic.
+LEAST_SHARE, LEAST_PRECISION = 0.025, 0.995
+#: A frequent mark is in this share of the toxic documents, with so many different pairs of neighbours per occurrence.
+FREQUENT_SHARE, LEAST_CONTEXTS = 0.05, 0.8
+FEWEST = 4
 CHAIN = 128
 TABLE = 1 << 20
 PREFIXES, SUFFIXES = (3, 4, 5, 6), (3, 4)
@@ -138,10 +140,11 @@ def derive_token_labels(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
     all_toxic = np.bincount(column, weight[doc], minlength=TABLE)
     allowed = all_toxic / np.maximum(all_toxic + clean, 1e-9) >= LEAST_PRECISION
     marks = np.zeros(TABLE, bool)
+    least, frequent = (max(FEWEST, share * weight.sum()) for share in (LEAST_SHARE, FREQUENT_SHARE))
     around = np.zeros(len(held), np.int64)
     around[1:-1] = held[:-2, 0] * TABLE + held[2:, 0]
     for k in range(held.shape[1]):
-        at = np.flatnonzero(allowed[held[:, k]] & (all_toxic[held[:, k]] >= FREQUENT) & (toxic[tokens.doc] == 1) & (held[:, k] > 0))
+        at = np.flatnonzero(allowed[held[:, k]] & (all_toxic[held[:, k]] >= frequent) & (toxic[tokens.doc] == 1) & (held[:, k] > 0))
         both = np.unique(np.stack([held[at, k], around[at]]), axis=1)
         contexts, times = np.bincount(both[0], minlength=TABLE), np.bincount(held[at, k], minlength=TABLE)
         marks |= (times > 0) & (contexts >= LEAST_CONTEXTS * times)
@@ -155,7 +158,7 @@ def derive_token_labels(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
         column, doc = column[live], doc[live]
         count = np.bincount(column, minlength=TABLE)
         most = count.max() if len(count) else 0
-        if most < LEAST_DOCUMENTS:
+        if most < least:
             break
         best = np.flatnonzero(count == most)
         best = best[np.argmax(rank[best])]
