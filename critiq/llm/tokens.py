@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from critiq.llm.shared import CHUNK_BYTES, chunks, shared_dir, single_threaded
 
 #: Words whose ids a Python worker remembers; a full memory starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: The byte-level BPE's pattern of pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPACE_BEHIND_SPACE = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
