@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from critiq.llm import decontam, language, licenses, mixing, neardup, neighbours, quality, secrets, tokens, toxicity
+from critiq.llm.oracles import DECONTAMINATION, NEAR_DUPLICATES
 from critiq.llm.shared import fold, table
 
 
@@ -72,6 +73,8 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_language, op3_near_duplicates, op4_toxicity, op5_neighbours, op6_decontamination, op7_quality, op8_license_scans, op9_token_output, op10_source_mixing)}
 
 ORACLES: dict[str, str] = {
+    "op3_near_duplicates": NEAR_DUPLICATES,
+    "op6_decontamination": DECONTAMINATION,
     "op10_source_mixing": r"""
 WITH docs AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
