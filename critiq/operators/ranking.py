@@ -19,6 +19,8 @@ def global_rank(df: DataFrame, score: str, tie: str, name: str = "rank", rows_pe
     """
     n = df.count()
     parts = -(-n // rows_per_range)
+    if parts <= 1:  # one task may rank them all
+        return df.withColumn(name, F.row_number().over(W.orderBy(F.desc(score), F.asc(tie))).cast("long"))
     steps = [i / parts for i in range(1, parts)]
     borders = sorted(set(df.approxQuantile(score, steps, 0.1 / parts)), reverse=True) if steps else []
     ties = sorted(set(df.withColumn("__t", F.col(tie).cast("double")).approxQuantile("__t", steps, 0.1 / parts))) if steps else []
