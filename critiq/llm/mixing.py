@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from critiq.llm.shared import saved
+
 #: Documents that one bucket of keys should hold, over all sources.
 BUCKET_ROWS = 2_000
 
@@ -60,10 +62,10 @@ def mix_sources(docs: DataFrame, size: Column | None = None, weights: tuple[floa
         "doc_id", F.col("source").alias("source"), (word_count(F.col("text")) if size is None else size).alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key"),
     )
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     n_buckets = max(1, -(-docs.count() // BUCKET_ROWS))
     bucket = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * n_buckets / F.lit(1 << 32)).cast("int")
-    rows = rows.withColumn("bucket", bucket)
+    rows = saved(rows.withColumn("bucket", bucket), "sizes")  # the texts are read once
+    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     held = rows.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
     ahead = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     held = held.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("ahead"))
