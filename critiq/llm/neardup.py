@@ -144,7 +144,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u")
         small = moved.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(moved.select("u", F.col("m").alias("v")))
@@ -202,9 +202,12 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, rows: int =
     first = F.element_at(F.filter(F.arrays_zip("bands_a", "bands_b"), lambda z: z["bands_a"] == z["bands_b"]), 1)["bands_a"]
     across = left.join(right, "key").filter((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("root_a") != F.col("root_b")) & possible & (first == F.col("key")))
     more = saved(counted(across.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")), sets).filter(linked(percent)).select("a", "b"), "across")
-    # the components so far are links already: only the new links are added to them
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    ranked = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("root", "rep").alias("component_id"))
+    # the new links join whole components, so only roots are linked
+    root_a, root_b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    ends = more.join(root_a, "a", "left").join(root_b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    joined = components(ends).select(F.col("node").alias("first"), F.col("root").alias("last"))
+    ranked = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("first", F.coalesce("root", "rep")).join(joined, "first", "left")
+    ranked = ranked.select(*same, F.coalesce("last", "first").alias("component_id"))
     whole = drawn.select("doc_id", *same).join(ranked, same, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return whole.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
