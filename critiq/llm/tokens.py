@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,13 +171,8 @@ def read_tokens(spark, path: str, columns: list[str] | None = None) -> DataFrame
     """The written rows with `start`, the ids of all documents before each. Only the named columns are read."""
     rows = spark.read.schema(FILE_SCHEMA).parquet(path)
     # one row per file: the table of files, not of documents, gets the running sum
-    parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("held"))
-    left, right = parts.alias("l"), parts.alias("r")
-    before = (
-        left.join(F.broadcast(right), F.col("r.part") < F.col("l.part"), "left")
-        .groupBy(F.col("l.part").alias("part"))
-        .agg(F.coalesce(F.sum("r.held"), F.lit(0)).alias("before"))
-    )
+    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    before = rows.groupBy("part").agg(F.sum("n_tokens").alias("held")).select("part", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("before"))
     full = rows.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("part_start"))
     return full.select(*(columns or ["doc_id", "start", "n_tokens", "ids"]))
 
