@@ -313,6 +313,105 @@ def test_licenses_odd(spark, odd):
     assert (one.n_words, one.n_base, one.first_word, one.last_word, one.base_labels) == brute_license(text) == (8, 3, 1, 5, ["gpl", "mit"])
 
 
+WRAPPED = {
+    "mit-text": """ * Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal
+ * in the Software without restriction, including without limitation the rights
+ * to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+ * copies of the Software, and to permit persons to whom the Software is
+ * furnished to do so, subject to the following conditions:
+ *
+ * The above copyright notice and this permission notice shall be included in all
+ * copies or substantial portions of the Software.
+ *
+ * THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+ * IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+ * FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+ * AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+ * LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+ * OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+ * SOFTWARE.""",
+    "bsd-text": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.""",
+    "isc-text": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE.""",
+    "apache-2.0-header": """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.""",
+    "gpl-header": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.""",
+    "mpl-2.0-header": """// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0. If a copy of the MPL was not distributed with this
+// file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+}
+WRAPPED["lgpl-header"] = WRAPPED["gpl-header"].replace("program", "library").replace("General", "Lesser General").replace("version 3", "version 2.1")
+WRAPPED["agpl-header"] = WRAPPED["gpl-header"].replace("General", "Affero General")
+
+
+def test_wrapped_license_texts(spark):
+    """Each body and header as it is wrapped in files, between other lines, and the grants inside them."""
+    also = {"mit-text": "mit-grant", "bsd-text": "bsd-terms", "isc-text": "isc-grant", "apache-2.0-header": "apache-2.0-terms"}
+    assert set(WRAPPED) == {label for label in licenses.TEMPLATES if label.endswith(("-text", "-header"))}
+    rows = [(i, f"some other words\nstand before it\n{text}\nand code follows\nhere") for i, text in enumerate(WRAPPED.values())]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, label in enumerate(WRAPPED):
+        assert {label, also.get(label, label)} <= set(got[i].labels) and got[i].score >= 0.8, label
+
+
+def test_runs_equal_brute_force():
+    rng = np.random.default_rng(3)
+    doc = np.sort(rng.integers(0, 6, 300))
+    first = np.searchsorted(doc, np.arange(6))
+    word = rng.integers(-8, 7, 300)
+    at = np.flatnonzero(word >= 0)
+    starters = np.flatnonzero((word >= 0) & (word < 4))
+    got = dict(zip(*licenses._best_runs(at, word[at], doc[at], first, starters, 9), strict=True))
+    for d in range(6):
+        own = word[doc == d]
+        runs = [own[i : i + 9] for i in range(len(own))]
+        assert got[d] == max(len(set(r[r >= 0])) for r in runs if ((r >= 0) & (r < 4)).any())
+
+
 # 9 tokens
 
 def test_token_files_round_trip(spark, docs, tmp_path):
