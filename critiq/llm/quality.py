@@ -133,9 +133,25 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 6, rate: float
     return machine
 
 
+def labelled_ids(labels: DataFrame, label: str, keep: Column | None) -> DataFrame:
+    """(doc_id, y) of all documents with a label 0 or 1 for which `keep`, if given, holds."""
+    return labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (F.lit(True) if keep is None else keep)).groupBy("doc_id").agg(F.max(label).alias("y"))
+
+
+def sample_shift(labels: DataFrame, label: str, keep: Column | None, per_label: int) -> float:
+    """What log odds learnt from labelled_sample lack: it takes per_label of each label, whatever their shares are.
+
+    Both labels are counted over all rows, so that scores mean the same at every size of the input.
+    """
+    n = {r.y: r.n for r in labelled_ids(labels, label, keep).groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        return 0.0
+    return float(np.log(n[1] / min(n[1], per_label)) - np.log(n[0] / min(n[0], per_label)))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column | None, per_label: int, seed: str) -> DataFrame:
     """(doc_id, y, text): at most per_label documents of each label 0 and 1 for which `keep`, if given, holds, by lowest hash."""
-    rows = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (F.lit(True) if keep is None else keep)).groupBy("doc_id").agg(F.max(label).alias("y"))
+    rows = labelled_ids(labels, label, keep)
     ids = None
     for y in (0, 1):
         some = lowest(rows.filter(F.col("y") == y), "doc_id", per_label, seed)
@@ -145,9 +161,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, keep: Column | None = None, per_label: int = TRAIN_PER_LABEL) -> Machine:
-    """Fit on a bounded sample of the rows of labels (doc_id, quality) for which the condition `keep`, if any, holds."""
+    """Fit on a bounded sample of the rows of labels (doc_id, quality) for which the condition `keep`, if any, holds.
+
+    The bias is moved from the sample's shares of the labels to those of all these rows.
+    """
     rows = sorted(labelled_sample(docs, labels, "quality", keep, per_label, "quality").collect(), key=lambda r: r.doc_id)
-    return fit([r.text for r in rows], [r.y for r in rows])
+    machine = fit([r.text for r in rows], [r.y for r in rows])
+    machine.bias += sample_shift(labels, "quality", keep, per_label)
+    return machine
 
 
 def score_quality(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:

@@ -220,6 +220,14 @@ def test_quality_odd(spark, odd):
     assert quality.score_quality(odd, quality.fit([], [])).count() == 7 and quality.score_quality(odd.limit(0), machine).count() == 0
 
 
+@pytest.mark.parametrize("per_label", [30, 1000])
+def test_quality_means_the_same_at_every_cap(spark, per_label):
+    """Texts that tell nothing score the share of the labels over all rows, also where the sample takes as many of each."""
+    rows = spark.createDataFrame([(i, "plain words that tell nothing", int(i % 10 != 0)) for i in range(600)], "doc_id long, text string, quality int")
+    got = quality.score_quality(rows.limit(1), quality.train_quality(rows, rows, per_label=per_label)).first().score
+    assert abs(got - 0.9) < 0.03
+
+
 # 5 neighbours
 
 def test_recall_and_exact_scores(spark):
