@@ -6,6 +6,9 @@ of WINDOW template tokens meet the items' windows by a hash join. On each diagon
 the item) the slot values of the matched windows must map one to one between item and text, so a question with other
 numbers or names is caught while one that mixes its slots up is not. A pair is reported when matched windows of
 consistent diagonals reach `share` of the item's windows.
+
+Verbatim passages meet by windows of lower-cased raw tokens too, whatever their slots and case: items that are nearly all
+numbers or names, short items, and copies in other case, whose template tokens differ.
 """
 
 from __future__ import annotations
@@ -16,9 +19,9 @@ from pyspark.sql import functions as F
 from critiq.llm.shared import saved
 
 WINDOW = 8
-#: Items shorter than WINDOW are one window of their own length; with fewer tokens than this they match nothing.
+#: Items shorter than WINDOW are one window of their own length; with fewer tokens than this only raw tokens match.
 LEAST_TOKENS = 4
-#: Windows with fewer literal tokens than half their length say too little and are left out.
+#: Template windows with fewer literal tokens than half their length say too little and are left out.
 UNITS = ("km", "m", "cm", "mm", "mile", "miles", "ft", "feet", "inch", "inches", "kg", "g", "mg", "lb", "lbs", "pounds", "oz", "l", "ml", "liters",
          "litres", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "usd", "eur", "dollars", "euros",
          "cents", "percent", "degrees", "mph", "kmh", "kw", "w", "v", "hz", "gb", "mb")
@@ -43,41 +46,53 @@ def _tokens(texts: DataFrame, key: str) -> DataFrame:
 
 
 def _windows(tokens: DataFrame, key: str, size: int) -> DataFrame:
-    """(key, at, code): the hash of every window of `size` template tokens."""
-    codes = tokens.select(key, F.expr("transform(form, t -> xxhash64(t))").alias("codes"))
-    every = F.expr(f"CASE WHEN size(codes) >= {size} THEN transform(sequence(1, size(codes) - {size - 1}), i -> xxhash64(slice(codes, i, {size}))) END")
-    return codes.select(key, F.posexplode(every).alias("at", "code"))
+    """(key, at, form, raw): the hashes of every window of `size` template tokens and of lower-cased raw tokens."""
+    codes = tokens.select(key, F.expr("transform(form, t -> xxhash64(t))").alias("codes"), F.expr("transform(raw, t -> xxhash64(lower(t)))").alias("plain"))
+    window = f"struct(i - 1 AS at, xxhash64(slice(codes, i, {size})) AS form, xxhash64(slice(plain, i, {size})) AS raw)"
+    every = F.expr(f"CASE WHEN size(codes) >= {size} THEN transform(sequence(1, size(codes) - {size - 1}), i -> {window}) END")
+    return codes.select(key, F.inline(every))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> DataFrame:
     """(doc_id, item_id, n_windows, share) for each document of (doc_id, text) that holds an item of (item_id, text).
 
-    n_windows counts the item's matched windows, share is their part of all its windows. Rows with null ids are left
+    n_windows counts the item's matched template windows, share is their part of all its template windows; where these
+    do not reach `share`, both are of the windows of raw tokens. Rows with null ids are left
     out; null and empty texts hold nothing; equal items and equal documents each give rows of their own; rows that
     repeat an id count as one text's. Other columns are left out. Empty tables give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL")
-    items = saved(_tokens(benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id IS NOT NULL"), "item_id").filter(F.size("form") >= LEAST_TOKENS).dropDuplicates(["item_id"]), "items")
+    items = saved(_tokens(benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id IS NOT NULL"), "item_id").filter(F.size("form") > 0).dropDuplicates(["item_id"]), "items")
     items = items.withColumn("w", F.least(F.size("form"), F.lit(WINDOW)))
-    sizes = sorted(r.w for r in items.select("w").distinct().collect())  # five values at most
-    told = "size(filter(slice(form, at + 1, w), t -> t NOT LIKE '<%')) * 2 >= w"
+    sizes = sorted(r.w for r in items.select("w").distinct().collect())  # eight values at most
+    told = f"size(form) >= {LEAST_TOKENS} AND size(filter(slice(form, at + 1, w), t -> t NOT LIKE '<%')) * 2 >= w"
     wanted = None
     for size in sizes:
-        some = _windows(items.filter(F.col("w") == size), "item_id", size).withColumn("w", F.lit(size))
+        some = _windows(items.filter(F.col("w") == size).select("item_id", "raw", "form"), "item_id", size).withColumnsRenamed({"form": "form_code", "raw": "raw_code"}).withColumn("w", F.lit(size))
         wanted = some if wanted is None else wanted.unionByName(some)
     if wanted is None:
         return docs.limit(0).select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_windows"), F.lit(0.0).alias("share"))
-    wanted = saved(wanted.join(items.select("item_id", "form"), "item_id").filter(told).select("code", "w", "item_id", F.col("at").alias("item_at")), "wanted")
-    totals = wanted.groupBy("item_id").agg(F.count("*").alias("all"))
+    wanted = wanted.join(items.select("item_id", "form"), "item_id").withColumn("told", F.expr(told))
+    # a window without slots has one code, which stands for both kinds
+    codes = F.expr("""CASE WHEN form_code = raw_code THEN array(struct(raw_code AS code, told, true AS verbatim))
+        WHEN told THEN array(struct(form_code AS code, true AS told, false AS verbatim), struct(raw_code AS code, false AS told, true AS verbatim))
+        ELSE array(struct(raw_code AS code, false AS told, true AS verbatim)) END""")
+    wanted = saved(wanted.select("w", "item_id", F.col("at").alias("item_at"), F.inline(codes)), "wanted")
+    totals = wanted.groupBy("item_id").agg(F.count_if("told").alias("all"), F.count_if("verbatim").alias("all_verbatim"))
     small = wanted.count() * 24 <= BROADCAST_BYTES
     tokens = _tokens(docs, "doc_id")
     seen = None
     for size in sizes:
         some = _windows(tokens, "doc_id", size).withColumn("w", F.lit(size))
         seen = some if seen is None else seen.unionByName(some)
+    codes = F.expr("""CASE WHEN form = raw THEN array(struct(form AS code, true AS as_form, true AS as_raw))
+        ELSE array(struct(form AS code, true AS as_form, false AS as_raw), struct(raw AS code, false AS as_form, true AS as_raw)) END""")
+    seen = seen.select("doc_id", "at", "w", F.inline(codes))
     hits = seen.join(F.broadcast(wanted) if small else wanted, ["code", "w"])
+    hits = hits.withColumns({"told": F.expr("told AND as_form"), "verbatim": F.expr("verbatim AND as_raw")}).filter("told OR verbatim")
     # a window's place in the item occurs once per diagonal, so a group holds no more places than the item
-    lines = saved(hits.groupBy("doc_id", "item_id", "w", (F.col("at") - F.col("item_at")).alias("line")).agg(F.collect_set("item_at").alias("places")), "lines")
+    places = [F.collect_set(F.when(F.col(kind), F.col("item_at"))).alias(name) for kind, name in (("told", "places"), ("verbatim", "same"))]
+    lines = saved(hits.groupBy("doc_id", "item_id", "w", (F.col("at") - F.col("item_at")).alias("line")).agg(*places), "lines")
     ids = lines.select("doc_id").distinct()
     few = ids.count() * 8 <= BROADCAST_BYTES
     texts = _tokens(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "doc_id").select("doc_id", F.col("raw").alias("doc_raw"))
@@ -89,8 +104,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> D
         lines.join(texts, "doc_id").join(items.select("item_id", "raw", "form"), "item_id").withColumn("slots", F.expr(slots))
         .filter((F.size("slots") == sides["ours"]) & (F.size("slots") == sides["theirs"]))
     )
-    held = consistent.select("doc_id", "item_id", F.explode("places").alias("place")).groupBy("doc_id", "item_id").agg(F.count_distinct("place").alias("n_windows"))
-    return held.join(totals, "item_id").withColumn("share", F.col("n_windows") / F.col("all")).filter(F.col("share") >= share).select("doc_id", "item_id", "n_windows", "share")
+    each = F.expr("concat(transform(places, p -> struct(p AS told, int(null) AS verbatim)), transform(same, p -> struct(int(null) AS told, p AS verbatim)))")
+    held = consistent.select("doc_id", "item_id", F.inline(each)).groupBy("doc_id", "item_id").agg(F.count_distinct("told").alias("told"), F.count_distinct("verbatim").alias("verbatim"))
+    shares = held.join(totals, "item_id").withColumns({"by_form": F.expr("coalesce(try_divide(told, all), 0D)"), "by_raw": F.expr("verbatim / all_verbatim")})
+    formed = (F.col("by_form") >= share) & (F.col("told") > 0)
+    found = shares.filter(formed | (F.col("by_raw") >= share) & (F.col("verbatim") > 0))
+    return found.select("doc_id", "item_id", F.when(formed, F.col("told")).otherwise(F.col("verbatim")).alias("n_windows"), F.when(formed, F.col("by_form")).otherwise(F.col("by_raw")).alias("share"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> DataFrame:

@@ -274,6 +274,16 @@ def test_decontamination(spark):
     assert sorted(r.doc_id or 0 for r in decontam.drop_contaminated(docs, bench).collect()) == [0, 3, 4, 5, 6, 7]
 
 
+def test_decontamination_of_verbatim_passages(spark):
+    """Items of slots alone, short items, and copies in other case, each between other words."""
+    items = {1: "What is 3 + 4 * 12 - 7 / 5 + 6?", 2: "Anna Berta Carla Dora Emil Fritz Georg Hans Ida", 3: "two words", 4: "Ask Maria about Oslo and Bergen before noon today", 5: "Paris hosts many large fairs", 6: "東京の首都"}
+    copies = {1: items[1], 2: items[2], 3: items[3], 4: items[4].upper(), 14: items[4].lower(), 5: items[5], 6: items[6]}
+    docs = spark.createDataFrame([(i, f"here stands {t} and no more") for i, t in copies.items()] + [(20, "What is 3 + 5 * 11 - 2 / 4 + 1? two other words, Anna Fritz")], "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.share for r in decontam.contaminated(docs, bench).collect()}
+    assert got == {(i, i % 10): 1.0 for i in copies}
+
+
 def test_decontamination_finds_what_substring_search_finds(spark):
     sf = "/root/testdata/sf0.01"
     items = {r.item_id: " ".join(words(r.text)) for r in shared.table(spark, sf, "benchmark").collect()}
@@ -282,6 +292,17 @@ def test_decontamination_finds_what_substring_search_finds(spark):
     assert want and want <= got and len(got - want) <= 0.1 * len(want)
 
 
+def test_decontamination_equals_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    want = {(d, i): (n, round(s, 9)) for d, i, n, s in con.execute(queries.ORACLES["op6_decontamination"]).fetchall()}
+    assert {(r.doc_id, r.item_id): (r.n_windows, round(r.share, 9)) for r in queries.op6_decontamination(spark, sf).collect()} == want
+
+
 def test_decontamination_runs_no_python(spark, docs):
     plan = decontam.contaminated(docs, shared.table(spark, SF, "benchmark"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
