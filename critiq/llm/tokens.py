@@ -28,6 +28,9 @@ REMEMBERED = 400_000
 #: The byte-level BPE's pattern of pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPACE_BEHIND_SPACE = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
+#: Code points, and ranges around them, that the pattern splits otherwise than the library (letters or not by other Unicode versions).
+_DISPUTED = (r"[\x{558}\x{58B}\x{58C}\x{88F}\x{C5C}\x{CDC}\x{208F}-\x{209F}\x{A7CE}-\x{AB6D}\x{107BB}-\x{1DFFF}\x{1E6C0}-\x{1E6FF}"
+             r"\x{2B73A}-\x{10FFFF}]")
 FILE_SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("part", T.IntegerType()),
@@ -78,14 +81,16 @@ class Encoder:
 
     No piece of the BPE reaches over a space that follows a visible character, so texts are cut before such spaces
     and each distinct run of a block is encoded once. Texts with a space behind other white space are cut into
-    pieces by the pattern.
+    pieces by the pattern. Texts with a disputed code point are encoded by the library itself.
     """
 
     def __init__(self, path: str):
         single_threaded()
         from tokenizers import Tokenizer
 
-        self.pieces = _Pieces(Tokenizer.from_file(path).model)
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True  # a token's name inside a text is text
+        self.pieces = _Pieces(self.library.model)
         self.first, self.later = _Units(self.pieces, ""), _Units(self.pieces, " ")
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +99,8 @@ class Encoder:
             if len(memory) > REMEMBERED:
                 memory.clear()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        uneven = pc.match_substring_regex(texts, _SPACE_BEHIND_SPACE)
+        disputed = pc.match_substring_regex(texts, _DISPUTED)
+        uneven = pc.or_(disputed, pc.match_substring_regex(texts, _SPACE_BEHIND_SPACE))
         cut = pc.split_pattern(pc.if_else(uneven, "", texts), " ")
         units = cut.flatten().dictionary_encode()
         # entries: the distinct runs behind a space, then what each text begins with, then the end
@@ -105,7 +111,11 @@ class Encoder:
         n_units, n = len(entries), len(texts)
         entries += map(self.first.__getitem__, runs[codes[offsets[:-1]]])
         for i in np.flatnonzero(uneven.to_numpy(zero_copy_only=False)):
-            entries[n_units + i] = b"".join(map(self.pieces.__getitem__, self.first.find(texts[int(i)].as_py())))
+            text = texts[int(i)].as_py()
+            if disputed[int(i)].as_py():
+                entries[n_units + i] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                entries[n_units + i] = b"".join(map(self.pieces.__getitem__, self.first.find(text)))
         entries.append(np.array([end_id], "<u4").tobytes())
         length = np.array([len(x) // 4 for x in entries], np.int64)
         begin = np.cumsum(length) - length

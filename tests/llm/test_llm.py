@@ -471,6 +471,23 @@ def test_encoder_on_white_space():
         assert ids[offsets[i] : offsets[i + 1]].tolist() == [*want.ids, 2], text
 
 
+def test_encoder_on_every_code_point():
+    """64 code points a text, each between letters, digits, marks and spaces."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    encoder, want = tokens.Encoder(path), 0
+    for at in range(0, len(points), 1 << 16):
+        cases = ["".join(f"a{c}1{c}!{c} {c}" for c in points[i : i + 64]) for i in range(at, min(at + (1 << 16), len(points)), 64)]
+        ids, offsets = encoder(pa.array(cases), 2)
+        for i, found in enumerate(plain.encode_batch(cases, add_special_tokens=False)):
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == [*found.ids, 2], hex(ord(cases[i][1]))
+
+
 @pytest.mark.parametrize("coding", ["delta", "dictionary"])
 def test_token_files_odd(spark, odd, tmp_path, coding):
     import public_tokenizers
