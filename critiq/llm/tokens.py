@@ -8,12 +8,13 @@ skip the other pages; a reader of the metadata columns never touches `ids`.
 
 from __future__ import annotations
 
-import struct
+import json
+import re
 import uuid
 import zlib
+from itertools import chain, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -21,16 +22,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from critiq.llm.shared import CHUNK_BYTES, chunks, shared_dir, single_threaded
+from critiq.llm.shared import CHUNK_BYTES, chunks, shared_dir, single_threaded, utf8
 
-#: Words whose ids a Python worker remembers; a full memory starts anew.
+#: Units whose ids a Python worker remembers; when there are more, the half not used for longest goes.
 REMEMBERED = 400_000
-#: The byte-level BPE's pattern of pieces.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_SPACE_BEHIND_SPACE = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
-#: Code points, and ranges around them, that the pattern splits otherwise than the library (letters or not by other Unicode versions).
-_DISPUTED = (r"[\x{558}\x{58B}\x{58C}\x{88F}\x{C5C}\x{CDC}\x{208F}-\x{209F}\x{A7CE}-\x{AB6D}\x{107BB}-\x{1DFFF}\x{1E6C0}-\x{1E6FF}"
-             r"\x{2B73A}-\x{10FFFF}]")
+#: Units that the library encodes as one text, a line feed behind each.
+TOGETHER = 200
+#: A space between other white space, or at the end behind it: there the library joins what a cut before it parts.
+_WHITE = r"\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_UNEVEN = rf"[{_WHITE}] (?:[{_WHITE}]|$)"
+_BARE = rf"^ ?[^{_WHITE}\x{{1C}}-\x{{1F}}]+$"
+#: Kinds of bytes: Latin letters (U+00C0 to U+02BF but for two signs, as pairs of bytes), other visible ASCII but the
+#: apostrophe (it may begin a piece of letters), line feed, space, rest. A sum of two kinds tells which two they are.
+_LETTER, _SYMBOL, _FEED, _SPACE, _REST = 1, 2, 16, 128, 64
+_KIND = np.full(256, _REST, np.uint8)
+_KIND[0x21:0x7F] = _SYMBOL
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _KIND[0xC3:0xCA] = _LETTER
+_KIND[[0x27, 0x0A, 0x20]] = _REST, _FEED, _SPACE
 FILE_SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("part", T.IntegerType()),
@@ -40,48 +48,67 @@ FILE_SCHEMA = T.StructType([
 ])
 
 
-class _Pieces(dict):
-    """Ids of a piece, as bytes, by the library's BPE model."""
+def units_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the units of texts begin that hold no space between other white space: no piece reaches over these places.
 
-    def __init__(self, model):
-        self.model = model
-        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        rest = [b for b in range(256) if b not in plain]
-        # the model's alphabet of bytes: visible Latin-1 as it is, the others from 256 on
-        self.alphabet = {b: 0x100 + i for i, b in enumerate(rest)}
-
-    def encode(self, piece: str) -> bytes:
-        found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))
-        return struct.pack(f"<{len(found)}I", *[token.id for token in found])
-
-    def __missing__(self, piece: str) -> bytes:
-        self[piece] = ids = self.encode(piece)
-        return ids
-
-
-class _Units(dict):
-    """Ids of a run of characters that has `before` (a space or nothing) in front of it; only words are remembered."""
-
-    def __init__(self, pieces: _Pieces, before: str):
-        import regex
-
-        self.pieces, self.before, self.find = pieces, before, regex.compile(PIECES).findall
-
-    def __missing__(self, unit: str) -> bytes:
-        if unit.isalpha():
-            self[unit] = ids = self.pieces.encode(self.before + unit)
-            return ids
-        if unit[-1:] in (".", ",") and unit[:-1].isalpha():
-            return self[unit[:-1]] + self.pieces[unit[-1]]
-        return b"".join(map(self.pieces.__getitem__, self.find(self.before + unit)))
+    Before each space, between Latin letters and symbols, and on both sides of a line feed that stands alone.
+    """
+    kind = _KIND[data]
+    lead = np.flatnonzero((data >= 0xC3) & (data < 0xCA))
+    kind[lead + 1] = _LETTER
+    signs = lead[(data[lead] == 0xC3) & ((data[lead + 1] & 0xDF) == 0x97)]
+    kind[signs] = kind[signs + 1] = _REST
+    begins = kind == _SPACE
+    both = kind[:-1] + kind[1:]
+    begins[1:] |= both == _LETTER + _SYMBOL
+    by_feed = np.flatnonzero((both == _LETTER + _FEED) | (both == _SYMBOL + _FEED)) + 1
+    ahead = kind[np.maximum(by_feed - 2, 0)]
+    begins[by_feed[(kind[by_feed] == _FEED) | (ahead == _LETTER) | (ahead == _SYMBOL)]] = True
+    begins[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(begins)
+
+
+class Memory:
+    """The ids of units: `rows` numbers the units, `ids[begin:begin + size]` are a row's."""
+
+    def __init__(self, encode, most: int = REMEMBERED):
+        self.encode, self.most, self.now = encode, most, 0
+        self.rows: dict[str, int] = {}
+        self.ids = np.zeros(0, np.int32)
+        self.begin, self.size, self.used = (np.zeros(0, np.int64) for _ in range(3))
+
+    def __call__(self, units: pa.Array) -> np.ndarray:
+        """The rows of distinct units, new ones encoded."""
+        self.now += 1
+        if len(self.rows) > self.most:
+            keep = np.sort(np.argsort(-self.used, kind="stable")[: self.most // 2])
+            names = np.array(list(self.rows), object)[keep]
+            at = np.repeat(self.begin[keep] - np.cumsum(self.size[keep]) + self.size[keep], self.size[keep]) + np.arange(self.size[keep].sum())
+            self.ids, self.size, self.used = self.ids[at], self.size[keep], self.used[keep]
+            self.begin = np.cumsum(self.size) - self.size
+            self.rows = dict(zip(names.tolist(), range(len(names)), strict=True))
+        names = units.to_numpy(zero_copy_only=False)
+        row = np.fromiter(map(self.rows.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            bare = pc.match_substring_regex(units, _BARE).to_numpy(zero_copy_only=False)[new]
+            new = np.concatenate((new[bare], new[~bare]))
+            ids, size = self.encode(names[new].tolist(), int(bare.sum()))
+            row[new] = len(self.rows) + np.arange(len(new))
+            self.rows.update(zip(names[new].tolist(), row[new].tolist(), strict=True))
+            self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(size) - size))
+            self.ids, self.size = np.concatenate((self.ids, ids)), np.concatenate((self.size, size))
+            self.used = np.concatenate((self.used, np.zeros(len(new), np.int64)))
+        self.used[row] = self.now
+        return row
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library's byte-level BPE; runs seen before come from memory.
+    """Ids of whole texts by the tokenizers library, add_special_tokens=False; what was encoded before comes from memory.
 
-    No piece of the BPE reaches over a space that follows a visible character, so texts are cut before such spaces
-    and each distinct run of a block is encoded once. Texts with a space behind other white space are cut into
-    pieces by the pattern. Texts with a disputed code point are encoded by the library itself.
+    Where pieces are of bytes, by the library's own rule and without a normalizer, texts are cut into units (units_of) and the
+    library encodes each distinct unit once. Texts that hold one of the tokenizer's added tokens, or a space between other
+    white space, and all texts where the tokenizer file is of another make, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -89,43 +116,66 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # a token's name inside a text is text
-        self.pieces = _Pieces(self.library.model)
-        self.first, self.later = _Units(self.pieces, ""), _Units(self.pieces, " ")
+        made = json.loads(self.library.to_str())
+        pieces = made["pre_tokenizer"] or {}
+        self.cuts = (
+            made["normalizer"] is None and made["truncation"] is None and made["padding"] is None and made["model"]["type"] == "BPE" and made["model"].get("dropout") is None
+            and pieces.get("type") == "ByteLevel" and pieces.get("use_regex") is True and not pieces.get("add_prefix_space")
+        )
+        self.added = "|".join(re.escape(t["content"]) for t in made["added_tokens"])
+        self.feed = self.library.encode("\n", add_special_tokens=False).ids
+        self.memory = Memory(self.encode_units)
+
+    def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts, end to end, and how many each has."""
+        found = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())), size
+
+    def encode_units(self, units: list[str], bare: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for units; the first `bare` hold no white space but a space in front, so a line feed parts them."""
+        ids, size = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for i in range(0, bare, TOGETHER * 50):
+            some = units[i : min(i + TOGETHER * 50, bare)]
+            joined, _ = self.encode_texts(["\n".join(some[j : j + TOGETHER]) + "\n" for j in range(0, len(some), TOGETHER)])
+            feeds = np.flatnonzero(joined == self.feed[0]) if len(self.feed) == 1 else []
+            if len(feeds) == len(some):
+                ids.append(np.delete(joined, feeds))
+                size.append(np.diff(feeds, prepend=-1) - 1)
+            else:  # a line feed is no id of its own here
+                for to, x in zip((ids, size), self.encode_texts(some), strict=True):
+                    to.append(x)
+        for to, x in zip((ids, size), self.encode_texts(units[bare:]), strict=True):
+            to.append(x)
+        return np.concatenate(ids), np.concatenate(size)
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (null: empty), each text's followed by end_id, and the n + 1 offsets."""
-        for memory in (self.pieces, self.first, self.later):
-            if len(memory) > REMEMBERED:
-                memory.clear()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        disputed = pc.match_substring_regex(texts, _DISPUTED)
-        uneven = pc.or_(disputed, pc.match_substring_regex(texts, _SPACE_BEHIND_SPACE))
-        cut = pc.split_pattern(pc.if_else(uneven, "", texts), " ")
-        units = cut.flatten().dictionary_encode()
-        # entries: the distinct runs behind a space, then what each text begins with, then the end
-        offsets = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
+        n = len(texts)
+        whole = np.full(n, not self.cuts)
+        if self.cuts:
+            for pattern in filter(None, (_UNEVEN, self.added)):
+                whole |= pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False)
+        data, offsets = utf8(pc.if_else(pa.array(whole), "", texts) if whole.any() else texts, lower=False)
+        begins = units_of(data, offsets) if len(data) else np.zeros(0, np.int64)
+        units = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(np.append(begins, len(data)).astype(np.int64)), pa.py_buffer(data)).dictionary_encode()
+        row = self.memory(units.dictionary)
+        # entries: the block's distinct units, the end, the whole texts
+        more, more_size = self.encode_texts([texts[int(i)].as_py() for i in np.flatnonzero(whole)])
+        all_ids = np.concatenate((self.memory.ids, [end_id], more)).astype(np.int32)
+        length = np.concatenate((self.memory.size[row], [1], more_size))
+        begin = np.concatenate((self.memory.begin[row], len(self.memory.ids) + np.cumsum(np.append(1, more_size)) - np.append(1, more_size)))
         codes = units.indices.to_numpy().astype(np.int64)
-        runs = units.dictionary.to_numpy(zero_copy_only=False)
-        entries = list(map(self.later.__getitem__, runs))
-        n_units, n = len(entries), len(texts)
-        entries += map(self.first.__getitem__, runs[codes[offsets[:-1]]])
-        for i in np.flatnonzero(uneven.to_numpy(zero_copy_only=False)):
-            text = texts[int(i)].as_py()
-            if disputed[int(i)].as_py():
-                entries[n_units + i] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                entries[n_units + i] = b"".join(map(self.pieces.__getitem__, self.first.find(text)))
-        entries.append(np.array([end_id], "<u4").tobytes())
-        length = np.array([len(x) // 4 for x in entries], np.int64)
-        begin = np.cumsum(length) - length
-        all_ids = np.frombuffer(b"".join(entries), "<i4")
-        codes[offsets[:-1]] = n_units + np.arange(n)
-        codes = np.insert(codes, offsets[1:], n_units + n)
+        last = np.searchsorted(begins, offsets[1:])
+        closing = 1 + whole  # a whole text's own code, then the end
+        behind = np.full(closing.sum(), len(row))
+        behind[(np.cumsum(closing) - closing)[whole]] = len(row) + 1 + np.arange(whole.sum())
+        codes = np.insert(codes, np.repeat(last, closing), behind)
         size = length[codes]
         ends = np.cumsum(size)
         ids = all_ids[np.repeat(begin[codes] - (ends - size), size) + np.arange(ends[-1] if n else 0)]
-        return ids, np.concatenate(([0], ends))[np.concatenate(([0], offsets[1:] + np.arange(1, n + 1)))]
+        return ids, np.concatenate(([0], ends))[np.concatenate(([0], last + np.cumsum(closing)))]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -164,7 +214,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 2,
 
     (
         docs.select(F.col("doc_id").cast("long"), "text")
-        .repartitionByRange(files, "doc_id", "text")
+        .repartitionByRange(files, "doc_id")  # by the id alone: what Spark samples for the ranges goes to the driver
         .sortWithinPartitions("doc_id", "text")
         .mapInArrow(encode, FILE_SCHEMA)
         .write.option("parquet.enable.dictionary", str(coding == "dictionary").lower())
@@ -187,10 +237,12 @@ def read_tokens(spark, path: str, columns: list[str] | None = None) -> DataFrame
     return full.select(*(columns or ["doc_id", "start", "n_tokens", "ids"]))
 
 
-@F.pandas_udf(T.LongType())
-def ids_crc32(ids: pd.Series) -> pd.Series:
-    """Unsigned crc32 of a list of ids as little-endian unsigned 32-bit integers."""
-    return pd.Series([zlib.crc32(np.asarray(x).astype("<u4").tobytes()) for x in ids], dtype="int64")
+@F.arrow_udf(T.LongType())
+def ids_crc32(ids: pa.Array) -> pa.Array:
+    """Unsigned crc32 of each list of ids as little-endian unsigned 32-bit integers."""
+    flat = np.ascontiguousarray(ids.values.to_numpy(), "<i4").view(np.uint8)
+    at = (ids.offsets.to_numpy().astype(np.int64) * 4).tolist()
+    return pa.array([zlib.crc32(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64())
 
 
 def token_digest(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 2) -> DataFrame:

@@ -449,7 +449,6 @@ def test_token_files_round_trip(spark, docs, tmp_path):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     got = {r.doc_id: r for r in queries.op9_token_output(spark, SF).collect()}
     start = 0
     for i, text in sorted(texts(docs).items()):
@@ -464,8 +463,7 @@ def test_encoder_on_white_space():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    cases = ["a  b", "\n\nx", " x", "x ", "it's 'sa <|endoftext|> b", "a\tb\r\nc", "a\x1cb c", "  \n q", "", "a \nb", "a \n b", "123 abc!? ..x, y.", "日本 語。x", "x\u0085y a", "   ", "a　 b", "\n"]
+    cases = ["a  b", "\n\nx", " x", "x ", "it's 'sa <|endoftext|> b", "<|endoftext|>", "a<|endoftext|>\n\n x", "", "'s.\n't", "×a÷b¿cɏdɐe", "a\tb\r\nc", "a\x1cb c", "  \n q", "", "a \nb", "a \n b", "123 abc!? ..x, y.", "日本 語。x", "x\u0085y a", "   ", "a　 b", "\n"]
     ids, offsets = tokens.Encoder(path)(pa.array(cases), 2)
     for i, (text, want) in enumerate(zip(cases, plain.encode_batch(cases, add_special_tokens=False), strict=True)):
         assert ids[offsets[i] : offsets[i + 1]].tolist() == [*want.ids, 2], text
@@ -478,7 +476,6 @@ def test_encoder_on_every_code_point():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     encoder, want = tokens.Encoder(path), 0
     for at in range(0, len(points), 1 << 16):
@@ -488,6 +485,64 @@ def test_encoder_on_every_code_point():
             assert ids[offsets[i] : offsets[i + 1]].tolist() == [*found.ids, 2], hex(ord(cases[i][1]))
 
 
+def test_encoder_on_random_texts_with_a_small_memory():
+    """Letters, white space of all kinds, symbols and an added token in any order, against the library's default settings."""
+    import public_tokenizers
+
+    rng = np.random.default_rng(4)
+    marks = np.array(["a", "b", " ", " ", "\n", "\t", "1", ".", "'", "s", "é", "日", "\u0085", "<|endoftext|>", "Z", "\u3000", "\u0558", "\x1f", "\r\n"])
+    cases = ["".join(rng.choice(marks, rng.integers(0, 15))) for _ in range(4000)]
+    encoder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder.memory.most = 50
+    want = encoder.library.encode_batch(cases, add_special_tokens=False)
+    for at in range(0, len(cases), 100):
+        ids, offsets = encoder(pa.array([None, *cases[at : at + 100]]), 2)
+        assert ids[: offsets[1]].tolist() == [2]
+        assert [ids[a:b].tolist() for a, b in zip(offsets[1:-1], offsets[2:], strict=True)] == [[*w.ids, 2] for w in want[at : at + 100]]
+    assert len(encoder.memory.rows) < 1000
+
+
+def test_encoder_of_another_make(tmp_path):
+    """A tokenizer that lower-cases first is never cut: texts go to the library whole."""
+    import public_tokenizers
+    from tokenizers import Tokenizer, normalizers
+
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    other.normalizer = normalizers.Lowercase()
+    other.save(f"{tmp_path}/lower.json")
+    encoder = tokens.Encoder(f"{tmp_path}/lower.json")
+    ids, offsets = encoder(pa.array(["One TWO", "", None]), 2)
+    assert not encoder.cuts and ids.tolist() == [*other.encode("one two").ids, 2, 2, 2] and offsets.tolist() == [0, len(ids) - 2, len(ids) - 1, len(ids)]
+
+
+def test_selective_reads(spark, docs, tmp_path):
+    """Metadata are read without `ids`; small pages with an index and small row groups let a reader of few documents skip the rest."""
+    import public_tokenizers
+    import pyarrow.parquet as pq
+
+    tokens.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), f"{tmp_path}/t", files=1, row_group_bytes=1 << 16, page_bytes=1 << 12, page_rows=20)
+    meta = [pq.ParquetFile(p).metadata for p in tmp_path.glob("t/*.parquet")]
+    groups = [m.row_group(i) for m in meta for i in range(m.num_row_groups)]
+    assert len(groups) > 1 and all(g.column(c).has_offset_index and g.column(c).has_column_index for g in groups for c in (0, 4))
+    spans = [(s.min, s.max) for s in (g.column(0).statistics for g in groups)]
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False)), "each group has an id range of its own"
+    assert "ids" not in str(tokens.read_tokens(spark, f"{tmp_path}/t", ["doc_id", "n_tokens"])._jdf.queryExecution().executedPlan()).split("ReadSchema")[1]
+    one = tokens.read_tokens(spark, f"{tmp_path}/t").filter("doc_id = 150")
+    assert "EqualTo(doc_id,150)" in str(one._jdf.queryExecution().executedPlan()) and one.count() == 1
+
+
+def test_equal_ids_stay_together(spark):
+    """A third of all rows with one doc_id: all are written, ordered by text."""
+    import public_tokenizers
+    import tempfile
+
+    rows = spark.createDataFrame([(i if i % 3 else 7, f"text {i:03}") for i in range(300)], "doc_id long, text string")
+    path = tempfile.mkdtemp(prefix="spark-") + "/t"
+    tokens.write_tokens(rows, public_tokenizers.path("byte_bpe_50k.json"), path)
+    got = tokens.read_tokens(spark, path).orderBy("start").collect()
+    assert len(got) == 300 and [r.doc_id for r in got] == sorted(r.doc_id for r in got)
+
+
 @pytest.mark.parametrize("coding", ["delta", "dictionary"])
 def test_token_files_odd(spark, odd, tmp_path, coding):
     import public_tokenizers
