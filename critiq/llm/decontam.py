@@ -4,8 +4,8 @@ A text's tokens are runs of letters or of digits (with inner . , : /). In its te
 behind a number <unit>, a capitalised word that does not open a sentence <name>, and all else is lower case. Windows
 of WINDOW template tokens meet the items' windows by a hash join. On each diagonal (place in the text less place in
 the item) the slot values of the matched windows must map one to one between item and text, so a question with other
-numbers or names is caught while one that mixes its slots up is not. A pair is reported when matched windows of
-consistent diagonals reach `share` of the item's windows.
+numbers or names is caught while one that mixes its slots up is not: windows that hold such a slot do not count. A pair
+is reported when the windows that count reach `share` of the item's windows.
 
 Verbatim passages meet by windows of lower-cased raw tokens too, whatever their slots and case: items that are nearly all
 numbers or names, short items, and copies in other case, whose template tokens differ.
@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from critiq.llm.shared import saved
 
 WINDOW = 8
-#: Items shorter than WINDOW are one window of their own length; with fewer tokens than this only raw tokens match.
+#: Items shorter than WINDOW are one window of their own length. Templates of fewer tokens than this, and windows of more
+#: slots than literal tokens, say too little to tell a re-parameterised item: those meet verbatim, by raw tokens.
 LEAST_TOKENS = 4
-#: Template windows with fewer literal tokens than half their length say too little and are left out.
 UNITS = ("km", "m", "cm", "mm", "mile", "miles", "ft", "feet", "inch", "inches", "kg", "g", "mg", "lb", "lbs", "pounds", "oz", "l", "ml", "liters",
          "litres", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "usd", "eur", "dollars", "euros",
          "cents", "percent", "degrees", "mph", "kmh", "kw", "w", "v", "hz", "gb", "mb")
@@ -30,8 +30,8 @@ BROADCAST_BYTES = 32 << 20
 TOKEN = r"([^\\p{L}\\p{N}]*)(\\p{N}+(?:[.,:/]\\p{N}+)*|\\p{L}[\\p{L}\\p{M}]*)"
 
 
-def _tokens(texts: DataFrame, key: str) -> DataFrame:
-    """(key, raw, form): the raw tokens and the template tokens of each text; null text: none."""
+def _tokens(texts: DataFrame, *keys: str) -> DataFrame:
+    """(keys, raw, form): the raw tokens and the template tokens of each text."""
     units = ", ".join(f"'{u}'" for u in UNITS)
     # the lambda sees nothing but its element: a column named in it would be evaluated anew for each element
     form = f"""transform(parts, (p, i) -> CASE
@@ -39,77 +39,79 @@ def _tokens(texts: DataFrame, key: str) -> DataFrame:
         WHEN p.low != p.token AND i > 0 AND NOT p.gap RLIKE '[.!?:\\\\n]' THEN '<name>'
         WHEN p.low IN ({units}) AND p.before RLIKE '^\\\\p{{N}}' THEN '<unit>'
         ELSE p.low END)"""
-    rows = texts.select(key, *[F.expr(f"regexp_extract_all(coalesce(text, ''), '{TOKEN}', {i})").alias(n) for i, n in ((2, "raw"), (1, "gaps"))])
-    rows = rows.select(key, "raw", "gaps", F.expr("transform(raw, t -> lower(t))").alias("low"), F.expr("concat(array(''), raw)").alias("before"))
+    rows = texts.select(*keys, *[F.expr(f"regexp_extract_all(text, '{TOKEN}', {i})").alias(n) for i, n in ((2, "raw"), (1, "gaps"))])
+    rows = rows.select(*keys, "raw", "gaps", F.expr("transform(raw, t -> lower(t))").alias("low"), F.expr("concat(array(''), raw)").alias("before"))
     parts = F.slice(F.arrays_zip(F.col("raw").alias("token"), F.col("gaps").alias("gap"), "low", "before"), F.lit(1), F.size("raw"))
-    return rows.select(key, "raw", parts.alias("parts")).select(key, "raw", F.expr(form).alias("form"))
+    return rows.select(*keys, "raw", parts.alias("parts")).select(*keys, "raw", F.expr(form).alias("form"))
 
 
-def _windows(tokens: DataFrame, key: str, size: int) -> DataFrame:
-    """(key, at, form, raw): the hashes of every window of `size` template tokens and of lower-cased raw tokens."""
-    codes = tokens.select(key, F.expr("transform(form, t -> xxhash64(t))").alias("codes"), F.expr("transform(raw, t -> xxhash64(lower(t)))").alias("plain"))
-    window = f"struct(i - 1 AS at, xxhash64(slice(codes, i, {size})) AS form, xxhash64(slice(plain, i, {size})) AS raw)"
-    every = F.expr(f"CASE WHEN size(codes) >= {size} THEN transform(sequence(1, size(codes) - {size - 1}), i -> {window}) END")
-    return codes.select(key, F.inline(every))
+def _windows(tokens: DataFrame, sizes: list[int], *keys: str) -> DataFrame:
+    """(keys, w, at, form, raw): the hashes of every window of w template tokens and of w lower-cased raw tokens, for each w of `sizes`."""
+    codes = tokens.select(*keys, F.expr("transform(form, t -> xxhash64(t))").alias("codes"), F.expr("transform(raw, t -> xxhash64(lower(t)))").alias("plain"))
+    window = "struct({w} AS w, i - 1 AS at, xxhash64(slice(codes, i, {w})) AS form, xxhash64(slice(plain, i, {w})) AS raw)"
+    of_size = "CASE WHEN size(codes) >= {w} THEN transform(sequence(1, size(codes) - {w} + 1), i -> " + window + ") END"
+    every = [of_size.format(w=w) for w in sizes]
+    return codes.select(*keys, F.inline(F.expr(every[0] if len(every) == 1 else "flatten(array_compact(array(" + ", ".join(every) + ")))")))
+
+
+def _texts(rows: DataFrame, name: str, key: str) -> DataFrame:
+    """(name, key, text): the id as a number and a number of the row's id and text, so that rows which repeat an id stay apart."""
+    rows = rows.select(F.col(name).cast("long").alias(name), F.coalesce("text", F.lit("")).alias("text")).filter(F.col(name).isNotNull())
+    return rows.select(name, F.xxhash64(name, "text").alias(key), "text")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> DataFrame:
     """(doc_id, item_id, n_windows, share) for each document of (doc_id, text) that holds an item of (item_id, text).
 
     n_windows counts the item's matched template windows, share is their part of all its template windows; where these
-    do not reach `share`, both are of the windows of raw tokens. Rows with null ids are left
-    out; null and empty texts hold nothing; equal items and equal documents each give rows of their own; rows that
-    repeat an id count as one text's. Other columns are left out. Empty tables give no rows.
+    do not reach `share`, both are of the windows of raw tokens. Rows with null ids are left out; null and empty texts
+    hold nothing; equal items and equal documents each give rows of their own. Rows that repeat an id are texts of
+    their own, of which the best match counts. Other columns are left out. Empty tables give no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL")
-    items = saved(_tokens(benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id IS NOT NULL"), "item_id").filter(F.size("form") > 0).dropDuplicates(["item_id"]), "items")
+    docs = _texts(docs, "doc_id", "doc")
+    items = saved(_tokens(_texts(benchmark, "item_id", "item").distinct(), "item_id", "item").filter(F.size("form") > 0), "items")
     items = items.withColumn("w", F.least(F.size("form"), F.lit(WINDOW)))
     sizes = sorted(r.w for r in items.select("w").distinct().collect())  # eight values at most
+    if not sizes:
+        return docs.limit(0).select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_windows"), F.lit(0.0).alias("share"))
     told = f"size(form) >= {LEAST_TOKENS} AND size(filter(slice(form, at + 1, w), t -> t NOT LIKE '<%')) * 2 >= w"
     wanted = None
     for size in sizes:
-        some = _windows(items.filter(F.col("w") == size).select("item_id", "raw", "form"), "item_id", size).withColumnsRenamed({"form": "form_code", "raw": "raw_code"}).withColumn("w", F.lit(size))
+        some = _windows(items.filter(F.col("w") == size), [size], "item").withColumnsRenamed({"form": "form_code", "raw": "raw_code"})
         wanted = some if wanted is None else wanted.unionByName(some)
-    if wanted is None:
-        return docs.limit(0).select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_windows"), F.lit(0.0).alias("share"))
-    wanted = wanted.join(items.select("item_id", "form"), "item_id").withColumn("told", F.expr(told))
+    wanted = wanted.join(items.select("item", "form"), "item").withColumn("told", F.expr(told))
     # a window without slots has one code, which stands for both kinds
     codes = F.expr("""CASE WHEN form_code = raw_code THEN array(struct(raw_code AS code, told, true AS verbatim))
         WHEN told THEN array(struct(form_code AS code, true AS told, false AS verbatim), struct(raw_code AS code, false AS told, true AS verbatim))
         ELSE array(struct(raw_code AS code, false AS told, true AS verbatim)) END""")
-    wanted = saved(wanted.select("w", "item_id", F.col("at").alias("item_at"), F.inline(codes)), "wanted")
-    totals = wanted.groupBy("item_id").agg(F.count_if("told").alias("all"), F.count_if("verbatim").alias("all_verbatim"))
+    wanted = saved(wanted.select("w", "item", F.col("at").alias("item_at"), F.inline(codes)), "wanted")
+    totals = wanted.groupBy("item").agg(F.count_if("told").alias("all"), F.count_if("verbatim").alias("all_verbatim"))
     small = wanted.count() * 24 <= BROADCAST_BYTES
-    tokens = _tokens(docs, "doc_id")
-    seen = None
-    for size in sizes:
-        some = _windows(tokens, "doc_id", size).withColumn("w", F.lit(size))
-        seen = some if seen is None else seen.unionByName(some)
     codes = F.expr("""CASE WHEN form = raw THEN array(struct(form AS code, true AS as_form, true AS as_raw))
         ELSE array(struct(form AS code, true AS as_form, false AS as_raw), struct(raw AS code, false AS as_form, true AS as_raw)) END""")
-    seen = seen.select("doc_id", "at", "w", F.inline(codes))
+    seen = _windows(_tokens(docs, "doc_id", "doc"), sizes, "doc_id", "doc").select("doc_id", "doc", "at", "w", F.inline(codes))
     hits = seen.join(F.broadcast(wanted) if small else wanted, ["code", "w"])
     hits = hits.withColumns({"told": F.expr("told AND as_form"), "verbatim": F.expr("verbatim AND as_raw")}).filter("told OR verbatim")
     # a window's place in the item occurs once per diagonal, so a group holds no more places than the item
     places = [F.collect_set(F.when(F.col(kind), F.col("item_at"))).alias(name) for kind, name in (("told", "places"), ("verbatim", "same"))]
-    lines = saved(hits.groupBy("doc_id", "item_id", "w", (F.col("at") - F.col("item_at")).alias("line")).agg(*places), "lines")
-    ids = lines.select("doc_id").distinct()
+    lines = saved(hits.groupBy("doc_id", "doc", "item", "w", (F.col("at") - F.col("item_at")).alias("line")).agg(*places), "lines")
+    ids = lines.select("doc").distinct()
     few = ids.count() * 8 <= BROADCAST_BYTES
-    texts = _tokens(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "doc_id").select("doc_id", F.col("raw").alias("doc_raw"))
-    slots = """array_distinct(flatten(transform(places, p -> filter(
-        transform(sequence(p, p + w - 1), j -> struct(form[j] AS kind, lower(raw[j]) AS ours, lower(get(doc_raw, j + line)) AS theirs)),
-        s -> s.kind LIKE '<%'))))"""
-    sides = {side: F.size(F.expr(f"array_distinct(transform(slots, s -> struct(s.kind, s.{side})))")) for side in ("ours", "theirs")}
-    consistent = (
-        lines.join(texts, "doc_id").join(items.select("item_id", "raw", "form"), "item_id").withColumn("slots", F.expr(slots))
-        .filter((F.size("slots") == sides["ours"]) & (F.size("slots") == sides["theirs"]))
-    )
+    texts = _tokens(docs.join(F.broadcast(ids) if few else ids, "doc", "left_semi").distinct(), "doc").select("doc", F.col("raw").alias("doc_raw"))
+    slots = """filter(transform(array_distinct(flatten(transform(array_union(places, same), p -> sequence(p, p + w - 1)))),
+        j -> struct(j, form[j] AS kind, lower(raw[j]) AS ours, lower(get(doc_raw, j + line)) AS theirs)), s -> s.kind LIKE '<%')"""
+    # slots of one value here and two there
+    torn = "transform(filter(slots, s -> exists(slots, t -> s.kind = t.kind AND (s.ours = t.ours) != (s.theirs = t.theirs))), s -> s.j)"
+    sound = "filter({}, p -> NOT exists(torn, j -> j BETWEEN p AND p + w - 1))"
+    placed = lines.join(texts, "doc").join(items.select("item", "raw", "form"), "item").withColumn("slots", F.expr(slots)).withColumn("torn", F.expr(torn))
+    placed = placed.select("doc_id", "doc", "item", *[F.expr(sound.format(c)).alias(c) for c in ("places", "same")])
     each = F.expr("concat(transform(places, p -> struct(p AS told, int(null) AS verbatim)), transform(same, p -> struct(int(null) AS told, p AS verbatim)))")
-    held = consistent.select("doc_id", "item_id", F.inline(each)).groupBy("doc_id", "item_id").agg(F.count_distinct("told").alias("told"), F.count_distinct("verbatim").alias("verbatim"))
-    shares = held.join(totals, "item_id").withColumns({"by_form": F.expr("coalesce(try_divide(told, all), 0D)"), "by_raw": F.expr("verbatim / all_verbatim")})
+    held = placed.select("doc_id", "doc", "item", F.inline(each)).groupBy("doc_id", "doc", "item").agg(F.count_distinct("told").alias("told"), F.count_distinct("verbatim").alias("verbatim"))
+    shares = held.join(totals, "item").withColumns({"by_form": F.expr("coalesce(try_divide(told, all), 0D)"), "by_raw": F.expr("verbatim / all_verbatim")})
     formed = (F.col("by_form") >= share) & (F.col("told") > 0)
-    found = shares.filter(formed | (F.col("by_raw") >= share) & (F.col("verbatim") > 0))
-    return found.select("doc_id", "item_id", F.when(formed, F.col("told")).otherwise(F.col("verbatim")).alias("n_windows"), F.when(formed, F.col("by_form")).otherwise(F.col("by_raw")).alias("share"))
+    found = shares.filter(formed | (F.col("by_raw") >= share) & (F.col("verbatim") > 0)).join(items.select("item", "item_id"), "item")
+    best = F.max(F.struct(F.when(formed, F.col("by_form")).otherwise(F.col("by_raw")).alias("share"), F.when(formed, F.col("told")).otherwise(F.col("verbatim")).alias("n_windows")))
+    return found.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.n_windows", "best.share")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> DataFrame:

@@ -25,15 +25,24 @@ SELECT n.doc_id, n AS n_shingles, min(root) AS component_id, n.doc_id = min(root
 
 DECONTAMINATION = f"""
 WITH d AS ({_split('documents', 'doc_id')}),
-items AS (SELECT *, least(len(form), {WINDOW}) AS w FROM ({_split('benchmark', 'item_id')}) WHERE len(form) >= {LEAST_TOKENS}),
+items AS (SELECT *, least(len(form), {WINDOW}) AS w FROM ({_split('benchmark', 'item_id')}) WHERE len(form) > 0),
 sizes AS (SELECT DISTINCT w FROM items),
-wanted0 AS (SELECT item_id, w, p, form[p + 1 : p + w] AS win FROM (SELECT *, unnest(range(len(form) - w + 1)) AS p FROM items)),
-wanted AS (SELECT item_id, w, p, array_to_string(win, ' ') AS code FROM wanted0 WHERE 2 * len(list_filter(win, lambda t: t NOT LIKE '<%')) >= w),
-totals AS (SELECT item_id, count(*) AS total FROM wanted GROUP BY 1),
-seen AS (SELECT doc_id, w, q, array_to_string(form[q + 1 : q + w], ' ') AS code FROM (SELECT doc_id, form, w, unnest(range(len(form) - w + 1)) AS q FROM d, sizes WHERE len(form) >= w)),
-hits AS (SELECT DISTINCT doc_id, item_id, wanted.w, p, q FROM seen JOIN wanted ON seen.code = wanted.code AND seen.w = wanted.w),
-slots AS (SELECT h.doc_id, h.item_id, q - p AS line, i.form[p + j + 1] AS kind, lower(i.raw[p + j + 1]) AS ours, lower(d.raw[q + j + 1]) AS theirs
+wanted AS (SELECT item_id, w, p, array_to_string(form[p + 1 : p + w], ' ') AS form_code, lower(array_to_string(raw[p + 1 : p + w], ' ')) AS raw_code,
+             len(form) >= {LEAST_TOKENS} AND 2 * len(list_filter(form[p + 1 : p + w], lambda t: t NOT LIKE '<%')) >= w AS told
+  FROM (SELECT *, unnest(range(len(form) - w + 1)) AS p FROM items)),
+totals AS (SELECT item_id, count(*) FILTER (told) AS all_told, count(*) AS all_verbatim FROM wanted GROUP BY 1),
+seen AS (SELECT doc_id, w, q, array_to_string(form[q + 1 : q + w], ' ') AS form_code, lower(array_to_string(raw[q + 1 : q + w], ' ')) AS raw_code
+  FROM (SELECT doc_id, form, raw, w, unnest(range(len(form) - w + 1)) AS q FROM d, sizes WHERE len(form) >= w)),
+matched AS (
+  SELECT doc_id, item_id, s.w, p, q, true AS told, false AS verbatim FROM seen s JOIN wanted i ON s.form_code = i.form_code AND s.w = i.w WHERE told
+  UNION ALL SELECT doc_id, item_id, s.w, p, q, false, true FROM seen s JOIN wanted i ON s.raw_code = i.raw_code AND s.w = i.w),
+hits AS MATERIALIZED (SELECT doc_id, item_id, w, p, q, bool_or(told) AS told, bool_or(verbatim) AS verbatim FROM matched GROUP BY ALL),
+slots AS (SELECT DISTINCT h.doc_id, h.item_id, q - p AS line, p + j AS j, i.form[p + j + 1] AS kind, lower(i.raw[p + j + 1]) AS ours, lower(d.raw[q + j + 1]) AS theirs
   FROM (SELECT *, unnest(range(w)) AS j FROM hits) h JOIN items i ON h.item_id = i.item_id JOIN d ON h.doc_id = d.doc_id),
-bad AS (SELECT doc_id, item_id, line FROM slots WHERE kind LIKE '<%' GROUP BY ALL HAVING count(DISTINCT (kind, ours, theirs)) <> count(DISTINCT (kind, ours)) OR count(DISTINCT (kind, ours, theirs)) <> count(DISTINCT (kind, theirs))),
-held AS (SELECT doc_id, item_id, count(DISTINCT p) AS n_windows FROM hits WHERE (doc_id, item_id, q - p) NOT IN (SELECT (doc_id, item_id, line) FROM bad) GROUP BY 1, 2)
-SELECT doc_id, item_id, n_windows, n_windows / total AS share FROM held JOIN totals USING (item_id) WHERE n_windows / total >= 0.5"""
+spread AS (SELECT *, min(theirs) OVER here <> max(theirs) OVER here OR min(ours) OVER there <> max(ours) OVER there AS torn FROM slots WHERE kind LIKE '<%'
+  WINDOW here AS (PARTITION BY doc_id, item_id, line, kind, ours), there AS (PARTITION BY doc_id, item_id, line, kind, theirs)),
+held AS (SELECT doc_id, item_id, count(DISTINCT p) FILTER (told) AS told, count(DISTINCT p) FILTER (verbatim) AS verbatim FROM hits h
+  WHERE NOT EXISTS (SELECT 1 FROM spread s WHERE torn AND s.doc_id = h.doc_id AND s.item_id = h.item_id AND s.line = h.q - h.p AND s.j >= h.p AND s.j < h.p + h.w) GROUP BY 1, 2),
+shares AS (SELECT *, told > 0 AND told / all_told >= 0.5 AS formed FROM held JOIN totals USING (item_id))
+SELECT doc_id, item_id, CASE WHEN formed THEN told ELSE verbatim END AS n_windows, CASE WHEN formed THEN told / all_told ELSE verbatim / all_verbatim END AS share
+FROM shares WHERE formed OR verbatim > 0 AND verbatim / all_verbatim >= 0.5"""

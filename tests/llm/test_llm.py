@@ -284,6 +284,30 @@ def test_decontamination_of_verbatim_passages(spark):
     assert got == {(i, i % 10): 1.0 for i in copies}
 
 
+def test_decontamination_of_items_of_numbers_and_of_few_words(spark):
+    items = {1: "What is 12 + 45 * 3 - 7 / 2 ?", 2: "Capital of France?"}
+    docs = spark.createDataFrame([(1, f"So: {items[1]} he said"), (2, f"one asks, {items[2].lower()} and goes"), (3, "What is 12 + 46 * 3 - 7 / 2 ? Capital of Spain?")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 2)}
+
+
+def test_decontamination_voids_only_windows_with_a_torn_slot(spark):
+    """One name of a long item is replaced in one of two places: what stands far from it still counts."""
+    item = "Then Maria walks to the harbour where she meets Peter who sells nets and ropes to the sailors of the town while the old ferry takes seven guests to the other shore and brings them home before Maria sleeps"
+    docs = spark.createDataFrame([(1, item.replace("Then Maria", "Then Paula"))], "doc_id long, text string")
+    got = decontam.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).first()
+    n = len(item.split()) - 7
+    assert got.n_windows == n - 2 - 2 and abs(got.share - got.n_windows / n) < 1e-9
+
+
+def test_decontamination_odd(spark):
+    """Repeated ids with different texts, a very long text, nulls, and columns named as inside."""
+    docs = [(1, "nothing here at all"), (1, "Noise. " + ITEM), (2, "word " * 200_000 + ". " + ITEM), (3, None), (None, ITEM), (2, "short")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("doc", "item", "w", "at", "raw", "form", "code", "told")})
+    bench = spark.createDataFrame([(5, ITEM), (5, "an altogether other question about nothing much at all"), (5, None), (None, ITEM)], "item_id long, text string").withColumn("item", F.lit("clash"))
+    assert sorted((r.doc_id, r.item_id, r.share) for r in decontam.contaminated(docs, bench).collect()) == [(1, 5, 1.0), (2, 5, 1.0)]
+
+
 def test_decontamination_finds_what_substring_search_finds(spark):
     sf = "/root/testdata/sf0.01"
     items = {r.item_id: " ".join(words(r.text)) for r in shared.table(spark, sf, "benchmark").collect()}
