@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from critiq.llm.shared import CHUNK_BYTES, chunks, shared_dir, single_threaded, utf8
+from critiq.llm.shared import CHUNK_BYTES, chunks, run_dir, single_threaded, utf8
 
 #: Units whose ids a Python worker remembers; when there are more, the half not used for longest goes.
 REMEMBERED = 400_000
@@ -246,8 +246,8 @@ def ids_crc32(ids: pa.Array) -> pa.Array:
 
 
 def token_digest(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 2) -> DataFrame:
-    """Write docs' ids under `path` (a new shared folder by default) and return what the files say of each document."""
-    path = path or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    """Write docs' ids under `path` (by default a new folder in run_dir) and return what the files say of each document."""
+    path = path or f"{run_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, tokenizer, path, end_id=end_id)
     rows = read_tokens(docs.sparkSession, path)
     return rows.select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), ids_crc32("ids").alias("ids_crc32"))
