@@ -14,14 +14,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from critiq.llm.shared import chunks, lowest, mix, single_threaded, utf8
+from critiq.llm.shared import chunks, mix, saved, single_threaded, utf8
 
 BUCKETS = 1 << 14
 LONGEST = 4
-#: Landmarks and training texts per language, and languages at most (the most frequent in the sample of labels).
-LANDMARKS, TRAIN_PER_LANGUAGE, LANGUAGES = 24, 250, 200
+#: Landmarks and training texts per language.
+LANDMARKS, TRAIN_PER_LANGUAGE = 24, 250
+#: Up to this many bytes of training ids are broadcast; more go through a join as Spark plans it.
+BROADCAST_BYTES = 32 << 20
 RIDGE = 1e-3
 #: Texts whose profiles stand side by side as one dense matrix.
 BLOCK = 64
@@ -87,46 +90,68 @@ class Classifier:
         return names, np.concatenate(scores) if scores else np.zeros(0)
 
 
+def packed(column: pa.Array) -> list[bytes]:
+    """The texts' profiles, a bit for each bucket."""
+    return [row.tobytes() for at in range(0, len(column), BLOCK) for row in np.packbits(profiles(column.slice(at, BLOCK)).astype(bool), axis=1)]
+
+
+def _unpacked(rows: list[bytes]) -> np.ndarray:
+    """Profiles scaled to length 1."""
+    profile = np.unpackbits(np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
+    return profile / np.sqrt(profile.sum(1, keepdims=True))
+
+
 def fit(texts: list[str], languages: list[str]) -> Classifier:
     """texts and their languages; the first LANDMARKS texts of each language are the landmarks."""
+    return fit_profiles(packed(pa.array(texts, pa.string())), languages)
+
+
+def fit_profiles(rows: list[bytes], languages: list[str]) -> Classifier:
+    """The same from packed profiles. Texts without a letter teach nothing. Only the landmarks and BLOCK texts are unpacked at once."""
     single_threaded()
-    profile = np.concatenate([profiles(pa.array(texts[i : i + BLOCK], pa.string())) for i in range(0, len(texts), BLOCK)]) if texts else np.zeros((0, BUCKETS), np.float32)
-    use = profile.any(1)
-    profile, languages = profile[use], [x for x, u in zip(languages, use, strict=True) if u]
-    names = sorted(set(languages))
+    some = [(r, x) for r, x in zip(rows, languages, strict=True) if any(r)]
+    names = sorted({x for _, x in some})
     if not names:
         return Classifier([], np.zeros((BUCKETS, 0), np.float32), np.zeros((1, 0)))
-    of = np.array([names.index(x) for x in languages])
-    scaled = profile / np.sqrt(profile.sum(1, keepdims=True))
-    marks = scaled[np.concatenate([np.flatnonzero(of == i)[:LANDMARKS] for i in range(len(names))])]
+    number = {x: i for i, x in enumerate(names)}
+    of = np.array([number[x] for _, x in some])
+    marks = _unpacked([some[j][0] for i in range(len(names)) for j in np.flatnonzero(of == i)[:LANDMARKS]])
     # Nystrom: with K_mm = U S U', features are k_m(x) U / sqrt(S); the ridge solution is folded back onto k_m
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])
-    z = np.hstack(((scaled @ marks.T) @ whiten, np.ones((len(scaled), 1))))
-    target = np.where(of[:, None] == np.arange(len(names)), 1.0, -1.0)
     share = np.bincount(of) / len(of)
-    weight = (1 / share[of] / len(names))[:, None]  # languages weigh alike
-    solved = np.linalg.solve(z.T @ (z * weight) + RIDGE * len(z) * np.eye(z.shape[1]) * (np.arange(z.shape[1]) < z.shape[1] - 1), z.T @ (target * weight))
+    square, right = np.zeros((whiten.shape[1] + 1,) * 2), np.zeros((whiten.shape[1] + 1, len(names)))
+    for at in range(0, len(some), BLOCK):
+        here = of[at : at + BLOCK]
+        z = np.hstack(((_unpacked([r for r, _ in some[at : at + BLOCK]]) @ marks.T) @ whiten, np.ones((len(here), 1))))
+        weight = (1 / share[here] / len(names))[:, None]  # languages weigh alike
+        square += z.T @ (z * weight)
+        right += z.T @ (np.where(here[:, None] == np.arange(len(names)), 1.0, -1.0) * weight)
+    ridge = RIDGE * len(some) * np.eye(len(square)) * (np.arange(len(square)) < len(square) - 1)
+    solved = np.linalg.solve(square + ridge, right)
     return Classifier(names, np.ascontiguousarray(marks.T, np.float32), np.vstack((whiten @ solved[:-1], solved[-1:])).astype(np.float32))
 
 
 def train_language(docs: DataFrame, keep: Column | None = None) -> Classifier:
     """Fit on documents (doc_id, text, lang) with text and lang for which the condition `keep`, if any, holds.
 
-    At most TRAIN_PER_LANGUAGE texts for each of LANGUAGES languages are taken, those with the lowest hash.
+    Of every language the TRAIN_PER_LANGUAGE rows with the lowest hash of doc_id are taken, by one window that Spark cuts on
+    each task; their profiles, BUCKETS bits each, come to the driver. Rows without doc_id teach nothing.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.lit(True) if keep is None else keep))
-    names = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    ids = None
-    for name in names:
-        some = lowest(rows.filter(F.col("lang") == name).select("doc_id"), "doc_id", TRAIN_PER_LANGUAGE, "language")
-        ids = some if ids is None else ids.unionByName(some)
-    if ids is None:
-        return fit([], [])
-    chosen = docs.select("doc_id", "text", "lang").join(F.broadcast(ids.distinct()), "doc_id").filter("lang IS NOT NULL AND text IS NOT NULL").collect()
-    chosen.sort(key=lambda r: (r.doc_id, r.text))
-    return fit([r.text for r in chosen], [r.lang for r in chosen])
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64(F.lit("language"), "doc_id"), "doc_id"))
+    ids = saved(rows.select("doc_id", "lang").withColumn("place", place).filter(F.col("place") <= TRAIN_PER_LANGUAGE).select("doc_id", "lang").distinct(), "language")
+    small = ids.agg(F.sum(F.length("lang") + 24).alias("n")).first().n or 0
+
+    def draw(batches):
+        for batch in chunks(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(packed(batch.column("text")), pa.binary())], names=["doc_id", "lang", "profile"])
+
+    chosen = rows.join(F.broadcast(ids) if small <= BROADCAST_BYTES else ids, ["doc_id", "lang"]).select("doc_id", "lang", "text").mapInArrow(draw, "doc_id long, lang string, profile binary")
+    found = sorted(chosen.collect(), key=lambda r: (r.doc_id, bytes(r.profile)))
+    return fit_profiles([bytes(r.profile) for r in found], [r.lang for r in found])
 
 
 def identify_language(docs: DataFrame, classifier: Classifier) -> DataFrame:
