@@ -1,6 +1,6 @@
 """Toxicity: a linear-chain conditional random field tags toxic tokens; its marginals give spans and document scores.
 
-Chains are sentences (cut at CHAIN tokens). A token's emission is a sum of weights of its hashed word, affixes and
+Chains are whole sentences. A token's emission is a sum of weights of its hashed word, affixes and
 length; two states and one transition matrix. With two states the forward and the backward pass are each one
 recursion of an odds ratio, run for all chains of a block of texts at once.
 
@@ -23,15 +23,17 @@ from critiq.llm.licenses import GAP
 from critiq.llm.quality import labelled_sample
 from critiq.llm.shared import Hasher, chunks, code_points, mix, utf8, words_of
 
-#: Labelled documents to learn from, per label.
-TRAIN_PER_LABEL = 800
+#: Labelled documents to learn from, per label, and the longest text that is learnt from, in characters: together they bound
+#: what comes to the driver.
+TRAIN_PER_LABEL, TRAIN_CHARS = 800, 50_000
 #: A mark explains at least this share of the toxic documents (and FEWEST), and so large a share of the documents that
 #: hold it is toxic.
 LEAST_SHARE, LEAST_PRECISION = 0.025, 0.995
 #: A frequent mark is in this share of the toxic documents, with so many different pairs of neighbours per occurrence.
 FREQUENT_SHARE, LEAST_CONTEXTS = 0.05, 0.8
 FEWEST = 4
-CHAIN = 128
+#: Scores are those of a table with this share of toxic documents, whatever the shares in the sample, so they mean the same at every size.
+PRIOR = 0.3
 TABLE = 1 << 20
 PREFIXES, SUFFIXES = (3, 4, 5, 6), (3, 4)
 _END = np.zeros(256, bool)
@@ -61,7 +63,6 @@ def tokens_of(column: pa.Array) -> Tokens:
     new[1:] = sentence[1:] != sentence[:-1]
     first = np.maximum.accumulate(np.where(new, np.arange(len(starts)), 0))
     place = np.arange(len(starts)) - first
-    new |= place % CHAIN == 0
     hashed, size = Hasher(data), ends - starts
     found = [hashed(starts, ends), mix(np.minimum(size, 20).astype(np.uint64) + np.uint64(1 << 40))]
     for k, length in enumerate(PREFIXES):
@@ -69,7 +70,7 @@ def tokens_of(column: pa.Array) -> Tokens:
     for k, length in enumerate(SUFFIXES):
         found.append(np.where(size >= length, hashed(np.maximum(ends - length, starts), ends) ^ np.uint64(k + 11 << 50), np.uint64(0)))
     columns = np.stack([np.where(f == 0, 0, f % np.uint64(TABLE - 1) + np.uint64(1)) for f in found], 1).astype(np.int32)
-    return Tokens(data, offsets, starts, ends, doc, np.cumsum(new) - 1, place % CHAIN, columns)
+    return Tokens(data, offsets, starts, ends, doc, np.cumsum(new) - 1, place, columns)
 
 
 def _steps(chain: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,14 +227,19 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 60, rate: floa
         slope = inputs.T @ (s - toxic) + 0.1 * at
         bend = (inputs * (s * (1 - s))[:, None]).T @ inputs + 0.1 * np.eye(3)
         at -= np.clip(np.linalg.solve(bend, slope), -2, 2)
+    at[0] += np.log(PRIOR / (1 - PRIOR)) - np.log(share / (1 - share))
     tagger.calibration = at
     tagger.weights = tagger.weights.astype(np.float32)
     return tagger
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, keep: Column | None = None, per_label: int = TRAIN_PER_LABEL) -> Tagger:
-    """Fit on a bounded sample of the rows of labels (doc_id, toxic) for which the condition `keep`, if any, holds."""
-    rows = sorted(labelled_sample(docs, labels, "toxic", keep, per_label, "toxic").collect(), key=lambda r: r.doc_id)
+    """Fit on a bounded sample of the rows of labels (doc_id, toxic) for which the condition `keep`, if any, holds.
+
+    Texts of more than TRAIN_CHARS characters are scored like all others but not learnt from; null texts count as empty.
+    """
+    sample = labelled_sample(docs, labels, "toxic", keep, per_label, "toxic").filter(F.length(F.coalesce("text", F.lit(""))) <= TRAIN_CHARS)
+    rows = sorted(sample.select("doc_id", "y", "text").collect(), key=lambda r: (r.doc_id, r.text or ""))
     return fit([r.text for r in rows], [r.y for r in rows])
 
 
