@@ -1,8 +1,9 @@
 """Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
 
-Features of a text: its distinct words hashed to BUCKETS columns (tf-weighted, scaled to length 1), and structure
-statistics (shares, entropies, repetitions, length) cut into bins, one column each. A pair of features interacts
-through the inner product of their RANK-vectors. By the sum-of-squares identity all pairs together cost one pass:
+Features of a text: its distinct words hashed to BUCKETS columns (tf-weighted, scaled to length 1), structure statistics
+(shares, repetitions, lengths) cut into bins, one column each, and the metadata that come with it: n_chars, in bins too,
+and how it compares to the text's own length (absent, too small, equal, too large). A pair of features interacts through
+the inner product of their RANK-vectors. By the sum-of-squares identity all pairs together cost one pass:
 sum over f of ((sum v_if x_i)^2 - sum (v_if x_i)^2) / 2.
 """
 
@@ -12,10 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from critiq.llm.shared import SPACE, Hasher, chunks, lowest, mix, utf8, words_of
+from critiq.llm.shared import SPACE, Hasher, chunks, code_points, lowest, utf8, words_of
 
 BUCKETS = 1 << 15
 RANK = 8
@@ -25,7 +28,9 @@ STATISTICS = ("log_chars", "log_words", "distinct_share", "repeat_share", "symbo
               "mean_word", "attached_share", "single_share", "top_word_share", "wide_share")
 BINS = 24
 _EDGES = {"log_chars": 12.0, "log_words": 11.0, "mean_word": 16.0}
-WIDTH = BUCKETS + len(STATISTICS) * BINS
+#: Metadata columns: bins of n_chars, one for an absent n_chars, and three for the comparison.
+METADATA = BINS + 1 + 3
+WIDTH = BUCKETS + len(STATISTICS) * BINS + METADATA
 _CLASS = np.zeros(256, np.uint8)  # 1 letter, 2 digit, 3 symbol, 4 space, 5 wide
 _CLASS[:] = 3
 _CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = 1
@@ -34,8 +39,11 @@ _CLASS[SPACE] = 4
 _CLASS[0x80:] = 5
 
 
-def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Column numbers, values and row starts (n + 1) of the texts' sparse features, whole texts, null as empty."""
+def features(column: pa.Array, n_chars: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Column numbers, values and row starts (n + 1) of the texts' sparse features, whole texts, null as empty.
+
+    n_chars is the metadata of the texts; null where a text has none, and for all texts if it is not given.
+    """
     raw, offsets = utf8(column, lower=False)
     data, _ = utf8(column)
     n = len(offsets) - 1
@@ -69,10 +77,17 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     scale = np.array([_EDGES.get(name, 1.0) for name in STATISTICS])
     binned = np.clip((np.sqrt(np.clip(stats / scale, 0, 1)) * BINS).astype(np.int64), 0, BINS - 1)
     binned += BUCKETS + np.arange(len(STATISTICS)) * BINS
-    row = np.concatenate((row, np.repeat(np.arange(n), len(STATISTICS))))
+    first = BUCKETS + len(STATISTICS) * BINS
+    told = np.full(n, -1.0) if n_chars is None else pc.fill_null(n_chars.cast(pa.float64()), -1.0).to_numpy(zero_copy_only=False)
+    size = np.clip(np.log(np.maximum(told, 1)) / _EDGES["log_chars"], 0, 1)
+    own = code_points(raw)[offsets]
+    against = BINS + 2 + np.sign(told - np.diff(own)).astype(np.int64)  # less, equal, more
+    about = np.stack((np.where(told < 0, BINS, np.clip((np.sqrt(size) * BINS).astype(np.int64), 0, BINS - 1)), np.where(told < 0, BINS, against)), 1) + first
+    binned = np.concatenate((binned, about), 1)
+    row = np.concatenate((row, np.repeat(np.arange(n), binned.shape[1])))
     order = np.argsort(row, kind="stable")
     columns = np.concatenate((bucket, binned.ravel()))[order]
-    values = np.concatenate((value, np.full(binned.size, 1 / np.sqrt(len(STATISTICS)))))[order]
+    values = np.concatenate((value, np.full(binned.size, 1 / np.sqrt(binned.shape[1]))))[order]
     return columns, values, np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n))))
 
 
@@ -90,11 +105,16 @@ class Machine:
         squares = np.add.reduceat(vx**2, at)
         return self.bias + np.add.reduceat(self.linear[columns] * values, at) + ((sums**2 - squares).sum(1)) / 2
 
-    def score(self, column: pa.Array) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.margin(*features(column)), -30, 30))) if len(column) else np.zeros(0)
+    def score(self, column: pa.Array, n_chars: pa.Array | None = None) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.margin(*features(column, n_chars)), -30, 30))) if len(column) else np.zeros(0)
+
+
+def fit(texts: list[str | None], labels: list[int], **options) -> Machine:
+    """The machine of texts without metadata and their labels; see fit_features."""
+    return fit_features([features(pa.array(texts[i : i + 100], pa.string())) for i in range(0, len(texts), 100)], labels, **options)
 
 
-def fit(texts: list[str | None], labels: list[int], epochs: int = 6, rate: float = 0.05, decay: float = 1e-5, seed: int = 7) -> Machine:
+def fit_features(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: list[int], epochs: int = 10, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> Machine:
     """Logistic loss, adaptive gradient steps over small batches. Without both labels the score is their share."""
     y = np.asarray(labels, float)
     rng = np.random.default_rng(seed)
@@ -103,7 +123,6 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 6, rate: float
     if len(set(labels)) < 2:
         machine.factors[:] = 0
         return machine
-    parts = [features(pa.array(texts[i : i + 100], pa.string())) for i in range(0, len(texts), 100)]
     columns, values = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
     starts = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))))
     g_linear, g_factors, g_bias = np.full(WIDTH, 1e-6), np.full((WIDTH, RANK), 1e-6), 1e-6
@@ -157,16 +176,34 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
         some = lowest(rows.filter(F.col("y") == y), "doc_id", per_label, seed)
         ids = some if ids is None else ids.unionByName(some)
     # at most 2 * per_label ids of 8 bytes are broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return docs.select("doc_id", "text", *[c for c in docs.columns if c == "n_chars"]).join(F.broadcast(ids), "doc_id")
+
+
+def _with_metadata(docs: DataFrame, *columns) -> DataFrame:
+    """columns, text and n_chars (null where docs has none)."""
+    n_chars = F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)
+    return docs.select(*columns, "text", n_chars.try_cast("double").alias("n_chars"))
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, keep: Column | None = None, per_label: int = TRAIN_PER_LABEL) -> Machine:
     """Fit on a bounded sample of the rows of labels (doc_id, quality) for which the condition `keep`, if any, holds.
 
-    The bias is moved from the sample's shares of the labels to those of all these rows.
+    docs: doc_id, text and, where there is one, n_chars. Features are made in tasks and only they come to the driver,
+    BUCKETS numbers at most for a text of any length. The bias is moved from the sample's shares of the labels to those
+    of all these rows.
     """
-    rows = sorted(labelled_sample(docs, labels, "quality", keep, per_label, "quality").collect(), key=lambda r: r.doc_id)
-    machine = fit([r.text for r in rows], [r.y for r in rows])
+
+    def draw(batches):
+        for batch in chunks(batches):
+            columns, values, starts = features(batch.column("text"), batch.column("n_chars"))
+            packed = [[x[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)] for x in (columns.astype(np.int32), values.astype(np.float32))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *[pa.array(x, pa.binary()) for x in packed]], names=["doc_id", "y", "columns", "values"])
+
+    sample = labelled_sample(docs, labels, "quality", keep, per_label, "quality")
+    drawn = _with_metadata(sample, F.col("doc_id").cast("long"), F.col("y").cast("int")).mapInArrow(draw, "doc_id long, y int, columns binary, values binary")
+    rows = sorted(drawn.collect(), key=lambda r: (r.doc_id, bytes(r.columns), bytes(r.values)))
+    parts = [(c := np.frombuffer(r.columns, np.int32).astype(np.int64), np.frombuffer(r.values, np.float32).astype(np.float64), np.array([0, len(c)])) for r in rows]
+    machine = fit_features(parts, [r.y for r in rows])
     machine.bias += sample_shift(labels, "quality", keep, per_label)
     return machine
 
@@ -174,25 +211,26 @@ def train_quality(docs: DataFrame, labels: DataFrame, keep: Column | None = None
 def score_quality(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
     """docs' doc_id with score (0 to 1, higher is better) and predicted (1 if score >= threshold), a row for each row.
 
-    Null and empty texts have structure statistics too and get a score. An empty table gives no rows; columns other
-    than doc_id and text are left out.
+    Null and empty texts have structure statistics too and get a score. n_chars is used where docs has it. An empty table
+    gives no rows; columns other than doc_id, text and n_chars are left out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches):
         for batch in chunks(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.score(batch.column("text")))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.score(batch.column("text"), batch.column("n_chars")))], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    scored = _with_metadata(docs, F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, all columns, whose text reaches the threshold."""
+    """The rows of docs, all columns, whose text (and n_chars, where docs has it) reaches the threshold."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
+    known = [f.name for f in docs.schema.fields if f.name == "n_chars" and isinstance(f.dataType, T.NumericType)]
 
     def run(batches):
         for batch in chunks(batches):
-            yield batch.filter(pa.array(shared.value.score(batch.column("text")) >= threshold))
+            yield batch.filter(pa.array(shared.value.score(batch.column("text"), *[batch.column(c) for c in known]) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
