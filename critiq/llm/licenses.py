@@ -16,7 +16,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,7 +120,10 @@ def _hash_words(data: np.ndarray, offsets: np.ndarray):
 
 
 def _template_text(text: str) -> list[str]:
-    return "".join(c if c.isalnum() else " " for c in text.lower()).split()
+    """The template's words, by the same rule as those of the documents."""
+    data, offsets = utf8(pa.array([text], pa.string()))
+    starts, ends, _ = words_of(data, offsets, GAP)
+    return [data[a:b].tobytes().decode() for a, b in zip(starts, ends, strict=True)]
 
 
 def template_words(templates: dict[str, str]) -> dict[str, list[str]]:
@@ -155,6 +157,8 @@ def _best_runs(at: np.ndarray, words: np.ndarray, doc: np.ndarray, first_of: np.
 
 def word_frequency(docs: DataFrame, words: list[str]) -> dict[str, int]:
     """How many documents hold each of the given words, over all documents. The result is as long as `words`."""
+    if not words:
+        return {}
     hashes = np.array([hash_text(w) for w in words], np.uint64)
     order = np.argsort(hashes)
     known = hashes[order]
@@ -180,7 +184,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     without any). base_labels and labels are arrays, distinct and sorted; labels adds the templates met by any
     block, or by any run of as many words as the template has. score is the largest share of a template's words that
     a block or run that met it holds, 1 with a base phrase, else 0. Null or empty text: no words, no labels, score 0. Rows of equal doc_id are scanned one by one and
-    joined row by row. An empty table gives no rows; other columns are left out.
+    joined row by row. An empty table gives no rows; without templates only the phrases count; other columns are left out.
     """
     templates = TEMPLATES if templates is None else templates
     sets = template_words(templates)
@@ -191,8 +195,12 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     hashes = np.array([hash_text(w) for w in ordered], np.uint64)
     by_hash = np.argsort(hashes)
     known = hashes[by_hash]
+    if not ordered:  # no templates, no words to look for: rank -1 for all
+        known, by_hash = np.zeros(1, np.uint64), np.full(1, -1)
     rows, prefixes, lookups = [], set(), []
     for label, words in sets.items():
+        if not words:
+            continue  # a template without words is met by nothing
         ranks = sorted(rank[w] for w in words)
         need = math.ceil(threshold * len(ranks) - 1e-9)
         for place, r in enumerate(ranks[: len(ranks) - need + 1]):
@@ -201,7 +209,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
         own, starter = np.zeros(len(ordered), bool), np.zeros(len(ordered), bool)
         own[ranks], starter[ranks[: len(ranks) - need + 1]] = True, True
         lookups.append((label, own, starter, len(_template_text(templates[label])), max(need, 1), len(ranks)))
-    prefix = np.zeros(len(ordered), bool)
+    prefix = np.zeros(len(ordered) + 1, bool)  # the last one, which rank -1 meets, stays False
     prefix[list(prefixes)] = True
     phrases = [([hash_text(w) for w in phrase.split()], label) for phrase, label in PHRASES.items()]
 
@@ -263,7 +271,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
 
     base = saved(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, _BASE).withColumn("row", F.monotonically_increasing_id()), "licenses")
     spark = docs.sparkSession
-    index = spark.createDataFrame(pd.DataFrame(rows, columns=["label", "word", "place", "need", "words"]), "label string, word int, place int, need int, words array<int>")
+    index = spark.createDataFrame(rows, "label string, word int, place int, need int, words array<int>")
     blocks = base.filter(F.size("blocks") > 0).select("row", F.posexplode("blocks").alias("block", "b")).select("row", "block", "b.n", "b.ranks")
     met = (
         blocks.withColumn("word", F.explode("ranks"))
