@@ -50,6 +50,34 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     return row.select("source", "source_size", F.coalesce(F.col("common") * F.col("weight"), F.col("cap")).alias("target"))
 
 
+def _bucketed(docs: DataFrame, n_buckets: int, size: Column | None, *columns) -> DataFrame:
+    """columns, source, size, key and bucket of each row."""
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    rows = docs.select(*columns, (word_count(F.col("text")) if size is None else size).alias("__size"), key.alias("__key"))
+    return rows.withColumn("__bucket", F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("long") * n_buckets / F.lit(1 << 32)).cast("int"))
+
+
+def _placed(rows: DataFrame, sizes: DataFrame, weights, share, epochs) -> DataFrame:
+    """rows with __copies, __source_size and __target. sizes has source, __bucket and __size of the same rows."""
+    sources = sizes.groupBy("source").agg(F.sum("__size").alias("source_size"))
+    held = sizes.groupBy("source", "__bucket").agg(F.sum("__size").alias("__held"))
+    ahead = W.partitionBy("source").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    held = held.select(F.col("source").alias("__s"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__held").over(ahead), F.lit(0)).alias("__ahead"))
+    targets = source_targets(sources, weights, share, epochs).select(F.col("source").alias("__t"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+    plan = held.join(targets, F.col("__s").eqNullSafe(F.col("__t"))).drop("__t")
+    inside = W.partitionBy("source", "__bucket").orderBy("__key", "doc_id", "__size").rowsBetween(W.unboundedPreceding, -1)
+    placed = rows.withColumn("__within", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
+    placed = placed.join(plan, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
+    whole = F.when(F.col("__source_size") > 0, F.floor(F.col("__target") / F.col("__source_size"))).otherwise(0)
+    rest = F.col("__target") - whole * F.col("__source_size")
+    last = (F.col("__ahead") + F.col("__within") + F.col("__size") / 2 < rest).cast("long")
+    return placed.withColumn("__copies", whole + last)
+
+
+def _buckets(docs: DataFrame) -> int:
+    return max(1, -(-docs.count() // BUCKET_ROWS))
+
+
 def mix_sources(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, epochs: float = 2.0) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken): how often the mix takes each document of (doc_id, text, source).
 
@@ -57,31 +85,21 @@ def mix_sources(docs: DataFrame, size: Column | None = None, weights: tuple[floa
     words are off its target by half a document at most. Ties of the key (equal ids) go by size. Null source: a
     source of its own. Null or empty text: size 0, copies counted all the same, nothing taken. An empty table gives
     no rows. Other columns are left out; rows with equal or null doc_id stay rows of their own.
+
+    The running sum of a source over its buckets sees one row for each BUCKET_ROWS documents.
     """
-    rows = docs.select(
-        "doc_id", F.col("source").alias("source"), (word_count(F.col("text")) if size is None else size).alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key"),
-    )
-    n_buckets = max(1, -(-docs.count() // BUCKET_ROWS))
-    bucket = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * n_buckets / F.lit(1 << 32)).cast("int")
-    rows = saved(rows.withColumn("bucket", bucket), "sizes")  # the texts are read once
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    held = rows.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
-    ahead = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    held = held.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("ahead"))
-    targets = source_targets(sources, weights, share, epochs).withColumnRenamed("source", "t")
-    plan = held.join(targets, F.col("s").eqNullSafe(F.col("t"))).drop("t")
-    inside = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    rest = F.col("target") - whole * F.col("source_size")
-    last = (F.col("ahead") + F.col("within") + F.col("size") / 2 < rest).cast("long")
-    return placed.withColumn("copies", whole + last).select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
-
-
-def repeat_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix takes them: each row as many times as its copies, with the columns of docs. Rows share ids only if they are repeated rows."""
-    copies = mix_sources(docs, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").cast("int").alias("__copies"))
-    rows = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id"))).filter("__copies > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    rows = saved(_bucketed(docs, _buckets(docs), size, "doc_id", "source"), "sizes")  # the texts are read once
+    placed = _placed(rows, rows, weights, share, epochs)
+    named = {"size": "__size", "source_size": "__source_size", "target": "__target", "copies": "__copies"}
+    return placed.select("doc_id", *[F.col(v).alias(k) for k, v in named.items()], (F.col("__size") * F.col("__copies")).alias("taken"))
+
+
+def repeat_documents(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, epochs: float = 2.0) -> DataFrame:
+    """docs as mix_sources takes them: each row as many times as its own copies, with the columns of docs.
+
+    Rows that share a doc_id are placed one by one, so a source's words stay near its target whatever ids repeat.
+    """
+    n = _buckets(docs)
+    sizes = saved(_bucketed(docs, n, size, "doc_id", "source").select("source", "__bucket", "__size"), "sizes")
+    placed = _placed(_bucketed(docs, n, size, *docs.columns), sizes, weights, share, epochs).filter("__copies > 0")
+    return placed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
