@@ -26,8 +26,8 @@ from critiq.llm.shared import saved
 LEAF, TREES, FIRST = 256, 3, 12
 DEGREE, LISTED, ROUNDS, OFFERS = 32, 24, 5, 8
 BEAM, STEPS = 192, 3
-#: Nodes of one bucket.
-BUCKET = 1000
+#: Nodes of one bucket, and rows of a bucket's frontier that one group holds.
+BUCKET, FRONTIER = 1000, 20_000
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -61,12 +61,12 @@ def _encode(vectors: DataFrame, planes: np.ndarray) -> DataFrame:
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding) of one row per id whose vector is neither null nor zero and has finite components only.
 
-    Of vectors of several lengths those of the most frequent length stay.
+    Of vectors of several lengths those of the most frequent length stay; of rows that repeat an id, the least vector.
     """
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding")).filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
     rows = rows.filter("forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf')) AND exists(embedding, x -> x != 0)")
     common = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    return rows.filter(F.size("embedding") == (common[0].n if common else 0)).dropDuplicates(["vec_id"])
+    return rows.filter(F.size("embedding") == (common[0].n if common else 0)).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
 _PAIRS = "v long, w long, s double"
@@ -197,8 +197,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEAM
     for _ in range(steps + 1):
         ends = pool.groupBy("q").agg(F.min("s").alias("least"), F.count("*").alias("held"))
         ends = ends.select("q", F.when(F.col("held") < beam, -math.inf).otherwise(F.col("least")).alias("least"))
-        frontier = pool.filter("NOT done").select("q", "w").join(ends, "q").join(asked, "q").withColumn("bucket", _bucket("w", buckets))
-        met = frontier.groupBy("bucket").cogroup(graph.groupBy("bucket")).applyInArrow(_expand, "q long, w long, s double")
+        frontier = pool.filter("NOT done").select("q", "w").withColumn("bucket", _bucket("w", buckets))
+        # a bucket that many queries ask for is cut into blocks of queries, each with the bucket's lists
+        blocks = frontier.groupBy("bucket").agg(F.ceil(F.count("*") / FRONTIER).cast("int").alias("blocks"))
+        frontier = frontier.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("q"), F.col("blocks")).cast("int")).drop("blocks").join(ends, "q").join(asked, "q")
+        lists = graph.join(blocks, "bucket").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        met = frontier.groupBy("bucket", "block").cogroup(lists.groupBy("bucket", "block")).applyInArrow(_expand, "q long, w long, s double")
         both = pool.select("q", "w", "s", F.lit(True).alias("done")).unionByName(met.withColumn("done", F.lit(False)))
         pool = saved(_best(both.filter("q != w"), "q", "w", beam, "done", F.max), "pool")
     last = pool.withColumn("place", F.row_number().over(W.partitionBy("q").orderBy(F.desc("s"), "w"))).filter(F.col("place") <= 2 * k + 20).select("q", "w")
