@@ -74,11 +74,75 @@ def test_network_learns_held_out_findings():
         text = f"some words before {good} and after"
         findings.append((text, 18, 18 + len(good), i % 2))
     net = secrets.fit(findings[:300], epochs=12)
-    codes, own = (np.stack(x) for x in zip(*[secrets.encode(t, a, b) for t, a, b, _ in findings[300:]], strict=True))
+    codes, own, _ = secrets.encode_findings(findings[300:])
     assert ((net.probability(codes, own) >= net.threshold) == (np.array([f[3] for f in findings[300:]]) == 1)).mean() > 0.95
     assert secrets.fit([]).threshold > 1
 
 
+def test_threshold_recalls_held_out_secrets():
+    """Labels that overlap: the threshold is the held-out quantile itself, below one half if need be, and keeps the recall on new findings."""
+    rng = np.random.default_rng(1)
+
+    def draw(n):
+        # a fifth of the secrets look just as other findings do
+        rows = []
+        for i in range(n):
+            odd = i % 2 and rng.random() < 0.8
+            rows.append((f"we saw {''.join(rng.choice(list('abcdefABCDEF0123456789' if odd else '0123456789'), 20))} there", 7, 27, i % 2))
+        return rows
+
+    net = secrets.fit(draw(1500))
+    fresh = draw(1000)
+    codes, own, _ = secrets.encode_findings(fresh)
+    p, y = net.probability(codes, own), np.array([f[3] for f in fresh])
+    assert net.threshold < 0.5 and (p[y == 1] >= net.threshold).mean() >= secrets.RECALL - 0.02
+
+
+def test_every_window_of_a_long_candidate_is_seen():
+    of, starts, ends = secrets.windows(np.array([0, 100]), np.array([40, 290]))
+    assert (of == 0).sum() == 1 and starts[0] == 0 and ends[0] == 40 and (ends - starts <= secrets.ROOM).all()
+    seen = set().union(*[range(a, b) for i, a, b in zip(of, starts, ends, strict=True) if i == 1])
+    assert seen == set(range(100, 290))
+    # the telling part stands in the middle of a long run
+    rng = np.random.default_rng(2)
+    digits = lambda n: "".join(rng.choice(list("0123456789"), n))
+    letters = lambda n: "".join(rng.choice(list("abcdefABCDEF"), n))
+    net = secrets.fit([(f"see {digits(24) if i % 2 else letters(23) + '1'} now", 4, 28, 1 - i % 2) for i in range(600)])
+    block = secrets.block_of(pa.array([f"see {digits(80)}{letters(60)}{digits(80)} now", f"see {digits(220)} now"]))
+    score = net.scores(block)
+    assert block.doc.tolist() == [0, 1] and score[0] >= net.threshold > score[1]
+
+
+def test_candidates():
+    def found(text):
+        block = secrets.block_of(pa.array([text]))
+        return [text[a:b] for a, b in zip(block.starts, block.ends, strict=True)]
+
+    assert found("é plainwords Capitalised well-known-words") == [] and found("ab1cd 1234567") == []
+    assert found("éé abcdefg1, camelCaseWord; dGhpc/9pcyBh a_long_name=xyz") == ["abcdefg1", "camelCaseWord", "dGhpc/9pcyBh", "a_long_name=xyz"]
+
+
+def test_secrets_odd(spark, odd):
+    secret = "password=abcdefgh1 then " + "f" * 40
+    more = spark.createDataFrame([(8, "x " * 100_000 + secret), (8, secret), (9, secret)], "doc_id long, text string")
+    rows = odd.unionByName(more, allowMissingColumns=True)
+    got = [(r.doc_id, [(s.kind, s.start, s.end) for s in r.spans]) for r in secrets.scan_secrets(rows, secrets.train_secrets(rows)).collect()]
+    want = [("assign", 0, 18), ("hex", 24, 64)]
+    assert len(got) == 10 and all(not spans for i, spans in got if i < 4 or i == 7)
+    assert [[s for s in spans if s[0] != "model"] for i, spans in got if i == 9] == [want]
+    assert sorted([s for s in spans if s[0] != "model"] for i, spans in got if i == 8) == sorted([want, [(k, a + 200_000, b + 200_000) for k, a, b in want]])
+    assert secrets.scan_secrets(odd.limit(0), secrets.train_secrets(odd.limit(0))).count() == 0
+
+
+def test_model_spans_on_documents(spark):
+    """Recall and precision of the network on candidates of documents that it has not seen, the patterns' findings being the labels."""
+    docs = shared.table(spark, "/root/testdata/sf0.1", "documents")
+    net = secrets.train_secrets(docs.filter("doc_id % 2 != 0"))
+    block = secrets.block_of(pa.array([r.text for r in docs.filter("doc_id % 2 = 0").collect()]))
+    hit, found = block.overlapped(), net.scores(block) >= net.threshold
+    assert hit.sum() > 50 and found[hit].mean() >= secrets.RECALL - 0.02 and hit[found].mean() >= 0.95
+
+
 # 2 language
 
 def test_language_of_held_out_documents(spark):
@@ -94,6 +158,39 @@ def test_language_odd(spark, odd):
     assert not profile[:2].any() and profile[2].any()
 
 
+def test_every_language_can_be_predicted(spark):
+    """Many languages, also ones with a single text, each an alphabet of its own."""
+    rows = [(i, " ".join(chr(0x4E00 + 40 * (i % 230) + j) * 3 for j in range(30)), f"l{i % 230:03}") for i in range(461)]
+    rows = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    classifier = language.train_language(rows)
+    got = language.identify_language(rows, classifier).join(rows, "doc_id").collect()
+    assert len(classifier.languages) == 230 and all(r.lang == r.lang_pred for r in got)
+
+
+def test_language_score_equals_brute_force():
+    """Profiles as sets of n-grams, kernels, Nystrom features and the ridge solution, all spelled out."""
+    texts = ["the cat and the dog", "a dog on the hill", "der hund und die katze", "ein hund auf dem berg", "le chat et le chien"]
+    langs = ["en", "en", "de", "de", "fr"]
+    fitted = language.fit(texts, langs)
+
+    # a gap, then the letters of each word, A-Z in lower case, with one gap between words: all runs of 1 to 4 bytes
+    sets = []
+    for text in texts:
+        data = b"\0" + re.sub(r"[^a-z]+", "\0", text.lower()).encode() if not text[:1].isalpha() else re.sub(r"[^a-z]+", "\0", text.lower()).encode()
+        grams = {data[i : i + n] for n in range(1, 5) for i in range(len(data) - n + 1)}
+        sets.append(grams)
+        assert language.profiles(pa.array([text])).sum() == len(grams), "no two n-grams of these texts share a bucket"
+    kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    values, vectors = np.linalg.eigh(kernel)
+    z = np.hstack((kernel @ vectors / np.sqrt(values), np.ones((5, 1))))
+    names = sorted(set(langs))
+    y = np.array([[1.0 if x == n else -1.0 for n in names] for x in langs])
+    weight = np.diag([5 / langs.count(x) / 3 for x in langs])
+    ridge = language.RIDGE * 5 * np.diag([1, 1, 1, 1, 1, 0])
+    want = z @ np.linalg.solve(z.T @ weight @ z + ridge, z.T @ weight @ y)
+    assert fitted.languages == names and np.allclose(fitted.margins(language.profiles(pa.array(texts))), want, atol=1e-3)
+
+
 # 3 near duplicates
 
 def brute_components(rows, k, percent):
@@ -220,6 +317,50 @@ def test_quality_odd(spark, odd):
     assert quality.score_quality(odd, quality.fit([], [])).count() == 7 and quality.score_quality(odd.limit(0), machine).count() == 0
 
 
+def test_marginals_cross_long_sentences():
+    """A sentence of 400 tokens is one chain: a strong token at its start moves the marginals behind token 128 by its moves alone."""
+    text = pa.array(["start " + "word " * 400])
+    found = toxicity.tokens_of(text)
+    assert found.chain.max() == 0 and found.place.max() == 400
+    weights = np.zeros(toxicity.TABLE)
+    weights[found.columns[0, 0]] = 9.0
+    tagger = toxicity.Tagger(weights, np.array([[5.0, -5.0], [-5.0, 5.0]]), 0.0)
+    assert tagger.marginals(found)[200] > 0.9
+
+
+@pytest.mark.parametrize("per_label", [100, 400])
+def test_toxicity_means_the_same_at_every_cap(spark, per_label):
+    """Texts that tell nothing score the stated share, whatever the shares in the sample are."""
+    texts = [(i, ("you vile thing" if i % 10 == 0 else "you nice thing") + f" {i}" if i % 5 == 0 else "plain words", int(i % 10 == 0)) for i in range(4000)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    tagger = toxicity.train_toxicity(rows, rows, per_label=per_label)
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(rows.filter("doc_id < 11"), tagger).collect()}
+    assert got[0] > 0.9 and got[1] < 0.05 and got[5] < 0.05
+
+
+def test_quality_uses_metadata(spark):
+    """n_chars is a feature of its own: equal texts whose n_chars tells good from bad."""
+    rows = spark.createDataFrame([(i, "the same words", 14 if i % 2 else 5000, i % 2) for i in range(200)], "doc_id long, text string, n_chars long, quality int")
+    machine = quality.train_quality(rows, rows.select("doc_id", "quality"))
+    got = {r.doc_id: r.predicted for r in quality.score_quality(rows, machine, 0.5).collect()}
+    assert all(p == i % 2 for i, p in got.items())
+    assert {r.doc_id % 2 for r in quality.keep_good(rows, machine, 0.5).collect()} == {1}
+    assert quality.score_quality(rows.drop("n_chars"), machine).count() == 200
+
+
+def test_quality_query_equals_brute_force(spark):
+    """Each document's score of the query is the machine's margin with every pair of features spelled out."""
+    docs, labels = shared.table(spark, SF, "documents"), shared.table(spark, SF, "labels")
+    machine = quality.train_quality(docs, labels, shared.fold("doc_id", 5) != 0)
+    got = {r.doc_id: r.score for r in queries.op7_quality(spark, SF).collect()}
+    for r in docs.filter("length(text) < 400").limit(40).collect():
+        c, v, _ = quality.features(pa.array([r.text]), pa.array([r.n_chars]))
+        f = machine.factors[c].astype(float) * v[:, None]
+        pairs = (f @ f.T)[np.triu_indices(len(c), 1)].sum()
+        z = machine.bias + machine.linear[c] @ v + pairs
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-5
+
+
 @pytest.mark.parametrize("per_label", [30, 1000])
 def test_quality_means_the_same_at_every_cap(spark, per_label):
     """Texts that tell nothing score the share of the labels over all rows, also where the sample takes as many of each."""
@@ -256,6 +397,31 @@ def test_neighbours_odd(spark):
     assert neighbours.search(frame.limit(0), frame, k=3).count() == 0
 
 
+def test_recall_where_the_graph_matters(spark):
+    """Twenty thousand vectors in 64 dimensions, far more than a beam or a leaf holds; queries in blocks against all rows."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(20_000, 64)).astype(np.float32) * np.exp(0.3 * rng.normal(size=(20_000, 1))).astype(np.float32)
+    frame = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    got = neighbours.search(frame, frame.filter("vec_id % 200 = 0")).toPandas()
+    found = got.groupby("query_id")["vec_id"].apply(set)
+    recall = []
+    for q in range(0, len(x), 200):
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        recall.append(len(found[q] & set(np.argsort(-s)[:20])) / 20)
+    assert len(found) == 100 and (got.groupby("query_id").size() == 20).all() and np.mean(recall) >= 0.9
+
+
+def test_neighbours_of_a_hub(spark, monkeypatch):
+    """Blocks of a frontier that all queries send to few nodes give the same neighbours as one block."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in rng.normal(size=4)]) for i in range(600)] + [(600, [50.0, 50.0, 50.0, 50.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit("clash") for c in ("code", "q", "s", "bucket")})
+    whole = {tuple(r) for r in neighbours.search(frame, frame, k=5).collect()}
+    monkeypatch.setattr(neighbours, "FRONTIER", 50)
+    assert {tuple(r) for r in neighbours.search(frame, frame, k=5).collect()} == whole and len(whole) == 5 * 601
+
+
 # 6 decontamination
 
 ITEM = "A train leaves Paris at 9 and runs 120 km to Lyon while another leaves Lyon at 9 and meets it after 60 km."
@@ -451,6 +617,14 @@ def test_wrapped_license_texts(spark):
         assert {label, also.get(label, label)} <= set(got[i].labels) and got[i].score >= 0.8, label
 
 
+def test_templates_of_other_kinds(spark):
+    """No templates, a template without words, and one with punctuation beyond ASCII, which belongs to words on both sides."""
+    docs = spark.createDataFrame([(1, "Under the MIT license"), (2, "Alle „Rechte“ sind hier — vorbehalten für immer")], "doc_id long, text string")
+    assert [(r.doc_id, r.labels, r.score) for r in licenses.scan_licenses(docs, {}).orderBy("doc_id").collect()] == [(1, ["mit"], 1.0), (2, [], 0.0)]
+    found = licenses.scan_licenses(docs, {"none": "...", "own": "alle „Rechte“ sind — vorbehalten"}).orderBy("doc_id").collect()
+    assert found[0].labels == ["mit"] and found[1].labels == ["own"]
+
+
 def test_runs_equal_brute_force():
     rng = np.random.default_rng(3)
     doc = np.sort(rng.integers(0, 6, 300))
@@ -592,6 +766,16 @@ def test_mixing_odd(spark, odd):
     assert rows.columns == odd.columns and collections.Counter(r.doc_id for r in rows.collect())[4] == got[4].copies
 
 
+def test_repeated_ids_do_not_overshoot(spark):
+    """A hundred rows of one id are placed one by one: the source gives its target within a row, and every other column stays with its row."""
+    rows = spark.createDataFrame([(7 if i < 100 else i, " ".join(["w"] * (1 + i % 5)), "a" if i % 2 else "b", i) for i in range(400)], "doc_id long, text string, source string, number long")
+    out = mixing.repeat_documents(rows)
+    taken = {r.source: r.n for r in out.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()}
+    sizes = rows.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("source_size"))
+    assert all(abs(taken[r.source] - r.target) <= 5 for r in mixing.source_targets(sizes).collect())
+    assert out.columns == rows.columns and max(collections.Counter(r.number for r in out.collect()).values()) <= 2
+
+
 def test_targets_fill_up(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 50)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
