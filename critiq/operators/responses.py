@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from critiq.functions.numeric import DIMENSIONS, renormalised
+from critiq.functions.text import first_json
 from critiq.operators.ranking import first_per_key
 from critiq.operators.reviews import not_in
 
@@ -17,42 +18,69 @@ LABELS = (*DIMENSIONS, "tie")
 SUM_EXACT, SUM_NEAR, TIE_BAND = 1e-12, 0.01, 0.05
 
 
-def _value(key: str) -> Column:
-    return F.col("m").getItem(key)
+def _field(key: str, kind: str = "variant") -> Column:
+    return F.try_variant_get("v", f"$.{key}", kind)
+
+
+def _kind(key: str) -> Column:
+    """BIGINT, DECIMAL(..), DOUBLE, STRING, BOOLEAN, VOID, OBJECT<..> or ARRAY<..>; null where the key is absent."""
+    return F.schema_of_variant(_field(key))
+
+
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def _number(key: str) -> Column:
+    """A number, a number written as text, or a truth value as 1 or 0; else null."""
+    text = _stripped(_field(key, "string"))
+    said = F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
+    return F.when(_kind(key) == "BOOLEAN", _field(key, "boolean").cast("double")).when(_kind(key) == "STRING", said).when(_kind(key).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), _field(key, "double"))
+
+
+def _whole_id(key: str) -> Column:
+    """A whole number of any length as text: a number cut at its point, or digits written as text; else null."""
+    text, kind = _stripped(_field(key, "string")), _kind(key)
+    return (
+        F.when(kind == "BOOLEAN", _field(key, "boolean").cast("int").cast("string")).when(kind.rlike(r"^(BIGINT|DECIMAL\(\d+,0\))"), text)
+        .when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.regexp_extract(_field(key, "double").try_cast("decimal(38,9)").cast("string"), r"^-?\d+", 0))
+        .when((kind == "STRING") & text.rlike(r"^[+-]?\d+$"), text.try_cast("decimal(38,0)").cast("string"))
+    )
 
 
 def parsed(lines: DataFrame) -> DataFrame:
     """From (line_no, line): the typed fields, extras, and `reason`, the first rule that a line breaks (null: none).
 
     Rules in order: invalid_json, not_object, missing_keys, reviewId_not_int_or_null, out_of_range:<key>,
-    invalid_dominant, rationale_not_string, rationale_has_quote, rationale_too_long, sum. Blank lines are left out.
-    Shares whose sum is off by at most SUM_NEAR are divided by it (`renormalised`); dominant is set by the shares
-    (`dominance_fixed`).
+    invalid_dominant, rationale_not_string, rationale_has_quote, rationale_too_long, sum. Null and blank lines are left
+    out; a line with one key twice is no valid JSON. Fields are read by their JSON kind: shares and confidence may be
+    numbers, numbers as text or truth values; an id keeps all its digits; white space around `dominant` is cut, and null
+    there says None. Shares whose sum is off by at most SUM_NEAR are divided by it (`renormalised`); dominant is set by
+    the shares (`dominance_fixed`).
     """
-    text = F.trim("line")
-    rows = lines.filter(text != "").withColumn("m", F.from_json("line", "map<string,string>"))
-    numbers = {k: _value(k).try_cast("double") for k in (*DIMENSIONS, "confidence")}
-    is_object = text.startswith("{")
-    valid = F.try_parse_json("line").isNotNull()
-    review = _value("reviewId")
-    bad_id = review.isNotNull() & review.try_cast("double").isNull()
-    outside = {k: v.isNull() | F.isnan(v) | (v < 0) | (v > 1) for k, v in numbers.items()}
-    rationale = _value("rationale_brief")
-    total = reduce(lambda a, b: a + b, [numbers[k] for k in DIMENSIONS])
-    words = F.size(F.split(F.trim(rationale), r"\s+"))
-    reason = F.coalesce(
-        F.when(~valid, "invalid_json"), F.when(~is_object, "not_object"),
-        F.when(reduce(lambda a, b: a | b, [~F.map_contains_key("m", F.lit(k)) for k in KEYS]), "missing_keys"), F.when(bad_id, "reviewId_not_int_or_null"),
-        *[F.when(outside[k], f"out_of_range:{k}") for k in outside], F.when(~F.coalesce(_value("dominant").isin(*LABELS), F.lit(False)), "invalid_dominant"),
-        F.when(rationale.isNull() | F.get_json_object("line", "$.rationale_brief").rlike(r"^[\[{]"), "rationale_not_string"), F.when(F.contains(rationale, F.lit('"')), "rationale_has_quote"),
-        F.when(words > 30, "rationale_too_long"), F.when(F.abs(total - 1) > SUM_NEAR, "sum"),
+    rows = lines.filter(F.trim("line") != "").withColumn("v", F.try_parse_json("line"))
+    kind = F.schema_of_variant("v")
+    read = F.struct(
+        F.col("v").isNotNull().alias("sound"), kind.startswith("OBJECT").alias("object"), reduce(lambda a, b: a & b, [_field(k).isNotNull() for k in KEYS]).alias("complete"),
+        _field("appid", "string").alias("appid"), _whole_id("reviewId").alias("reviewId"), (_kind("reviewId") == "VOID").alias("no_id"), *[_number(k).alias(k) for k in (*DIMENSIONS, "confidence")],
+        F.when(_kind("dominant") == "VOID", "None").when(_kind("dominant") == "STRING", _stripped(_field("dominant", "string"))).alias("said"),
+        F.when(_kind("rationale_brief") == "STRING", _field("rationale_brief", "string")).alias("rationale_brief"),
+        F.map_filter(F.when(kind.startswith("OBJECT"), F.col("v").try_cast("map<string,string>")), lambda k, v: ~k.isin(*KEYS)).alias("extras"),
     )
-    repaired = F.abs(total - 1) > SUM_EXACT
-    out = rows.select(
-        "line_no", "line", reason.alias("reason"), _value("appid").alias("appid"), review.try_cast("double").cast("long").cast("string").alias("reviewId"),
-        *[(F.when(repaired, numbers[k] / total).otherwise(numbers[k])).alias(k) for k in DIMENSIONS], numbers["confidence"].alias("confidence"), _value("dominant").alias("said"),
-        rationale.alias("rationale_brief"), F.map_filter("m", lambda k, v: ~k.isin(*KEYS)).alias("extras"), F.coalesce(repaired, F.lit(False)).alias("renormalised"),
+    # by inline, so that no filter above is moved below and reads the fields a second time
+    fields = rows.select("line_no", "line", F.inline(F.array(read)))
+    outside = {k: F.col(k).isNull() | F.isnan(k) | (F.col(k) < 0) | (F.col(k) > 1) for k in (*DIMENSIONS, "confidence")}
+    total = reduce(lambda a, b: a + b, [F.col(k) for k in DIMENSIONS])
+    words = F.size(F.split(_stripped(F.col("rationale_brief")), r"\s+"))
+    reason = F.coalesce(
+        F.when(~F.col("sound"), "invalid_json"), F.when(~F.col("object"), "not_object"), F.when(~F.col("complete"), "missing_keys"),
+        F.when(F.col("reviewId").isNull() & ~F.col("no_id"), "reviewId_not_int_or_null"), *[F.when(outside[k], f"out_of_range:{k}") for k in outside],
+        F.when(~F.coalesce(F.col("said").isin(*LABELS), F.lit(False)), "invalid_dominant"), F.when(F.col("rationale_brief").isNull(), "rationale_not_string"),
+        F.when(F.contains("rationale_brief", F.lit('"')), "rationale_has_quote"), F.when(words > 30, "rationale_too_long"), F.when(F.abs(total - 1) > SUM_NEAR, "sum"),
     )
+    repaired = F.coalesce(F.abs(total - 1) > SUM_EXACT, F.lit(False))
+    shares = {k: F.when(repaired, F.col(k) / total).otherwise(F.col(k)) for k in DIMENSIONS}
+    out = fields.select("line_no", "line", reason.alias("reason"), "appid", "reviewId", *[v.alias(k) for k, v in shares.items()], "confidence", "said", "rationale_brief", "extras", repaired.alias("renormalised"))
     return out.withColumn("dominant", dominant()).withColumn("dominance_fixed", F.coalesce(F.col("said") != F.col("dominant"), F.lit(False)))
 
 
@@ -75,6 +103,22 @@ def joined(sample: DataFrame, responses: DataFrame) -> DataFrame:
     return sample.join(right, F.col("appid").eqNullSafe(F.col("__a")) & F.col("reviewId").eqNullSafe(F.col("__r")), "left").drop("__a", "__r")
 
 
+def reply_line(reply: Column, appid: Column, review_id: Column) -> Column:
+    """A model's reply as a response line: its first JSON object, the request's ids put in where it lacks them.
+
+    Without an object the line says so in `_error`. review_id is text and may be null; null replies have no object.
+    """
+    found = first_json(reply)
+    value = F.try_parse_json(found)
+    lacks = {k: F.try_variant_get(value, f"$.{k}", "variant").isNull() for k in ("appid", "reviewId")}
+    ids = {"appid": F.to_json(F.array(appid)), "reviewId": F.to_json(F.array(review_id))}
+    ids = {k: F.concat(F.lit(f'"{k}": '), F.regexp_extract(v, r"(?s)^\[(.*)\]$", 1)) for k, v in ids.items()}
+    added = F.concat_ws(", ", *[F.when(lacks[k], ids[k]) for k in ids])
+    bare = F.regexp_replace(found, r"\s*\}$", "")
+    filled = F.when(added == "", found).otherwise(F.concat(bare, F.when(F.length(F.trim(bare)) > 1, ", ").otherwise(""), added, F.lit("}")))
+    return F.when(value.isNull(), F.concat(F.lit("{"), ids["appid"], F.lit(", "), ids["reviewId"], F.lit(', "_error": "non-JSON output"}'))).otherwise(filled)
+
+
 def ingest_counters(lines: DataFrame, sample: DataFrame) -> DataFrame:
     """One row: lines, valid, invalid, renormalised, dominance_fixed, missing, unmatched."""
     rows = parsed(lines)

@@ -104,7 +104,7 @@ TEMPLATE = "Score app {{APPID}}, review {{REVIEW_ID_OR_NULL}}:\n{{REVIEW_TEXT}}"
 
 def prompt_rows(spark, sf_dir):
     rows = reviews(spark, sf_dir).filter(X.is_readable(F.col("review")))
-    filled = X.fill_prompt(TEMPLATE, F.col("appid"), F.when(F.col("doc_id") % 10 != 0, F.col("reviewId")), F.col("review"), 200, 260)
+    filled = X.fill_prompt(TEMPLATE, F.col("appid"), F.when(F.col("doc_id") % 10 != 0, F.col("reviewId")), F.col("review"))
     return rows.select("appid", "reviewId", F.length(filled).alias("n"), F.md5(filled).alias("prompt_md5"))
 
 
@@ -116,30 +116,54 @@ def ascii_fold(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.ascii_fold(F.col("text")).alias("folded"))
 
 
-def first_json(spark, sf_dir):
-    """Turns with a JSON object in the middle of prose; every seventh one is broken first."""
+def _replies(spark, sf_dir):
+    """Whole turns with a JSON object behind the prose; every seventh one has a broken brace first, every ninth no object at all."""
     rows = table(spark, sf_dir, "conversations")
-    reply = F.concat(F.substring("text", 1, 40), F.when(F.col("conv_id") % 7 == 0, " {oops ").otherwise(" "), F.to_json(F.struct("conv_id", F.struct(F.lit("a } b").alias("s")).alias("x"))), F.lit(" }"))
-    return rows.select("conv_id", "turn", X.first_json(reply).alias("object"))
+    made = F.to_json(F.struct("conv_id", F.struct(F.lit("a } b").alias("s")).alias("x")))
+    reply = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("conv_id") % 7 == 0, " {oops ").otherwise(" "), F.when(F.col("conv_id") % 9 != 0, made).otherwise("none"), F.lit(" }"))
+    return rows.select("conv_id", "turn", reply.alias("reply"))
+
+
+def first_json(spark, sf_dir):
+    return _replies(spark, sf_dir).select("conv_id", "turn", X.first_json(F.col("reply")).alias("object"))
+
+
+def reply_lines(spark, sf_dir):
+    """Replies as response lines: ids filled in from the request, an error line where there is no object."""
+    asked = _replies(spark, sf_dir).withColumns({"appid": F.concat(F.lit("c"), "conv_id"), "reviewId": F.when(F.col("turn") % 2 == 0, F.col("turn").cast("string"))})
+    rows = asked.select("conv_id", "turn", R.reply_line(F.col("reply"), F.col("appid"), F.col("reviewId")).alias("line")).withColumn("v", F.parse_json("line"))
+    field = {"appid": "$.appid", "reviewId": "$.reviewId", "error": "$._error", "s": "$.x.s"}
+    return rows.select("conv_id", "turn", *[F.try_variant_get("v", at, "string").alias(k) for k, at in field.items()])
 
 
 def _lines(spark, sf_dir):
-    """Response lines made from documents; ids that divide by small primes are broken in stated ways."""
+    """Response lines made from documents, one of each; ids that divide by small primes are odd or broken in stated ways."""
     d = F.col("doc_id")
-    a = (d % 11).cast("double") / 20
-    b = (d % 7).cast("double") / 20
-    c = F.lit(0.1)
-    none = F.lit(1.0) - a - b - c
-    flow = F.when(d % 101 == 0, 1.2).when(d % 37 == 0, a - 0.005).when(d % 41 == 0, a - 0.1).otherwise(a)
-    fields = {
-        "appid": F.to_json(F.struct(F.col("source").alias("v"))), "reviewId": F.when(d % 43 == 0, F.lit('"x"')).when(d % 47 == 0, F.lit("null")).otherwise(d.cast("string")),
-    }
-    label = F.when(d % 53 == 0, "Fun").otherwise("None")
-    reason = F.when(d % 59 == 0, F.repeat(F.lit("w "), 31)).otherwise("short words")
-    body = F.to_json(F.struct(F.col("source").alias("appid"), F.round(flow, 6).alias("Flow"), F.round(b, 6).alias("Utility"), F.round(c, 6).alias("Nostalgia"), F.round(none, 6).alias("None"), F.lit(0.5).alias("confidence"), label.alias("dominant"), reason.alias("rationale_brief"), F.lit("m1").alias("model")))
-    line = F.concat(F.lit('{"reviewId":'), fields["reviewId"], F.lit(","), F.substring(body, 2, 100_000))
+
+    def number(c):
+        return F.round(c, 6).cast("string")
+
+    def quoted(c):
+        return F.concat(F.lit('"'), c, F.lit('"'))
+
+    a, b = (d % 11).cast("double") / 20, (d % 7).cast("double") / 20
+    review_id = (
+        F.when(d % 43 == 0, '"x"').when(d % 47 == 0, "null").when(d % 79 == 0, quoted(d.cast("string"))).when(d % 83 == 0, '"3.5"').when(d % 89 == 0, (d + 9_007_199_254_740_993).cast("string"))
+        .when(d % 97 == 0, F.concat(d.cast("string"), F.lit(".75"))).otherwise(d.cast("string"))
+    )
+    flow = F.when(d % 101 == 0, "1.2").when(d % 37 == 0, number(a - 0.005)).when(d % 41 == 0, number(a - 0.1)).when(d % 103 == 0, quoted(number(a))).when(d % 107 == 0, "true").otherwise(number(a))
+    confidence = F.when(d % 109 == 0, "1.5").when(d % 113 == 0, '"high"').when(d % 29 == 0, '"0.25"').otherwise("0.5")
+    label = F.when(d % 53 == 0, '"Fun"').when(d % 127 == 0, '" Flow "').when(d % 131 == 0, "null").otherwise('"None"')
+    reason = F.when(d % 59 == 0, quoted(F.repeat(F.lit("w "), 31))).when(d % 137 == 0, "5").when(d % 139 == 0, '"[ok] nice"').when(d % 149 == 0, r'"says \"so\""').otherwise('"short words"')
+    fields = {"appid": quoted(F.col("source")), "reviewId": review_id, "Flow": flow, "Utility": number(b), "Nostalgia": F.lit("0.1"), "None": number(F.lit(1.0) - a - b - F.lit(0.1)), "confidence": confidence, "dominant": label, "rationale_brief": reason, "model": F.lit('"m1"')}
+    line = F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{k}": '), v) for k, v in fields.items()]), F.lit("}"))
     line = F.when(d % 61 == 0, "{broken").when(d % 67 == 0, "[1, 2]").when(d % 71 == 0, '{"appid": "a"}').when(d % 73 == 0, "  ").otherwise(line)
-    return table(spark, sf_dir, "documents").filter("source IS NOT NULL AND doc_id % 3 != 0").select(d.alias("line_no"), line.alias("line"))
+    return table(spark, sf_dir, "documents").filter("source IS NOT NULL").select(d.alias("line_no"), line.alias("line"))
+
+
+def _partly_answered(spark, sf_dir):
+    """Without the answers to every third document: absent ones are what the queries on them look for."""
+    return _lines(spark, sf_dir).filter("line_no % 3 != 0")
 
 
 def response_reasons(spark, sf_dir):
@@ -160,11 +184,11 @@ def _sampled(spark, sf_dir):
 
 
 def missing_responses(spark, sf_dir):
-    return V.not_in(_sampled(spark, sf_dir), R.valid_responses(_lines(spark, sf_dir)), ["appid", "reviewId"])
+    return V.not_in(_sampled(spark, sf_dir), R.valid_responses(_partly_answered(spark, sf_dir)), ["appid", "reviewId"])
 
 
 def unmatched_responses(spark, sf_dir):
-    return V.not_in(R.valid_responses(_lines(spark, sf_dir)), _sampled(spark, sf_dir), ["appid", "reviewId"]).select("appid", "reviewId", "line_no")
+    return V.not_in(R.valid_responses(_partly_answered(spark, sf_dir)), _sampled(spark, sf_dir), ["appid", "reviewId"]).select("appid", "reviewId", "line_no")
 
 
 def pending_prompts(spark, sf_dir):
@@ -201,6 +225,24 @@ def unit_app_agg(spark, sf_dir):
     return _rounded(R.unit_aggregate(_units(spark, sf_dir)), 6)
 
 
+def unit_app_percent(spark, sf_dir):
+    return _rounded(R.unit_aggregate(_units(spark, sf_dir), 100.0), 6)
+
+
+def unit_prompts(spark, sf_dir):
+    """A prompt for each document as a unit of its source, the whole text cut at the prompt's own length."""
+    rows = reviews(spark, sf_dir).select("appid", "reviewId", "review", X.unit_id(F.lit("review"), F.col("appid"), F.col("doc_id")).alias("unit"))
+    prompt = X.unit_prompt(F.col("appid"), F.col("unit"), F.lit("review"), F.col("review"))
+    return rows.select("unit", F.length(prompt).alias("n"), F.md5(prompt).alias("prompt_md5"))
+
+
+def representative_units(spark, sf_dir):
+    """Without summaries the representatives' texts are the units; here each group's longest text stands for it, and every fifth has none."""
+    assigned, rows = _assigned_reviews(spark, sf_dir)
+    reps = assigned.join(rows.select("reviewId", "charLen"), "reviewId").groupBy("appid", "cluster_id").agg(F.min_by("reviewId", F.struct(-F.col("charLen"), "reviewId")).alias("rep_reviewId"))
+    return K.scoring_units(None, reps, rows).select("appid", "unit_id", "level", F.length("text").alias("n"))
+
+
 def confidence_diag(spark, sf_dir):
     return _rounded(R.confidence_diagnostics(_units(spark, sf_dir)), 6)
 
@@ -248,9 +290,13 @@ def embed_texts(spark, sf_dir):
     return K.embed(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "emb")
 
 
+_DICTIONARY_COUNTS = ("n_reviews", "n_tokens_mean", "pct_with_fun")
+
+
 def _both(spark, sf_dir):
     named = {k: F.col(f"{k}_share_mean").alias(k) for k in DIMENSIONS}
-    return S.compared(L.app_aggregate(_review_scores(spark, sf_dir)).select("appid", *named.values()), R.unit_aggregate(_units(spark, sf_dir)).select("appid", *named.values()))
+    dictionary = L.app_aggregate(_review_scores(spark, sf_dir)).select("appid", *_DICTIONARY_COUNTS, *named.values())
+    return S.compared(dictionary, R.unit_aggregate(_units(spark, sf_dir)).select("appid", *named.values(), "confidence_mean"), _DICTIONARY_COUNTS, ("confidence_mean",))
 
 
 def method_compare(spark, sf_dir):
@@ -277,9 +323,9 @@ def mann_whitney(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     tokens_per_app, tokens_overall, stemmed_tokens, token_totals, category_rates, lexicon_scores, lexicon_coverage, review_scores, app_review_agg, app_normalized_mix, run_headlines,
-    mask_pii, normalised_texts, readable_reviews, unreadable_reviews, prompt_rows, stable_ids, ascii_fold, first_json, response_reasons, response_valid, response_counters,
-    missing_responses, unmatched_responses, pending_prompts, retry_units, upsert_responses, response_app_agg, unit_app_agg, confidence_diag, sum_anomalies, error_types,
-    cluster_k, cluster_assign, cluster_medoids, cluster_summaries, scoring_units, embed_texts, method_compare, method_pearson, method_spearman, method_kl, mann_whitney,
+    mask_pii, normalised_texts, readable_reviews, unreadable_reviews, prompt_rows, unit_prompts, stable_ids, ascii_fold, first_json, reply_lines, response_reasons, response_valid, response_counters,
+    missing_responses, unmatched_responses, pending_prompts, retry_units, upsert_responses, response_app_agg, unit_app_agg, unit_app_percent, confidence_diag, sum_anomalies, error_types,
+    cluster_k, cluster_assign, cluster_medoids, cluster_summaries, scoring_units, representative_units, embed_texts, method_compare, method_pearson, method_spearman, method_kl, mann_whitney,
 )}
 
 _VALUES = ", ".join(f"('{t}', '{c}')" for c, terms in LEXICON.items() for t in terms)
@@ -305,21 +351,43 @@ _MEANS = ["n_tokens", "charLen", "Flow_per_100", "Utility_per_100", "Nostalgia_p
 _ODD = r"""[\p{L}\p{N}\s.,!?;:''"()\-]"""
 _READABLE = rf"""(len(list_filter(regexp_split_to_array(coalesce(review, ''), '\s+'), lambda w: regexp_matches(w, '\p{{L}}'))) >= 3 AND length(regexp_replace(coalesce(review, ''), '[^\p{{L}}]', '', 'g')) >= 20
   AND length(regexp_replace(coalesce(review, ''), '{_ODD}', '', 'g')) <= length(coalesce(review, '')) * 0.3)"""
+def _sql_number(key):
+    kind, said = f"json_type(j, '$.{key}')", f"trim(j->>'$.{key}')"
+    return f"CASE WHEN {kind} = 'BOOLEAN' THEN CASE WHEN {said} = 'true' THEN 1 ELSE 0 END WHEN {kind} IN ('VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE') THEN TRY_CAST({said} AS DOUBLE) END"
+
+
+# the lines are made by the same rules, and their text is parsed as JSON
 _MADE = REVIEWS_SQL + """,
-made AS (SELECT doc_id, appid, (doc_id % 11) / 20 AS a, (doc_id % 7) / 20 AS b, 1 - (doc_id % 11) / 20 - (doc_id % 7) / 20 - 0.1::DOUBLE AS none,
-  CASE WHEN doc_id % 101 = 0 THEN 1.2::DOUBLE WHEN doc_id % 37 = 0 THEN (doc_id % 11) / 20 - 0.005::DOUBLE WHEN doc_id % 41 = 0 THEN (doc_id % 11) / 20 - 0.1::DOUBLE ELSE (doc_id % 11) / 20 END AS f FROM reviews WHERE doc_id % 3 <> 0),
-rounded AS (SELECT *, round(f, 6) AS f6, round(b, 6) AS b6, round(none, 6) AS n6 FROM made),
-reasons AS (SELECT *, f6 + b6 + 0.1::DOUBLE + n6 AS total, CASE
-  WHEN doc_id % 61 = 0 THEN 'invalid_json' WHEN doc_id % 67 = 0 THEN 'not_object' WHEN doc_id % 71 = 0 THEN 'missing_keys' WHEN doc_id % 43 = 0 THEN 'reviewId_not_int_or_null'
-  WHEN f6 < 0 OR f6 > 1 THEN 'out_of_range:Flow' WHEN n6 < 0 OR n6 > 1 THEN 'out_of_range:None' WHEN doc_id % 53 = 0 THEN 'invalid_dominant' WHEN doc_id % 59 = 0 THEN 'rationale_too_long'
-  WHEN abs(f6 + b6 + 0.1::DOUBLE + n6 - 1) > 0.01 THEN 'sum' END AS reason FROM rounded WHERE NOT (doc_id % 73 = 0 AND doc_id % 61 <> 0 AND doc_id % 67 <> 0 AND doc_id % 71 <> 0)),
-fixed AS (SELECT doc_id, appid, CASE WHEN doc_id % 47 = 0 THEN NULL ELSE CAST(doc_id AS VARCHAR) END AS "reviewId", abs(total - 1) > 1e-12::DOUBLE AS renormalised,
-  CASE WHEN abs(total - 1) > 1e-12::DOUBLE THEN f6 / total ELSE f6 END AS "Flow", CASE WHEN abs(total - 1) > 1e-12::DOUBLE THEN b6 / total ELSE b6 END AS "Utility",
-  CASE WHEN abs(total - 1) > 1e-12::DOUBLE THEN 0.1::DOUBLE / total ELSE 0.1::DOUBLE END AS "Nostalgia", CASE WHEN abs(total - 1) > 1e-12::DOUBLE THEN n6 / total ELSE n6 END AS "None" FROM reasons WHERE reason IS NULL),
-valid0 AS (SELECT *, row_number() OVER (PARTITION BY appid, "reviewId" ORDER BY doc_id) AS place, list_reverse_sort(["Flow", "Utility", "Nostalgia", "None"]) AS o FROM fixed),
-valid AS (SELECT *, CASE WHEN o[1] - o[2] <= 0.05::DOUBLE THEN 'tie' WHEN o[1] = "Flow" THEN 'Flow' WHEN o[1] = "Utility" THEN 'Utility' WHEN o[1] = "Nostalgia" THEN 'Nostalgia' ELSE 'None' END AS dominant FROM valid0 WHERE place = 1),
+parts AS (SELECT doc_id, appid, (doc_id % 11) / 20 AS a, (doc_id % 7) / 20 AS b FROM reviews),
+made AS (SELECT doc_id, CASE WHEN doc_id % 61 = 0 THEN '{broken' WHEN doc_id % 67 = 0 THEN '[1, 2]' WHEN doc_id % 71 = 0 THEN '{"appid": "a"}' WHEN doc_id % 73 = 0 THEN '  ' ELSE
+  '{"appid": "' || appid || '", "reviewId": ' || CASE WHEN doc_id % 43 = 0 THEN '"x"' WHEN doc_id % 47 = 0 THEN 'null' WHEN doc_id % 79 = 0 THEN '"' || doc_id || '"' WHEN doc_id % 83 = 0 THEN '"3.5"'
+    WHEN doc_id % 89 = 0 THEN CAST(doc_id + 9007199254740993 AS VARCHAR) WHEN doc_id % 97 = 0 THEN doc_id || '.75' ELSE CAST(doc_id AS VARCHAR) END
+  || ', "Flow": ' || CASE WHEN doc_id % 101 = 0 THEN '1.2' WHEN doc_id % 37 = 0 THEN CAST(round(a - 0.005::DOUBLE, 6) AS VARCHAR) WHEN doc_id % 41 = 0 THEN CAST(round(a - 0.1::DOUBLE, 6) AS VARCHAR)
+    WHEN doc_id % 103 = 0 THEN '"' || round(a, 6) || '"' WHEN doc_id % 107 = 0 THEN 'true' ELSE CAST(round(a, 6) AS VARCHAR) END
+  || ', "Utility": ' || round(b, 6) || ', "Nostalgia": 0.1, "None": ' || round(1 - a - b - 0.1::DOUBLE, 6)
+  || ', "confidence": ' || CASE WHEN doc_id % 109 = 0 THEN '1.5' WHEN doc_id % 113 = 0 THEN '"high"' WHEN doc_id % 29 = 0 THEN '"0.25"' ELSE '0.5' END
+  || ', "dominant": ' || CASE WHEN doc_id % 53 = 0 THEN '"Fun"' WHEN doc_id % 127 = 0 THEN '" Flow "' WHEN doc_id % 131 = 0 THEN 'null' ELSE '"None"' END
+  || ', "rationale_brief": ' || CASE WHEN doc_id % 59 = 0 THEN '"' || repeat('w ', 31) || '"' WHEN doc_id % 137 = 0 THEN '5' WHEN doc_id % 139 = 0 THEN '"[ok] nice"' WHEN doc_id % 149 = 0 THEN '"says ' || chr(92) || '"so' || chr(92) || '""' ELSE '"short words"' END
+  || ', "model": "m1"}' END AS line FROM parts),
+read AS (SELECT doc_id, CASE WHEN json_valid(line) THEN CAST(line AS JSON) END AS j FROM made WHERE trim(line) <> ''),
+typed AS (SELECT doc_id, j, j->>'$.appid' AS appid, json_type(j, '$.reviewId') AS id_kind,
+  CASE WHEN json_type(j, '$.reviewId') IN ('BIGINT', 'UBIGINT') THEN j->>'$.reviewId' WHEN json_type(j, '$.reviewId') = 'DOUBLE' THEN regexp_extract(j->>'$.reviewId', '^-?[0-9]+')
+    WHEN json_type(j, '$.reviewId') = 'VARCHAR' AND regexp_full_match(trim(j->>'$.reviewId'), '[+-]?[0-9]+') THEN CAST(CAST(trim(j->>'$.reviewId') AS HUGEINT) AS VARCHAR) END AS "reviewId",
+  """ + ", ".join(f'{_sql_number(k)} AS "{k}"' for k in (*DIMENSIONS, "confidence")) + """,
+  CASE WHEN json_type(j, '$.dominant') = 'NULL' THEN 'None' WHEN json_type(j, '$.dominant') = 'VARCHAR' THEN trim(j->>'$.dominant') END AS said,
+  CASE WHEN json_type(j, '$.rationale_brief') = 'VARCHAR' THEN j->>'$.rationale_brief' END AS rationale, j->>'$.model' AS model FROM read),
+reasons AS (SELECT *, "Flow" + "Utility" + "Nostalgia" + "None" AS total, CASE WHEN j IS NULL THEN 'invalid_json' WHEN json_type(j) <> 'OBJECT' THEN 'not_object'
+  WHEN NOT list_has_all(json_keys(j), ['appid', 'reviewId', 'Flow', 'Utility', 'Nostalgia', 'None', 'confidence', 'dominant', 'rationale_brief']) THEN 'missing_keys'
+  WHEN "reviewId" IS NULL AND id_kind <> 'NULL' THEN 'reviewId_not_int_or_null' """ + " ".join(f"WHEN coalesce(\"{k}\", -1) NOT BETWEEN 0 AND 1 THEN 'out_of_range:{k}'" for k in (*DIMENSIONS, "confidence")) + """
+  WHEN coalesce(said, '') NOT IN ('Flow', 'Utility', 'Nostalgia', 'None', 'tie') THEN 'invalid_dominant' WHEN rationale IS NULL THEN 'rationale_not_string' WHEN contains(rationale, '"') THEN 'rationale_has_quote'
+  WHEN len(regexp_split_to_array(trim(rationale), '\\s+')) > 30 THEN 'rationale_too_long' WHEN abs("Flow" + "Utility" + "Nostalgia" + "None" - 1) > 0.01 THEN 'sum' END AS reason FROM typed),
+fixed AS (SELECT doc_id, appid, "reviewId", said, model, confidence, abs(total - 1) > 1e-12::DOUBLE AS renormalised, """ + ", ".join(f'CASE WHEN abs(total - 1) > 1e-12::DOUBLE THEN "{k}" / total ELSE "{k}" END AS "{k}"' for k in DIMENSIONS) + """ FROM reasons WHERE reason IS NULL),
+judged0 AS (SELECT *, list_reverse_sort(["Flow", "Utility", "Nostalgia", "None"]) AS o FROM fixed),
+judged AS (SELECT * EXCLUDE (o), CASE WHEN o[1] - o[2] <= 0.05::DOUBLE THEN 'tie' WHEN o[1] = "Flow" THEN 'Flow' WHEN o[1] = "Utility" THEN 'Utility' WHEN o[1] = "Nostalgia" THEN 'Nostalgia' ELSE 'None' END AS dominant FROM judged0),
+valid AS (SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY appid, "reviewId" ORDER BY doc_id) AS place FROM judged) WHERE place = 1),
+partly AS (SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY appid, "reviewId" ORDER BY doc_id) AS place FROM judged WHERE doc_id % 3 <> 0) WHERE place = 1),
 sampled AS (SELECT appid, "reviewId", doc_id FROM reviews WHERE doc_id % 2 = 0),
-answered AS (SELECT s.appid, v."Flow", v."Utility", v."Nostalgia", v."None", v.dominant FROM sampled s LEFT JOIN valid v ON s.appid = v.appid AND s."reviewId" IS NOT DISTINCT FROM v."reviewId")"""
+answered AS (SELECT s.appid, v."Flow", v."Utility", v."Nostalgia", v."None", v.dominant, v.confidence FROM sampled s LEFT JOIN valid v ON s.appid = v.appid AND s."reviewId" IS NOT DISTINCT FROM v."reviewId")"""
 _UNITS = """units AS (SELECT appid, doc_id, CASE WHEN doc_id % 15 = 0 THEN 0 ELSE (doc_id % 5) / 4 - 0.1::DOUBLE END AS f, CASE WHEN doc_id % 15 = 0 THEN 0 ELSE (doc_id % 3) / 2 END AS u,
   CASE WHEN doc_id % 15 = 0 THEN 0::DOUBLE WHEN doc_id % 6 = 0 THEN 1.5::DOUBLE ELSE 0::DOUBLE END AS n, CASE WHEN doc_id % 15 = 0 THEN 0 ELSE (doc_id % 4) / 8 END AS z, CASE WHEN doc_id % 20 <> 0 THEN (doc_id % 10) / 10 END AS confidence FROM reviews),
 unit_cut AS (SELECT appid, confidence, greatest(0, least(1, f)) AS f, greatest(0, least(1, u)) AS u, greatest(0, least(1, n)) AS n, greatest(0, least(1, z)) AS z FROM units),
@@ -333,6 +401,10 @@ placed AS (SELECT appid, doc_id % 5 AS cluster_id, "reviewId", coalesce(review,
 sums AS (SELECT appid, CAST(cluster_id AS INTEGER) AS cluster_id, string_agg(text, ' ' ORDER BY place) AS whole, CAST(count(*) AS INTEGER) AS summary_n_reviews, string_agg("reviewId", ',' ORDER BY place) AS "source_reviewIds" FROM placed WHERE place <= 3 GROUP BY ALL),
 summaries AS (SELECT *, CASE WHEN length(whole) > 400 THEN substr(whole, 1, 400) || '...' ELSE whole END AS summary_text FROM sums)"""
 
+_OBJECT = r'\{"conv_id":[0-9]+,"x":\{"s":"[^"]*"\}\}'
+_REPLIES = """replies AS (SELECT conv_id, turn, coalesce(text, '') || CASE WHEN conv_id % 7 = 0 THEN ' {oops ' ELSE ' ' END
+  || CASE WHEN conv_id % 9 <> 0 THEN '{"conv_id":' || conv_id || ',"x":{"s":"a } b"}}' ELSE 'none' END || ' }' AS reply FROM conversations)"""
+
 ORACLES = {
     "tokens_per_app": f"WITH {_TOKENS} SELECT appid, token, count, round(count * 1000.0::DOUBLE / total_tokens, 6) AS freq_per_1000 FROM counts JOIN totals USING (appid)",
     "tokens_overall": f"WITH {_TOKENS} SELECT token, CAST(sum(count) AS BIGINT) AS count FROM counts GROUP BY token",
@@ -359,25 +431,32 @@ SELECT category, count(DISTINCT token) AS tokens, count(t) AS seen, count(*) FIL
 SELECT conv_id, turn, CAST(length(t) AS INTEGER) AS n, CASE WHEN length(t) < 80 THEN 'short' WHEN length(t) < 300 THEN 'medium' ELSE 'long' END AS bucket, md5(t) AS text_md5, length(t) >= 3 AS kept FROM t""",
     "readable_reviews": f'WITH {REVIEWS_SQL} SELECT appid, "reviewId" FROM reviews WHERE {_READABLE}',
     "unreadable_reviews": rf"""WITH {REVIEWS_SQL} SELECT appid, "reviewId", "charLen", substr(trim(regexp_replace(coalesce(review, ''), '\s+', ' ', 'g')), 1, 240) AS preview FROM reviews WHERE NOT {_READABLE}""",
-    "prompt_rows": f"""WITH {REVIEWS_SQL}, p AS (SELECT appid, "reviewId", substr('Score app ' || appid || ', review ' || CASE WHEN doc_id % 10 <> 0 THEN "reviewId" ELSE 'null' END || ':' || chr(10) || substr(coalesce(review, ''), 1, 200), 1, 260) AS p FROM reviews WHERE {_READABLE})
+    "prompt_rows": f"""WITH {REVIEWS_SQL}, p AS (SELECT appid, "reviewId", substr('Score app ' || appid || ', review ' || CASE WHEN doc_id % 10 <> 0 THEN "reviewId" ELSE 'null' END || ':' || chr(10) || substr(coalesce(review, ''), 1, 4000), 1, 8000) AS p FROM reviews WHERE {_READABLE})
 SELECT appid, "reviewId", CAST(length(p) AS INTEGER) AS n, md5(p) AS prompt_md5 FROM p""",
+    "unit_prompts": f"""WITH {REVIEWS_SQL}, p AS (SELECT 'review:' || "reviewId" AS unit, substr('APPID: ' || appid || chr(10) || 'UNIT: review:' || "reviewId" || chr(10) || 'LEVEL: review' || chr(10) || chr(10) || coalesce(review, ''), 1, 8000) AS p FROM reviews)
+SELECT unit, CAST(length(p) AS INTEGER) AS n, md5(p) AS prompt_md5 FROM p""",
+    "ascii_fold": r"SELECT doc_id, regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g') AS folded FROM documents",
+    "first_json": f"WITH {_REPLIES} SELECT conv_id, turn, nullif(regexp_extract(reply, '{_OBJECT}'), '') AS object FROM replies",
+    "reply_lines": f"""WITH {_REPLIES}, o AS (SELECT *, nullif(regexp_extract(reply, '{_OBJECT}'), '') AS object FROM replies)
+SELECT conv_id, turn, 'c' || conv_id AS appid, CASE WHEN turn % 2 = 0 THEN CAST(turn AS VARCHAR) END AS "reviewId", CASE WHEN object IS NULL THEN 'non-JSON output' END AS error, object->>'$.x.s' AS s FROM o""",
     "stable_ids": "SELECT page_id, CAST(('0x' || substr(md5(url), 1, 12)) AS BIGINT) AS stable_id FROM pages",
     "response_reasons": f"WITH {_MADE} SELECT doc_id AS line_no, reason FROM reasons",
-    "response_valid": f"""WITH {_MADE} SELECT doc_id AS line_no, appid, "reviewId", round("Flow", 8) AS "Flow", round("Utility", 8) AS "Utility", round("Nostalgia", 8) AS "Nostalgia", round("None", 8) AS "None", dominant, renormalised, dominant <> 'None' AS dominance_fixed, 'm1' AS model FROM valid""",
-    "response_counters": f"""WITH {_MADE}, d AS (SELECT *, list_reverse_sort(["Flow", "Utility", "Nostalgia", "None"]) AS q FROM fixed)
+    "response_valid": f"""WITH {_MADE} SELECT doc_id AS line_no, appid, "reviewId", round("Flow", 8) AS "Flow", round("Utility", 8) AS "Utility", round("Nostalgia", 8) AS "Nostalgia", round("None", 8) AS "None", dominant, renormalised, dominant <> said AS dominance_fixed, model FROM valid""",
+    "response_counters": f"""WITH {_MADE}
 SELECT (SELECT count(*) FROM reasons) AS lines, (SELECT count(*) FROM fixed) AS valid, (SELECT count(reason) FROM reasons) AS invalid, (SELECT count(*) FILTER (renormalised) FROM fixed) AS renormalised,
-  (SELECT count(*) FILTER (q[1] - q[2] <= 0.05::DOUBLE OR q[1] <> "None") FROM d) AS dominance_fixed,
+  (SELECT count(*) FILTER (dominant <> said) FROM judged) AS dominance_fixed,
   (SELECT count(*) FROM sampled s WHERE NOT EXISTS (SELECT 1 FROM valid v WHERE s.appid = v.appid AND s."reviewId" IS NOT DISTINCT FROM v."reviewId")) AS missing,
   (SELECT count(*) FROM valid v WHERE NOT EXISTS (SELECT 1 FROM sampled s WHERE s.appid = v.appid AND s."reviewId" IS NOT DISTINCT FROM v."reviewId")) AS unmatched""",
-    "missing_responses": f'WITH {_MADE} SELECT appid, "reviewId", doc_id FROM sampled s WHERE NOT EXISTS (SELECT 1 FROM valid v WHERE s.appid = v.appid AND s."reviewId" IS NOT DISTINCT FROM v."reviewId")',
-    "unmatched_responses": f'WITH {_MADE} SELECT appid, "reviewId", doc_id AS line_no FROM valid v WHERE NOT EXISTS (SELECT 1 FROM sampled s WHERE s.appid = v.appid AND s."reviewId" IS NOT DISTINCT FROM v."reviewId")',
+    "missing_responses": f'WITH {_MADE} SELECT appid, "reviewId", doc_id FROM sampled s WHERE NOT EXISTS (SELECT 1 FROM partly v WHERE s.appid = v.appid AND s."reviewId" IS NOT DISTINCT FROM v."reviewId")',
+    "unmatched_responses": f'WITH {_MADE} SELECT appid, "reviewId", doc_id AS line_no FROM partly v WHERE NOT EXISTS (SELECT 1 FROM sampled s WHERE s.appid = v.appid AND s."reviewId" IS NOT DISTINCT FROM v."reviewId")',
     "pending_prompts": f"""WITH {REVIEWS_SQL}, p AS (SELECT appid, CASE WHEN doc_id % 10 <> 0 THEN "reviewId" END AS "reviewId", doc_id FROM reviews)
 SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.doc_id % 4 = 0 AND q.appid = p.appid AND q."reviewId" IS NOT DISTINCT FROM p."reviewId")""",
     "retry_units": f"""WITH {REVIEWS_SQL} SELECT appid, 'review:' || "reviewId" AS unit_id, doc_id FROM reviews WHERE doc_id % 9 = 0 OR doc_id % 10 = 0 OR doc_id % 13 = 0""",
     "upsert_responses": f"""WITH {REVIEWS_SQL} SELECT appid, "reviewId", CASE WHEN doc_id % 6 = 0 THEN 'new' ELSE 'old' END AS run FROM reviews""",
-    "response_app_agg": f"WITH {_MADE} SELECT appid, count(*) AS n, count(dominant) AS answered, " + ", ".join(f'round(avg("{k}"), 6) AS "{k}_mean"' for k in DIMENSIONS) + ", avg(CASE WHEN dominant IS NOT NULL THEN 0.5::DOUBLE END) AS confidence_mean, "
+    "response_app_agg": f"WITH {_MADE} SELECT appid, count(*) AS n, count(dominant) AS answered, " + ", ".join(f'round(avg("{k}"), 6) AS "{k}_mean"' for k in DIMENSIONS) + ", round(avg(confidence), 6) AS confidence_mean, "
     + ", ".join(f"round(CASE WHEN count(dominant) > 0 THEN count(*) FILTER (dominant = '{k}') / count(dominant) END, 6) AS \"{k}_rate\"" for k in (*DIMENSIONS, "tie")) + """, round(avg(CASE WHEN coalesce("None" < 0.5, false) THEN 1 ELSE 0 END), 6) AS pct_fun_any FROM answered GROUP BY appid""",
     "unit_app_agg": f"WITH {REVIEWS_SQL}, {_UNITS} SELECT appid, " + ", ".join(f'round("{k}", 6) AS "{k}_share_mean"' for k in DIMENSIONS) + ", n_units, round(confidence_mean, 6) AS confidence_mean, round(confidence_var, 6) AS confidence_var FROM unit_apps",
+    "unit_app_percent": f"WITH {REVIEWS_SQL}, {_UNITS} SELECT appid, " + ", ".join(f'round("{k}" * 100, 6) AS "{k}_share_mean"' for k in DIMENSIONS) + ", n_units, round(confidence_mean, 6) AS confidence_mean, round(confidence_var, 6) AS confidence_var FROM unit_apps",
     "confidence_diag": f"WITH {REVIEWS_SQL}, {_UNITS} SELECT count(*) AS n, round(avg(confidence), 6) AS mean, round(stddev_samp(confidence), 6) AS std, min(confidence) AS min, round(quantile_cont(confidence, 0.1), 6) AS p10, round(quantile_cont(confidence, 0.5), 6) AS p50, round(quantile_cont(confidence, 0.9), 6) AS p90, max(confidence) AS max FROM units WHERE confidence BETWEEN 0 AND 1",
     "sum_anomalies": f"WITH {REVIEWS_SQL}, {_UNITS} SELECT count(*) AS records, count(*) FILTER (abs(f + u + n + z - 1) > 1e-6) AS anomalies FROM units",
     "error_types": "SELECT event_type AS error_type, count(*) AS n FROM events GROUP BY 1",
@@ -388,7 +467,10 @@ d AS (SELECT appid, cluster_id, rid, round(sum((v - c) * (v - c)), 12) AS d FROM
 r AS (SELECT *, row_number() OVER (PARTITION BY appid, cluster_id ORDER BY d, rid) AS place, count(*) OVER (PARTITION BY appid, cluster_id) AS cluster_size FROM d) SELECT appid, cluster_id, rid AS "rep_reviewId", cluster_size FROM r WHERE place = 1""",
     "cluster_summaries": f'WITH {_CLUSTER_TEXT} SELECT appid, cluster_id, summary_text, summary_n_reviews, "source_reviewIds" FROM summaries',
     "scoring_units": f"WITH {_CLUSTER_TEXT} SELECT appid, 'app:' || appid || '-cluster:' || CAST(cluster_id AS VARCHAR) AS unit_id, 'cluster' AS level, CAST(length(summary_text) AS INTEGER) AS n FROM summaries WHERE length(trim(summary_text)) >= 3",
-    "method_compare": f"WITH {_LONG} SELECT appid, " + ", ".join(f"round(max(x) FILTER (dimension = '{k}'), 6) AS \"{k}_dict\", round(max(y) FILTER (dimension = '{k}'), 6) AS \"{k}_llm\"" for k in DIMENSIONS) + " FROM long GROUP BY appid",
+    "representative_units": f"""WITH {REVIEWS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY appid, doc_id % 5 ORDER BY "charLen" DESC, "reviewId") AS place FROM reviews)
+SELECT appid, 'review:' || "reviewId" AS unit_id, 'review' AS level, CAST(length(coalesce(review, '')) AS INTEGER) AS n FROM r WHERE place = 1 AND length(trim(coalesce(review, ''))) >= 3""",
+    "method_compare": f"WITH {_LONG}, d AS (SELECT appid, count(*) AS n_reviews, round(avg(n_tokens), 6) AS n_tokens_mean, round(count(*) FILTER (NOT zero_hit) * 100.0::DOUBLE / count(*), 6) AS pct_with_fun FROM scored GROUP BY appid) "
+    + "SELECT long.appid, any_value(n_reviews) AS n_reviews, any_value(n_tokens_mean) AS n_tokens_mean, any_value(pct_with_fun) AS pct_with_fun, round(any_value(u.confidence_mean), 6) AS confidence_mean, " + ", ".join(f"round(max(x) FILTER (dimension = '{k}'), 6) AS \"{k}_dict\", round(max(y) FILTER (dimension = '{k}'), 6) AS \"{k}_llm\"" for k in DIMENSIONS) + " FROM long JOIN d ON long.appid = d.appid JOIN unit_apps u ON long.appid = u.appid GROUP BY long.appid",
     "method_pearson": f"WITH {_LONG} SELECT round(corr(y, x), 6) AS r, count(*) AS n, dimension FROM long GROUP BY dimension",
     "method_spearman": f"""WITH {_LONG}, nine AS (SELECT dimension, round(x, 9) AS x, round(y, 9) AS y FROM long),
 ranks AS (SELECT dimension, rank() OVER (PARTITION BY dimension ORDER BY x) + (count(*) OVER (PARTITION BY dimension, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY dimension ORDER BY y) + (count(*) OVER (PARTITION BY dimension, y) - 1) / 2 AS ry FROM nine)
