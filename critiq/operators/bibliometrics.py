@@ -1,4 +1,8 @@
-"""Bibliometric aggregations."""
+"""Bibliometric aggregations.
+
+Papers without a year, element or category count where these play no part only; rows that repeat are counted as often as
+they are there unless a function says distinct. Empty tables give no rows, or one row of nulls where there is one row.
+"""
 
 from __future__ import annotations
 

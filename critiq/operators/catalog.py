@@ -1,4 +1,8 @@
-"""Catalogue scores: acceptance, ranks, slices by position."""
+"""Catalogue scores: acceptance, ranks, slices by position.
+
+Counts that are null or no numbers are 0, and an app without reviews scores 0. Equal scores go by appid as a number. Empty
+catalogues give empty tables.
+"""
 
 from __future__ import annotations
 
@@ -18,10 +22,10 @@ def acceptance(catalog: DataFrame, decimals: int = 6) -> DataFrame:
     return rows.select("appid", "name", "posReview", "negReview", "totReview", *[F.when(some, F.round(m, decimals)).otherwise(0.0).alias(k) for k, m in metrics.items()])
 
 
-def ranked(scored: DataFrame, name: str = "rankAcceptance") -> DataFrame:
-    """1..n by score descending, then appid as a number."""
-    keyed = scored.withColumn("__app", F.col("appid").cast("long"))
-    return global_rank(keyed, "acceptanceScore", "__app", name).drop("__app")
+def ranked(scored: DataFrame, name: str = "rankAcceptance", n: int | None = None) -> DataFrame:
+    """1..n by score descending, then appid as a number (appids that are no numbers last). n: the number of rows, counted if not given."""
+    keyed = scored.withColumn("__app", F.col("appid").try_cast("long"))
+    return global_rank(keyed, "acceptanceScore", "__app", name, n=n).drop("__app")
 
 
 def eligible(scored: DataFrame, min_reviews: int = 50) -> DataFrame:
@@ -34,8 +38,8 @@ def quartile_slice(scored: DataFrame, mode: str = "keep_mid") -> DataFrame:
 
     Fewer than four rows are all kept. rankFiltered is the position among the rows kept.
     """
-    rows = ranked(scored, "rankAcceptance")
     n = scored.count()
+    rows = ranked(scored, "rankAcceptance", n)
     q1, q3 = int(n * 0.25), int(n * 0.75)
     position = F.col("rankAcceptance") - 1
     middle = (position >= q1) & (position < q3)
@@ -54,7 +58,7 @@ def quartile_borders(scored: DataFrame) -> DataFrame:
     n = scored.count()
     q1, q3 = int(n * 0.25), int(n * 0.75)
     wanted = [p for p in sorted({0, q1 - 1, q1, q3 - 1, q3, n - 1}) if 0 <= p < n]
-    return ranked(scored).select((F.col("rankAcceptance") - 1).alias("position"), "appid", "acceptanceScore").filter(F.col("position").isin(wanted))
+    return ranked(scored, n=n).select((F.col("rankAcceptance") - 1).alias("position"), "appid", "acceptanceScore").filter(F.col("position").isin(wanted))
 
 
 def top(df: DataFrame, n: int, *order) -> DataFrame:

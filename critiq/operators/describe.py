@@ -1,4 +1,8 @@
-"""Descriptive statistics per app and over the corpus, shares, histograms, joins with pairs."""
+"""Descriptive statistics per app and over the corpus, shares, histograms, joins with pairs.
+
+Null values do not count in means, medians and extremes; a null appid is an app of its own in groupings and matches nothing
+in joins. Repeated rows count as often as they are there. Empty tables give no rows; a summary of one row has zero counts.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from critiq.functions.numeric import share
+from critiq.operators.ranking import first_per_key
 from critiq.operators.sampling import BUCKETS, with_length_bucket
 
 
@@ -32,8 +37,9 @@ def full_length_shares(reviews: DataFrame) -> DataFrame:
 
 
 def with_pairs(per_app: DataFrame, pairs: DataFrame) -> DataFrame:
-    """per_app with the columns of its pair row, if any; pairs has a few rows and is broadcast up to Spark's own limit."""
-    return per_app.join(pairs.dropDuplicates(["appid"]), "appid", "left")
+    """per_app with the columns of its pair row, if any: the first by pairIndex, then type (top before bottom) where there are more."""
+    order = [F.desc(c) if c == "type" else F.asc(c) for c in ("pairIndex", "type") if c in pairs.columns] or [F.lit(1)]
+    return per_app.join(first_per_key(pairs, ["appid"], *order), "appid", "left")
 
 
 def unmatched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from critiq.functions.text import genre_label
+from critiq.operators.ranking import first_per_key
 
 # Labels that are passed over, and labels that are no genre of a game.
 JUMP_LABELS = ("free to play", "early access")
@@ -17,7 +18,14 @@ def with_first_genre(details: DataFrame, jump=JUMP_LABELS, non_game=NON_GAME_LAB
     """firstGenre: the first of the first three genres that is neither passed over nor no game's; allGenres: all, joined."""
     refused = [*jump, *non_game]
     labels = F.expr("slice(genres, 1, 3)")
-    exploded = details.select("appid", F.posexplode(labels).alias("at", "genre")).withColumn("label", genre_label(F.col("genre"), fold))
+    exploded = details.select("appid", F.posexplode(labels).alias("at", "genre"))
+    # accents are folded once for each distinct label that has a letter beyond ASCII
+    plain = exploded.withColumn("label", genre_label(F.col("genre"), False))
+    if fold:
+        beyond = F.col("genre").rlike(r"[^\x00-\x7F]")
+        folded = exploded.filter(beyond).select("genre").distinct().withColumn("folded", genre_label(F.col("genre")))
+        plain = plain.join(folded, "genre", "left").withColumn("label", F.coalesce("folded", "label")).drop("folded")
+    exploded = plain
     first = exploded.filter(~F.col("label").isin(refused) & (F.col("label") != "")).groupBy("appid").agg(F.min_by("genre", "at").alias("firstGenre"), F.min_by("label", "at").alias("genreKey"))
     return details.join(first, "appid", "left").withColumn("allGenres", F.array_join("genres", ", "))
 
@@ -33,11 +41,14 @@ def select_pairs(candidates: DataFrame, rank: str = "rankFiltered", pairs: int =
     """Pairs from both ends of the ranking; a genre serves once, and the ends do not cross.
 
     A row that the walk passes has a genre in use already, so from the top only a genre's first candidate can be
-    taken, from the bottom only its last. Those two per genre are all that the loop on the driver sees.
+    taken, from the bottom only its last. The loop on the driver sees the 2 * pairs + 1 genres next to either end. Ranks
+    are distinct; rows with a null genre are of one genre. Fewer genres give fewer pairs, an empty table none.
     """
-    ends = candidates.groupBy("genreKey").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).collect()
-    from_top = sorted((x["first"], x["genreKey"]) for x in ends)
-    from_bottom = sorted(((x["last"], x["genreKey"]) for x in ends), reverse=True)
+    ends = candidates.groupBy("genreKey").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
+    # a walk passes the genres in use, two for each pair chosen, so it never looks further than this from either end
+    reach = 2 * pairs + 1
+    from_top = sorted((x["first"], x["genreKey"]) for x in ends.orderBy("first").limit(reach).collect())
+    from_bottom = sorted(((x["last"], x["genreKey"]) for x in ends.orderBy(F.desc("last")).limit(reach).collect()), reverse=True)
     used, chosen, low, high = set(), [], -1, float("inf")
     while len(chosen) < pairs:
         a = next(((p, g) for p, g in from_top if g not in used and low < p < high), None)
@@ -53,8 +64,8 @@ def select_pairs(candidates: DataFrame, rank: str = "rankFiltered", pairs: int =
 
 
 def pair_deltas(per_app: DataFrame, pairs: DataFrame, metrics: list[str]) -> DataFrame:
-    """For each pair with both sides: every metric of top and bottom, and their difference."""
-    rows = per_app.select(F.col("appid").cast("string").alias("appid"), *metrics).join(pairs.select("pairIndex", "type", F.col("appid").cast("string")).dropDuplicates(["appid"]), "appid")
+    """For each pair with both sides: every metric of top and bottom, and their difference. An appid in several pairs counts in the first."""
+    rows = per_app.select(F.col("appid").cast("string").alias("appid"), *metrics).join(first_per_key(pairs.select("pairIndex", "type", F.col("appid").cast("string").alias("appid")), ["appid"], F.col("pairIndex"), F.desc("type")), "appid")
     sides = [F.max(F.when(F.col("type") == side, F.col(m))).alias(f"{m}_{side}") for m in metrics for side in ("top", "bottom")]
     both = rows.groupBy("pairIndex").agg(*sides, F.max(F.col("type") == "top").alias("__t"), F.max(F.col("type") == "bottom").alias("__b")).filter("__t AND __b").drop("__t", "__b")
     return both.withColumns({f"{m}_diff": F.col(f"{m}_top") - F.col(f"{m}_bottom") for m in metrics})

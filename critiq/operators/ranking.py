@@ -10,29 +10,39 @@ from pyspark.sql import functions as F
 ROWS_PER_RANGE = 1_000_000
 
 
-def global_rank(df: DataFrame, score: str, tie: str, name: str = "rank", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Row numbers from 1 by score descending, then the numeric column `tie`.
+def _borders(df: DataFrame, column: str, parts: int) -> list[float]:
+    """Ascending values that cut the column into about equal parts; at most parts - 1 of them come to the driver."""
+    return sorted(set(df.select(F.col(column).cast("double").alias("v")).approxQuantile("v", [i / parts for i in range(1, parts)], 0.1 / parts)))
+
+
+def _place(value: Column, borders: list[float]) -> Column:
+    """How many of the ascending borders are at most the value: a binary search, so a row costs the logarithm of their number."""
+    if not borders:
+        return F.lit(0)
+    array, steps = F.lit(borders), [1 << i for i in reversed(range(len(borders).bit_length()))]
+    return F.aggregate(F.lit(steps), F.lit(0), lambda low, step: F.when((low + step <= len(borders)) & (F.get(array, low + step - 1) <= value), low + step).otherwise(low))
+
+
+def global_rank(df: DataFrame, score: str, tie: str, name: str = "rank", rows_per_range: int = ROWS_PER_RANGE, n: int | None = None) -> DataFrame:
+    """Row numbers from 1 by score descending, then the numeric column `tie`. n is the number of rows, counted if not given.
 
     Borders of score split the rows into ranges; rows on a border (blocks of equal scores) are split again by `tie`.
     Ranges are counted, and a row's number is what the ranges before hold plus its place in its own. The result does
-    not depend on where the borders fall.
+    not depend on where the borders fall. Null scores come last; rows equal in both columns are numbered in any order.
     """
-    n = df.count()
+    n = df.count() if n is None else n
     parts = -(-n // rows_per_range)
     if parts <= 1:  # one task may rank them all
         return df.withColumn(name, F.row_number().over(W.orderBy(F.desc(score), F.asc(tie))).cast("long"))
-    steps = [i / parts for i in range(1, parts)]
-    borders = sorted(set(df.approxQuantile(score, steps, 0.1 / parts)), reverse=True) if steps else []
-    ties = sorted(set(df.withColumn("__t", F.col(tie).cast("double")).approxQuantile("__t", steps, 0.1 / parts))) if steps else []
-    above = sum([(F.col(score) < b).cast("int") + (F.col(score) <= b).cast("int") for b in borders], F.lit(0))
-    inside = F.when(above % 2 == 1, sum([(F.col(tie) > t).cast("int") for t in ties], F.lit(0))).otherwise(0)
-    rows = df.withColumns({"__range": above, "__sub": inside})
+    borders, ties = _borders(df, score, parts), _borders(df, tie, parts)
+    rows = df.withColumn("__at", F.when(F.col(score).isNull(), -1).otherwise(_place(F.col(score).cast("double"), borders)))
+    on_border = (F.col("__at") > 0) & (F.get(F.lit(borders or [0.0]), F.col("__at") - 1) == F.col(score).cast("double"))
+    inside = F.when(on_border | (F.col("__at") == -1), _place(F.col(tie).cast("double"), ties)).otherwise(-1)
+    # descending: above a border comes before on it
+    rows = rows.withColumns({"__range": -2 * F.col("__at") + F.when(on_border, 1).otherwise(0), "__sub": inside}).drop("__at")
     counts = rows.groupBy("__range", "__sub").count()
-    left, right = counts.alias("l"), counts.alias("r")
-    before = (
-        left.join(F.broadcast(right), (F.col("r.__range") < F.col("l.__range")) | ((F.col("r.__range") == F.col("l.__range")) & (F.col("r.__sub") < F.col("l.__sub"))), "left")
-        .groupBy("l.__range", "l.__sub").agg(F.coalesce(F.sum("r.count"), F.lit(0)).alias("__before"))
-    )
+    # one row per range: a few for each rows_per_range rows
+    before = counts.select("__range", "__sub", F.coalesce(F.sum("count").over(W.orderBy("__range", "__sub").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     place = F.row_number().over(W.partitionBy("__range", "__sub").orderBy(F.desc(score), F.asc(tie)))
     placed = rows.withColumn("__place", place).join(F.broadcast(before), ["__range", "__sub"])
     return placed.withColumn(name, F.col("__before") + F.col("__place")).drop("__range", "__sub", "__place", "__before")

@@ -1,4 +1,8 @@
-"""Comparison of scoring methods: correlations, divergence, two-group test."""
+"""Comparison of scoring methods: correlations, divergence, two-group test.
+
+Rows with a null or NaN on either side are left out; equal values share their mean rank; repeated rows count as often as
+they are there. Without rows correlations and divergence have none, the two-group test one row of zeros and nulls.
+"""
 
 from __future__ import annotations
 
@@ -11,45 +15,39 @@ from critiq.functions.numeric import DIMENSIONS
 from critiq.operators.ranking import average_rank
 
 
-def compared(dictionary: DataFrame, model: DataFrame) -> DataFrame:
-    """(appid, <dimension>_dict, <dimension>_llm): both methods' shares, apps that both have."""
-    left = dictionary.select("appid", *[F.col(k).alias(f"{k}_dict") for k in DIMENSIONS])
-    return left.join(model.select("appid", *[F.col(k).alias(f"{k}_llm") for k in DIMENSIONS]), "appid")
+def compared(dictionary: DataFrame, model: DataFrame, counts: tuple[str, ...] = (), confidence: tuple[str, ...] = ()) -> DataFrame:
+    """(appid, counts, <dimension>_dict, <dimension>_llm, confidence): both methods' shares for the apps that both have.
 
+    counts are columns of the dictionary's table to carry along, confidence of the model's. Null appids match nothing; an
+    app that stands twice in a table is compared twice.
+    """
+    left = dictionary.select("appid", *counts, *[F.col(k).alias(f"{k}_dict") for k in DIMENSIONS])
+    return left.join(model.select("appid", *[F.col(k).alias(f"{k}_llm") for k in DIMENSIONS], *confidence), "appid")
 
-def pearson(both: DataFrame) -> DataFrame:
-    """(dimension, r, n): pairs with a null or NaN are left out."""
-    return _per_dimension(both, lambda rows, x, y: rows.agg(F.corr(x, y).alias("r"), F.count("*").alias("n")))
 
+def by_dimension(both: DataFrame) -> DataFrame:
+    """(dimension, x, y): the shares of the two methods, a row per app and dimension; pairs with a null or NaN are left out."""
+    each = [F.struct(F.lit(k).alias("dimension"), F.col(f"{k}_dict").cast("double").alias("x"), F.col(f"{k}_llm").cast("double").alias("y")) for k in DIMENSIONS]
+    return both.select(F.inline(F.array(*each))).filter("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
 
-def spearman(both: DataFrame) -> DataFrame:
-    """The same on average ranks."""
-    def ranked(rows, x, y):
-        rows = average_rank(average_rank(rows, x, "rx"), y, "ry")
-        return rows.agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
 
-    return _per_dimension(both, ranked)
+def pearson(both: DataFrame) -> DataFrame:
+    """(dimension, r, n). A dimension without a pair has no row; r is null where one side does not vary."""
+    return by_dimension(both).groupBy("dimension").agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"))
 
 
-def _per_dimension(both: DataFrame, f) -> DataFrame:
-    out = None
-    for k in DIMENSIONS:
-        x, y = f"{k}_dict", f"{k}_llm"
-        rows = both.select(F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).filter(f"`{x}` IS NOT NULL AND `{y}` IS NOT NULL AND NOT isnan(`{x}`) AND NOT isnan(`{y}`)")
-        one = f(rows, x, y).withColumn("dimension", F.lit(k))
-        out = one if out is None else out.unionByName(one)
-    return out
+def spearman(both: DataFrame) -> DataFrame:
+    """(dimension, rho, n): the same on average ranks, all dimensions at once."""
+    rows = average_rank(average_rank(by_dimension(both), "x", "rx", ("dimension",)), "y", "ry", ("dimension",))
+    return rows.groupBy("dimension").agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
 
 
 def kl_divergence(both: DataFrame, scale: float = 1.0, eps: float = 1e-9) -> DataFrame:
     """(dimension, kl): sum of p ln(p / q) over apps, p and q divided by scale, cut to [eps, 1] and made to sum to 1."""
-    def one(rows, x, y):
-        cut = [F.greatest(F.lit(eps), F.least(F.lit(1.0), F.col(c) / scale)) for c in (x, y)]
-        rows = rows.select(cut[0].alias("p"), cut[1].alias("q"))
-        # sum p ln(p/q) / P - ln(P/Q), with P and Q the sums of the cut values
-        return rows.agg((F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))) / F.sum("p") - F.log(F.sum("p") / F.sum("q"))).alias("kl"))
-
-    return _per_dimension(both, one)
+    cut = [F.greatest(F.lit(eps), F.least(F.lit(1.0), F.col(c) / scale)).alias(to) for c, to in (("x", "p"), ("y", "q"))]
+    # sum p ln(p/q) / P - ln(P/Q), with P and Q the sums of the cut values
+    kl = F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))) / F.sum("p") - F.log(F.sum("p") / F.sum("q"))
+    return by_dimension(both).select("dimension", *cut).groupBy("dimension").agg(kl.alias("kl"))
 
 
 def mann_whitney(rows: DataFrame, value: str, high: str) -> DataFrame:
