@@ -13,8 +13,8 @@ def to_double(c: Column, default: float = 0.0) -> Column:
 
 
 def to_long(c: Column, default: int = 0) -> Column:
-    """Whole part of any number written as text; default where there is none."""
-    return F.coalesce(c.try_cast("double").try_cast("long"), F.lit(default)).cast("long")
+    """Whole part of any number written as text; default where there is none. Whole numbers keep all their digits."""
+    return F.coalesce(F.when(c.cast("string").rlike(r"^\s*[+-]?\d+\s*$"), c.try_cast("long")), c.try_cast("double").try_cast("long"), F.lit(default)).cast("long")
 
 
 def share(part: Column, whole: Column) -> Column:

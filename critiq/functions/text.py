@@ -33,8 +33,9 @@ def genre_label(c: Column, fold: bool = True) -> Column:
 
 
 def check_label(c: Column) -> Column:
-    """The looser form that quality control may use: separators as single spaces, lower case."""
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, r"[&/\\+\-_,;|]", " "), r"\s+", " ")))
+    """The form that quality control uses: lower case, no white space at the ends, separators as single spaces; null as empty."""
+    plain = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.translate(plain, "&/\\+-_,;|", " " * 9), " +", " ")
 
 
 def mask_personal(c: Column) -> Column:
@@ -102,7 +103,7 @@ def tokens(c: Column, shortest: int = 2, digits: bool = True, stem: bool = False
 def light_stem(t: Column) -> Column:
     """Without the first of ing, ed, ly, ies, s that ends it and leaves more than two characters."""
     out = t
-    for suffix in ("s", "ies", "ly", "ed", "ing"):
+    for suffix in reversed(("ing", "ed", "ly", "ies", "s")):  # each `when` stands before those built so far
         ends = F.endswith(t, F.lit(suffix)) & (F.length(t) > len(suffix) + 2)
         out = F.when(ends, F.substring(t, F.lit(1), F.length(t) - len(suffix))).otherwise(out)
     return out

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from critiq.functions.text import long_enough, unit_id
 
 BATCH = 128
-#: Apps with more rows than this are clustered by Spark's own k-means over all executors.
-ROWS_IN_GROUP = 5_000
+#: An app's centres are learnt from so many of its rows at most, those with the lowest hash of their id; every row is then
+#: assigned to the nearest centre, in blocks of so many rows.
+FIT_ROWS = BLOCK_ROWS = 5_000
 
 
 def hashed_encoder(dims: int = 64) -> Callable[[list[str]], np.ndarray]:
@@ -57,40 +58,57 @@ def cluster_count(rows: DataFrame, low: int = 8, high: int = 24) -> DataFrame:
 
 
 def _lloyd(x: np.ndarray, k: int, seed: int, rounds: int = 50) -> np.ndarray:
-    """k-means from spread-out starts; empty clusters keep their centre."""
+    """Centres by k-means from spread-out starts; empty clusters keep their centre."""
     rng = np.random.default_rng(seed)
     centres = x[[rng.integers(len(x))]]
     for _ in range(k - 1):
         far = ((x[:, None] - centres[None]) ** 2).sum(2).min(1)
         centres = np.vstack((centres, x[rng.choice(len(x), p=far / far.sum())] if far.sum() > 0 else x[:1]))
-    labels = np.zeros(len(x), np.int64)
+    labels = None
     for _ in range(rounds):
-        new = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
-        if (new == labels).all() and _:
+        new = _nearest(x, centres)
+        if labels is not None and (new == labels).all():
             break
         labels = new
         for c in np.unique(labels):
             centres[c] = x[labels == c].mean(0)
-    return labels
+    return centres
 
 
-def assign_clusters(rows: DataFrame, seed: int = 7) -> DataFrame:
-    """(appid, reviewId, cluster_id, cluster_size) from (appid, reviewId, emb)."""
-    counts = cluster_count(rows)
-    sized = rows.select("appid", "reviewId", "emb").join(counts, "appid")
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+
+
+def _learn_centres(table: pd.DataFrame, seed: int) -> pd.DataFrame:
+    table = table.sort_values("reviewId")
+    centres = _lloyd(np.stack(table["emb"]).astype(float), int(table["k"].iloc[0]), seed)
+    return pd.DataFrame({"appid": table["appid"].iloc[0], "centres": [list(c) for c in centres]})
+
 
-    def group(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("reviewId")
-        return table.assign(cluster_id=_lloyd(np.stack(table["emb"]).astype(float), int(table["k"].iloc[0]), seed).astype("int32"))[["appid", "reviewId", "cluster_id"]]
+def _assign(rows: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+    if not len(rows):
+        return pd.DataFrame({"appid": [], "reviewId": [], "cluster_id": []})
+    x, c = np.stack(rows["emb"]).astype(float), np.stack(centres.sort_values("at")["centre"])
+    labels = np.concatenate([_nearest(x[i : i + BATCH], c) for i in range(0, len(x), BATCH)])
+    return rows.assign(cluster_id=labels.astype("int32"))[["appid", "reviewId", "cluster_id"]]
 
-    out = sized.filter(F.col("n") <= ROWS_IN_GROUP).groupBy("appid").applyInPandas(group, "appid string, reviewId string, cluster_id int")
-    for r in counts.filter(F.col("n") > ROWS_IN_GROUP).collect():  # apps beyond what one task may hold
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.functions import array_to_vector
 
-        big = sized.filter(F.col("appid") == r.appid).withColumn("v", array_to_vector(F.col("emb").cast("array<double>")))
-        model = KMeans(featuresCol="v", predictionCol="cluster_id", k=r.k, seed=seed).fit(big)
-        out = out.unionByName(model.transform(big).select("appid", "reviewId", "cluster_id"))
+def assign_clusters(rows: DataFrame, seed: int = 7) -> DataFrame:
+    """(appid, reviewId, cluster_id, cluster_size) from (appid, reviewId, emb).
+
+    One rule at every size: centres from at most FIT_ROWS rows of an app, then the nearest centre for every row. A task holds
+    FIT_ROWS or BLOCK_ROWS rows of an app, never an app. Rows without app, id or vector take no part; repeated ids are
+    rows of their own; an empty table gives no rows.
+    """
+    rows = rows.select("appid", "reviewId", "emb").filter("appid IS NOT NULL AND reviewId IS NOT NULL AND emb IS NOT NULL")
+    counts = cluster_count(rows)
+    place = F.row_number().over(W.partitionBy("appid").orderBy(F.xxhash64("reviewId"), "reviewId"))
+    chosen = rows.withColumn("place", place).filter(F.col("place") <= FIT_ROWS).join(counts.select("appid", "k"), "appid").select("appid", "reviewId", "emb", "k")
+    learnt = chosen.groupBy("appid").applyInPandas(lambda t: _learn_centres(t, seed).groupby("appid")["centres"].apply(list).reset_index(), "appid string, centres array<array<double>>")
+    blocks = counts.select("appid", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
+    left = rows.join(blocks, "appid").withColumn("block", F.pmod(F.xxhash64("reviewId"), F.col("blocks")).cast("int")).select("appid", "block", "reviewId", "emb")
+    right = learnt.join(blocks, "appid").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("appid", "block", F.posexplode("centres").alias("at", "centre"))
+    out = left.groupBy("appid", "block").cogroup(right.groupBy("appid", "block")).applyInPandas(_assign, "appid string, reviewId string, cluster_id int")
     return with_sizes(out)
 
 
@@ -99,10 +117,16 @@ def with_sizes(assigned: DataFrame) -> DataFrame:
 
 
 def medoids(assigned: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """(appid, cluster_id, rep_reviewId, cluster_size): the member nearest to the cluster's mean, ties to the smaller id."""
-    rows = assigned.join(embeddings.select("appid", "reviewId", F.col("emb").cast("array<double>").alias("emb")), ["appid", "reviewId"])
-    parts = rows.select("appid", "cluster_id", F.posexplode("emb").alias("at", "x")).groupBy("appid", "cluster_id", "at").agg(F.avg("x").alias("x"))
-    means = parts.groupBy("appid", "cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("mean"))
+    """(appid, cluster_id, rep_reviewId, cluster_size): the member nearest to the cluster's mean, ties to the smaller id.
+
+    Members without a vector do not count; a repeated id counts as often as it is there.
+    """
+    rows = assigned.join(embeddings.select("appid", "reviewId", F.col("emb").cast("array<double>").alias("emb")).filter("emb IS NOT NULL"), ["appid", "reviewId"])
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    # vectors are summed on each task before the shuffle
+    means = rows.groupBy("appid", "cluster_id").agg(vector_to_array(Summarizer.mean(array_to_vector("emb"))).alias("mean"))
     square = F.aggregate(F.zip_with("emb", "mean", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x)
     near = rows.join(means, ["appid", "cluster_id"]).withColumn("d", F.round(square, 12))
     return near.groupBy("appid", "cluster_id").agg(F.min_by("reviewId", F.struct("d", "reviewId")).alias("rep_reviewId"), F.count("*").alias("cluster_size"))

@@ -11,7 +11,7 @@ from critiq.functions.numeric import renormalised
 from critiq.functions.text import tokens
 
 FUN = ("Flow", "Utility", "Nostalgia")
-#: A category's terms up to this many are matched as a set inside the row; more are joined.
+#: So many terms in all are matched as a set inside the row; more are joined, with the same result.
 TERMS_IN_ROW = 5_000
 
 
@@ -71,7 +71,8 @@ def review_scores(reviews: DataFrame, lexicon: dict[str, list[str]]) -> DataFram
     """A row per review: token count, counts per category, shares among hits (null without any), per 100 tokens, and soft shares.
 
     Soft shares are the counts per token, None the rest, made to sum to 1; an empty review is all None. lexicon has
-    FUN's categories, its terms as a set inside the row if there are not too many.
+    FUN's categories, its terms as a set inside the row if there are not too many. Null text is an empty review; rows with
+    null or repeated ids are scored one by one; an empty table gives no rows.
     """
     found = tokens(F.col("review"))
     few = sum(map(len, lexicon.values())) <= TERMS_IN_ROW
@@ -80,8 +81,10 @@ def review_scores(reviews: DataFrame, lexicon: dict[str, list[str]]) -> DataFram
         rows = rows.withColumns({f"{c}_count": _hits(lexicon.get(c)) for c in FUN})
     else:
         terms = reviews.sparkSession.createDataFrame([(t, c) for c, all_ in lexicon.items() for t in set(all_)], "token string, category string")
-        hits = rows.select("appid", "reviewId", F.explode("__tokens").alias("token")).join(terms, "token").groupBy("appid", "reviewId").pivot("category", list(FUN)).count()
-        rows = rows.join(hits, ["appid", "reviewId"], "left").withColumns({f"{c}_count": F.coalesce(F.col(c), F.lit(0)) for c in FUN}).drop(*FUN)
+        # each row has a number of its own, so null and repeated ids keep their own hits
+        kept = ["__row", "appid", "reviewId", "charLen", "isPositive", "n_tokens"]
+        each = rows.withColumn("__row", F.monotonically_increasing_id()).select(*kept, F.explode_outer("__tokens").alias("token"))
+        rows = each.join(terms, "token", "left").groupBy(*kept).agg(*[F.count_if(F.col("category") == c).alias(f"{c}_count") for c in FUN])
     counts = {c: F.col(f"{c}_count") for c in FUN}
     hits = reduce(lambda a, b: a + b, counts.values())
     n = F.greatest(F.lit(1), F.col("n_tokens"))

@@ -9,11 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from critiq.functions.numeric import share
-from critiq.functions.text import genre_label
+from critiq.functions.text import check_label
 from critiq.operators.catalog import acceptance
 from critiq.operators.describe import full_length_shares, length_shares
-from critiq.operators.pairing import NON_GAME_LABELS
-from critiq.operators.sampling import BUCKETS
+from critiq.operators.pairing import JUMP_LABELS, NON_GAME_LABELS
+from critiq.operators.sampling import BUCKETS, bucket_of, tertile_bounds
 
 # The limits of the rules.
 LEAST_REVIEWS, POSITIVITY_POINTS, LEAST_SPAN, SHARE_POINTS = 50, 5.0, 0.6, 10.0
@@ -52,10 +52,9 @@ def filtered_issues(filtered: DataFrame, expected: DataFrame) -> DataFrame:
     )
 
 
-def pair_issues(pairs: DataFrame, forbidden=NON_GAME_LABELS, fold: bool = True) -> DataFrame:
-    """Pairs without a first genre (WARN), with one that is no game's, with one that came before."""
-    label = genre_label(F.coalesce("firstGenre", F.lit("")), fold)
-    rows = pairs.withColumn("label", label)
+def pair_issues(pairs: DataFrame, forbidden=(*JUMP_LABELS, *NON_GAME_LABELS)) -> DataFrame:
+    """Pairs without a first genre (WARN), with one that is passed over or no game's, with one that came before."""
+    rows = pairs.withColumn("label", check_label(F.col("firstGenre")))
     seen = F.row_number().over(W.partitionBy("label").orderBy("pairIndex", F.desc("type"), "appid"))
     again = rows.filter("label != ''").withColumn("seen", seen).filter("seen > 1")
     return together(
@@ -96,7 +95,10 @@ def sample_against_full(reviews: DataFrame, sample: DataFrame) -> DataFrame:
     def shares(df, name):
         return df.select("appid", *[(F.col(f"{b}_share") * 100).alias(f"{b}_{name}") for b in BUCKETS])
 
-    return side(reviews, "full").join(side(sample, "sample"), "appid").join(shares(full_length_shares(reviews), "full"), "appid").join(shares(length_shares(sample), "sample"), "appid")
+    # a label that is no bucket's gives way to the bucket by the tertiles of all of the app's reviews
+    said = F.trim("lengthBucket")
+    labelled = sample.join(tertile_bounds(reviews, ["appid"]), "appid", "left").withColumn("lengthBucket", F.when(said.isin(*BUCKETS), said).otherwise(bucket_of(F.coalesce("charLen", F.lit(0)))))
+    return side(reviews, "full").join(side(sample, "sample"), "appid").join(shares(full_length_shares(reviews), "full"), "appid").join(shares(length_shares(labelled), "sample"), "appid")
 
 
 def sample_issues(compared: DataFrame, positivity: float = POSITIVITY_POINTS, span: float = LEAST_SPAN, points: float = SHARE_POINTS) -> DataFrame:
@@ -108,10 +110,10 @@ def sample_issues(compared: DataFrame, positivity: float = POSITIVITY_POINTS, sp
     )
 
 
-def app_summary(reviews: DataFrame, sample: DataFrame, issues: DataFrame) -> DataFrame:
-    """Per app: counts, shares and spans of full and sample, and issues by level."""
+def app_summary(compared: DataFrame, issues: DataFrame) -> DataFrame:
+    """Per app: counts, shares and spans of full and sample (sample_against_full), and issues by level."""
     levels = issues.filter("appid IS NOT NULL").groupBy("appid").pivot("level", ["ERROR", "WARN", "INFO"]).count().fillna(0)
-    return sample_against_full(reviews, sample).join(levels, "appid", "left").fillna(0, ["ERROR", "WARN", "INFO"])
+    return compared.join(levels, "appid", "left").fillna(0, ["ERROR", "WARN", "INFO"])
 
 
 def issues_by_level(issues: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from critiq.functions.numeric import to_double
 from critiq.operators.ranking import at_most_per_key, first_per_key
 
 REVIEW = (
@@ -33,7 +32,7 @@ def flatten_pages(pages: DataFrame, context: DataFrame | None = None) -> DataFra
 
 
 def deduplicated(reviews: DataFrame, *order: str) -> DataFrame:
-    """The first row of each (appid, reviewId) in the stated order."""
+    """The first row of each (appid, reviewId) in the stated order; null ids are a key of their own, rows equal in the order may change places."""
     return first_per_key(reviews, ["appid", "reviewId"], *[F.col(c) for c in order])
 
 
@@ -58,9 +57,12 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def with_defaults(reviews: DataFrame) -> DataFrame:
-    """charLen and isPositive where they are missing."""
+    """charLen and isPositive where the column or the value is missing: the text's length, and voted_up; 0 without either.
+
+    An isPositive that is no number counts as missing.
+    """
     out = reviews if "charLen" in reviews.columns else reviews.withColumn("charLen", F.lit(None).cast("int"))
     out = out.withColumn("charLen", F.coalesce("charLen", F.length(F.coalesce("review", F.lit("")))))
     voted = F.col("voted_up").cast("int") if "voted_up" in out.columns else F.lit(None).cast("int")
-    have = to_double(F.col("isPositive")).cast("int") if "isPositive" in out.columns else F.lit(None).cast("int")
+    have = F.col("isPositive").try_cast("double").cast("int") if "isPositive" in out.columns else F.lit(None).cast("int")
     return out.withColumn("isPositive", F.coalesce(have, voted, F.lit(0)))

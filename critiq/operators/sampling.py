@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,11 +22,15 @@ def tertile_bounds(reviews: DataFrame, keys: list[str], value: str = "charLen")
     return placed.groupBy(*keys).agg(*at.values())
 
 
+def bucket_of(value) -> Column:
+    """The bucket of a length by the columns p33 and p66."""
+    return F.when(value <= F.col("p33"), "short").when(value <= F.col("p66"), "medium").otherwise("long")
+
+
 def with_length_bucket(reviews: DataFrame, keys: list[str], value: str = "charLen") -> DataFrame:
     """reviews with lengthBucket by the tertiles of their group."""
     bounds = tertile_bounds(reviews, keys, value)
-    label = F.when(F.col(value) <= F.col("p33"), "short").when(F.col(value) <= F.col("p66"), "medium").otherwise("long")
-    return reviews.join(bounds, keys).withColumn("lengthBucket", label).drop("p33", "p66")
+    return reviews.join(bounds, keys).withColumn("lengthBucket", bucket_of(F.col(value))).drop("p33", "p66")
 
 
 def stratum_index(positive: str = "isPositive"):
@@ -71,12 +75,28 @@ def is_even_pick(place, total, target):
     return F.when(target <= 0, False).when(target >= total, True).otherwise(hit)
 
 
+def placed_by_time(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with place, from 0, in the order of (timestamp_created, reviewId as text) within keys; null times first.
+
+    Days are counted first, so a task orders a day of a group and never a group.
+    """
+    day = F.coalesce(F.floor(F.col("timestamp_created") / DAY), F.lit(-(1 << 40)))
+    rows = rows.withColumn("__day", day)
+    before = rows.groupBy(*keys, "__day").agg(F.count("*").alias("__n"))
+    ahead = W.partitionBy(*keys).orderBy("__day").rowsBetween(W.unboundedPreceding, -1)
+    before = before.select(*keys, "__day", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"))
+    within = F.row_number().over(W.partitionBy(*keys, "__day").orderBy("timestamp_created", F.col("reviewId").cast("string")))
+    return rows.withColumn("__within", within).join(before, [*keys, "__day"]).withColumn("place", F.col("__before") + F.col("__within") - 1).drop("__day", "__before", "__within")
+
+
 def stratified_sample(reviews: DataFrame, cap: int = 150) -> DataFrame:
-    """reviews (appid, reviewId, isPositive, charLen, timestamp_created, ...) sampled, with lengthBucket and sampleIndexWithinApp."""
+    """reviews (appid, reviewId, isPositive, charLen, timestamp_created, ...) sampled, with lengthBucket and sampleIndexWithinApp.
+
+    Rows with a null app or sentiment are in no stratum. Equal times go by id; rows equal in both may change places.
+    """
     bucketed = with_length_bucket(reviews, ["appid", "isPositive"])
     plan = allocation(bucketed, cap).select("appid", "isPositive", "lengthBucket", "total", "target")
-    order = W.partitionBy("appid", "isPositive", "lengthBucket").orderBy("timestamp_created", F.col("reviewId").cast("string"))
-    rows = bucketed.withColumn("place", F.row_number().over(order) - 1).join(plan, ["appid", "isPositive", "lengthBucket"])
+    rows = placed_by_time(bucketed, ["appid", "isPositive", "lengthBucket"]).join(plan, ["appid", "isPositive", "lengthBucket"])
     picked = rows.filter(is_even_pick(F.col("place"), F.col("total"), F.col("target"))).drop("place", "total", "target")
     index = F.row_number().over(W.partitionBy("appid").orderBy("timestamp_created", F.col("reviewId").cast("string")))
     return picked.withColumn("sampleIndexWithinApp", index)
