@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from critiq.functions.text import check_label
 from critiq.operators import bibliometrics as B
 from critiq.operators import catalog as C
 from critiq.operators import pairing as P
@@ -85,8 +86,17 @@ def qc_filtered(spark, sf_dir):
 
 
 def qc_pairs(spark, sf_dir):
-    rows = P.with_first_genre(details(spark, sf_dir), JUMP, ()).filter(F.col("appid").cast("long") % 50 == 0)
-    return Q.pair_issues(rows.withColumns({"pairIndex": F.col("appid").cast("int"), "type": F.lit("top")}), NON_GAME)
+    """All parts as if they were pairs; every fortieth has lost its genre."""
+    rows = P.with_first_genre(details(spark, sf_dir), JUMP, ())
+    number = F.col("appid").cast("int")
+    rows = rows.withColumns({"firstGenre": F.when(number % 40 != 0, F.col("firstGenre")), "pairIndex": number, "type": F.lit("top")})
+    return Q.pair_issues(rows, NON_GAME)
+
+
+def check_labels(spark, sf_dir):
+    """Quality control's form of labels with separators."""
+    label = F.concat_ws("&", F.initcap("p_type"), F.lit(" /"), F.replace("p_name", F.lit(" "), F.lit("_-")), F.lit("|;x"))
+    return table(spark, sf_dir, "part").select("p_partkey", check_label(label).alias("label"))
 
 
 def pubs_per_year(spark, sf_dir):
@@ -94,7 +104,7 @@ def pubs_per_year(spark, sf_dir):
 
 
 def _papers(spark, sf_dir):
-    return table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("ID"), F.year("o_orderdate").alias("Year"), F.col("o_orderpriority").alias("Source"), F.col("o_custkey").alias("Title"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ID"), F.year("o_orderdate").alias("Year"), F.col("o_orderpriority").alias("Source"), F.col("o_custkey").alias("Title"))
 
 
 def pub_density(spark, sf_dir):
@@ -155,7 +165,7 @@ def venue_counts(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     acceptance_metrics, acceptance_rank, quartile_mid, quartile_extremes, quartile_borders, top_catalog, first_genre, pair_candidates, select_pairs, pair_deltas,
-    qc_catalog, qc_filtered, qc_pairs, pubs_per_year, pub_density, pub_growth, element_counts, category_totals, category_cooccurrence, facet_counts, source_totals, venue_counts,
+    qc_catalog, qc_filtered, qc_pairs, check_labels, pubs_per_year, pub_density, pub_growth, element_counts, category_totals, category_cooccurrence, facet_counts, source_totals, venue_counts,
 )}
 
 _GENRES = """labels AS (
@@ -167,7 +177,7 @@ genres AS (
          arg_min(genre, place) FILTER (label NOT IN ('promo', 'standard', 'brand 7', 'small') AND label <> '') AS "firstGenre",
          arg_min(label, place) FILTER (label NOT IN ('promo', 'standard', 'brand 7', 'small') AND label <> '') AS "genreKey"
   FROM plain GROUP BY appid)"""
-_YEARS = """counts AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+_YEARS = """counts AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n FROM orders GROUP BY 1),
 yearly AS (SELECT CAST(y AS INTEGER) AS year, coalesce(n, 0) AS n FROM (SELECT unnest(range((SELECT min(year) FROM counts), (SELECT max(year) FROM counts) + 1)) AS y) LEFT JOIN counts ON y = year)"""
 _ELEMENTS = """elements AS (SELECT DISTINCT p_partkey AS id, trim(unnest(regexp_split_to_array(replace(p_name, ' ', ', ') || '; ' || lower(p_type), '[;,]'))) AS element FROM part),
 members AS (SELECT DISTINCT id, category FROM elements JOIN (VALUES ('Technology', 'a'), ('Design', 'e'), ('Aesthetic', 'i'), ('Experience', 'o'), ('Narrative', 'u')) v(category, vowel) ON contains(element, vowel))"""
@@ -196,12 +206,27 @@ UNION ALL SELECT 'INFO', 'catalog_score', appid, CAST("acceptanceScore" AS VARCH
 SELECT 'ERROR' AS level, 'filtered_missing' AS "where", appid, 'expected' AS detail FROM mid WHERE CAST(appid AS BIGINT) % 89 = 0 AND CAST(appid AS BIGINT) % 83 <> 0
 UNION ALL SELECT 'ERROR', 'filtered_duplicate', appid, '2' FROM mid WHERE CAST(appid AS BIGINT) % 83 = 0 AND CAST(appid AS BIGINT) % 89 <> 0
 UNION ALL SELECT 'ERROR', 'filtered_extra', appid, 'not expected' FROM mid WHERE CAST(appid AS BIGINT) % 83 = 0 AND CAST(appid AS BIGINT) % 89 <> 0""",
-    "qc_pairs": """WITH labels AS (SELECT p_partkey AS id, unnest([p_type, p_brand, split_part(p_name, ' ', 1)]) AS genre, unnest([1, 2, 3]) AS place FROM part WHERE p_partkey % 50 = 0),
+    "select_pairs": f"""WITH RECURSIVE {ELIGIBLE_SQL}, {_GENRES},
+kept AS (SELECT *, "rankAcceptance" - CASE WHEN "rankAcceptance" - 1 >= q3 THEN q3 - q1 ELSE 0 END AS "rankFiltered" FROM cut WHERE NOT ("rankAcceptance" - 1 >= q1 AND "rankAcceptance" - 1 < q3)),
+c AS MATERIALIZED (SELECT k.appid, "rankFiltered" AS r, "firstGenre", "genreKey" AS g FROM kept k JOIN genres x ON k.appid = x.appid WHERE p_size > 5 AND "firstGenre" IS NOT NULL AND "totReview" >= 30),
+ends AS MATERIALIZED (SELECT g, min(r) AS a, max(r) AS b FROM c GROUP BY g),
+walk AS (
+  SELECT 0 AS i, CAST(-1 AS BIGINT) AS low, CAST(1e18 AS BIGINT) AS high, CAST([] AS VARCHAR[]) AS used
+  UNION ALL
+  SELECT i + 1, t.a, d.b, list_concat(used, [t.g, d.g]) FROM walk w,
+    LATERAL (SELECT g, a FROM ends WHERE a > w.low AND a < w.high AND NOT list_contains(w.used, g) ORDER BY a LIMIT 1) t,
+    LATERAL (SELECT g, b FROM ends WHERE b > t.a AND b < w.high AND NOT list_contains(w.used, g) AND g <> t.g ORDER BY b DESC LIMIT 1) d
+  WHERE i < 5)
+SELECT CAST(i AS INTEGER) AS "pairIndex", side AS type, appid, "firstGenre", r AS "rankFiltered" FROM (SELECT i, unnest(['top', 'bottom']) AS side, unnest([low, high]) AS stands FROM walk WHERE i > 0) JOIN c ON r = stands""",
+    "qc_pairs": """WITH labels AS (SELECT p_partkey AS id, unnest([p_type, p_brand, split_part(p_name, ' ', 1)]) AS genre, unnest([1, 2, 3]) AS place FROM part),
 plain AS (SELECT *, trim(regexp_replace(lower(genre), '[^a-z0-9 ]', '', 'g')) AS label FROM labels),
-first AS (SELECT id, arg_min(label, place) FILTER (label <> 'promo' AND label <> '') AS label FROM plain GROUP BY id),
-seen AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) AS seen FROM first)
+first AS (SELECT id, CASE WHEN id % 40 <> 0 THEN arg_min(genre, place) FILTER (label <> 'promo' AND label <> '') END AS genre FROM plain GROUP BY id),
+checked AS (SELECT id, regexp_replace(translate(lower(trim(coalesce(genre, ''))), '&/\\+-_,;|', '         '), ' +', ' ', 'g') AS label FROM first),
+seen AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) AS seen FROM checked)
 SELECT 'ERROR' AS level, 'pair_genre_forbidden' AS "where", CAST(id AS VARCHAR) AS appid, label AS detail FROM seen WHERE label IN ('standard', 'brand 7', 'small')
-UNION ALL SELECT 'ERROR', 'pair_genre_repeated', CAST(id AS VARCHAR), label FROM seen WHERE seen > 1""",
+UNION ALL SELECT 'ERROR', 'pair_genre_repeated', CAST(id AS VARCHAR), label FROM seen WHERE seen > 1 AND label <> ''
+UNION ALL SELECT 'WARN', 'pair_genre_missing', CAST(id AS VARCHAR), CAST(id AS VARCHAR) FROM seen WHERE label = ''""",
+    "check_labels": r"""SELECT p_partkey, regexp_replace(translate(lower(p_type || '& /&' || replace(p_name, ' ', '_-') || '&|;x'), '&/\+-_,;|', '         '), ' +', ' ', 'g') AS label FROM part""",
     "pubs_per_year": f"WITH {_YEARS} SELECT year, n FROM yearly",
     "pub_density": f"WITH {_YEARS} SELECT year, n, CAST(sum(n) OVER (ORDER BY year RANGE BETWEEN CURRENT ROW AND 4 FOLLOWING) AS BIGINT) AS density FROM yearly",
     "pub_growth": f"WITH {_YEARS} SELECT round(regr_slope(ln(CAST(n AS DOUBLE)), CAST(year AS DOUBLE)), 9) AS slope, round(exp(regr_slope(ln(CAST(n AS DOUBLE)), CAST(year AS DOUBLE))) - 1, 9) AS growth FROM yearly WHERE n > 0",
@@ -212,7 +237,7 @@ SELECT a.category AS a, b.category AS b, count(*) AS n FROM members a JOIN membe
 UNION ALL SELECT category, category, count(*) FROM single GROUP BY 1""",
     "facet_counts": """WITH f AS (SELECT CAST(l_returnflag = 'R' AS INTEGER) AS a, CAST(l_linestatus = 'F' AS INTEGER) AS b, CAST(l_discount > 0.05 AS INTEGER) AS c, CAST(l_tax > 0.03 AS INTEGER) AS d FROM lineitem)
 SELECT a + b + c + d AS n_facets, count(*) AS papers, CAST(sum(a) AS BIGINT) AS "Conceptual", CAST(sum(b) AS BIGINT) AS "Scientific", CAST(sum(c) AS BIGINT) AS "Projectual", CAST(sum(d) AS BIGINT) AS "Outcome" FROM f GROUP BY 1""",
-    "source_totals": """WITH p AS (SELECT o_orderpriority AS "Source", row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'F')
+    "source_totals": """WITH p AS (SELECT o_orderpriority AS "Source", row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS place FROM orders)
 SELECT "Source", count(*) AS found, count(*) FILTER (place = 1) AS kept FROM p GROUP BY 1""",
-    "venue_counts": "SELECT o_orderpriority AS \"Source\", count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1",
+    "venue_counts": "SELECT o_orderpriority AS \"Source\", count(*) AS n FROM orders GROUP BY 1",
 }

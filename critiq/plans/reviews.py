@@ -12,7 +12,7 @@ from critiq.plans.views import REVIEWS_SQL, SAMPLE_CAP, reviews, table
 from critiq.streaming.ingest import new_reviews
 
 
-def _pages(spark, sf_dir):
+def review_pages(spark, sf_dir):
     """Documents as review pages: one JSON text per source and hundred ids."""
     rows = reviews(spark, sf_dir)
     review = F.struct(
@@ -24,7 +24,7 @@ def _pages(spark, sf_dir):
 
 
 def flatten_review_pages(spark, sf_dir):
-    return R.flatten_pages(_pages(spark, sf_dir)).select("appid", "page", "reviewId", "language", "isPositive", "timestamp_created", "votes_up", "authorSteamId", "playtime_forever", "charLen", F.md5("review").alias("review_md5"))
+    return R.flatten_pages(review_pages(spark, sf_dir)).select("appid", "page", "reviewId", "language", "isPositive", "timestamp_created", "votes_up", "authorSteamId", "playtime_forever", "charLen", F.md5("review").alias("review_md5"))
 
 
 def dedupe_reviews(spark, sf_dir):
@@ -124,17 +124,34 @@ def qc_master_rows(spark, sf_dir):
 
 
 def qc_pages_vs_checkpoint(spark, sf_dir):
-    pages = _pages(spark, sf_dir).select("appid", "page", "n_reviews")
+    pages = review_pages(spark, sf_dir).select("appid", "page", "n_reviews")
     checkpoints = pages.groupBy("appid").agg((F.count("*") + (F.substring("appid", 4, 3).cast("int") % 3 == 0).cast("int")).cast("int").alias("pages"))
     return Q.page_issues(pages, checkpoints)
 
 
+def _compared(spark, sf_dir):
+    """Sample against full, one row per app; kept in memory, since each rule and the summary read it."""
+    return Q.sample_against_full(reviews(spark, sf_dir), _sample(spark, sf_dir)).cache()
+
+
+def _sample_issues(compared):
+    return Q.sample_issues(compared, positivity=1.0, span=0.97, points=5.0)
+
+
 def qc_sample(spark, sf_dir):
-    return Q.sample_issues(Q.sample_against_full(reviews(spark, sf_dir), _sample(spark, sf_dir)), positivity=1.0, span=0.97, points=5.0)
+    return _sample_issues(_compared(spark, sf_dir))
+
+
+def qc_sample_labels(spark, sf_dir):
+    """Bucket shares of samples of which every fourth label is no bucket's."""
+    sample = _sample(spark, sf_dir).withColumn("lengthBucket", F.when(F.col("doc_id") % 4 == 0, "?").otherwise(F.concat(F.lit(" "), "lengthBucket")))
+    rows = Q.sample_against_full(reviews(spark, sf_dir), sample)
+    return rows.select("appid", *[F.round(f"{b}_sample", 6).alias(f"{b}_sample") for b in S.BUCKETS])
 
 
 def qc_summary(spark, sf_dir):
-    rows = Q.app_summary(reviews(spark, sf_dir), _sample(spark, sf_dir), qc_sample(spark, sf_dir).unionByName(qc_reviews(spark, sf_dir)))
+    compared = _compared(spark, sf_dir)
+    rows = Q.app_summary(compared, _sample_issues(compared).unionByName(qc_reviews(spark, sf_dir)))
     return rows.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
 
 
@@ -145,7 +162,7 @@ def qc_issue_levels(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     flatten_review_pages, dedupe_reviews, cap_reviews_per_app, new_reviews_only, length_tertiles, length_buckets, stratum_allocation, stratified_sample, sampling_summary,
     per_app_stats, sample_length_shares, full_length_shares, unmatched_apps, app_pairs_joined, corpus_summary, length_histogram, event_value_histogram, sentiment_length_table,
-    qc_reviews, qc_master_rows, qc_pages_vs_checkpoint, qc_sample, qc_summary, qc_issue_levels,
+    qc_reviews, qc_master_rows, qc_pages_vs_checkpoint, qc_sample, qc_sample_labels, qc_summary, qc_issue_levels,
 )}
 
 _BUCKETS = REVIEWS_SQL + """,
@@ -221,6 +238,9 @@ SELECT 'ERROR' AS level, 'master_rows' AS "where", NULL::VARCHAR AS appid, CAST(
     "qc_pages_vs_checkpoint": f"""WITH {REVIEWS_SQL}, p AS (SELECT appid, count(DISTINCT floor(doc_id / 100)) AS held FROM reviews GROUP BY appid)
 SELECT 'WARN' AS level, 'pages_vs_checkpoint' AS "where", appid, CAST(held AS VARCHAR) || '/' || CAST(held + 1 AS VARCHAR) AS detail FROM p WHERE CAST(substr(appid, 4, 3) AS INTEGER) % 3 = 0""",
     "qc_sample": f"WITH {_COMPARED} SELECT * FROM sample_issues",
+    "qc_sample_labels": f"""WITH {_SAMPLE}, b AS (SELECT s.appid, CASE WHEN s.doc_id % 4 <> 0 THEN s."lengthBucket" WHEN "charLen" <= v[CAST(floor(0.333::DOUBLE * (len(v) - 1)) AS BIGINT) + 1] THEN 'short'
+  WHEN "charLen" <= v[CAST(floor(0.666::DOUBLE * (len(v) - 1)) AS BIGINT) + 1] THEN 'medium' ELSE 'long' END AS "lengthBucket" FROM sample s JOIN app_bounds USING (appid))
+SELECT appid, round(short_share * 100, 6) AS short_sample, round(medium_share * 100, 6) AS medium_sample, round(long_share * 100, 6) AS long_sample FROM {_SHARES.format('b')}""",
     "qc_summary": f"""WITH {_COMPARED}, {_SPOILT}, levels AS (SELECT appid, count(*) FILTER (level = 'ERROR') AS "ERROR", count(*) FILTER (level = 'WARN') AS "WARN", count(*) FILTER (level = 'INFO') AS "INFO" FROM (SELECT * FROM sample_issues UNION ALL SELECT * FROM review_issues) GROUP BY appid)
 SELECT appid, n_full, n_sample, round(positive_full, 6) AS positive_full, round(span_full, 6) AS span_full, round(positive_sample, 6) AS positive_sample, round(span_sample, 6) AS span_sample,
   round(short_full, 6) AS short_full, round(medium_full, 6) AS medium_full, round(long_full, 6) AS long_full, round(short_sample, 6) AS short_sample, round(medium_sample, 6) AS medium_sample, round(long_sample, 6) AS long_sample,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from critiq.functions.numeric import to_long
@@ -22,16 +23,20 @@ def read_catalog_pages(spark: SparkSession, path: str) -> DataFrame:
     return catalog_rows(spark.read.text(path, wholetext=True).withColumnRenamed("value", "json"))
 
 
+def named_pages(rows: DataFrame) -> DataFrame:
+    """(appid, page, json) from (file, json), file ending in <appid>/page_<n>.json."""
+    return rows.select(F.regexp_extract("file", r"([^/]+)/page_\d+\.json$", 1).alias("appid"), F.regexp_extract("file", r"page_(\d+)\.json$", 1).cast("int").alias("page"), "json")
+
+
 def read_review_pages(spark: SparkSession, path: str) -> DataFrame:
     """(appid, page, json) from files <appid>/page_<n>.json."""
-    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("json"), F.input_file_name().alias("file"))
-    return rows.select(F.regexp_extract("file", r"/([^/]+)/page_\d+\.json$", 1).alias("appid"), F.regexp_extract("file", r"page_(\d+)\.json$", 1).cast("int").alias("page"), "json")
+    return named_pages(spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("json"), F.input_file_name().alias("file")))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, fallback: str | None = None) -> DataFrame:
     """CSV with quoted line breaks; the master file if it has rows, else the per-app files under `fallback`."""
     def read(at: str) -> DataFrame:
-        return spark.read.csv(at, schema=schema, header=True, multiLine=True, escape='"', recursiveFileLookup=True)
+        return spark.read.csv(at, schema=schema, header=True, multiLine=True, escape='"', recursiveFileLookup=True, emptyValue="", lineSep="\n")
 
     if fallback is None:
         return read(path)
@@ -71,14 +76,35 @@ def resolved(rows: DataFrame) -> DataFrame:
     return rows.select(*[v.alias(k) for k, v in named.items()], *[c for c in rows.columns if c not in named])
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str], decimals: int = 6) -> None:
-    """Columns in the given order, doubles rounded."""
+def in_order(df: DataFrame, order: list[str] | None) -> DataFrame:
+    """Rows range-sorted by `order` (a leading "-" for descending), nulls last: files and rows of a writer come in this order."""
+    if not order:
+        return df
+    return df.orderBy(*[F.col(c[1:]).desc_nulls_last() if c.startswith("-") else F.col(c).asc_nulls_last() for c in order])
+
+
+def is_ordered(rows: DataFrame, file: str, line: str, order: list[str]) -> bool:
+    """Whether rows (file, line, columns of `order`, the last one a number) stand in the order that in_order gives: within each
+    file from line to line, and from file to file."""
+    key = F.struct(*[-F.col(c[1:]) if c.startswith("-") else F.col(c) for c in order])
+    inside = rows.select(F.col(file).alias("f"), key.alias("k"), F.lag(key).over(W.partitionBy(file).orderBy(line)).alias("before")).filter("before > k")
+    ends = rows.groupBy(F.col(file).alias("f")).agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    across = ends.withColumn("before", F.lag("hi").over(W.orderBy("f"))).filter("before > lo")  # one row per file
+    return inside.isEmpty() and across.isEmpty()
+
+
+def write_csv(df: DataFrame, path: str, columns: list[str], decimals: int = 6, order: list[str] | None = None) -> None:
+    """Columns in the given order, doubles rounded, rows in the stated order if any. Null is an empty field, an empty text "\"\"".
+
+    Reads back by read_csv: white space at the ends of texts, quotes and line breaks stay.
+    """
     kinds = dict(df.dtypes)
-    df.select(*[F.round(c, decimals).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in columns]).write.csv(path, header=True, escape='"')
+    rows = in_order(df, order).select(*[F.round(c, decimals).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in columns])
+    rows.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
-def write_json_lines(df: DataFrame, path: str) -> None:
-    df.write.json(path, ignoreNullFields=False)
+def write_json_lines(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    in_order(df, order).write.json(path, ignoreNullFields=False)
 
 
 def write_per_app(df: DataFrame, path: str, key: str = "appid", form: str = "parquet") -> None:
