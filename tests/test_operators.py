@@ -128,7 +128,7 @@ def test_texts(spark):
     assert [one(spark, t, X.light_stem) for t in ("running", "wanted", "used", "likes", "flies", "ss", "as")] == ["runn", "want", "used", "like", "flie", "ss", "as"]
     assert one(spark, 'so {"a": "}", "b": {"c": 1}} x', X.first_json) == '{"a": "}", "b": {"c": 1}}'
     assert one(spark, "no object {", X.first_json) is None
-    assert one(spark, "3.9", to_long) == 3 and one(spark, "x", to_long) == 0
+    assert one(spark, "3.9", to_long) == 3 and one(spark, "x", to_long) == 0 and one(spark, "9007199254740993", to_long) == 9007199254740993
 
 
 def test_renormalised(spark):
@@ -160,11 +160,57 @@ def test_response_reasons(spark):
     assert tie.dominant == "tie" and tie.dominance_fixed
 
 
+@pytest.mark.parametrize("changes, reason, review_id", [
+    ({"rationale_brief": 5}, "rationale_not_string", "1"), ({"rationale_brief": True}, "rationale_not_string", "1"), ({"rationale_brief": "[ok] nice"}, None, "1"), ({"dominant": " Flow "}, None, "1"),
+    ({"reviewId": 9007199254740993}, None, "9007199254740993"), ({"reviewId": "3.5"}, "reviewId_not_int_or_null", None), ({"reviewId": 10**25}, None, str(10**25)), ({"reviewId": -3.7}, None, "-3"),
+    ({"reviewId": " 12 "}, None, "12"), ({"confidence": 1.5}, "out_of_range:confidence", "1"), ({"confidence": "0.5"}, None, "1"), ({"confidence": None}, "out_of_range:confidence", "1"), ({"dominant": 3}, "invalid_dominant", "1"),
+])
+def test_response_kinds(spark, changes, reason, review_id):
+    """Fields are read by their JSON kind."""
+    row = R.parsed(spark.createDataFrame([(0, line(**changes, other={"a": [1]}))], "line_no int, line string")).first()
+    assert (row.reason, row.reviewId, row.extras) == (reason, review_id, {"other": '{"a":[1]}'})
+
+
+def test_reply_lines(spark):
+    replies = [('sure: {"Flow": 1} !', "a", "7"), ('{"appid": "b", "x": 1}', "a", None), ("{}", "a", "7"), ("none", "a\"q", "7"), (None, "a", None)]
+    rows = spark.createDataFrame(replies, "reply string, appid string, id string").select(R.reply_line(F.col("reply"), F.col("appid"), F.col("id")).alias("x")).collect()
+    assert [json.loads(r.x) for r in rows] == [
+        {"Flow": 1, "appid": "a", "reviewId": "7"}, {"appid": "b", "x": 1, "reviewId": None}, {"appid": "a", "reviewId": "7"}, {"appid": 'a"q', "reviewId": "7", "_error": "non-JSON output"},
+        {"appid": "a", "reviewId": None, "_error": "non-JSON output"},
+    ]
+
+
 def test_null_ids_match(spark):
     rows = spark.createDataFrame([("a", None), ("a", "1")], "appid string, reviewId string")
     assert [tuple(r) for r in V.not_in(rows, rows.filter("reviewId IS NULL"), ["appid", "reviewId"]).collect()] == [("a", "1")]
 
 
+def test_large_lexicons_score_as_small_ones(spark, monkeypatch):
+    """Terms matched by a join: null and repeated ids keep their own hits."""
+    rows = [("a", None, "both two", 8, 1), (None, "1", "both both", 9, 0), ("a", "2", "two", 3, 1), ("a", "2", "none here", 9, 1), ("a", "3", None, 0, 0)]
+    rows = spark.createDataFrame(rows, "appid string, reviewId string, review string, charLen int, isPositive int")
+    lexicon = {"Flow": ["both"], "Utility": ["both", "two"], "Nostalgia": []}
+    small = sorted(map(str, L.review_scores(rows, lexicon).collect()))
+    monkeypatch.setattr(L, "TERMS_IN_ROW", 0)
+    assert sorted(map(str, L.review_scores(rows, lexicon).collect())) == small and len(small) == 5
+
+
+def test_places_by_time(spark):
+    rows = [(i % 2, str(i), None if i % 11 == 0 else (i * 7919) % 400_000) for i in range(200)]
+    frame = spark.createDataFrame(rows, "g int, reviewId string, timestamp_created long")
+    got = {r.reviewId: r.place for r in S.placed_by_time(frame, ["g"]).collect()}
+    for g in (0, 1):
+        want = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2] is not None, r[2] or 0, r[1]))
+        assert [got[r[1]] for r in want] == list(range(100))
+
+
+def test_bad_labels_go_by_the_full_tertiles(spark):
+    full = spark.createDataFrame([("a", str(i), i + 1, 1, i) for i in range(9)], "appid string, reviewId string, charLen int, isPositive int, timestamp_created long")
+    sample = full.withColumn("lengthBucket", F.when(F.col("charLen") == 9, "?").when(F.col("charLen") == 1, None).otherwise(" medium "))
+    row = Q.sample_against_full(full, sample).first()
+    assert [round(row[f"{b}_sample"] * 9 / 100) for b in S.BUCKETS] == [1, 7, 1]
+
+
 @pytest.mark.parametrize("n, k", [(1, 1), (55, 8), (101, 10), (150, 12), (1000, 24)])
 def test_cluster_count(spark, n, k):
     assert K.cluster_count(spark.range(n).select(F.lit("a").alias("appid"))).first().k == k
@@ -179,6 +225,15 @@ def test_clusters_are_separated(spark):
     assert len(out) == 64 and sum(len(g) == 1 for g in groups.values()) >= 6
 
 
+def test_clusters_do_not_depend_on_blocks(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(a, f"{a}{i}", [rng.gauss(10 * (i % 8), 0.1), rng.gauss(0, 0.1)]) for a in "ab" for i in range(90)] + [("a", None, [0.0, 0.0]), (None, "x", [0.0, 0.0]), ("a", "y", None)]
+    frame = spark.createDataFrame(rows, "appid string, reviewId string, emb array<float>")
+    whole = {tuple(r) for r in K.assign_clusters(frame).collect()}
+    monkeypatch.setattr(K, "BLOCK_ROWS", 25)
+    assert {tuple(r) for r in K.assign_clusters(frame).collect()} == whole and len(whole) == 180
+
+
 def test_embedding_keeps_rows_when_a_batch_fails(spark):
     def broken():
         def encode(texts):
@@ -229,6 +284,14 @@ def test_files_round_trip(spark, tmp_path):
     assert (names.appid, names.text) == ("5", "t") and names.reviewId.isdigit()
 
 
+def test_review_page_files(spark, tmp_path):
+    (tmp_path / "app7").mkdir()
+    for n in (1, 2):
+        (tmp_path / "app7" / f"page_{n}.json").write_text(json.dumps({"success": 1, "reviews": [{"recommendationid": str(n), "review": "r\n r"}]}, indent=1))
+    rows = V.flatten_pages(files.read_review_pages(spark, str(tmp_path))).collect()
+    assert sorted((r.appid, r.page, r.reviewId, r.charLen) for r in rows) == [("app7", 1, "1", 4), ("app7", 2, "2", 4)]
+
+
 def test_ingest_resumes(spark, tmp_path):
     from critiq.streaming.ingest import ingest
 
