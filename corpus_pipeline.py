@@ -2,6 +2,11 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and reread as the next one's docs. All but the last return the columns of documents.
+
+Odd input: a null text counts as empty everywhere; rows without doc_id are scored, never near-duplicates or contaminated,
+and mixed and written like others; rows that repeat a doc_id are one document for near-duplicates and decontamination (all of
+them go or stay) and rows of their own elsewhere. Without labels all quality scores are equal and above the threshold, so
+nothing goes. Empty documents give no rows at every stage. Further columns are kept by all stages but the last.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from critiq.llm import decontam, mixing, neardup, quality, tokens
-from critiq.llm.shared import saved, shared_dir, table
+from critiq.llm.shared import run_dir, saved, table
 
 #: Documents whose quality score is below this go.
 QUALITY_THRESHOLD = 0.3
@@ -47,7 +52,7 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """The documents' token ids, as written to files and read back: doc_id, start, n_tokens, ids."""
     import public_tokenizers
 
-    path = f"{shared_dir(spark)}/pipeline-tokens-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/pipeline-tokens-{uuid.uuid4().hex}"
     tokens.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), path)
     return tokens.read_tokens(spark, path)
 
