@@ -413,13 +413,13 @@ def test_recall_where_the_graph_matters(spark):
 
 
 def test_neighbours_of_a_hub(spark, monkeypatch):
-    """Blocks of a frontier that all queries send to few nodes give the same neighbours as one block."""
+    """A frontier that all queries send to one bucket gives the same neighbours in blocks as in one piece."""
     rng = np.random.default_rng(3)
-    rows = [(i, [float(v) for v in rng.normal(size=4)]) for i in range(600)] + [(600, [50.0, 50.0, 50.0, 50.0])]
+    rows = [(i, [float(v) for v in rng.normal(size=4)]) for i in range(150)] + [(150, [50.0, 50.0, 50.0, 50.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit("clash") for c in ("code", "q", "s", "bucket")})
     whole = {tuple(r) for r in neighbours.search(frame, frame, k=5).collect()}
-    monkeypatch.setattr(neighbours, "FRONTIER", 50)
-    assert {tuple(r) for r in neighbours.search(frame, frame, k=5).collect()} == whole and len(whole) == 5 * 601
+    monkeypatch.setattr(neighbours, "FRONTIER", 8_000)
+    assert {tuple(r) for r in neighbours.search(frame, frame, k=5).collect()} == whole and len(whole) == 5 * 151
 
 
 # 6 decontamination
@@ -819,3 +819,45 @@ def test_pipeline_stages(spark, tmp_path):
     leaks = {r.doc_id for r in decontam.contaminated(spark.createDataFrame(list(kept[2].items()), "doc_id long, text string"), shared.table(spark, sf, "benchmark")).collect()}
     assert set(kept[3]) == set(kept[2]) - leaks
     assert docs.count() == spark.read.parquet(f"{tmp_path}/3").count() and set(docs.columns) == {"doc_id", "start", "n_tokens", "ids"}
+
+
+def write_tables(spark, path, documents, labels, benchmark):
+    documents.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_pipeline_odd(spark, odd, tmp_path):
+    """Nulls, empty, very long and repeated texts, a repeated id, a benchmark passage and further columns through all stages."""
+    import corpus_pipeline
+
+    more = spark.createDataFrame([(4, "same words here again and again"), (8, "Noise. " + ITEM), (None, "no id but words")], "doc_id long, text string")
+    rows = odd.unionByName(more, allowMissingColumns=True)
+    sf = write_tables(spark, tmp_path, rows, [(1, None, None), (4, 1, 0), (99, 0, 1)], [(1, ITEM), (2, None)])
+    docs, kept = shared.table(spark, sf, "documents"), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = shared.saved(stage(spark, docs, sf), name)
+        assert docs.columns == rows.columns
+        kept.append(collections.Counter(r.doc_id for r in docs.select("doc_id").collect()))
+    assert kept[0] == {1: 1, 2: 1, 3: 1, 4: 2, 5: 1, 6: 1, 7: 1, 8: 1, None: 1}, "one label teaches nothing, so nothing goes"
+    assert kept[1] == kept[0] - collections.Counter([5]) and kept[2] == kept[1] - collections.Counter([8])
+    assert all(n <= 2 * kept[2][i] for i, n in kept[3].items())
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert out.columns == ["doc_id", "start", "n_tokens", "ids"] and out.count() == sum(kept[3].values())
+
+
+def test_pipeline_of_empty_tables(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    sf = write_tables(spark, tmp_path, odd.limit(0), [], [])
+    assert corpus_pipeline.run(spark, sf).collect() == []
+
+
+def test_saved_tables_can_be_dropped(spark):
+    import os
+
+    shared.saved(spark.range(3), "three")
+    assert os.path.isdir(shared.run_dir(spark))
+    shared.drop_saved(spark)
+    assert not os.path.isdir(shared.run_dir(spark))
