@@ -6,7 +6,7 @@ import json
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,15 +91,27 @@ def unit_id(level: Column, app: Column, number: Column) -> Column:
     return F.when(level == "cluster", F.concat(F.lit("app:"), app, F.lit("-cluster:"), number.cast("string"))).otherwise(F.concat(F.lit("review:"), number.cast("string")))
 
 
+def _runs(c: Column) -> Column:
+    """Lower-case runs of a-z and 0-9, and empty ones at the ends; null: one empty run."""
+    return F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "), " ")
+
+
+def _is_token(t: Column, shortest: int, digits: bool) -> Column:
+    return F.length(t) >= shortest if digits else (F.length(t) >= shortest) & ~t.rlike("^[0-9]+$")
+
+
 def tokens(c: Column, shortest: int = 2, digits: bool = True, stem: bool = False) -> Column:
     """Lower case, runs of a-z and 0-9, short ones left out, all-digit ones too if asked; null: none."""
-    found = F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "), " ")
-    found = F.filter(found, lambda t: F.length(t) >= shortest)
-    if not digits:
-        found = F.filter(found, lambda t: ~t.rlike("^[0-9]+$"))
+    found = F.filter(_runs(c), lambda t: _is_token(t, shortest, digits))
     return F.transform(found, light_stem) if stem else found
 
 
+def token_rows(df: DataFrame, text: str, *keys: str, shortest: int = 2, digits: bool = True, stem: bool = False) -> DataFrame:
+    """(keys, token): a row per token of `tokens`, tested and stemmed after the rows are made, within generated code."""
+    rows = df.select(*keys, F.explode(_runs(F.col(text))).alias("token")).filter(_is_token(F.col("token"), shortest, digits))
+    return rows.withColumn("token", light_stem(F.col("token"))) if stem else rows
+
+
 def light_stem(t: Column) -> Column:
     """Without the first of ing, ed, ly, ies, s that ends it and leaves more than two characters."""
     out = t

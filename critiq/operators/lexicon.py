@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from critiq.functions.numeric import renormalised
-from critiq.functions.text import tokens
+from critiq.functions.text import token_rows, tokens
 
 FUN = ("Flow", "Utility", "Nostalgia")
 #: So many terms in all are matched as a set inside the row; more are joined, with the same result.
@@ -29,7 +29,7 @@ def read_lexicon(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def token_counts(reviews: DataFrame, **options) -> DataFrame:
     """(appid, token, count, freq_per_1000), summed up on each task before the shuffle."""
-    counts = reviews.select("appid", F.explode(tokens(F.col("review"), **options)).alias("token")).groupBy("appid", "token").agg(F.count("*").alias("count"))
+    counts = token_rows(reviews, "review", "appid", **options).groupBy("appid", "token").agg(F.count("*").alias("count"))
     totals = counts.groupBy("appid").agg(F.sum("count").alias("__all"))
     return counts.join(totals, "appid").withColumn("freq_per_1000", F.col("count") * 1000.0 / F.col("__all")).drop("__all")
 

@@ -47,8 +47,9 @@ def select_pairs(candidates: DataFrame, rank: str = "rankFiltered", pairs: int =
     ends = candidates.groupBy("genreKey").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
     # a walk passes the genres in use, two for each pair chosen, so it never looks further than this from either end
     reach = 2 * pairs + 1
-    from_top = sorted((x["first"], x["genreKey"]) for x in ends.orderBy("first").limit(reach).collect())
-    from_bottom = sorted(((x["last"], x["genreKey"]) for x in ends.orderBy(F.desc("last")).limit(reach).collect()), reverse=True)
+    seen = ends.orderBy("first").limit(reach).unionByName(ends.orderBy(F.desc("last")).limit(reach)).collect()
+    from_top = sorted({(x["first"], x["genreKey"]) for x in seen})
+    from_bottom = sorted({(x["last"], x["genreKey"]) for x in seen}, reverse=True)
     used, chosen, low, high = set(), [], -1, float("inf")
     while len(chosen) < pairs:
         a = next(((p, g) for p, g in from_top if g not in used and low < p < high), None)

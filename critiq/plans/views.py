@@ -31,6 +31,13 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written once and read back, for a table that a query reads several times; it survives a lost executor."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def catalog(spark, sf_dir) -> DataFrame:
     """Parts as apps: lines not returned count as positive."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count(F.when(F.col("l_returnflag") != "R", 1)).alias("positive"), F.count(F.when(F.col("l_returnflag") == "R", 1)).alias("negative"))
