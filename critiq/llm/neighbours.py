@@ -6,8 +6,8 @@ within random-hyperplane leaves. In each round every node introduces its neighbo
 it to one another, pairs of which one is new to the node's list; a node keeps its best DEGREE. A node sits in one of
 many buckets of nodes, and a task joins a bucket's lists, so hubs cost no more than others.
 
-A query keeps the BEAM best nodes met so far; in each step those not expanded yet are joined with their adjacency,
-neighbours and listing nodes, whose scores come from the codes. The best of the last beam are scored anew on the
+Rounds end when hardly any list changes. A query keeps the BEAM best nodes met so far; in each step those not expanded yet
+are joined with their adjacency, neighbours and listing nodes, whose scores come from the codes, until nearly all are. The best of the last beam are scored anew on the
 original vectors in double precision.
 """
 
@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 from critiq.llm.shared import saved
 
 LEAF, TREES, FIRST = 256, 3, 12
-DEGREE, LISTED, ROUNDS, OFFERS = 32, 24, 5, 8
-BEAM, STEPS = 192, 3
+DEGREE, LISTED, OFFERS = 32, 24, 8
+BEAM = 192
+#: Rounds go on until at most this share of the lists' entries is new, search steps until this share of the beams' nodes is not
+#: expanded; larger tables take more of both. More than so many are never needed by a graph that gets closer in each.
+SETTLED, ROUNDS, STEPS = 0.01, 15, 15
 #: Nodes of one bucket, and rows of a bucket's frontier that one group holds.
 BUCKET, FRONTIER = 1000, 20_000
 
@@ -143,9 +146,17 @@ def build_graph(codes: DataFrame, n: int, rounds: int = ROUNDS) -> DataFrame:
         lists = _members(edges, round_).join(known, "m").withColumn("bucket", _bucket("u", buckets))
         offers = lists.groupBy("bucket").applyInArrow(_introduce, _PAIRS).withColumn("fresh", F.lit(True))
         edges = saved(_best(edges.withColumn("fresh", F.lit(False)).unionByName(offers), "v", "w", DEGREE, "fresh", F.min), "graph")
+        if _settled(edges, "fresh"):
+            break
     return edges
 
 
+def _settled(rows: DataFrame, open_: str) -> bool:
+    """Whether the condition holds for a share of SETTLED of the rows at most."""
+    counts = rows.agg(F.count("*").alias("all"), F.count_if(F.expr(open_)).alias("open")).first()
+    return counts.open <= SETTLED * counts.all
+
+
 def _expand(frontier: pa.Table, graph: pa.Table) -> pa.Table:
     """Scores of every frontier query with the adjacency of the node it expands, above the query's `least`."""
     empty = pa.table({"q": pa.array([], pa.int64()), "w": pa.array([], pa.int64()), "s": pa.array([], pa.float64())})
@@ -194,7 +205,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEAM
     asked = codes.join(queries.select(F.col("vec_id").cast("long")).distinct(), "vec_id", "left_semi").select(F.col("vec_id").alias("q"), F.col("code").alias("q_code"), F.col("scale").alias("q_scale"))
     asked = saved(asked, "asked")
     pool = asked.select("q", F.col("q").alias("w"), F.lit(math.inf).alias("s"), F.lit(False).alias("done"))
-    for _ in range(steps + 1):
+    for _ in range(steps):
         ends = pool.groupBy("q").agg(F.min("s").alias("least"), F.count("*").alias("held"))
         ends = ends.select("q", F.when(F.col("held") < beam, -math.inf).otherwise(F.col("least")).alias("least"))
         frontier = pool.filter("NOT done").select("q", "w").withColumn("bucket", _bucket("w", buckets))
@@ -205,6 +216,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEAM
         met = frontier.groupBy("bucket", "block").cogroup(lists.groupBy("bucket", "block")).applyInArrow(_expand, "q long, w long, s double")
         both = pool.select("q", "w", "s", F.lit(True).alias("done")).unionByName(met.withColumn("done", F.lit(False)))
         pool = saved(_best(both.filter("q != w"), "q", "w", beam, "done", F.max), "pool")
+        if _settled(pool, "NOT done"):
+            break
     last = pool.withColumn("place", F.row_number().over(W.partitionBy("q").orderBy(F.desc("s"), "w"))).filter(F.col("place") <= 2 * k + 20).select("q", "w")
     own = rows.select(F.col("vec_id").alias("q"), F.col("embedding").alias("x"))
     other = rows.select(F.col("vec_id").alias("w"), F.col("embedding").alias("y"))
