@@ -10,7 +10,9 @@ Documents with equal sets stand for one another. Sets that agree on all rows of
 members are checked against its smallest member first, on full sets; confirmed links give components. In buckets
 that still hold several components, sets that provably link with nothing (too large a share of their shingles
 occurs in no other candidate) leave, and of what is left, the pairs across components that could still reach the
-threshold beside such shingles are checked, each in the first band that it shares. So a bucket of thousands of copies costs its size, and no candidate pair stays unchecked.
+threshold beside such shingles are checked, each in the first band that it shares. So a bucket of thousands of copies
+costs its size, and no candidate pair stays unchecked. A bucket of sets that resemble each other below the threshold costs
+its pairs.
 """
 
 from __future__ import annotations
@@ -137,7 +139,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the smallest node reachable.
 
     Large-star and small-star steps in turn: every node's larger neighbours, then its smaller ones, move to the
-    smallest node it knows, until nothing moves. Each step costs the links; a hub's links are never held together.
+    smallest node it knows, until nothing moves. Each step costs the links. A hub's links are dealt out by the hub and stream
+    through a sort-merge join, which Spark splits where one key holds very many; no group of them is collected.
     """
     edges = saved(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     state = None
