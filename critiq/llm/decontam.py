@@ -116,5 +116,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> D
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> DataFrame:
     """docs, all columns, without the documents that hold an item; rows without doc_id stay."""
-    found = contaminated(docs, benchmark, share).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    found = saved(contaminated(docs, benchmark, share).select("doc_id").distinct(), "contaminated")
+    few = found.count() * 8 <= BROADCAST_BYTES  # then the texts stay where they are
+    return docs.join(F.broadcast(found) if few else found, "doc_id", "left_anti").select(*docs.columns)
