@@ -51,23 +51,24 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
 
 
 def _bucketed(docs: DataFrame, n_buckets: int, size: Column | None, *columns) -> DataFrame:
-    """columns, source, size, key and bucket of each row."""
+    """columns, and the size, key, bucket and source (as a text that is never null, to join and partition by) of each row."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = docs.select(*columns, (word_count(F.col("text")) if size is None else size).alias("__size"), key.alias("__key"))
+    rows = docs.select(*columns, (word_count(F.col("text")) if size is None else size).alias("__size"), key.alias("__key"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("__source"))
     return rows.withColumn("__bucket", F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("long") * n_buckets / F.lit(1 << 32)).cast("int"))
 
 
 def _placed(rows: DataFrame, sizes: DataFrame, weights, share, epochs) -> DataFrame:
-    """rows with __copies, __source_size and __target. sizes has source, __bucket and __size of the same rows."""
-    sources = sizes.groupBy("source").agg(F.sum("__size").alias("source_size"))
-    held = sizes.groupBy("source", "__bucket").agg(F.sum("__size").alias("__held"))
-    ahead = W.partitionBy("source").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    held = held.select(F.col("source").alias("__s"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__held").over(ahead), F.lit(0)).alias("__ahead"))
-    targets = source_targets(sources, weights, share, epochs).select(F.col("source").alias("__t"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
-    plan = held.join(targets, F.col("__s").eqNullSafe(F.col("__t"))).drop("__t")
-    inside = W.partitionBy("source", "__bucket").orderBy("__key", "doc_id", "__size").rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.withColumn("__within", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
-    placed = placed.join(plan, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
+    """rows with __copies, __source_size and __target. sizes has source, __source, __bucket and __size of the same rows."""
+    sources = sizes.groupBy("source", "__source").agg(F.sum("__size").alias("source_size"))
+    held = sizes.groupBy("__source", "__bucket").agg(F.sum("__size").alias("__held"))
+    ahead = W.partitionBy("__source").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    held = held.select("__source", "__bucket", F.coalesce(F.sum("__held").over(ahead), F.lit(0)).alias("__ahead"))
+    targets = source_targets(sources.drop("__source"), weights, share, epochs)
+    targets = targets.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+    plan = held.join(targets, "__source")
+    # the window and the join deal the rows out by the same columns, so they move once
+    inside = W.partitionBy("__source", "__bucket").orderBy("__key", "doc_id", "__size").rowsBetween(W.unboundedPreceding, -1)
+    placed = rows.withColumn("__within", F.coalesce(F.sum("__size").over(inside), F.lit(0))).join(plan, ["__source", "__bucket"])
     whole = F.when(F.col("__source_size") > 0, F.floor(F.col("__target") / F.col("__source_size"))).otherwise(0)
     rest = F.col("__target") - whole * F.col("__source_size")
     last = (F.col("__ahead") + F.col("__within") + F.col("__size") / 2 < rest).cast("long")
@@ -100,6 +101,6 @@ def repeat_documents(docs: DataFrame, size: Column | None = None, weights: tuple
     Rows that share a doc_id are placed one by one, so a source's words stay near its target whatever ids repeat.
     """
     n = _buckets(docs)
-    sizes = saved(_bucketed(docs, n, size, "doc_id", "source").select("source", "__bucket", "__size"), "sizes")
+    sizes = saved(_bucketed(docs, n, size, "doc_id", "source").select("source", "__source", "__bucket", "__size"), "sizes")
     placed = _placed(_bucketed(docs, n, size, *docs.columns), sizes, weights, share, epochs).filter("__copies > 0")
     return placed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
