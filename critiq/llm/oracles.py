@@ -46,3 +46,51 @@ held AS (SELECT doc_id, item_id, count(DISTINCT p) FILTER (told) AS told, count(
 shares AS (SELECT *, told > 0 AND told / all_told >= 0.5 AS formed FROM held JOIN totals USING (item_id))
 SELECT doc_id, item_id, CASE WHEN formed THEN told ELSE verbatim END AS n_windows, CASE WHEN formed THEN told / all_told ELSE verbatim / all_verbatim END AS share
 FROM shares WHERE formed OR verbatim > 0 AND verbatim / all_verbatim >= 0.5"""
+
+
+FILTER_AUDIT = r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first FROM w GROUP BY 1),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+cells AS MATERIALIZED (
+  SELECT part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * len(regexp_extract_all(w.text, '[A-Z]')) > 2 * length(w.text))::INT
+           + 8 * regexp_matches(w.text, '[#$%&*|]')::INT + 16 * coalesce(w.doc_id > first, false)::INT AS mask,
+         count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM w JOIN firsts ON w.text = firsts.text LEFT JOIN marks ON w.doc_id = marks.doc_id GROUP BY ALL),
+letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) t(letter, bit)),
+orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+places AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1 : step - 1]), 0)::BIGINT AS before FROM (SELECT *, unnest(range(1, 6)) AS step FROM orders)),
+kinds AS (SELECT DISTINCT bit, before FROM places),
+counts AS (
+  SELECT part, bit, before, sum(n) FILTER (mask & (bit | before) = 0) AS kept, sum(n) FILTER (mask & before = 0 AND mask & bit > 0) AS removed,
+         sum(n) FILTER (mask & before > 0 AND mask & bit > 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails,
+         sum(good) FILTER (mask & before = 0 AND mask & bit > 0) AS good_lost, sum(toxic) FILTER (mask & before = 0 AND mask & bit > 0) AS toxic_lost
+  FROM cells, kinds GROUP BY ALL),
+shares AS (SELECT part, bit, sum(removed) AS shapley FROM places JOIN counts USING (bit, before) GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(shapley, 0)::BIGINT AS shapley
+FROM places JOIN counts USING (bit, before) JOIN shares USING (part, bit)"""
+
+#: DuckDB has no crc32: a fold over the digits' bits.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(CAST(conv_id AS VARCHAR)) + 1), lambda i: ascii(CAST(conv_id AS VARCHAR)[i])::BIGINT)),
+  lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)), 4294967295::BIGINT)"""
+
+CONVERSATION_TRIE = f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, substr(sha256(length(role) || ':' || role || text), 1, 32)) AS t FROM turns GROUP BY 1),
+heads AS (SELECT *, {CRC32} % 9 AS h FROM own),
+full_paths AS MATERIALIZED (SELECT a.conv_id, list_concat(coalesce(b.t, [])[1 : a.h], a.t[a.h + 1 :]) AS t FROM heads a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 5),
+members AS MATERIALIZED (SELECT conv_id, len(t) AS n, d AS depth, t[1 : d] AS p, t[d].text AS last FROM (SELECT *, unnest(range(len(t) + 1)) AS d FROM full_paths)),
+nodes AS MATERIALIZED (
+  SELECT depth, p, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(strlen(any_value(last)), 0) AS bytes,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM members GROUP BY 1, 2),
+linked AS MATERIALIZED (SELECT c.*, u.conv_id AS parent_conv_id FROM nodes c LEFT JOIN nodes u ON c.depth = u.depth + 1 AND c.p[1 : c.depth - 1] = u.p),
+kids AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY 1, 2),
+counted AS MATERIALIZED (SELECT l.*, coalesce(n_children, 0) AS n_children FROM linked l LEFT JOIN kids k ON l.conv_id = k.conv_id AND l.depth = k.depth),
+under AS (
+  SELECT u.p, count(*) FILTER (c.n_children = 0) AS n_leaves, sum((c.n_convs - 1) * c.bytes) AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS up FROM counted) c JOIN nodes u ON u.depth = c.up AND c.p[1 : c.up] = u.p GROUP BY 1)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256 FROM counted JOIN under USING (p)"""

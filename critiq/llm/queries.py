@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from critiq.llm import decontam, language, licenses, mixing, neardup, neighbours, quality, secrets, tokens, toxicity
-from critiq.llm.oracles import DECONTAMINATION, NEAR_DUPLICATES
+from critiq.llm import audit, decontam, language, licenses, mixing, neardup, neighbours, prefixes, quality, secrets, tokens, toxicity
+from critiq.llm.oracles import CONVERSATION_TRIE, DECONTAMINATION, FILTER_AUDIT, NEAR_DUPLICATES
 from critiq.llm.shared import fold, table
 
 
@@ -70,11 +70,25 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_language, op3_near_duplicates, op4_toxicity, op5_neighbours, op6_decontamination, op7_quality, op8_license_scans, op9_token_output, op10_source_mixing)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(*audit.failure_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return prefixes.conversation_trie(prefixes.rebuilt(prefixes.conversation_paths(turns)))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_secrets, op2_language, op3_near_duplicates, op4_toxicity, op5_neighbours, op6_decontamination, op7_quality, op8_license_scans, op9_token_output, op10_source_mixing,
+    op11_filter_audit, op12_conversation_trie,
+)}
 
 ORACLES: dict[str, str] = {
     "op3_near_duplicates": NEAR_DUPLICATES,
     "op6_decontamination": DECONTAMINATION,
+    "op11_filter_audit": FILTER_AUDIT,
+    "op12_conversation_trie": CONVERSATION_TRIE,
     "op10_source_mixing": r"""
 WITH docs AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
