@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from critiq.llm import audit, decontam, language, licenses, mixing, neardup, neighbours, prefixes, quality, secrets, tokens, toxicity
+from critiq.llm import audit, decontam, language, licenses, lm, mixing, neardup, neighbours, prefixes, quality, secrets, tokens, toxicity
 from critiq.llm.oracles import CONVERSATION_TRIE, DECONTAMINATION, FILTER_AUDIT, NEAR_DUPLICATES
 from critiq.llm.shared import fold, table
 
@@ -79,9 +79,15 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixes.conversation_trie(prefixes.rebuilt(prefixes.conversation_paths(turns)))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(fold("doc_id", 5) == 1, F.lit(False))
+    scored = lm.score_texts(table(spark, sf_dir, "documents"), fold("doc_id", 5) != 1)
+    return scored.withColumn("held_out", held_out).drop("train")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_secrets, op2_language, op3_near_duplicates, op4_toxicity, op5_neighbours, op6_decontamination, op7_quality, op8_license_scans, op9_token_output, op10_source_mixing,
-    op11_filter_audit, op12_conversation_trie,
+    op11_filter_audit, op12_conversation_trie, op13_lm_scoring,
 )}
 
 ORACLES: dict[str, str] = {
