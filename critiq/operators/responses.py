@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from critiq.functions.numeric import DIMENSIONS, renormalised
-from critiq.functions.text import first_json
+from critiq.functions.objects import first_json
 from critiq.operators.ranking import first_per_key
 from critiq.operators.reviews import not_in
 
@@ -104,7 +104,7 @@ def joined(sample: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def reply_line(reply: Column, appid: Column, review_id: Column) -> Column:
-    """A model's reply as a response line: its first JSON object, the request's ids put in where it lacks them.
+    """A model's reply as a response line: its first balanced JSON object, the request's ids put in where it lacks them.
 
     Without an object the line says so in `_error`. review_id is text and may be null; null replies have no object.
     """

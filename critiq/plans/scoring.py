@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from critiq.functions import objects
 from critiq.functions import text as X
 from critiq.functions.numeric import DIMENSIONS
 from critiq.operators import clusters as K
@@ -125,7 +126,7 @@ def _replies(spark, sf_dir):
 
 
 def first_json(spark, sf_dir):
-    return _replies(spark, sf_dir).select("conv_id", "turn", X.first_json(F.col("reply")).alias("object"))
+    return _replies(spark, sf_dir).select("conv_id", "turn", objects.first_json(F.col("reply")).alias("object"))
 
 
 def reply_lines(spark, sf_dir):
@@ -401,9 +402,18 @@ placed AS (SELECT appid, doc_id % 5 AS cluster_id, "reviewId", coalesce(review,
 sums AS (SELECT appid, CAST(cluster_id AS INTEGER) AS cluster_id, string_agg(text, ' ' ORDER BY place) AS whole, CAST(count(*) AS INTEGER) AS summary_n_reviews, string_agg("reviewId", ',' ORDER BY place) AS "source_reviewIds" FROM placed WHERE place <= 3 GROUP BY ALL),
 summaries AS (SELECT *, CASE WHEN length(whole) > 400 THEN substr(whole, 1, 400) || '...' ELSE whole END AS summary_text FROM sums)"""
 
-_OBJECT = r'\{"conv_id":[0-9]+,"x":\{"s":"[^"]*"\}\}'
 _REPLIES = """replies AS (SELECT conv_id, turn, coalesce(text, '') || CASE WHEN conv_id % 7 = 0 THEN ' {oops ' ELSE ' ' END
   || CASE WHEN conv_id % 9 <> 0 THEN '{"conv_id":' || conv_id || ',"x":{"s":"a } b"}}' ELSE 'none' END || ' }' AS reply FROM conversations)"""
+# One character a step: depth, where the outermost object began, whether in a string and behind a backslash there, the object found.
+_SCANNED = r"""marks AS (
+  SELECT conv_id, turn, string_split(reply, '') AS c, reply, 1 AS i, 0 AS depth, 0 AS start, false AS quoted, false AS behind, CAST(NULL AS VARCHAR) AS object FROM replies
+  UNION ALL
+  SELECT conv_id, turn, c, reply, i + 1, CASE WHEN quoted THEN depth WHEN c[i] = '{' THEN depth + 1 WHEN c[i] = '}' THEN greatest(depth - 1, 0) ELSE depth END,
+    CASE WHEN NOT quoted AND c[i] = '{' AND depth = 0 THEN i ELSE start END, CASE WHEN quoted AND behind THEN true WHEN c[i] = '"' THEN NOT quoted ELSE quoted END,
+    quoted AND NOT behind AND c[i] = chr(92),
+    CASE WHEN NOT quoted AND c[i] = '}' AND depth = 1 AND json_valid(array_to_string(c[start : i], '')) THEN array_to_string(c[start : i], '') END
+  FROM marks WHERE i <= len(c) AND object IS NULL),
+o AS (SELECT r.conv_id, r.turn, m.object FROM replies r LEFT JOIN marks m ON m.conv_id = r.conv_id AND m.turn = r.turn AND m.object IS NOT NULL)"""
 
 ORACLES = {
     "tokens_per_app": f"WITH {_TOKENS} SELECT appid, token, count, round(count * 1000.0::DOUBLE / total_tokens, 6) AS freq_per_1000 FROM counts JOIN totals USING (appid)",
@@ -436,8 +446,8 @@ SELECT appid, "reviewId", CAST(length(p) AS INTEGER) AS n, md5(p) AS prompt_md5
     "unit_prompts": f"""WITH {REVIEWS_SQL}, p AS (SELECT 'review:' || "reviewId" AS unit, substr('APPID: ' || appid || chr(10) || 'UNIT: review:' || "reviewId" || chr(10) || 'LEVEL: review' || chr(10) || chr(10) || coalesce(review, ''), 1, 8000) AS p FROM reviews)
 SELECT unit, CAST(length(p) AS INTEGER) AS n, md5(p) AS prompt_md5 FROM p""",
     "ascii_fold": r"SELECT doc_id, regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g') AS folded FROM documents",
-    "first_json": f"WITH {_REPLIES} SELECT conv_id, turn, nullif(regexp_extract(reply, '{_OBJECT}'), '') AS object FROM replies",
-    "reply_lines": f"""WITH {_REPLIES}, o AS (SELECT *, nullif(regexp_extract(reply, '{_OBJECT}'), '') AS object FROM replies)
+    "first_json": f"WITH RECURSIVE {_REPLIES}, {_SCANNED} SELECT conv_id, turn, object FROM o",
+    "reply_lines": f"""WITH RECURSIVE {_REPLIES}, {_SCANNED}
 SELECT conv_id, turn, 'c' || conv_id AS appid, CASE WHEN turn % 2 = 0 THEN CAST(turn AS VARCHAR) END AS "reviewId", CASE WHEN object IS NULL THEN 'non-JSON output' END AS error, object->>'$.x.s' AS s FROM o""",
     "stable_ids": "SELECT page_id, CAST(('0x' || substr(md5(url), 1, 12)) AS BIGINT) AS stable_id FROM pages",
     "response_reasons": f"WITH {_MADE} SELECT doc_id AS line_no, reason FROM reasons",

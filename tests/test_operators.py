@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from critiq.functions import text as X
 from critiq.functions.numeric import renormalised, to_long
+from critiq.functions.objects import first_json
 from critiq.operators import bibliometrics as B
 from critiq.operators import catalog as C
 from critiq.operators import clusters as K
@@ -126,8 +127,8 @@ def test_texts(spark):
     assert one(spark, "Three proper words make it readable, surely.", X.is_readable) is True
     assert one(spark, "#### $$$$ %%%% ^^^^ ab", X.is_readable) is False
     assert [one(spark, t, X.light_stem) for t in ("running", "wanted", "used", "likes", "flies", "ss", "as")] == ["runn", "want", "used", "like", "flie", "ss", "as"]
-    assert one(spark, 'so {"a": "}", "b": {"c": 1}} x', X.first_json) == '{"a": "}", "b": {"c": 1}}'
-    assert one(spark, "no object {", X.first_json) is None
+    assert one(spark, 'so {"a": "}", "b": {"c": 1}} x', first_json) == '{"a": "}", "b": {"c": 1}}'
+    assert one(spark, "no object {", first_json) is None
     assert one(spark, "3.9", to_long) == 3 and one(spark, "x", to_long) == 0 and one(spark, "9007199254740993", to_long) == 9007199254740993
 
 
