@@ -30,14 +30,17 @@ from pyspark.sql import functions as F
 from critiq.llm.shared import SPACE, Hasher, chunks, hash_text, saved, utf8, words_of
 
 CHUNK_TEXT = 4 << 20
-#: Words and pairs, counted once a chunk, that a shard should get.
-SHARD_WORDS, SHARD_PAIRS = 1_000_000, 2_000_000
-#: A chunk samples each of so many pairs for the ranges; the ranges are made of so many samples at most.
+#: Words, counted once a chunk, that a shard should get.
+#: A shard gets at most about so many tokens' pairs, since pairs are counted once a chunk.
+SHARD_WORDS, SHARD_TOKENS = 1_000_000, 1_000_000
+#: A chunk samples each of so many tokens' pairs for the ranges; the ranges are made of so many samples at most.
 SAMPLE_STEP, MOST_SAMPLES = 1 << 15, 200_000
 #: Pseudo-counts of the base distribution in every context.
 MU = 500.0
 #: The end token; no word holds a space.
 END = " "
+#: A word beside its context is known by the upper 48 bits of its hash.
+CUT = np.uint64(0xFFFF_FFFF_FFFF_0000)
 _ONE = np.uint64(1)
 
 
@@ -111,8 +114,8 @@ class EliasFano:
         place = word * 64 + _select(~self.high[word], k - zeros[word])
         return np.where(inside, place - k, np.where(high <= 0, 0, self.n))
 
-    def successor(self, x: np.ndarray, first: np.ndarray | int = 0) -> np.ndarray:
-        """For each x the first place at or after `first` whose value is x or more; n if there is none."""
+    def successor(self, x: np.ndarray, first: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """For each x the first place at or after `first` whose value is x or more, n if there is none; and whether it is x."""
         high, rest = (x >> np.uint64(self.width)).astype(np.int64), x & np.uint64((1 << self.width) - 1)
         at, stop = np.maximum(self._bucket(high), first), self._bucket(high + 1)
         open_places = np.flatnonzero(at < stop)
@@ -120,14 +123,14 @@ class EliasFano:
             open_places = open_places[self._low(at[open_places]) < rest[open_places]]
             at[open_places] += 1
             open_places = open_places[at[open_places] < stop[open_places]]
-        return at
+        same = at < stop  # else the next value has another high part
+        same[same] = self._low(at[same]) == rest[same]
+        return at, same
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """The place of each x, or -1."""
-        at = self.successor(x)
-        there = at < self.n
-        there[there] = self[at[there]] == x[there]
-        return np.where(there, at, -1)
+        at, same = self.successor(x)
+        return np.where(same, at, -1)
 
 
 class PairTrie:
@@ -162,20 +165,21 @@ class PairTrie:
         self.codes, self.bytes = views[-1], at
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The code of each (context, word), 0 where the trie has none."""
+        """The code of each (context, word), 0 where the trie has none. Contexts and words are looked up once each."""
         out = np.zeros(len(context), np.uint8)
-        c, w = self.contexts.find(context), self.words.find(word)
-        known = np.flatnonzero((c >= 0) & (w >= 0))
-        if not len(known):
-            return out
-        c, w = c[known], w[known].astype(np.uint64)
-        first, end = self.pointers[c].astype(np.int64), self.pointers[c + 1].astype(np.int64)
-        base = np.zeros(len(c), np.uint64)
-        base[first > 0] = self.successors[first[first > 0] - 1]
-        at = self.successors.successor(base + w, first)
-        there = at < end
-        there[there] = self.successors[at[there]] == (base + w)[there]
-        out[known[there]] = self.codes[at[there]]
+        contexts, which = np.unique(context, return_inverse=True)
+        words, word = np.unique(word, return_inverse=True)
+        c, w = self.contexts.find(contexts), self.words.find(words)
+        first, end, base = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64), np.zeros(len(c), np.uint64)
+        known = np.flatnonzero(c >= 0)
+        first[known], end[known] = self.pointers[c[known]].astype(np.int64), self.pointers[c[known] + 1].astype(np.int64)
+        later = np.flatnonzero(first > 0)
+        base[later] = self.successors[first[later] - 1]
+        asked = np.flatnonzero((c[which] >= 0) & (w[word] >= 0))
+        which = which[asked]
+        at, same = self.successors.successor(base[which] + w[word[asked]].astype(np.uint64), first[which])
+        there = np.flatnonzero(same & (at < end[which]))
+        out[asked[there]] = self.codes[at[there]]
         return out
 
 
@@ -238,7 +242,7 @@ class Tokens:
         self.a, self.b = self.code // max(n_words, 1), self.code % max(n_words, 1)
 
 
-CHUNK_SCHEMA = "chunk long, doc_ids array<long>, tokens binary, words binary, n_words long, n_pairs long, n_train long, sample array<struct<a:long,b:long>>"
+CHUNK_SCHEMA = "chunk long, doc_ids array<long>, tokens binary, words binary, n_words long, n_tokens long, n_train long, sample array<struct<a:long,b:long>>"
 
 
 def _read_chunk(batch: pa.RecordBatch, chunk: int) -> pa.RecordBatch:
@@ -259,27 +263,27 @@ def _read_chunk(batch: pa.RecordBatch, chunk: int) -> pa.RecordBatch:
     size = np.fromiter(map(len, words), np.int64, len(words))
     counts = np.bincount(number[learnt], minlength=len(distinct))
     end = int(np.searchsorted(distinct, np.uint64(hash_text(END))))
-    pairs = Tokens(number, n_tokens, end, len(distinct))
     # frequent words get small numbers, which pack well
     rank = np.empty(len(distinct), np.int64)
     rank[np.argsort(-np.bincount(number, minlength=len(distinct)), kind="stable")] = np.arange(len(distinct))
-    picks = np.arange(chunk * 7919 % SAMPLE_STEP, len(pairs.a), SAMPLE_STEP)
-    sample = [{"a": int(a), "b": int(b)} for a, b in zip(distinct[pairs.a[picks]].view(np.int64), distinct[pairs.b[picks]].view(np.int64), strict=True)]
+    picks = np.arange(chunk * 7919 % SAMPLE_STEP, len(number), SAMPLE_STEP)
+    pairs = distinct[np.where(is_end[picks - 1], end, number[picks - 1])], distinct[number[picks]] & CUT
+    sample = [{"a": a, "b": b} for a, b in zip(pairs[0].view(np.int64).tolist(), pairs[1].view(np.int64).tolist(), strict=True)]
+    tokens = _packed(_least(rank[number]), _least(n_tokens), train.astype(np.uint8), _least(rank), np.array([end]))
     columns = {
-        "chunk": [chunk], "doc_ids": [batch.column("doc_id").to_pylist()], "tokens": [_packed(_least(rank[number]), _least(n_tokens), train.astype(np.uint8))],
-        "words": [_packed(distinct, _least(rank), _least(size), text, _least(counts))], "n_words": [len(distinct)], "n_pairs": [len(pairs.a)], "n_train": [int(learnt.sum())], "sample": [sample],
+        "chunk": [chunk], "doc_ids": [batch.column("doc_id").to_pylist()], "tokens": [tokens], "words": [_packed(_least(size), text, _least(counts))],
+        "n_words": [len(distinct)], "n_tokens": [len(number)], "n_train": [int(learnt.sum())], "sample": [sample],
     }
     kinds = {"doc_ids": pa.list_(pa.int64()), "tokens": pa.binary(), "words": pa.binary(), "sample": pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))}
     return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in columns.items()], list(columns))
 
 
-def _restored(tokens: bytes, words: bytes) -> tuple[Tokens, np.ndarray, np.ndarray, list[np.ndarray]]:
-    ranked, n_tokens, train = _unpacked(tokens, np.int64, np.int64, np.uint8)
-    parts = _unpacked(words, np.uint64, np.int64, np.int64, np.uint8, np.int64)
-    order = np.empty(len(parts[0]), np.int64)
-    order[parts[1]] = np.arange(len(order))
-    end = int(np.searchsorted(parts[0], np.uint64(hash_text(END))))
-    return Tokens(order[ranked], n_tokens, end, len(parts[0])), n_tokens, train.astype(bool), parts
+def _restored(blob: bytes) -> tuple[Tokens, np.ndarray, np.ndarray]:
+    """The chunk's tokens, and for each text their number and whether it is learnt from."""
+    ranked, n_tokens, train, rank, end = _unpacked(blob, np.int64, np.int64, np.uint8, np.int64, np.int64)
+    order = np.empty(len(rank), np.int64)
+    order[rank] = np.arange(len(rank))
+    return Tokens(order[ranked], n_tokens, int(end[0]), len(rank)), n_tokens, train.astype(bool)
 
 
 def _cuts(a: np.ndarray, b: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarray:
@@ -297,14 +301,17 @@ def _cuts(a: np.ndarray, b: np.ndarray, bounds: list[tuple[int, int]]) -> np.nda
 def _ask(batch: pa.RecordBatch, bounds: list[tuple[int, int]], word_shards: int) -> Iterator[tuple]:
     """(kind, shard, chunk, blob): the slices of each chunk's words (kind 0) and pairs (kind 1)."""
     for row in batch.to_pylist():
-        tokens, n_tokens, train, (hashes, _, size, text, counts) = _restored(row["tokens"], row["words"])
+        size, text, counts = _unpacked(row["words"], np.int64, np.uint8, np.int64)
+        at = np.concatenate(([0], np.cumsum(size)))
+        hashes = Hasher(text)(at[:-1], at[1:])
         edges = np.array([(s << 64) // word_shards for s in range(1, word_shards)], np.uint64)
-        cuts, at = np.concatenate(([0], np.searchsorted(hashes, edges), [len(hashes)])), np.concatenate(([0], np.cumsum(size)))
+        cuts = np.concatenate(([0], np.searchsorted(hashes, edges), [len(hashes)]))
         for shard in np.flatnonzero(np.diff(cuts)):
             i, j = cuts[shard], cuts[shard + 1]
             yield 0, int(shard), row["chunk"], _packed(_least(size[i:j]), text[at[i] : at[j]], _least(counts[i:j]))
+        tokens, n_tokens, train = _restored(row["tokens"])
         learnt = np.bincount(tokens.pair[np.repeat(train, n_tokens)], minlength=len(tokens.a))
-        a, b = hashes[tokens.a], hashes[tokens.b]
+        a, b = hashes[tokens.a], hashes[tokens.b] & CUT
         cuts = np.concatenate(([0], _cuts(a, b, bounds), [len(a)]))
         for shard in np.flatnonzero(np.diff(cuts)):
             i, j = cuts[shard], cuts[shard + 1]
@@ -331,13 +338,17 @@ def _answer_pairs(blobs: list[bytes]) -> tuple[list[bytes], int]:
     parts = [_unpacked(b, np.uint64, np.int64, np.uint64, np.int64) for b in blobs]
     a = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
     b, count = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
-    seen = np.flatnonzero(count)
-    order = seen[np.lexsort((b[seen], a[seen]))]
-    x, y, c = a[order], b[order], count[order]
-    first = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))) if len(x) else np.zeros(0, np.int64)
-    trie = PairTrie(x[first], y[first], np.add.reduceat(c, first) if len(x) else c)
+    order = np.lexsort((b, a))
+    new = np.ones(len(order), bool)
+    new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+    first = np.flatnonzero(new)
+    x, y, total = a[order[first]], b[order[first]], np.add.reduceat(count[order], first)
+    seen = total > 0
+    trie = PairTrie(x[seen], y[seen], total[seen])
+    codes = np.empty(len(order), np.uint8)
+    codes[order] = trie.find(x, y)[np.cumsum(new) - 1]  # asked in order, and once for all chunks
     cuts = np.cumsum([len(p[2]) for p in parts])[:-1]
-    return [_packed(x) for x in np.split(trie.find(a, b), cuts)], trie.bytes
+    return [_packed(c) for c in np.split(codes, cuts)], trie.bytes
 
 
 def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, list[int], list[bytes]]]:
@@ -383,8 +394,8 @@ def score_texts(docs: DataFrame, train: Column, mu: float = MU) -> DataFrame:
                 n += 1
 
     kept = saved(rows.mapInArrow(read, CHUNK_SCHEMA), "chunks")
-    total = kept.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "n_pairs", "n_train")], F.coalesce(F.sum(F.size("sample")), F.lit(0)).alias("samples")).first()
-    word_shards, pair_shards = (1 + total.n_words // SHARD_WORDS, 1 + total.n_pairs // SHARD_PAIRS)
+    total = kept.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "n_tokens", "n_train")], F.coalesce(F.sum(F.size("sample")), F.lit(0)).alias("samples")).first()
+    word_shards, pair_shards = (1 + total.n_words // SHARD_WORDS, 1 + total.n_tokens // SHARD_TOKENS)
     some = kept.select(F.inline("sample")).filter(F.pmod(F.xxhash64("a", "b"), F.lit(1 + total.samples // MOST_SAMPLES)) == 0).collect()  # MOST_SAMPLES or so
     some = sorted((a % (1 << 64), b % (1 << 64)) for a, b in some)
     bounds = sorted({some[len(some) * i // pair_shards] for i in range(1, pair_shards)} if some else [])
@@ -411,31 +422,30 @@ def score_texts(docs: DataFrame, train: Column, mu: float = MU) -> DataFrame:
         for chunk in _chunks_with_answers(batches):
             yield _score_chunk(*chunk, n_train, space, mu)
 
-    none, empty = F.lit(None), F.array().cast("array<long>")
-    whole = kept.select("chunk", F.lit(-1).alias("kind"), F.lit(0).alias("shard"), F.col("tokens").alias("blob"), "words", "doc_ids")
-    back = answers.select("chunk", "kind", "shard", "blob", none.cast("binary").alias("words"), empty.alias("doc_ids"))
-    n_parts = max(1, 1 + (total.n_words + total.n_pairs) // SHARD_PAIRS)
+    whole = kept.select("chunk", F.lit(-1).alias("kind"), F.lit(0).alias("shard"), F.col("tokens").alias("blob"), "doc_ids")
+    back = answers.select("chunk", "kind", "shard", "blob", F.array().cast("array<long>").alias("doc_ids"))
+    n_parts = 1 + total.n_tokens // SHARD_TOKENS
     both = whole.unionByName(back).repartition(n_parts, "chunk").sortWithinPartitions("chunk", "kind", "shard")
     return both.mapInArrow(score, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _chunks_with_answers(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-    """(doc_ids, tokens, words, word answers, pair answers) of each chunk from the sorted rows."""
+    """(doc_ids, tokens, word answers, pair answers) of each chunk from the sorted rows."""
     now = None
     for batch in batches:
         for row in batch.to_pylist():
             if row["kind"] == -1:
                 if now:
                     yield now
-                now = (row["doc_ids"], row["blob"], row["words"], [], [])
+                now = (row["doc_ids"], row["blob"], [], [])
             else:
-                now[3 + row["kind"]].append(row["blob"])
+                now[2 + row["kind"]].append(row["blob"])
     if now:
         yield now
 
 
-def _score_chunk(doc_ids: list, tokens: bytes, words: bytes, counts: list[bytes], codes: list[bytes], n_train: int, space: float, mu: float) -> pa.RecordBatch:
-    chunk, n_tokens, train, _ = _restored(tokens, words)
+def _score_chunk(doc_ids: list, tokens: bytes, counts: list[bytes], codes: list[bytes], n_train: int, space: float, mu: float) -> pa.RecordBatch:
+    chunk, n_tokens, train = _restored(tokens)
     count = np.concatenate([_unpacked(b, np.int64)[0] for b in counts])
     code = np.concatenate([_unpacked(b, np.uint8)[0] for b in codes])
     base = (count + 0.5) / space
