@@ -9,7 +9,8 @@ from critiq.operators import bibliometrics as B
 from critiq.operators import catalog as C
 from critiq.operators import pairing as P
 from critiq.operators import quality_control as Q
-from critiq.plans.views import CATALOG_SQL, ELIGIBLE_SQL, MIN_REVIEWS, catalog, details, kept, table
+from critiq.plans.views import CATALOG_SQL, ELIGIBLE_SQL, MIN_REVIEWS, catalog, details, table
+from critiq.sources.scratch import saved
 
 SCORED = ["appid", "name", "posReview", "negReview", "totReview", "posRate", "popularity", "acceptanceScore"]
 JUMP, NON_GAME = ("promo",), ("standard", "brand 7", "small")
@@ -17,7 +18,7 @@ JUMP, NON_GAME = ("promo",), ("standard", "brand 7", "small")
 
 def _eligible(spark, sf_dir):
     """Kept, since it is counted before it is ranked."""
-    return kept(C.eligible(C.acceptance(catalog(spark, sf_dir)), MIN_REVIEWS), "eligible")
+    return saved(C.eligible(C.acceptance(catalog(spark, sf_dir)), MIN_REVIEWS), "eligible")
 
 
 def acceptance_metrics(spark, sf_dir):
@@ -60,7 +61,7 @@ def pair_candidates(spark, sf_dir):
 
 
 def select_pairs(spark, sf_dir):
-    return P.select_pairs(kept(_candidates(spark, sf_dir), "candidates")).select("pairIndex", "type", "appid", "firstGenre", "rankFiltered")
+    return P.select_pairs(saved(_candidates(spark, sf_dir), "candidates")).select("pairIndex", "type", "appid", "firstGenre", "rankFiltered")
 
 
 def _given_pairs(scored):

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from critiq.operators import reviews as V
-from critiq.plans.views import CATALOG_SQL, REVIEWS_SQL, catalog, folder, reviews, table
+from critiq.plans.views import CATALOG_SQL, REVIEWS_SQL, catalog, reviews, table
 from critiq.sources import files
+from critiq.sources.scratch import folder
 
 
 def catalog_pages(spark, sf_dir):

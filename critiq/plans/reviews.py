@@ -8,7 +8,8 @@ from critiq.operators import describe as D
 from critiq.operators import quality_control as Q
 from critiq.operators import reviews as R
 from critiq.operators import sampling as S
-from critiq.plans.views import REVIEWS_SQL, SAMPLE_CAP, kept, reviews, table
+from critiq.plans.views import REVIEWS_SQL, SAMPLE_CAP, reviews, table
+from critiq.sources.scratch import saved
 from critiq.streaming.ingest import new_reviews
 
 
@@ -131,8 +132,8 @@ def qc_pages_vs_checkpoint(spark, sf_dir):
 
 def _compared(spark, sf_dir):
     """Sample against full, one row per app. Reviews without their texts, the sample and the result are kept: each is read several times."""
-    rows = kept(reviews(spark, sf_dir).drop("review"), "reviews")
-    return kept(Q.sample_against_full(rows, kept(S.stratified_sample(rows, SAMPLE_CAP), "sample")), "compared")
+    rows = saved(reviews(spark, sf_dir).drop("review"), "reviews")
+    return saved(Q.sample_against_full(rows, saved(S.stratified_sample(rows, SAMPLE_CAP), "sample")), "compared")
 
 
 def _sample_issues(compared):

@@ -288,7 +288,9 @@ def scoring_units(spark, sf_dir):
 
 
 def embed_texts(spark, sf_dir):
-    return K.embed(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "emb")
+    """The vectors' components in millionths, as text."""
+    rows = K.embed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.array_join(F.transform("emb", lambda v: F.round(v.cast("double") * 1e6).cast("long").cast("string")), ",").alias("emb"))
 
 
 _DICTIONARY_COUNTS = ("n_reviews", "n_tokens_mean", "pct_with_fun")
@@ -415,6 +417,31 @@ _SCANNED = r"""marks AS (
   FROM marks WHERE i <= len(c) AND object IS NULL),
 o AS (SELECT r.conv_id, r.turn, m.object FROM replies r LEFT JOIN marks m ON m.conv_id = r.conv_id AND m.turn = r.turn AND m.object IS NOT NULL)"""
 
+# k-means in SQL: starts by three weighted draws, then rounds until all have run (centres that stay do not move again).
+_HASHED = "(CAST('0x' || substr(md5(\"reviewId\" || ':{}'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE"
+_SQUARE = "round(list_distance(x.emb, c.centre) ** 2, 9)"
+
+
+def _k_means() -> str:
+    size = "CAST(ceil((k - 1) / 3) AS BIGINT)"
+    steps = [f"""v AS MATERIALIZED (SELECT CAST(label % 4 AS VARCHAR) AS appid, CAST(vec_id AS VARCHAR) AS "reviewId", CAST(embedding AS DOUBLE[]) AS emb FROM embeddings),
+k AS (SELECT appid, greatest(1, least(count(*), greatest(8, least(24, round_even(sqrt(count(*)), 0)))))::BIGINT AS k FROM v GROUP BY 1),
+s0 AS MATERIALIZED (SELECT appid, 0::BIGINT AS cid, emb AS centre FROM (SELECT *, row_number() OVER (PARTITION BY appid ORDER BY {_HASHED.format(0)}, "reviewId") AS p FROM v) WHERE p = 1)"""]
+    for i in range(1, K.PASSES + 1):
+        steps.append(f"""d{i} AS (SELECT x.appid, x."reviewId", any_value(x.emb) AS emb, min({_SQUARE}) AS far FROM v x JOIN s{i - 1} c ON c.appid = x.appid GROUP BY 1, 2),
+e{i} AS (SELECT *, row_number() OVER (PARTITION BY appid ORDER BY -ln({_HASHED.format(i)}) / far, "reviewId") AS p FROM d{i} WHERE far > 0),
+h{i} AS (SELECT appid, count(*) AS have FROM s{i - 1} GROUP BY 1),
+s{i} AS MATERIALIZED (SELECT * FROM s{i - 1} UNION ALL SELECT e.appid, have + p - 1, emb FROM e{i} e JOIN h{i} h ON h.appid = e.appid JOIN k ON k.appid = e.appid WHERE p <= least({size}, k - have))""")
+    last = f"s{K.PASSES}"
+    for i in range(1, K.ROUNDS + 2):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT appid, "reviewId", emb, cid FROM (SELECT x.appid, x."reviewId", x.emb, cid, row_number() OVER (PARTITION BY x.appid, x."reviewId" ORDER BY {_SQUARE}, cid) AS p
+  FROM v x JOIN {last} c ON c.appid = x.appid) WHERE p = 1),
+m{i} AS (SELECT appid, cid, list(v ORDER BY j) AS centre FROM (SELECT appid, cid, j, avg(v) AS v FROM (SELECT appid, cid, unnest(emb) AS v, generate_subscripts(emb, 1) AS j FROM a{i}) GROUP BY ALL) GROUP BY 1, 2),
+c{i} AS MATERIALIZED (SELECT c.appid, c.cid, coalesce(m.centre, c.centre) AS centre FROM {last} c LEFT JOIN m{i} m ON m.appid = c.appid AND m.cid = c.cid)""")
+        last = f"c{i}"
+    return "WITH " + ",\n".join(steps) + f""" SELECT appid, "reviewId", cid::INTEGER AS cluster_id, count(*) OVER (PARTITION BY appid, cid) AS cluster_size FROM a{K.ROUNDS + 1}"""
+
+
 ORACLES = {
     "tokens_per_app": f"WITH {_TOKENS} SELECT appid, token, count, round(count * 1000.0::DOUBLE / total_tokens, 6) AS freq_per_1000 FROM counts JOIN totals USING (appid)",
     "tokens_overall": f"WITH {_TOKENS} SELECT token, CAST(sum(count) AS BIGINT) AS count FROM counts GROUP BY token",
@@ -449,6 +476,12 @@ SELECT unit, CAST(length(p) AS INTEGER) AS n, md5(p) AS prompt_md5 FROM p""",
     "first_json": f"WITH RECURSIVE {_REPLIES}, {_SCANNED} SELECT conv_id, turn, object FROM o",
     "reply_lines": f"""WITH RECURSIVE {_REPLIES}, {_SCANNED}
 SELECT conv_id, turn, 'c' || conv_id AS appid, CASE WHEN turn % 2 = 0 THEN CAST(turn AS VARCHAR) END AS "reviewId", CASE WHEN object IS NULL THEN 'non-JSON output' END AS error, object->>'$.x.s' AS s FROM o""",
+    "cluster_assign": _k_means(),
+    "embed_texts": r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda t: t <> '')) AS w FROM documents),
+n AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS j, sum(1 - 2 * (CAST('0x' || substr(md5(w), 9, 1) AS BIGINT) & 1)) AS n FROM w GROUP BY ALL),
+a AS (SELECT doc_id, j, coalesce(n, 0)::DOUBLE AS n FROM (SELECT doc_id, j FROM documents, range(64) r(j)) q LEFT JOIN n USING (doc_id, j)),
+s AS (SELECT doc_id, j, CAST(n / greatest(sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 1e-12) AS FLOAT) AS v FROM a)
+SELECT doc_id, string_agg(CAST(CAST(round(v::DOUBLE * 1e6::DOUBLE) AS BIGINT) AS VARCHAR), ',' ORDER BY j) AS emb FROM s GROUP BY 1""",
     "stable_ids": "SELECT page_id, CAST(('0x' || substr(md5(url), 1, 12)) AS BIGINT) AS stable_id FROM pages",
     "response_reasons": f"WITH {_MADE} SELECT doc_id AS line_no, reason FROM reasons",
     "response_valid": f"""WITH {_MADE} SELECT doc_id AS line_no, appid, "reviewId", round("Flow", 8) AS "Flow", round("Utility", 8) AS "Utility", round("Nostalgia", 8) AS "Nostalgia", round("None", 8) AS "None", dominant, renormalised, dominant <> said AS dominance_fixed, model FROM valid""",

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,24 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new path that all executors share: under `spark.checkpoint.dir`, or in local mode a temporary one."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = tempfile.mkdtemp(prefix="critiq-")
-        spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written once and read back, for a table that a query reads several times; it survives a lost executor."""
-    path = folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def catalog(spark, sf_dir) -> DataFrame:
     """Parts as apps: lines not returned count as positive."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count(F.when(F.col("l_returnflag") != "R", 1)).alias("positive"), F.count(F.when(F.col("l_returnflag") == "R", 1)).alias("negative"))

@@ -217,22 +217,48 @@ def test_cluster_count(spark, n, k):
     assert K.cluster_count(spark.range(n).select(F.lit("a").alias("appid"))).first().k == k
 
 
-def test_clusters_are_separated(spark):
-    rows = [("a", f"{c}-{i}", [float(10 * c) + i / 100, float(-c)]) for c in range(8) for i in range(8)]
-    out = K.assign_clusters(spark.createDataFrame(rows, "appid string, reviewId string, emb array<float>")).collect()
-    groups = {}
-    for r in out:
-        groups.setdefault(r.reviewId.split("-")[0], set()).add(r.cluster_id)
-    assert len(out) == 64 and sum(len(g) == 1 for g in groups.values()) >= 6
+def plain_lloyd(x, centres, rounds):
+    """labels after so many rounds, by loops."""
+    for turn in range(rounds + 1):
+        labels = [min(range(len(centres)), key=lambda c: (round(sum((a - b) ** 2 for a, b in zip(v, centres[c], strict=True)), 9), c)) for v in x]
+        if turn < rounds:
+            for c in range(len(centres)):
+                own = [v for v, label in zip(x, labels, strict=True) if label == c]
+                if own:
+                    centres = [*centres[:c], [sum(col) / len(own) for col in zip(*own, strict=True)], *centres[c + 1 :]]
+    return labels
+
+
+def cluster_rows(spark, n=90):
+    rng = random.Random(2)
+    rows = [(a, f"{a}{i}", [round(rng.gauss(10 * (i % 8), 3), 3), round(rng.gauss(i % 3, 1), 3)]) for a in "ab" for i in range(n)]
+    odd = [("a", None, [0.0, 0.0]), (None, "x", [0.0, 0.0]), ("a", "y", None), ("b", "z", [float("nan"), 1.0]), ("b", "u", [None, 1.0])]
+    same = [("c", f"c{i}", [1.0, 2.0]) for i in range(20)] + [("one", "o", [5.0, 5.0])]
+    return rows, same, spark.createDataFrame(rows + odd + same, "appid string, reviewId string, emb array<double>").repartition(5)
 
 
-def test_clusters_do_not_depend_on_blocks(spark, monkeypatch):
-    rng = random.Random(2)
-    rows = [(a, f"{a}{i}", [rng.gauss(10 * (i % 8), 0.1), rng.gauss(0, 0.1)]) for a in "ab" for i in range(90)] + [("a", None, [0.0, 0.0]), (None, "x", [0.0, 0.0]), ("a", "y", None)]
-    frame = spark.createDataFrame(rows, "appid string, reviewId string, emb array<float>")
+@pytest.mark.parametrize("rounds", [0, 1, 20])
+def test_clusters_equal_plain_lloyd(spark, rounds):
+    rows, same, frame = cluster_rows(spark)
+    starts = {a: [v for b, _, v in rows if b == a][:9] for a in "ab"} | {"c": [[1.0, 2.0]], "one": [[0.0, 0.0]]}
+    found = {r.reviewId: r.cluster_id for r in K.assign_clusters(frame, rounds, starts).collect()}
+    assert len(found) == len(rows) + len(same)
+    for a in "ab":
+        ids, x = zip(*[(i, v) for b, i, v in rows if b == a], strict=True)
+        assert [found[i] for i in ids] == plain_lloyd(x, starts[a], rounds)
+
+
+def test_clusters_do_not_depend_on_blocks_batches_or_who_sums(spark, monkeypatch):
+    rows, same, frame = cluster_rows(spark)
     whole = {tuple(r) for r in K.assign_clusters(frame).collect()}
+    sizes = {}
+    for app, cluster, _, size in whole:
+        sizes.setdefault(app, {})[cluster] = size
+    assert len(sizes["a"]) == len(sizes["b"]) == 9 and sizes["c"] == {0: 20} and sizes["one"] == {0: 1}
     monkeypatch.setattr(K, "BLOCK_ROWS", 25)
-    assert {tuple(r) for r in K.assign_clusters(frame).collect()} == whole and len(whole) == 180
+    monkeypatch.setattr(K, "CENTRE_BYTES", 200)
+    assert {tuple(r) for r in K.assign_clusters(frame.repartition(3)).collect()} == whole
+    assert K.assign_clusters(frame.limit(0)).count() == 0
 
 
 def test_embedding_keeps_rows_when_a_batch_fails(spark):
