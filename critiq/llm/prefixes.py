@@ -55,7 +55,8 @@ def conversation_paths(turns: DataFrame) -> DataFrame:
 
 def rebuilt(own: DataFrame, group: int = 5, shared: int = 9) -> DataFrame:
     """(conv_id, path binary) of every conversation c after its first h turns were set to those of c - c % group, with
-    h = crc32(c as text) % shared: all of them if there are fewer, none without that conversation; own turns after h follow."""
+    h = crc32(c as text) % shared: all of them if there are fewer, none without that conversation; own turns after h follow.
+    % of a negative number is negative, as in SQL."""
     h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % shared).cast("int")
     base = F.col("conv_id") - F.col("conv_id") % group
     # the conversations of a base meet in one window of `group` short prefixes
