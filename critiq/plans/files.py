@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from critiq.operators import lexicon as L
 from critiq.operators import reviews as V
 from critiq.plans.views import CATALOG_SQL, REVIEWS_SQL, catalog, reviews, table
 from critiq.sources import files
 from critiq.sources.scratch import folder
+from critiq.streaming.ingest import ingest
 
 
 def catalog_pages(spark, sf_dir):
@@ -90,9 +92,74 @@ def review_defaults(spark, sf_dir):
     return V.with_defaults(rows).select("appid", "reviewId", "charLen", "isPositive")
 
 
-QUERIES = {f.__name__: f for f in (catalog_pages, review_page_files, csv_files, csv_order, json_line_files, per_app_files, embedding_files, column_aliases, review_defaults)}
+def upsert_files(spark, sf_dir):
+    """Old answers of all apps in a folder per app; new ones of every sixth review of the apps in even places replace theirs, others are added."""
+    rows = reviews(spark, sf_dir).select("appid", "reviewId", "doc_id", F.lit("old").alias("run"))
+    path = folder(spark, "upserted")
+    files.write_per_app(rows.filter("doc_id % 5 != 0").drop("doc_id"), path)
+    new = rows.filter("doc_id % 6 = 0 AND length(appid) % 2 = 0").select("appid", "reviewId", F.lit("new").alias("run"))
+    files.upsert_per_app(spark, path, new, ["appid", "reviewId"])
+    return spark.read.schema("appid string, reviewId string, run string").parquet(path)
+
+
+def lexicon_folder(spark, sf_dir):
+    """Lexicons made of the documents' first words, in four shapes: categories, weights among other columns, both, and one of unknown columns."""
+    path = folder(spark, "lexicons")
+    word = F.element_at(F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), " "), 1)
+    rows = table(spark, sf_dir, "documents").select("doc_id", word.alias("token"), F.coalesce("lang", F.lit(" ")).alias("category"))
+    files.write_csv(rows.filter("doc_id % 4 = 0"), f"{path}/a", ["category", "token"], order=["doc_id"])
+    files.write_csv(rows.filter("doc_id % 4 = 1").withColumns({"weight": F.col("doc_id") / 8, "note": F.lit('a "b", c')}), f"{path}/b", ["note", "token", "weight"], order=["doc_id"])
+    both = rows.filter("doc_id % 4 = 2").withColumns({"score": F.when(F.col("doc_id") % 3 != 0, F.col("doc_id").cast("string")).otherwise("bad"), "weight": F.lit("7")})
+    files.write_csv(both, f"{path}/c", ["token", "score", "weight", "category"], order=["-doc_id"])
+    files.write_csv(rows, f"{path}/d", ["doc_id", "category"])
+    categories, scores = L.read_lexicon(files.lexicon_rows(spark, path))
+    none = F.lit(None)
+    return categories.withColumn("score", none.cast("double")).unionByName(scores.withColumn("category", none.cast("string"))).select("token", "category", "score")
+
+
+def _dropped_pages(spark, sf_dir, name):
+    """A folder of pages, and what puts the second drop there: the pages in odd places, and those sent again of every fourth."""
+    from critiq.plans.reviews import review_pages
+
+    path, pages = folder(spark, name), review_pages(spark, sf_dir).select("appid", "page", "json")
+    pages.filter("page % 2 = 0").write.json(path)
+    return path, lambda: pages.filter("page % 2 = 1 OR page % 4 = 0").write.mode("append").json(path)
+
+
+def _ingested(spark, sf_dir, name, delay=None):
+    path, drop = _dropped_pages(spark, sf_dir, name)
+    target, checkpoint = folder(spark, f"{name}-rows"), folder(spark, f"{name}-checkpoint")
+    ingest(spark, path, target, checkpoint, delay)
+    drop()
+    ingest(spark, path, target, checkpoint, delay)
+    return spark.read.parquet(target).select("appid", "reviewId", "page", "timestamp_created", "charLen")
+
+
+def ingest_two_drops(spark, sf_dir):
+    """Pages that come in two drops, ingested by a stream that is started anew after each: every review once."""
+    return _ingested(spark, sf_dir, "drops")
+
+
+def ingest_late_rows(spark, sf_dir):
+    """The same with a watermark of ninety days: of the second drop, reviews that were created too long before the newest of the first are left out."""
+    return _ingested(spark, sf_dir, "late-drops", "90 days")
+
+
+QUERIES = {f.__name__: f for f in (catalog_pages, review_page_files, csv_files, csv_order, json_line_files, per_app_files, embedding_files, column_aliases, review_defaults, upsert_files, lexicon_folder, ingest_two_drops, ingest_late_rows)}
+
+_INGESTED = f"""{REVIEWS_SQL}, placed AS (SELECT *, CAST(floor(doc_id / 100) AS INTEGER) AS page FROM reviews)"""
 
 ORACLES = {
+    "ingest_two_drops": f'WITH {_INGESTED} SELECT appid, "reviewId", page, timestamp_created, CAST("charLen" AS INTEGER) AS "charLen" FROM placed',
+    "ingest_late_rows": f"""WITH {_INGESTED}, newest AS (SELECT max(timestamp_created) AS t FROM placed WHERE page % 2 = 0)
+SELECT appid, "reviewId", page, timestamp_created, CAST("charLen" AS INTEGER) AS "charLen" FROM placed, newest WHERE page % 2 = 0 OR timestamp_created > t - 90 * 86400""",
+    "upsert_files": f"""WITH {REVIEWS_SQL}, n AS (SELECT *, doc_id % 6 = 0 AND length(appid) % 2 = 0 AS is_new FROM reviews)
+SELECT appid, "reviewId", CASE WHEN is_new THEN 'new' ELSE 'old' END AS run FROM n WHERE is_new OR doc_id % 5 <> 0""",
+    "lexicon_folder": r"""WITH w AS (SELECT doc_id, lower(trim(split_part(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), ' ', 1))) AS token, trim(coalesce(lang, '')) AS category FROM documents),
+s AS (SELECT token, doc_id / 8.0::DOUBLE AS score, doc_id AS place FROM w WHERE doc_id % 4 = 1 AND token <> ''
+  UNION ALL SELECT token, doc_id, 1000000000000 - doc_id FROM w WHERE doc_id % 4 = 2 AND doc_id % 3 <> 0 AND token <> '')
+SELECT DISTINCT token, category, NULL::DOUBLE AS score FROM w WHERE doc_id % 2 = 0 AND token <> '' AND category <> ''
+UNION ALL SELECT token, NULL, arg_max(score, place)::DOUBLE FROM s GROUP BY token""",
     "catalog_pages": f"WITH {CATALOG_SQL} SELECT CAST(appid AS BIGINT) AS appid, trim(name) AS name, pos AS positive, neg AS negative FROM catalog",
     "review_page_files": f'WITH {REVIEWS_SQL} SELECT appid, CAST(floor(doc_id / 100) AS INTEGER) AS page, "reviewId", CAST("charLen" AS INTEGER) AS "charLen" FROM reviews',
     "csv_files": f"""WITH {REVIEWS_SQL} SELECT appid, "reviewId", round("charLen" / 7, 6) AS seventh, "isPositive", CAST(length(review) AS INTEGER) AS n, md5(review) AS review_md5 FROM reviews""",

@@ -7,7 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from critiq.functions.numeric import to_long
-from critiq.operators.reviews import PAGE
+from critiq.operators.reviews import PAGE, upserted
+from critiq.sources.scratch import saved
+
+#: Keys of touched apps are broadcast up to so many bytes.
+TOUCHED_BYTES = 16 << 20
 
 
 def catalog_rows(pages: DataFrame) -> DataFrame:
@@ -76,6 +80,50 @@ def resolved(rows: DataFrame) -> DataFrame:
     return rows.select(*[v.alias(k) for k, v in named.items()], *[c for c in rows.columns if c not in named])
 
 
+def upsert_per_app(spark: SparkSession, path: str, new: DataFrame, keys: list[str], key: str = "appid") -> None:
+    """Put the rows of `new` into the table that write_per_app made at `path`, in place of those with the same keys (null equals null).
+
+    Only the folders of apps in `new` are read and written. The merged rows are written out whole before the first folder is replaced, and
+    doing it again gives the same table, so after a crash the call is repeated. `new` without rows changes nothing.
+    """
+    old = spark.read.schema(new.schema).parquet(path)
+    touched = saved(new.select(key).distinct(), "touched")
+    few = touched.count() * 64 <= TOUCHED_BYTES  # then the scan itself leaves the other folders out
+    known = touched.filter(F.col(key).cast("string") >= "")  # no null; a comparison, since Spark prunes folders by filtered tables only
+    mine = old.join(F.broadcast(known) if few else known, key, "left_semi").select(*new.columns)
+    if not touched.filter(F.col(key).isNull()).isEmpty():
+        mine = mine.unionByName(old.filter(F.col(key).isNull()))
+    merged = saved(upserted(mine, new, keys), "merged")
+    merged.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+
+
+def lexicon_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row, token, category, score) from the CSV files below `path`, whatever columns they have and in whatever order.
+
+    A file counts if its header, trimmed and in lower case, has `token` and one of category, score and weight; other files are left out, as
+    are other columns. Values are those of the columns named exactly so; where a name stands twice, the last; score comes before weight.
+    A row that ends early lacks the rest. `row` grows along a file, and files go by path, so the last score is the one to take.
+    """
+    found = spark.read.option("pathGlobFilter", "*.[cC][sS][vV]").option("recursiveFileLookup", True)
+    width = found.text(path).agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1  # no row has more fields
+    cells = [f"c{i}" for i in range(width)]
+    rows = found.csv(path, schema=", ".join(f"{c} string" for c in cells), multiLine=True, escape='"').withColumn("file", F.col("_metadata.file_path"))
+    rows = rows.select("file", F.monotonically_increasing_id().alias("row"), F.array(*cells).alias("v"))
+    heads = rows.groupBy("file").agg(F.min(F.struct("row", "v")).alias("first")).select("file", F.col("first.row").alias("top"), F.transform("first.v", lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "^\ufeff", "")).alias("head"))
+    plain = F.transform("head", lambda c: F.lower(F.trim(c)))
+
+    def has(name: str):
+        return F.array_contains(plain, name)
+
+    def value(name: str):
+        at = F.size("head") - F.array_position(F.reverse(F.col("head")), name) + 1
+        return F.when(F.array_contains("head", name), F.get("v", (at - 1).cast("int")))
+
+    heads = heads.filter(has("token") & (has("category") | has("score") | has("weight")))
+    score = F.when(F.array_contains("head", "score"), value("score")).otherwise(value("weight"))
+    return rows.join(heads, "file").filter("row > top").select("file", "row", value("token").alias("token"), value("category").alias("category"), score.alias("score"))
+
+
 def in_order(df: DataFrame, order: list[str] | None) -> DataFrame:
     """Rows range-sorted by `order` (a leading "-" for descending), nulls last: files and rows of a writer come in this order."""
     if not order:
