@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from critiq.functions.numeric import share
-from critiq.operators.ranking import first_per_key
+from critiq.operators.ranking import first_per_key, percentiles
 from critiq.operators.sampling import BUCKETS, with_length_bucket
+from critiq.sources.scratch import saved
 
 
 def per_app_stats(reviews: DataFrame) -> DataFrame:
@@ -51,11 +52,14 @@ def unmatched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def corpus_summary(per_app: DataFrame) -> DataFrame:
-    ratio = F.col("fetched_vs_total")
-    return per_app.agg(
-        F.count_distinct("appid").alias("apps"), F.sum("fetched").alias("reviews"), F.min(ratio).alias("min_ratio"), F.median(ratio).alias("median_ratio"),
-        F.max(ratio).alias("max_ratio"), F.count(F.when(ratio < 0.99, 1)).alias("incomplete"),
+    """One row over all apps; the median is exact (ranking.percentiles)."""
+    rows = saved(per_app.select("appid", "fetched", F.col("fetched_vs_total").cast("double").alias("ratio")), "ratios")
+    ratio = F.col("ratio")
+    one = rows.agg(
+        F.count_distinct("appid").alias("apps"), F.sum("fetched").alias("reviews"), F.min(ratio).alias("min_ratio"), F.max(ratio).alias("max_ratio"), F.count(F.when(ratio < 0.99, 1)).alias("incomplete"),
     )
+    middle = percentiles(rows, [], ["ratio"], {"p50": 0.5})
+    return one.crossJoin(F.broadcast(middle)).select("apps", "reviews", "min_ratio", F.col("ratio_p50").alias("median_ratio"), "max_ratio", "incomplete")  # one row each
 
 
 def histogram(df: DataFrame, value: str, bins: int, clip: float | None = None) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from critiq.functions.numeric import renormalised
 from critiq.functions.text import token_rows, tokens
+from critiq.operators.ranking import percentiles
+from critiq.sources.scratch import saved
 
 FUN = ("Flow", "Utility", "Nostalgia")
 #: So many terms in all are matched as a set inside the row; more are joined, with the same result.
@@ -99,14 +101,20 @@ def review_scores(reviews: DataFrame, lexicon: dict[str, list[str]]) -> DataFram
 
 
 def app_aggregate(scores: DataFrame) -> DataFrame:
-    """Per app: reviews, those with a hit, means and medians of shares among hits, means of the rest."""
-    means = [F.avg(c).alias(f"{c}_mean") for c in ("n_tokens", "charLen", *[f"{c}_per_100" for c in FUN], *[f"{c}_share" for c in (*FUN, "None")])]
-    props = [f(f"{c}_prop").alias(f"{c}_prop_{name}") for c in FUN for name, f in (("mean", F.avg), ("median", F.median))]
+    """Per app: reviews, those with a hit, means and medians of shares among hits, means of the rest.
+
+    Medians are exact (ranking.percentiles); null shares, of reviews without a hit, do not count, and an app without any has none.
+    """
+    averaged = ("n_tokens", "charLen", *[f"{c}_per_100" for c in FUN], *[f"{c}_share" for c in (*FUN, "None")])
+    props = [f"{c}_prop" for c in FUN]
+    rows = saved(scores.select("appid", "zero_hit", *props, *averaged), "scores")
     with_fun = F.count(F.when(~F.col("zero_hit"), 1))
-    return scores.groupBy("appid").agg(
+    means = rows.groupBy("appid").agg(
         F.count("*").alias("n_reviews"), with_fun.alias("n_with_fun"), (with_fun * 100.0 / F.count("*")).alias("pct_with_fun"),
-        ((F.count("*") - with_fun) * 100.0 / F.count("*")).alias("zero_hit_pct"), *props, *means,
+        ((F.count("*") - with_fun) * 100.0 / F.count("*")).alias("zero_hit_pct"), *[F.avg(c).alias(f"{c}_mean") for c in (*props, *averaged)],
     )
+    medians = percentiles(rows, ["appid"], props, {"median": 0.5}).withColumnRenamed("appid", "__app")
+    return means.join(medians, F.col("appid").eqNullSafe(F.col("__app")), "left").drop("__app")
 
 
 def app_mix(scores: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from critiq.functions.numeric import DIMENSIONS, renormalised
 from critiq.functions.objects import first_json
-from critiq.operators.ranking import first_per_key
+from critiq.operators.ranking import first_per_key, percentiles
 from critiq.operators.reviews import not_in
+from critiq.sources.scratch import saved
 
 # The keys that a line must have, and the labels that `dominant` may take.
 KEYS = ("appid", "reviewId", *DIMENSIONS, "confidence", "dominant", "rationale_brief")
@@ -148,9 +149,11 @@ def unit_aggregate(scores: DataFrame, scale: float = 1.0) -> DataFrame:
 
 
 def confidence_diagnostics(scores: DataFrame) -> DataFrame:
-    rows = scores.select(F.col("confidence").try_cast("double").alias("c")).filter("c BETWEEN 0 AND 1")
-    p = F.percentile("c", [0.1, 0.5, 0.9])
-    return rows.agg(F.count("*").alias("n"), F.avg("c").alias("mean"), F.when(F.count("*") > 1, F.stddev_samp("c")).otherwise(0.0).alias("std"), F.min("c").alias("min"), p[0].alias("p10"), p[1].alias("p50"), p[2].alias("p90"), F.max("c").alias("max"))
+    """One row over the confidences from 0 to 1; percentiles are exact (ranking.percentiles)."""
+    rows = saved(scores.select(F.col("confidence").try_cast("double").alias("c")).filter("c BETWEEN 0 AND 1"), "confidences")
+    one = rows.agg(F.count("*").alias("n"), F.avg("c").alias("mean"), F.when(F.count("*") > 1, F.stddev_samp("c")).otherwise(0.0).alias("std"), F.min("c").alias("min"), F.max("c").alias("max"))
+    places = percentiles(rows, [], ["c"], {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    return one.crossJoin(F.broadcast(places)).select("n", "mean", "std", "min", *[F.col(f"c_{p}").alias(p) for p in ("p10", "p50", "p90")], "max")  # one row each
 
 
 def error_types(errors: DataFrame) -> DataFrame:

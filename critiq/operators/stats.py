@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from critiq.functions.numeric import DIMENSIONS
-from critiq.operators.ranking import average_rank
+from critiq.operators.ranking import ROWS_PER_RANGE, average_rank, value_ranks
+from critiq.sources.scratch import saved
 
 
 def compared(dictionary: DataFrame, model: DataFrame, counts: tuple[str, ...] = (), confidence: tuple[str, ...] = ()) -> DataFrame:
@@ -38,7 +39,8 @@ def pearson(both: DataFrame) -> DataFrame:
 
 def spearman(both: DataFrame) -> DataFrame:
     """(dimension, rho, n): the same on average ranks, all dimensions at once."""
-    rows = average_rank(average_rank(by_dimension(both), "x", "rx", ("dimension",)), "y", "ry", ("dimension",))
+    rows = saved(by_dimension(both), "both")
+    rows = average_rank(average_rank(rows, "x", "rx", ("dimension",)), "y", "ry", ("dimension",))
     return rows.groupBy("dimension").agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
 
 
@@ -50,17 +52,24 @@ def kl_divergence(both: DataFrame, scale: float = 1.0, eps: float = 1e-9) -> Dat
     return by_dimension(both).select("dimension", *cut).groupBy("dimension").agg(kl.alias("kl"))
 
 
-def mann_whitney(rows: DataFrame, value: str, high: str) -> DataFrame:
-    """One row (n1, n2, u, z, p) for the values where `high` holds against the rest; normal approximation with ties."""
+def mann_whitney(rows: DataFrame, value: str, high: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """One row (n1, n2, u, z, p) for the values where `high` holds against the rest; normal approximation with ties.
+
+    Both groups are counted by value; the values are ranked by ranges, so no task holds them all.
+    """
     data = rows.select(F.col(value).alias("v"), F.col(high).alias("g")).filter("v IS NOT NULL AND g IS NOT NULL")
-    ranks = average_rank(data, "v", "r")
-    ties = data.groupBy("v").agg(F.count("*").cast("double").alias("t")).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
-    sums = ranks.agg(F.count(F.when(F.col("g"), 1)).alias("n1"), F.count(F.when(~F.col("g"), 1)).alias("n2"), F.sum(F.when(F.col("g"), F.col("r"))).alias("r1"))
+    counts = saved(data.groupBy("v").agg(F.count("*").alias("__n"), F.count(F.when(F.col("g"), 1)).alias("high")), "value_counts")
+    ranks = value_ranks(counts.select("v", "__n"), "v", "r", rows_per_range=rows_per_range).join(counts.select("v", "high"), "v")
+    t = F.col("__n").cast("double")
+    one = ranks.agg(
+        F.coalesce(F.sum("high"), F.lit(0)).alias("n1"), F.coalesce(F.sum(F.col("__n") - F.col("high")), F.lit(0)).alias("n2"),
+        F.sum(F.when(F.col("high") > 0, F.col("high") * F.col("r"))).alias("r1"), F.sum(t * t * t - t).alias("ties"),
+    )
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     u = F.col("r1") - n1 * (n1 + 1) / 2
     spread = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    one = sums.crossJoin(F.broadcast(ties)).select("n1", "n2", u.alias("u"), F.when(spread > 0, (u - n1 * n2 / 2) / spread).alias("z"))  # one row each
+    one = one.select("n1", "n2", u.alias("u"), F.when(spread > 0, (u - n1 * n2 / 2) / spread).alias("z"))
     # two-sided p by Zelen and Severo's approximation of the normal tail, within 1e-7
     a = F.abs("z")
     t = 1 / (1 + 0.2316419 * a)
