@@ -2,31 +2,41 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-def _folded(text: str | None) -> str | None:
-    return None if text is None else "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-
-
-@F.pandas_udf(T.StringType())
-def without_accents(text: pd.Series) -> pd.Series:
-    return text.map(_folded)
+@cache
+def _ascii_forms() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters beyond ASCII whose compatibility decomposition has one ASCII character, and those where it has more: character -> what is left of it."""
+    one, more = {}, {}
+    for c in map(chr, range(128, sys.maxunicode + 1)):
+        left = "".join(x for x in unicodedata.normalize("NFKD", c) if x < "\x80")
+        if left:
+            (one if len(left) == 1 else more)[c] = left
+    return one, more
 
 
 def ascii_fold(c: Column) -> Column:
-    """Compatibility decomposition without combining marks and without what is not ASCII."""
-    return F.regexp_replace(without_accents(c), r"[^\x00-\x7F]", "")
+    """Compatibility decomposition without combining marks and without what is not ASCII.
+
+    Characters that become one are translated, those that become several replaced one by one, in the texts alone that hold them.
+    """
+    one, more = _ascii_forms()
+    forms = F.map_from_arrays(F.lit(list(more)), F.lit(list(more.values())))
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit("[" + "".join(more) + "]"), F.lit(0)))
+    opened = F.when(c.rlike("[" + "".join(more) + "]"), F.aggregate(found, c, lambda t, x: F.replace(t, x, F.element_at(forms, x)))).otherwise(c)
+    plain = F.regexp_replace(F.translate(opened, "".join(one), "".join(one.values())), r"[^\x00-\x7F]", "")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), plain).otherwise(c)
 
 
 def genre_label(c: Column, fold: bool = True) -> Column:
     """A genre in its plain form: no accents, lower case, `&` as and, separators as single spaces, a-z and 0-9 only."""
-    plain = F.lower(without_accents(c) if fold else c)
+    plain = F.lower(ascii_fold(c) if fold else c)
     spaced = F.regexp_replace(F.regexp_replace(plain, "&", " and "), r"[\\/_+,\-]+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(spaced, "[^a-z0-9 ]", ""), " +", " "))
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from critiq.functions.numeric import share
+from critiq.operators.differences import differing_parts
 from critiq.operators.ranking import first_per_key, percentiles
 from critiq.operators.sampling import BUCKETS, with_length_bucket
 from critiq.sources.scratch import saved
@@ -44,10 +45,11 @@ def with_pairs(per_app: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def unmatched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys of either side that the other lacks, with `side`; null keys match null keys."""
+    """Keys of either side that the other lacks, with `side`; null keys match null keys. Only buckets of keys that differ are compared."""
     def lacking(a, b, side):
         return a.select(*keys).distinct().join(b.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct(), [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left_anti").withColumn("side", F.lit(side))
 
+    left, right = differing_parts(left.select(*keys), right.select(*keys), keys)
     return lacking(left, right, "left").unionByName(lacking(right, left, "right"))
 
 

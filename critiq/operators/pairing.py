@@ -19,13 +19,7 @@ def with_first_genre(details: DataFrame, jump=JUMP_LABELS, non_game=NON_GAME_LAB
     refused = [*jump, *non_game]
     labels = F.expr("slice(genres, 1, 3)")
     exploded = details.select("appid", F.posexplode(labels).alias("at", "genre"))
-    # accents are folded once for each distinct label that has a letter beyond ASCII
-    plain = exploded.withColumn("label", genre_label(F.col("genre"), False))
-    if fold:
-        beyond = F.col("genre").rlike(r"[^\x00-\x7F]")
-        folded = exploded.filter(beyond).select("genre").distinct().withColumn("folded", genre_label(F.col("genre")))
-        plain = plain.join(folded, "genre", "left").withColumn("label", F.coalesce("folded", "label")).drop("folded")
-    exploded = plain
+    exploded = exploded.withColumn("label", genre_label(F.col("genre"), fold))
     first = exploded.filter(~F.col("label").isin(refused) & (F.col("label") != "")).groupBy("appid").agg(F.min_by("genre", "at").alias("firstGenre"), F.min_by("label", "at").alias("genreKey"))
     return details.join(first, "appid", "left").withColumn("allGenres", F.array_join("genres", ", "))
 

@@ -12,8 +12,10 @@ from critiq.functions.numeric import share
 from critiq.functions.text import check_label
 from critiq.operators.catalog import acceptance
 from critiq.operators.describe import full_length_shares, length_shares
+from critiq.operators.differences import differing_parts
 from critiq.operators.pairing import JUMP_LABELS, NON_GAME_LABELS
 from critiq.operators.sampling import BUCKETS, bucket_of, tertile_bounds
+from critiq.sources.scratch import saved
 
 # The limits of the rules.
 LEAST_REVIEWS, POSITIVITY_POINTS, LEAST_SPAN, SHARE_POINTS = 50, 5.0, 0.6, 10.0
@@ -43,9 +45,10 @@ def catalog_issues(ranked: DataFrame) -> DataFrame:
 
 def filtered_issues(filtered: DataFrame, expected: DataFrame) -> DataFrame:
     """Rows out of order, repeated appids, and differences from the slice made anew."""
+    filtered = saved(filtered.select("appid", "rankFiltered", "acceptanceScore"), "filtered")
     repeated = filtered.groupBy("appid").count().filter("count > 1")
-    lacking = expected.select("appid").exceptAll(filtered.select("appid"))
-    extra = filtered.select("appid").exceptAll(expected.select("appid"))
+    ours, theirs = differing_parts(filtered.select("appid"), expected.select("appid"), ["appid"])
+    lacking, extra = theirs.exceptAll(ours), ours.exceptAll(theirs)
     return together(
         issue(unsorted_rows(filtered, "rankFiltered", "acceptanceScore"), "ERROR", "filtered_order", F.col("rankFiltered")), issue(repeated, "ERROR", "filtered_duplicate", F.col("count")),
         issue(lacking, "ERROR", "filtered_missing", F.lit("expected")), issue(extra, "ERROR", "filtered_extra", F.lit("not expected")),

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from critiq.sources.scratch import saved
+
 BUCKETS = ("short", "medium", "long")
 DAY = 86_400
 
@@ -46,13 +48,17 @@ def strata(apps: DataFrame) -> DataFrame:
 
 
 def allocation(bucketed: DataFrame, cap: int = 150) -> DataFrame:
-    """(appid, isPositive, lengthBucket, total, target): cap dealt to the strata by largest remainders.
+    """dealt() of the reviews' counts per stratum."""
+    return dealt(bucketed.groupBy("appid", "isPositive", "lengthBucket").agg(F.count("*").alias("total")), cap)
+
+
+def dealt(held: DataFrame, cap: int = 150) -> DataFrame:
+    """(appid, isPositive, lengthBucket, stratum, total, target) from (appid, isPositive, lengthBucket, total): cap dealt to the strata by largest remainders.
 
     Equal remainders go to the higher stratum. An app with at most cap reviews keeps all. Doubles in the order
     (cap * total) / sum, as the rule states it.
     """
-    held = bucketed.groupBy("appid", "isPositive", "lengthBucket").agg(F.count("*").alias("total"))
-    rows = strata(bucketed.select("appid").distinct()).join(held, ["appid", "isPositive", "lengthBucket"], "left").fillna(0, ["total"])
+    rows = strata(held.select("appid").distinct()).join(held, ["appid", "isPositive", "lengthBucket"], "left").fillna(0, ["total"])
     app = W.partitionBy("appid")
     rows = rows.withColumns({"stratum": stratum_index(), "whole": F.sum("total").over(app)})
     rows = rows.withColumn("exact", (F.lit(cap) * F.col("total")).cast("double") / F.col("whole"))
@@ -103,14 +109,32 @@ def stratified_sample(reviews: DataFrame, cap: int = 150) -> DataFrame:
 
 
 def sampling_summary(reviews: DataFrame, sample: DataFrame, cap: int = 150) -> DataFrame:
-    """App rows and stratum rows in one table; columns of the other grain are null."""
-    def totals(df, prefix):
-        days = F.greatest(F.floor((F.max("timestamp_created") - F.min("timestamp_created")) / DAY), F.lit(0)).alias(f"{prefix}SpanDays")
-        return df.groupBy("appid").agg(F.count("*").alias(f"{prefix}Reviews"), F.sum("isPositive").alias(f"{prefix}Positive"), days)
-
-    apps = totals(reviews, "total").join(totals(sample, "sample"), "appid", "left").withColumn("grain", F.lit("app"))
-    plan = allocation(with_length_bucket(reviews, ["appid", "isPositive"]), cap)
-    days = F.greatest(F.floor((F.max("timestamp_created") - F.min("timestamp_created")) / DAY), F.lit(0)).alias("stratumSpanDays")
-    chosen = sample.groupBy("appid", "isPositive", "lengthBucket").agg(F.count("*").alias("selected"), days)
-    rows = plan.drop("stratum").join(chosen, ["appid", "isPositive", "lengthBucket"], "left").fillna(0, ["selected"]).withColumn("grain", F.lit("stratum"))
+    """App rows and stratum rows in one table; columns of the other grain are null.
+
+    Reviews and sample go through one aggregation by grouping sets. Reviews with a null sentiment count for their app and are in no stratum;
+    an app without sampled rows has null sample columns, a stratum without them selected 0 and no span.
+    """
+    bounds = tertile_bounds(reviews.filter("isPositive IS NOT NULL"), ["appid", "isPositive"])
+    bucketed = reviews.join(bounds, ["appid", "isPositive"], "left").withColumn("lengthBucket", F.when(F.col("p33").isNotNull(), bucket_of(F.col("charLen"))))
+    columns = ["appid", "isPositive", "lengthBucket", "timestamp_created"]
+    both = bucketed.select(*columns, F.lit(False).alias("chosen")).unionByName(sample.select(*columns, F.lit(True).alias("chosen"))).filter("appid IS NOT NULL")
+    both = both.withColumn("positive", F.col("isPositive"))  # the sets leave isPositive out of the app rows
+
+    def side(chosen: bool, prefix: str) -> list[Column]:
+        def own(c: str) -> Column:
+            return F.when(F.col("chosen") == chosen, F.col(c))
+
+        days = F.greatest(F.floor((F.max(own("timestamp_created")) - F.min(own("timestamp_created"))) / DAY), F.lit(0))
+        n = F.count_if(F.col("chosen") == chosen)
+        return [n.alias(f"{prefix}Reviews"), F.sum(own("positive")).alias(f"{prefix}Positive"), F.when(n > 0, days).alias(f"{prefix}SpanDays")]
+
+    sets = [[F.col("appid")], [F.col(c) for c in columns[:3]]]
+    counted = both.groupingSets(sets, *columns[:3]).agg(*side(False, "total"), *side(True, "sample"), (F.grouping("lengthBucket") == 1).alias("whole"))
+    counted = saved(counted, "sampling_counts")  # seven rows an app
+    sampled = F.when(F.col("sampleReviews") > 0, F.col("sampleReviews")).alias("sampleReviews")
+    apps = counted.filter("whole AND totalReviews > 0").select("appid", "totalReviews", "totalPositive", "totalSpanDays", sampled, "samplePositive", "sampleSpanDays", F.lit("app").alias("grain"))
+    groups = counted.filter("NOT whole AND isPositive IS NOT NULL AND lengthBucket IS NOT NULL")
+    plan = dealt(groups.filter("totalReviews > 0").select("appid", "isPositive", "lengthBucket", F.col("totalReviews").alias("total")), cap).drop("stratum")
+    chosen = groups.select("appid", "isPositive", "lengthBucket", F.col("sampleReviews").alias("selected"), F.col("sampleSpanDays").alias("stratumSpanDays"))
+    rows = plan.join(chosen, ["appid", "isPositive", "lengthBucket"], "left").fillna(0, ["selected"]).withColumn("grain", F.lit("stratum"))
     return apps.unionByName(rows, allowMissingColumns=True)
