@@ -1,57 +1,64 @@
 """Benchmark decontamination by template canonicalisation, in SQL functions only.
 
-A text's tokens are runs of letters or of digits (with inner . , : /). In its template numbers become <num>, a unit
-behind a number <unit>, a capitalised word that does not open a sentence <name>, and all else is lower case. Windows
-of WINDOW template tokens meet the items' windows by a hash join. On each diagonal (place in the text less place in
-the item) the slot values of the matched windows must map one to one between item and text, so a question with other
-numbers or names is caught while one that mixes its slots up is not: windows that hold such a slot do not count. A pair
-is reported when the windows that count reach `share` of the item's windows.
-
-Verbatim passages meet by windows of lower-cased raw tokens too, whatever their slots and case: items that are nearly all
-numbers or names, short items, and copies in other case, whose template tokens differ.
+A text's tokens are runs of letters or of digits (with inner . , : /). In a template numbers become <num>, behind a
+sign of arithmetic with that sign, a unit behind a number <unit>, a capitalised word <name>, and all else is lower case. A capitalised word that
+opens a sentence may be a name or not, so there are two templates: one has it as a name, one as a word.
+
+Items of the same template whose slots repeat in the same places are one class. Windows of WINDOW tokens of the texts, in both templates and
+as lower-cased raw tokens, meet the classes' windows by one hash join. A class is held where enough of its template's windows are
+met; on each diagonal (place in the text less place in the item) the slot values must map one to one between item and text, so
+other numbers or names are caught while a text that mixes its slots up is not: windows that hold such a slot do not count. Where a
+class is not held, its finer members are tried: the template with opening words as words, and the raw tokens of
+every different text, which find copies in other case, items that are nearly all slots, and short ones.
+
+Template windows without a literal token say nothing and do not count, and a template needs two literal tokens in all.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from critiq.llm.shared import saved
 
 WINDOW = 8
-#: Items shorter than WINDOW are one window of their own length. Templates of fewer tokens than this, and windows of more
-#: slots than literal tokens, say too little to tell a re-parameterised item: those meet verbatim, by raw tokens.
-LEAST_TOKENS = 4
+#: Literal tokens (words, and numbers behind a sign of arithmetic) that a template must have.
+LEAST_LITERALS = 2
 UNITS = ("km", "m", "cm", "mm", "mile", "miles", "ft", "feet", "inch", "inches", "kg", "g", "mg", "lb", "lbs", "pounds", "oz", "l", "ml", "liters",
          "litres", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "usd", "eur", "dollars", "euros",
          "cents", "percent", "degrees", "mph", "kmh", "kw", "w", "v", "hz", "gb", "mb")
+SIGN = r"^\\s*([-+*/×÷=^])\\s*$"
 #: Up to this many bytes of keys are broadcast; more go through a shuffled join.
 BROADCAST_BYTES = 32 << 20
 TOKEN = r"([^\\p{L}\\p{N}]*)(\\p{N}+(?:[.,:/]\\p{N}+)*|\\p{L}[\\p{L}\\p{M}]*)"
+IS_SLOT, IS_LITERAL = "{} LIKE '%>'", "{} NOT LIKE '<%'"  # a number behind a sign is both
 
 
 def _tokens(texts: DataFrame, *keys: str) -> DataFrame:
-    """(keys, raw, form): the raw tokens and the template tokens of each text."""
+    """(keys, low, name, word): lower-cased raw tokens, and the tokens of the templates with opening words as names and as words."""
     units = ", ".join(f"'{u}'" for u in UNITS)
     # the lambda sees nothing but its element: a column named in it would be evaluated anew for each element
-    form = f"""transform(parts, (p, i) -> CASE
-        WHEN p.token RLIKE '^\\\\p{{N}}' THEN '<num>'
-        WHEN p.low != p.token AND i > 0 AND NOT p.gap RLIKE '[.!?:\\\\n]' THEN '<name>'
-        WHEN p.low IN ({units}) AND p.before RLIKE '^\\\\p{{N}}' THEN '<unit>'
-        ELSE p.low END)"""
+    forms = f"""transform(parts, (p, i) -> CASE
+        WHEN p.token RLIKE '^\\\\p{{N}}' THEN named_struct('name', concat(regexp_extract(p.gap, '{SIGN}', 1), '<num>'), 'word', concat(regexp_extract(p.gap, '{SIGN}', 1), '<num>'))
+        WHEN p.low != p.token THEN named_struct('name', '<name>', 'word', IF(i > 0 AND NOT p.gap RLIKE '[.!?:\\\\n]', '<name>', p.low))
+        WHEN p.low IN ({units}) AND p.before RLIKE '^\\\\p{{N}}' THEN named_struct('name', '<unit>', 'word', '<unit>')
+        ELSE named_struct('name', p.low, 'word', p.low) END)"""
     rows = texts.select(*keys, *[F.expr(f"regexp_extract_all(text, '{TOKEN}', {i})").alias(n) for i, n in ((2, "raw"), (1, "gaps"))])
     rows = rows.select(*keys, "raw", "gaps", F.expr("transform(raw, t -> lower(t))").alias("low"), F.expr("concat(array(''), raw)").alias("before"))
     parts = F.slice(F.arrays_zip(F.col("raw").alias("token"), F.col("gaps").alias("gap"), "low", "before"), F.lit(1), F.size("raw"))
-    return rows.select(*keys, "raw", parts.alias("parts")).select(*keys, "raw", F.expr(form).alias("form"))
+    return rows.select(*keys, "low", parts.alias("parts")).select(*keys, "low", F.expr(forms).alias("forms")).select(*keys, "low", "forms.name", "forms.word")
 
 
 def _windows(tokens: DataFrame, sizes: list[int], *keys: str) -> DataFrame:
-    """(keys, w, at, form, raw): the hashes of every window of w template tokens and of w lower-cased raw tokens, for each w of `sizes`."""
-    codes = tokens.select(*keys, F.expr("transform(form, t -> xxhash64(t))").alias("codes"), F.expr("transform(raw, t -> xxhash64(lower(t)))").alias("plain"))
-    window = "struct({w} AS w, i - 1 AS at, xxhash64(slice(codes, i, {w})) AS form, xxhash64(slice(plain, i, {w})) AS raw)"
-    of_size = "CASE WHEN size(codes) >= {w} THEN transform(sequence(1, size(codes) - {w} + 1), i -> " + window + ") END"
+    """(keys, w, at, code): every code, raw or of a template, of every window of w tokens, for each w of `sizes`."""
+    codes = tokens.select(*keys, *[F.expr(f"transform({c}, t -> xxhash64(t))").alias(c) for c in ("low", "name", "word")])
+    hashes = ", ".join(f"xxhash64(slice({c}, i, {{w}}))" for c in ("low", "name", "word"))
+    window = f"struct({{w}} AS w, i - 1 AS at, array_distinct(array({hashes})) AS codes)"
+    of_size = "CASE WHEN size(low) >= {w} THEN transform(sequence(1, size(low) - {w} + 1), i -> " + window + ") END"
     every = [of_size.format(w=w) for w in sizes]
-    return codes.select(*keys, F.inline(F.expr(every[0] if len(every) == 1 else "flatten(array_compact(array(" + ", ".join(every) + ")))")))
+    rows = codes.select(*keys, F.inline(F.expr(every[0] if len(every) == 1 else "flatten(array_compact(array(" + ", ".join(every) + ")))")))
+    return rows.select(*keys, "w", "at", F.explode("codes").alias("code"))
 
 
 def _texts(rows: DataFrame, name: str, key: str) -> DataFrame:
@@ -60,58 +67,98 @@ def _texts(rows: DataFrame, name: str, key: str) -> DataFrame:
     return rows.select(name, F.xxhash64(name, "text").alias(key), "text")
 
 
+def _repeats(items: DataFrame, form: str) -> DataFrame:
+    """(item, <form>_repeats): a code of which slots of the template hold the same value of the same kind."""
+    rows = items.select("item", F.posexplode(F.arrays_zip(F.col(form).alias("t"), "low")).alias("j", "p")).filter(IS_SLOT.format("p.t"))
+    kind = F.regexp_extract("p.t", "<[a-z]+>$", 0)
+    first = F.min("j").over(W.partitionBy("item", kind, "p.low"))
+    rows = rows.select("item", "j", first.alias("first"))
+    return rows.groupBy("item").agg(F.xxhash64(F.sort_array(F.collect_list(F.struct("j", "first")))).alias(f"{form}_repeats"))
+
+
+def _members(benchmark: DataFrame) -> DataFrame:
+    """(kind, class, member, item_id, n_items, w, low, form): what texts are held against, each with its smallest item.
+
+    A class is the template with opening words as names, of kind `name`; its finer members are of kind `word` or `low`.
+    """
+    items = _tokens(_texts(benchmark, "item_id", "item").distinct(), "item_id", "item").filter(F.size("low") > 0)
+    items = saved(items.withColumn("w", F.least(F.size("low"), F.lit(WINDOW))), "items")
+    for form in ("name", "word"):
+        items = items.join(_repeats(items, form), "item", "left")
+    class_ = F.xxhash64("name", F.coalesce("name_repeats", F.lit(0)))
+    each = [F.struct(F.lit("name").alias("kind"), class_.alias("class"), class_.alias("member"), F.col("name").alias("form"))]
+    each.append(F.struct(F.lit("word").alias("kind"), class_.alias("class"), F.xxhash64("word", F.coalesce("word_repeats", F.lit(0)), class_).alias("member"), F.col("word").alias("form")))
+    each.append(F.struct(F.lit("low").alias("kind"), class_.alias("class"), F.xxhash64("low", class_).alias("member"), F.col("low").alias("form")))
+    rows = items.withColumn("two", F.col("name") != F.col("word")).select("item_id", "w", "low", "two", F.inline(F.array(*each))).filter("two OR kind != 'word'")
+    told = f"size(filter(form, t -> {IS_LITERAL.format('t')})) >= {LEAST_LITERALS}"
+    found = rows.groupBy("kind", "class", "member").agg(F.min_by(F.struct("w", "low", "form"), F.struct("item_id", "low")).alias("m"), F.min("item_id").alias("item_id"), F.count_distinct("item_id").alias("n_items"))
+    return found.select("kind", "class", "member", "item_id", "n_items", "m.*").withColumn("told", F.expr(f"kind = 'low' OR {told}"))
+
+
+def _judged(hits: DataFrame, wanted: DataFrame, members: DataFrame, docs: DataFrame, share: float, torn: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The members that texts hold, and the torn slots found on the way: (doc_id, doc, class, kind, member, n_windows, share) and (doc, class, line, torn).
+
+    Only pairs with enough windows are looked at slot by slot. `torn` are slots torn before, for members without slots of their own.
+    """
+    pair, total = ["doc_id", "doc", "class", "kind", "member"], members.select("member", "kind", "total")
+    met = hits.join(wanted, ["class", "w", "code"]).withColumn("line", F.col("at") - F.col("item_at"))
+    lines = saved(met.groupBy(*pair, "w", "line").agg(F.collect_set("item_at").alias("places")), "lines")  # no more places than the item has
+    each = lines.select(*pair, F.explode("places").alias("p")).groupBy(*pair).agg(F.count_distinct("p").alias("n"))
+    enough = each.join(total, ["member", "kind"]).filter(F.col("n") >= share * F.col("total")).select("doc", "member", "kind")
+    lines = saved(lines.join(enough, ["doc", "member", "kind"], "left_semi"), "lines")
+    slotted = lines.filter("kind != 'low'")
+    ids = saved(slotted.select("doc").distinct(), "texts")
+    few = ids.count() * 8 <= BROADCAST_BYTES
+    texts = _tokens(docs.join(F.broadcast(ids) if few else ids, "doc", "left_semi").select("doc", "text").distinct(), "doc").select("doc", F.col("low").alias("theirs"))
+    covered = F.expr("array_distinct(flatten(transform(places, p -> sequence(p, p + w - 1))))")
+    slots = slotted.join(texts, "doc").join(members.select("member", "kind", "low", "form"), ["member", "kind"]).select("doc", "class", "kind", "member", "line", F.explode(covered).alias("j"), "low", "form", "theirs")
+    # get() before the rows grow: of the arrays only one token each goes on
+    slots = slots.select("doc", "class", "kind", "member", "line", "j", F.get("form", "j").alias("t"), F.get("low", "j").alias("ours"), F.get("theirs", (F.col("j") + F.col("line")).cast("int")).alias("theirs"))
+    slots = slots.filter(IS_SLOT.format("t")).withColumn("slot", F.regexp_extract("t", "<[a-z]+>$", 0))
+    line = ["doc", "class", "kind", "member", "line"]
+    one_way = [W.partitionBy(*line, "slot", c) for c in ("ours", "theirs")]
+    apart = (F.min("theirs").over(one_way[0]) != F.max("theirs").over(one_way[0])) | (F.min("ours").over(one_way[1]) != F.max("ours").over(one_way[1]))
+    own = saved(slots.withColumn("apart", apart).filter("apart").groupBy(*line).agg(F.collect_set("j").alias("torn")), "torn")
+    voids = own.drop("class")
+    placed = lines.join(voids, ["doc", "kind", "member", "line"], "left")
+    if torn is not None:
+        placed = placed.join(torn.withColumnRenamed("torn", "before"), ["doc", "class", "line"], "left")
+        placed = placed.withColumn("torn", F.when(F.col("kind") == "low", F.col("before")).otherwise(F.col("torn"))).drop("before")
+    sound = F.expr("array_except(places, coalesce(array_distinct(flatten(transform(torn, j -> sequence(j - w + 1, j)))), array()))")
+    held = placed.select(*pair, F.explode(sound).alias("p")).groupBy(*pair).agg(F.count_distinct("p").alias("n_windows"))
+    held = held.join(total, ["member", "kind"]).withColumn("share", F.col("n_windows") / F.col("total")).filter(F.col("share") >= share)
+    return held.select(*pair, "n_windows", "share"), own.select("doc", "class", "line", "torn")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> DataFrame:
-    """(doc_id, item_id, n_windows, share) for each document of (doc_id, text) that holds an item of (item_id, text).
+    """(doc_id, item_id, n_items, n_windows, share) for each document of (doc_id, text) that holds an item of (item_id, text).
 
-    n_windows counts the item's matched template windows, share is their part of all its template windows; where these
-    do not reach `share`, both are of the windows of raw tokens. Rows with null ids are left out; null and empty texts
-    hold nothing; equal items and equal documents each give rows of their own. Rows that repeat an id are texts of
-    their own, of which the best match counts. Other columns are left out. Empty tables give no rows.
+    item_id stands for the n_items ids of its class (the smallest; see the module), n_windows counts the windows met, share is their part of all
+    its windows that count. Rows with null ids are left out; null and empty texts hold nothing; equal documents each give rows of
+    their own. Rows that repeat an id are texts of their own, of which the best match counts. Other columns are left
+    out. Empty tables give no rows.
     """
     docs = _texts(docs, "doc_id", "doc")
-    items = saved(_tokens(_texts(benchmark, "item_id", "item").distinct(), "item_id", "item").filter(F.size("form") > 0), "items")
-    items = items.withColumn("w", F.least(F.size("form"), F.lit(WINDOW)))
-    sizes = sorted(r.w for r in items.select("w").distinct().collect())  # eight values at most
+    members = saved(_members(benchmark), "members")
+    sizes = sorted(r.w for r in members.select("w").distinct().collect())  # eight values at most
     if not sizes:
-        return docs.limit(0).select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_windows"), F.lit(0.0).alias("share"))
-    told = f"size(form) >= {LEAST_TOKENS} AND size(filter(slice(form, at + 1, w), t -> t NOT LIKE '<%')) * 2 >= w"
-    wanted = None
-    for size in sizes:
-        some = _windows(items.filter(F.col("w") == size), [size], "item").withColumnsRenamed({"form": "form_code", "raw": "raw_code"})
-        wanted = some if wanted is None else wanted.unionByName(some)
-    wanted = wanted.join(items.select("item", "form"), "item").withColumn("told", F.expr(told))
-    # a window without slots has one code, which stands for both kinds
-    codes = F.expr("""CASE WHEN form_code = raw_code THEN array(struct(raw_code AS code, told, true AS verbatim))
-        WHEN told THEN array(struct(form_code AS code, true AS told, false AS verbatim), struct(raw_code AS code, false AS told, true AS verbatim))
-        ELSE array(struct(raw_code AS code, false AS told, true AS verbatim)) END""")
-    wanted = saved(wanted.select("w", "item", F.col("at").alias("item_at"), F.inline(codes)), "wanted")
-    totals = wanted.groupBy("item").agg(F.count_if("told").alias("all"), F.count_if("verbatim").alias("all_verbatim"))
-    small = wanted.count() * 24 <= BROADCAST_BYTES
-    codes = F.expr("""CASE WHEN form = raw THEN array(struct(form AS code, true AS as_form, true AS as_raw))
-        ELSE array(struct(form AS code, true AS as_form, false AS as_raw), struct(raw AS code, false AS as_form, true AS as_raw)) END""")
-    seen = _windows(_tokens(docs, "doc_id", "doc"), sizes, "doc_id", "doc").select("doc_id", "doc", "at", "w", F.inline(codes))
-    hits = seen.join(F.broadcast(wanted) if small else wanted, ["code", "w"])
-    hits = hits.withColumns({"told": F.expr("told AND as_form"), "verbatim": F.expr("verbatim AND as_raw")}).filter("told OR verbatim")
-    # a window's place in the item occurs once per diagonal, so a group holds no more places than the item
-    places = [F.collect_set(F.when(F.col(kind), F.col("item_at"))).alias(name) for kind, name in (("told", "places"), ("verbatim", "same"))]
-    lines = saved(hits.groupBy("doc_id", "doc", "item", "w", (F.col("at") - F.col("item_at")).alias("line")).agg(*places), "lines")
-    ids = lines.select("doc").distinct()
-    few = ids.count() * 8 <= BROADCAST_BYTES
-    texts = _tokens(docs.join(F.broadcast(ids) if few else ids, "doc", "left_semi").distinct(), "doc").select("doc", F.col("raw").alias("doc_raw"))
-    slots = """filter(transform(array_distinct(flatten(transform(array_union(places, same), p -> sequence(p, p + w - 1)))),
-        j -> struct(j, form[j] AS kind, lower(raw[j]) AS ours, lower(get(doc_raw, j + line)) AS theirs)), s -> s.kind LIKE '<%')"""
-    # slots of one value here and two there
-    torn = "transform(filter(slots, s -> exists(slots, t -> s.kind = t.kind AND (s.ours = t.ours) != (s.theirs = t.theirs))), s -> s.j)"
-    sound = "filter({}, p -> NOT exists(torn, j -> j BETWEEN p AND p + w - 1))"
-    placed = lines.join(texts, "doc").join(items.select("item", "raw", "form"), "item").withColumn("slots", F.expr(slots)).withColumn("torn", F.expr(torn))
-    placed = placed.select("doc_id", "doc", "item", *[F.expr(sound.format(c)).alias(c) for c in ("places", "same")])
-    each = F.expr("concat(transform(places, p -> struct(p AS told, int(null) AS verbatim)), transform(same, p -> struct(int(null) AS told, p AS verbatim)))")
-    held = placed.select("doc_id", "doc", "item", F.inline(each)).groupBy("doc_id", "doc", "item").agg(F.count_distinct("told").alias("told"), F.count_distinct("verbatim").alias("verbatim"))
-    shares = held.join(totals, "item").withColumns({"by_form": F.expr("coalesce(try_divide(told, all), 0D)"), "by_raw": F.expr("verbatim / all_verbatim")})
-    formed = (F.col("by_form") >= share) & (F.col("told") > 0)
-    found = shares.filter(formed | (F.col("by_raw") >= share) & (F.col("verbatim") > 0)).join(items.select("item", "item_id"), "item")
-    best = F.max(F.struct(F.when(formed, F.col("by_form")).otherwise(F.col("by_raw")).alias("share"), F.when(formed, F.col("told")).otherwise(F.col("verbatim")).alias("n_windows")))
-    return found.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.n_windows", "best.share")
+        long = F.lit(0).cast("long")
+        return docs.limit(0).select("doc_id", long.alias("item_id"), long.alias("n_items"), long.alias("n_windows"), F.lit(0.0).alias("share"))
+    # the window at i - 1, told by a literal token unless it is of raw tokens
+    codes = "transform(sequence(1, size(form) - w + 1), i -> struct(i - 1 AS item_at, xxhash64(transform(slice(form, i, w), t -> xxhash64(t))) AS code, kind = 'low' OR exists(slice(form, i, w), t -> " + IS_LITERAL.format("t") + ") AS says))"
+    wanted = saved(members.filter("told").select("kind", "class", "member", "w", F.inline(F.expr(codes))).filter("says").drop("says"), "wanted")
+    members = members.join(wanted.groupBy("member", "kind").agg(F.count("*").alias("total")), ["member", "kind"])
+    keys = saved(wanted.select("w", "code", "class").distinct(), "keys")
+    small = keys.count() * 24 <= BROADCAST_BYTES
+    seen = _windows(_tokens(docs, "doc_id", "doc"), sizes, "doc_id", "doc")
+    hits = saved(seen.join(F.broadcast(keys) if small else keys, ["w", "code"]), "hits")
+    whole, torn = _judged(hits, wanted.filter("kind = 'name'"), members, docs, share, None)
+    whole = saved(whole, "held")
+    rest = hits.join(whole.select("doc", "class"), ["doc", "class"], "left_anti")
+    finer, _ = _judged(rest, wanted.filter("kind != 'name'"), members, docs, share, torn)
+    found = whole.unionByName(finer).join(members.select("member", "kind", "item_id", "n_items"), ["member", "kind"])
+    best = F.max(F.struct("share", "n_windows", "n_items")).alias("best")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_items", "best.n_windows", "best.share")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> DataFrame:

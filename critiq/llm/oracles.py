@@ -1,16 +1,22 @@
 """DuckDB SQL for the operators that SQL can express."""
 
-from critiq.llm.decontam import LEAST_TOKENS, UNITS, WINDOW
+from critiq.llm.decontam import LEAST_LITERALS, UNITS, WINDOW
 
 _TOKEN = r"([^\p{L}\p{N}]*)(\p{N}+(?:[.,:/]\p{N}+)*|\p{L}[\p{L}\p{M}]*)"
-_FORM = """list_transform(raw, lambda t, i: CASE WHEN regexp_matches(t, '^\\p{N}') THEN '<num>'
-    WHEN lower(t) <> t AND i > 1 AND NOT regexp_matches(gaps[i], '[.!?:\\n]') THEN '<name>'
-    WHEN i > 1 AND lower(t) IN (UNITS) AND regexp_matches(raw[i - 1], '^\\p{N}') THEN '<unit>' ELSE lower(t) END)""".replace("UNITS", ", ".join(f"'{u}'" for u in UNITS))
+_UNITS = ", ".join(f"'{u}'" for u in UNITS)
+
+
+def _form(opening: str) -> str:
+    """A text's template, with capitalised words that open a sentence as `opening`."""
+    return f"""list_transform(raw, lambda t, i: CASE WHEN regexp_matches(t, '^\\p{{N}}') THEN regexp_extract(gaps[i], '^\\s*([-+*/×÷=^])\\s*$', 1) || '<num>'
+    WHEN lower(t) <> t THEN CASE WHEN i > 1 AND NOT regexp_matches(gaps[i], '[.!?:\\n]') THEN '<name>' ELSE {opening} END
+    WHEN i > 1 AND lower(t) IN ({_UNITS}) AND regexp_matches(raw[i - 1], '^\\p{{N}}') THEN '<unit>' ELSE lower(t) END)"""
 
 
 def _split(table: str, key: str) -> str:
     text = "coalesce(text, '')"
-    return f"SELECT {key}, raw, {_FORM} AS form FROM (SELECT {key}, regexp_extract_all({text}, '{_TOKEN}', 2) AS raw, regexp_extract_all({text}, '{_TOKEN}', 1) AS gaps FROM {table} WHERE {key} IS NOT NULL)"
+    tokens = f"SELECT {key}, regexp_extract_all({text}, '{_TOKEN}', 2) AS raw, regexp_extract_all({text}, '{_TOKEN}', 1) AS gaps FROM {table} WHERE {key} IS NOT NULL"
+    return f"SELECT {key}, list_transform(raw, lambda t: lower(t)) AS low, {_form(chr(39) + '<name>' + chr(39))} AS name, {_form('lower(t)')} AS word FROM ({tokens})"
 
 
 NEAR_DUPLICATES = r"""
@@ -23,29 +29,52 @@ both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT doc_id, doc_id AS root FROM n UNION SELECT b, root FROM reach JOIN both_ways ON a = doc_id)
 SELECT n.doc_id, n AS n_shingles, min(root) AS component_id, n.doc_id = min(root) AS kept FROM n JOIN reach ON n.doc_id = reach.doc_id GROUP BY n.doc_id, n"""
 
+
+
+def _repeats(form: str) -> str:
+    """Which slots hold the same value of the same kind: of each the first place where kind and value stand."""
+    keys = f"list_transform({form}, lambda t, i: regexp_extract(t, '<[a-z]+>$') || ':' || low[i])"
+    return f"list_transform({form}, lambda t, i: CASE WHEN t LIKE '%>' THEN list_position({keys}, regexp_extract(t, '<[a-z]+>$') || ':' || low[i]) END)"
+
+
+def _judged(hits: str, of: str, name: str, voids: str) -> str:
+    """CTEs: windows met by members of `of`, slots torn in pairs with enough of them, members held."""
+    pair = "doc_id, class, kind, member"
+    return f"""{name}_met AS MATERIALIZED (SELECT DISTINCT h.doc_id, m.class, m.kind, m.member, m.w, h.q - c.p AS line, c.p FROM {hits} h JOIN wanted c ON c.class = h.class AND c.w = h.w AND c.code = h.code
+  JOIN members m ON m.member = c.member AND m.kind = c.kind WHERE {of}),
+{name}_enough AS (SELECT {pair} FROM {name}_met JOIN totals USING (kind, member) GROUP BY {pair}, total HAVING count(DISTINCT p) >= 0.5 * total),
+{name}_lines AS MATERIALIZED (SELECT * FROM {name}_met SEMI JOIN {name}_enough USING ({pair})),
+{name}_slots AS (SELECT DISTINCT l.doc_id, l.class, l.kind, l.member, line, p + j AS j, regexp_extract(m.form[p + j + 1], '<[a-z]+>$') AS slot, m.low[p + j + 1] AS ours, d.low[line + p + j + 1] AS theirs
+  FROM (SELECT *, unnest(range(w)) AS j FROM {name}_lines WHERE kind <> 'low') l JOIN members m ON m.member = l.member AND m.kind = l.kind JOIN d ON d.doc_id = l.doc_id WHERE m.form[p + j + 1] LIKE '%>'),
+{name}_torn AS MATERIALIZED (SELECT doc_id, class, kind, member, line, j FROM (SELECT *, min(theirs) OVER here <> max(theirs) OVER here OR min(ours) OVER there <> max(ours) OVER there AS apart FROM {name}_slots
+  WINDOW here AS (PARTITION BY {pair}, line, slot, ours), there AS (PARTITION BY {pair}, line, slot, theirs)) WHERE apart),
+{name}_held AS MATERIALIZED (SELECT {pair}, count(DISTINCT p) AS n_windows, count(DISTINCT p) / total AS share FROM {name}_lines l JOIN totals USING (kind, member)
+  WHERE NOT EXISTS (SELECT 1 FROM {voids} t WHERE t.doc_id = l.doc_id AND t.line = l.line AND t.j >= l.p AND t.j < l.p + l.w AND t.member = CASE WHEN l.kind = 'low' THEN l.class ELSE l.member END)
+  GROUP BY {pair}, total HAVING count(DISTINCT p) / total >= 0.5)"""
+
+
+_CODE = "array_to_string({}[{} + 1 : {} + w], ' ')"
 DECONTAMINATION = f"""
 WITH d AS ({_split('documents', 'doc_id')}),
-items AS (SELECT *, least(len(form), {WINDOW}) AS w FROM ({_split('benchmark', 'item_id')}) WHERE len(form) > 0),
-sizes AS (SELECT DISTINCT w FROM items),
-wanted AS (SELECT item_id, w, p, array_to_string(form[p + 1 : p + w], ' ') AS form_code, lower(array_to_string(raw[p + 1 : p + w], ' ')) AS raw_code,
-             len(form) >= {LEAST_TOKENS} AND 2 * len(list_filter(form[p + 1 : p + w], lambda t: t NOT LIKE '<%')) >= w AS told
-  FROM (SELECT *, unnest(range(len(form) - w + 1)) AS p FROM items)),
-totals AS (SELECT item_id, count(*) FILTER (told) AS all_told, count(*) AS all_verbatim FROM wanted GROUP BY 1),
-seen AS (SELECT doc_id, w, q, array_to_string(form[q + 1 : q + w], ' ') AS form_code, lower(array_to_string(raw[q + 1 : q + w], ' ')) AS raw_code
-  FROM (SELECT doc_id, form, raw, w, unnest(range(len(form) - w + 1)) AS q FROM d, sizes WHERE len(form) >= w)),
-matched AS (
-  SELECT doc_id, item_id, s.w, p, q, true AS told, false AS verbatim FROM seen s JOIN wanted i ON s.form_code = i.form_code AND s.w = i.w WHERE told
-  UNION ALL SELECT doc_id, item_id, s.w, p, q, false, true FROM seen s JOIN wanted i ON s.raw_code = i.raw_code AND s.w = i.w),
-hits AS MATERIALIZED (SELECT doc_id, item_id, w, p, q, bool_or(told) AS told, bool_or(verbatim) AS verbatim FROM matched GROUP BY ALL),
-slots AS (SELECT DISTINCT h.doc_id, h.item_id, q - p AS line, p + j AS j, i.form[p + j + 1] AS kind, lower(i.raw[p + j + 1]) AS ours, lower(d.raw[q + j + 1]) AS theirs
-  FROM (SELECT *, unnest(range(w)) AS j FROM hits) h JOIN items i ON h.item_id = i.item_id JOIN d ON h.doc_id = d.doc_id),
-spread AS (SELECT *, min(theirs) OVER here <> max(theirs) OVER here OR min(ours) OVER there <> max(ours) OVER there AS torn FROM slots WHERE kind LIKE '<%'
-  WINDOW here AS (PARTITION BY doc_id, item_id, line, kind, ours), there AS (PARTITION BY doc_id, item_id, line, kind, theirs)),
-held AS (SELECT doc_id, item_id, count(DISTINCT p) FILTER (told) AS told, count(DISTINCT p) FILTER (verbatim) AS verbatim FROM hits h
-  WHERE NOT EXISTS (SELECT 1 FROM spread s WHERE torn AND s.doc_id = h.doc_id AND s.item_id = h.item_id AND s.line = h.q - h.p AND s.j >= h.p AND s.j < h.p + h.w) GROUP BY 1, 2),
-shares AS (SELECT *, told > 0 AND told / all_told >= 0.5 AS formed FROM held JOIN totals USING (item_id))
-SELECT doc_id, item_id, CASE WHEN formed THEN told ELSE verbatim END AS n_windows, CASE WHEN formed THEN told / all_told ELSE verbatim / all_verbatim END AS share
-FROM shares WHERE formed OR verbatim > 0 AND verbatim / all_verbatim >= 0.5"""
+items AS (SELECT *, least(len(low), {WINDOW}) AS w, array_to_string(name, ' ') || '/' || {_repeats('name')}::VARCHAR AS class, array_to_string(word, ' ') || '/' || {_repeats('word')}::VARCHAR AS finer
+  FROM ({_split('benchmark', 'item_id')}) WHERE len(low) > 0),
+each AS (SELECT item_id, w, low, 'name' AS kind, class, class AS member, name AS form FROM items
+  UNION ALL SELECT item_id, w, low, 'word', class, finer || '//' || class, word FROM items WHERE name <> word
+  UNION ALL SELECT item_id, w, low, 'low', class, array_to_string(low, ' ') || '//' || class, low FROM items),
+members AS MATERIALIZED (SELECT kind, class, member, min(item_id) AS item_id, count(DISTINCT item_id) AS n_items, any_value(w) AS w, arg_min(low, item_id) AS low, any_value(form) AS form FROM each GROUP BY 1, 2, 3),
+wanted AS MATERIALIZED (SELECT kind, class, member, w, p, {_CODE.format('form', 'p', 'p')} AS code FROM (SELECT *, unnest(range(len(form) - w + 1)) AS p FROM members
+  WHERE kind = 'low' OR len(list_filter(form, lambda t: t NOT LIKE '<%')) >= {LEAST_LITERALS}) WHERE kind = 'low' OR len(list_filter(form[p + 1 : p + w], lambda t: t NOT LIKE '<%')) > 0),
+totals AS (SELECT kind, member, count(*) AS total FROM wanted GROUP BY 1, 2),
+keys AS (SELECT DISTINCT w, code, class FROM wanted),
+seen AS (SELECT DISTINCT doc_id, w, q, unnest([{', '.join(_CODE.format(c, 'q', 'q') for c in ('low', 'name', 'word'))}]) AS code
+  FROM (SELECT *, unnest(range(len(low) - w + 1)) AS q FROM d, (SELECT DISTINCT w FROM members) WHERE len(low) >= w)),
+hits AS MATERIALIZED (SELECT doc_id, w, q, code, class FROM seen JOIN keys USING (w, code)),
+{_judged('hits', "m.kind = 'name'", 'whole', 'whole_torn')},
+rest AS MATERIALIZED (SELECT * FROM hits ANTI JOIN whole_held USING (doc_id, class)),
+{_judged('rest', "m.kind <> 'name'", 'finer', "(FROM whole_torn UNION ALL FROM finer_torn)")},
+found AS (SELECT doc_id, item_id, n_items, n_windows, share FROM (FROM whole_held UNION ALL FROM finer_held) JOIN members USING (kind, class, member))
+SELECT doc_id, item_id, max({{'share': share, 'n_windows': n_windows, 'n_items': n_items}}).n_items AS n_items, max({{'share': share, 'n_windows': n_windows, 'n_items': n_items}}).n_windows AS n_windows, max(share) AS share
+FROM found GROUP BY 1, 2"""
 
 
 FILTER_AUDIT = r"""

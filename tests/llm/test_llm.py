@@ -444,17 +444,48 @@ def test_decontamination_of_verbatim_passages(spark):
     """Items of slots alone, short items, and copies in other case, each between other words."""
     items = {1: "What is 3 + 4 * 12 - 7 / 5 + 6?", 2: "Anna Berta Carla Dora Emil Fritz Georg Hans Ida", 3: "two words", 4: "Ask Maria about Oslo and Bergen before noon today", 5: "Paris hosts many large fairs", 6: "東京の首都"}
     copies = {1: items[1], 2: items[2], 3: items[3], 4: items[4].upper(), 14: items[4].lower(), 5: items[5], 6: items[6]}
-    docs = spark.createDataFrame([(i, f"here stands {t} and no more") for i, t in copies.items()] + [(20, "What is 3 + 5 * 11 - 2 / 4 + 1? two other words, Anna Fritz")], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, f"here stands {t} and no more") for i, t in copies.items()] + [(20, "What is 3 + 3 * 11 - 2 / 4 + 1? two other words, Anna Fritz")], "doc_id long, text string")
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.share for r in decontam.contaminated(docs, bench).collect()}
     assert got == {(i, i % 10): 1.0 for i in copies}
 
 
+def held(spark, items, docs):
+    bench, texts = (spark.createDataFrame(list(x.items()), f"{k}_id long, text string") for x, k in ((items, "item"), (docs, "doc")))
+    return {(r.doc_id, r.item_id): r.n_items for r in decontam.contaminated(texts, bench).collect()}
+
+
 def test_decontamination_of_items_of_numbers_and_of_few_words(spark):
-    items = {1: "What is 12 + 45 * 3 - 7 / 2 ?", 2: "Capital of France?"}
-    docs = spark.createDataFrame([(1, f"So: {items[1]} he said"), (2, f"one asks, {items[2].lower()} and goes"), (3, "What is 12 + 46 * 3 - 7 / 2 ? Capital of Spain?")], "doc_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
-    assert got == {(1, 1), (2, 2)}
+    """Re-parameterised arithmetic, short questions, and names that open a sentence; numbers alone are no template."""
+    items = {1: "What is 12 + 45 * 3 - 7 / 2 ?", 2: "Compute 3 * 4 + 5 .", 3: "Capital of France?", 4: "Tom has 3 apples and gives 2 away", 5: "Sam has 4 apples and gives 1 away", 6: "12 45 7"}
+    docs = {
+        1: f"So: {items[1]} he said", 2: "one asks, capital of france and goes", 3: "What is 99 + 1 * 8 - 6 / 4 ? Capital of Spain?", 4: "Compute 7 * 9 + 2 .", 5: "we compute 7 * 9 + 2 here",
+        6: "So it goes. Bob has 7 apples and gives 5 away. Nice", 7: "yes, Bob has 7 apples and gives 5 away", 8: "Bob has 7 apples and gives 7 away", 9: "SAM HAS 4 APPLES AND GIVES 1 AWAY", 10: "8 9 10", 11: "see 12 45 7",
+        12: "What is 99 - 1 * 8 - 6 / 4 ?", 13: "Compute 7 * 9 - 2 .",
+    }
+    assert held(spark, items, docs) == {(1, 1): 1, (2, 3): 1, (3, 1): 1, (3, 3): 1, (4, 2): 1, (5, 2): 1, (6, 4): 2, (7, 4): 2, (9, 5): 1, (11, 6): 1}
+
+
+def test_items_of_one_template_are_one_class(spark, monkeypatch):
+    """Sixty items and sixty documents of a template, and what differs in which slots are equal, give a row per document and class."""
+    sentence = "{} walks to the market with {} coins and comes home with {} apples for {}"
+    names = [chr(65 + i // 8) + chr(97 + i % 8) for i in range(60)]
+    items = {i: sentence.format(f"{n}anna", i, i + 100, f"{n}anna") for i, n in enumerate(names)} | {100 + i: sentence.format(f"{n}bert", i, i + 100, f"{n}carl") for i, n in enumerate(names)}
+    docs = {i: "well, " + sentence.format(f"{n}eve", i + 500, i + 700, f"{n}eve") for i, n in enumerate(names)}
+    sizes, write = {}, decontam.saved
+    monkeypatch.setattr(decontam, "saved", lambda df, name: sizes.setdefault(name, []).append(out := write(df, name)) or out)
+    # in the other class the two names differ, which voids the two windows that hold one
+    assert held(spark, items, docs) == {(i, item): 60 for i in range(60) for item in (0, 100)}
+    windows = max(len(t.split()) for t in docs.values())
+    assert all(t.count() <= 60 * 2 * windows for name in ("hits", "lines") for t in sizes[name])
+
+
+def test_decontamination_of_a_long_item_of_numbers(spark):
+    """Ten thousand slots of a line are compared by grouping, not with each other."""
+    numbers = [str(i * 7) for i in range(10_000)]
+    text = "list the numbers " + " ".join(numbers)
+    docs = {1: text, 2: text.replace(" 7 ", " 8 "), 3: "list the numbers " + " ".join(str(i * 3 + 1) for i in range(10_000))}
+    assert held(spark, {1: text}, docs) == {(i, 1): 1 for i in docs}
 
 
 def test_decontamination_voids_only_windows_with_a_torn_slot(spark):
