@@ -50,7 +50,7 @@ def _encode(vectors: DataFrame, planes: np.ndarray) -> DataFrame:
             if not len(batch):
                 continue
             x = np.stack(batch.column("embedding").to_numpy(zero_copy_only=False)).astype(np.float64)
-            scale = np.abs(x).max(1) / 127
+            scale = np.maximum(np.abs(x).max(1) / 127, np.finfo(float).tiny)  # the smallest components become 0
             code = np.rint(x / scale[:, None]).astype(np.int8)
             leaves = np.stack([((x @ p.T) > 0) @ (1 << np.arange(bits)) for p in planes], 1) if bits else np.zeros((len(x), len(planes)), np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -190,9 +190,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEAM
 
     vectors has vec_id and embedding; see usable() for the rows that take no part. Nearest first by inner product in
     double precision on the original vectors, ties to the smaller id; fewer than k candidates: all that are found.
-    Repeated ids count once; an empty table or no query gives no rows; other columns are left out.
+    Equal vectors are searched once, as a class, and its rows all take part. Repeated ids count once; an empty table or no query gives no rows; other columns are left out.
     """
-    rows = saved(usable(vectors), "vectors")
+    every = saved(usable(vectors), "vectors")
+    classes = every.groupBy("embedding").agg(F.min("vec_id").alias("rep"))
+    members = saved(every.join(classes, "embedding").select("vec_id", "rep"), "classes")
+    rows = saved(every.join(members.select(F.col("rep").alias("vec_id")).distinct(), "vec_id", "left_semi"), "distinct_vectors")
     n = rows.count()
     width = rows.select(F.size("embedding").alias("n")).first()
     bits = max(0, math.ceil(math.log2(max(1, n / LEAF))))
@@ -200,9 +203,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEAM
     codes = saved(_encode(rows, planes), "codes")
     edges = build_graph(codes, n)
     buckets = max(1, n // BUCKET)
-    members = _members(edges.withColumn("fresh", F.lit(False)), -1).select("u", "m")
-    graph = saved(members.join(codes.select(F.col("vec_id").alias("m"), "code", "scale"), "m").withColumn("bucket", _bucket("u", buckets)), "adjacency")
-    asked = codes.join(queries.select(F.col("vec_id").cast("long")).distinct(), "vec_id", "left_semi").select(F.col("vec_id").alias("q"), F.col("code").alias("q_code"), F.col("scale").alias("q_scale"))
+    listed = _members(edges.withColumn("fresh", F.lit(False)), -1).select("u", "m")
+    graph = saved(listed.join(codes.select(F.col("vec_id").alias("m"), "code", "scale"), "m").withColumn("bucket", _bucket("u", buckets)), "adjacency")
+    asking = saved(members.join(queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi"), "asking")
+    asked = codes.join(asking.select(F.col("rep").alias("vec_id")).distinct(), "vec_id", "left_semi").select(F.col("vec_id").alias("q"), F.col("code").alias("q_code"), F.col("scale").alias("q_scale"))
     asked = saved(asked, "asked")
     pool = asked.select("q", F.col("q").alias("w"), F.lit(math.inf).alias("s"), F.lit(False).alias("done"))
     for _ in range(steps):
@@ -222,6 +226,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEAM
     own = rows.select(F.col("vec_id").alias("q"), F.col("embedding").alias("x"))
     other = rows.select(F.col("vec_id").alias("w"), F.col("embedding").alias("y"))
     score = F.expr("aggregate(zip_with(x, y, (a, b) -> a * b), double(0), (t, p) -> t + p)")
-    exact = last.join(other, "w").join(own, "q").select(F.col("q").alias("query_id"), F.col("w").alias("vec_id"), score.alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return exact.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # a query's own vector may stand for other rows
+    pairs = last.unionByName(asked.select("q", F.col("q").alias("w")))
+    exact = pairs.join(other, "w").join(own, "q").select(F.col("q").alias("rep"), "w", score.alias("score"))
+    # rows of equal vectors score alike, so of a class only the first k + 1 ids can be among the nearest of a query, itself counted
+    place = F.row_number().over(W.partitionBy("rep").orderBy("vec_id"))
+    first = members.withColumn("place", place).filter(F.col("place") <= k + 1).select(F.col("rep").alias("w"), "vec_id")
+    order = [F.desc("score"), F.asc("vec_id")]
+    near = exact.join(first, "w").withColumn("place", F.row_number().over(W.partitionBy("rep").orderBy(*order))).filter(F.col("place") <= k + 1)
+    found = asking.withColumnRenamed("vec_id", "query_id").join(near.drop("place"), "rep").filter("query_id != vec_id")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(*order))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -422,6 +422,34 @@ def test_neighbours_of_a_hub(spark, monkeypatch):
     assert {tuple(r) for r in neighbours.search(frame, frame, k=5).collect()} == whole and len(whole) == 5 * 151
 
 
+def test_equal_vectors_go_by_id(spark):
+    """Four vectors of many copies among others: the answers are those of brute force, ties included, and all copies ask alike."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 8)).astype(np.float32)
+    for c in range(4):
+        x[c::7] = rng.normal(size=8).astype(np.float32) * (2 if c < 2 else 0.5)
+    ids = rng.permutation(len(x)) * 3
+    frame = spark.createDataFrame(pa.table({"vec_id": ids, "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    got = neighbours.search(frame, frame.filter("vec_id % 40 = 0"))
+    found = {q: g.sort_values("rank") for q, g in got.toPandas().groupby("query_id")}
+    y, by_id, right = x.astype(float), {int(i): at for at, i in enumerate(ids)}, []
+    assert set(found) == {i for i in by_id if i % 40 == 0}
+    for q, g in found.items():
+        s = np.array([sum(a * b for a, b in zip(v, y[by_id[q]], strict=True)) for v in y])
+        want = [int(ids[i]) for i in np.lexsort((ids, -s)) if ids[i] != q][:20]
+        assert list(g["rank"]) == list(range(1, 21)) and list(g["score"]) == [s[by_id[i]] for i in g["vec_id"]]
+        right.append(len(set(want) & set(g["vec_id"])) / 20)
+    assert np.mean(right) > 0.99 and min(right) >= 0.9
+
+
+def test_all_vectors_equal_or_tiny(spark):
+    same = spark.createDataFrame([(i, [0.5, -1.0]) for i in range(100)], "vec_id long, embedding array<double>")
+    got = neighbours.search(same, same.filter("vec_id IN (0, 3, 50)"), k=3).collect()
+    assert {(r.query_id, r["rank"], r.vec_id) for r in got} == {(0, 1, 1), (0, 2, 2), (0, 3, 3), (3, 1, 0), (3, 2, 1), (3, 3, 2), (50, 1, 0), (50, 2, 1), (50, 3, 2)}
+    tiny = spark.createDataFrame([(1, [5e-324, 0.0]), (2, [1e-320, 5e-324]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert {(r.query_id, r.vec_id) for r in neighbours.search(tiny, tiny, k=2).collect()} == {(a, b) for a in (1, 2, 3) for b in (1, 2, 3) if a != b}
+
+
 # 6 decontamination
 
 ITEM = "A train leaves Paris at 9 and runs 120 km to Lyon while another leaves Lyon at 9 and meets it after 60 km."
