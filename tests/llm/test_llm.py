@@ -143,6 +143,22 @@ def test_model_spans_on_documents(spark):
     assert hit.sum() > 50 and found[hit].mean() >= secrets.RECALL - 0.02 and hit[found].mean() >= 0.95
 
 
+def test_secrets_learn_from_given_findings(spark):
+    """The same ones on every run and partitioning; what is no finding is left out."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(400):
+        word = "".join(rng.choice(list("abcdef0123456789" if i % 2 else "aeiostrn"), 12))
+        rows.append((f"it says {word} here", 8, 20, i % 2))
+    bad = [(None, 0, 9, 1), ("short", 0, 50, 1), ("backwards text", 9, 3, 1), ("no label here", 0, 8, None)]
+    schema = "text string, start int, end int, label int"
+    frame = spark.createDataFrame(rows + bad, schema).withColumn("doc_id", F.lit(1))
+    a, b = (secrets.train_secrets(None, frame.repartition(n), documents=10) for n in (1, 5))
+    assert a.threshold == b.threshold and all((a.params[k] == b.params[k]).all() for k in a.params)
+    docs = spark.createDataFrame([(1, "it says 0a1b2c3d4e5f here and 77aa99bb11cc too"), (2, "it says nothing")], "doc_id long, text string")
+    assert {r.doc_id: len(r.spans) for r in secrets.scan_secrets(docs, a).collect()} == {1: 2, 2: 0}
+
+
 # 2 language
 
 def test_language_of_held_out_documents(spark):
