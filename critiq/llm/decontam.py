@@ -53,12 +53,14 @@ def _tokens(texts: DataFrame, *keys: str) -> DataFrame:
 def _windows(tokens: DataFrame, sizes: list[int], *keys: str) -> DataFrame:
     """(keys, w, at, code): every code, raw or of a template, of every window of w tokens, for each w of `sizes`."""
     codes = tokens.select(*keys, *[F.expr(f"transform({c}, t -> xxhash64(t))").alias(c) for c in ("low", "name", "word")])
-    hashes = ", ".join(f"xxhash64(slice({c}, i, {{w}}))" for c in ("low", "name", "word"))
-    window = f"struct({{w}} AS w, i - 1 AS at, array_distinct(array({hashes})) AS codes)"
-    of_size = "CASE WHEN size(low) >= {w} THEN transform(sequence(1, size(low) - {w} + 1), i -> " + window + ") END"
-    every = [of_size.format(w=w) for w in sizes]
-    rows = codes.select(*keys, F.inline(F.expr(every[0] if len(every) == 1 else "flatten(array_compact(array(" + ", ".join(every) + ")))")))
-    return rows.select(*keys, "w", "at", F.explode("codes").alias("code"))
+    other = "filter(transform({a}, (t, i) -> IF(t != get({b}, i), i + 1, 0)), i -> i > 0)"
+    codes = codes.select("*", F.expr(other.format(a="word", b="low")).alias("slots"), F.expr(other.format(a="name", b="word")).alias("opens"))
+    # a template's window has a code of its own only where it holds a token that differs
+    around = "array_distinct(flatten(transform({}, j -> sequence(greatest(1, j - {{w}} + 1), least(j, size(low) - {{w}} + 1)))))"
+    starts = {"low": "sequence(1, size(low) - {w} + 1)", "word": around.format("slots"), "name": around.format("opens")}
+    lists = ", ".join(f"transform({at}, i -> struct({{w}} AS w, i - 1 AS at, xxhash64(slice({c}, i, {{w}})) AS code))" for c, at in starts.items())
+    every = [("CASE WHEN size(low) >= {w} THEN concat(" + lists + ") END").format(w=w) for w in sizes]
+    return codes.select(*keys, F.inline(F.expr(every[0] if len(every) == 1 else "flatten(array_compact(array(" + ", ".join(every) + ")))")))
 
 
 def _texts(rows: DataFrame, name: str, key: str) -> DataFrame:
