@@ -9,6 +9,7 @@ from critiq.operators import bibliometrics as B
 from critiq.operators import catalog as C
 from critiq.operators import pairing as P
 from critiq.operators import quality_control as Q
+from critiq.operators.ranking import global_rank
 from critiq.plans.views import CATALOG_SQL, ELIGIBLE_SQL, MIN_REVIEWS, catalog, details, table
 from critiq.sources.scratch import saved
 
@@ -29,6 +30,13 @@ def acceptance_rank(spark, sf_dir):
     return C.ranked(_eligible(spark, sf_dir)).select("appid", "acceptanceScore", "rankAcceptance")
 
 
+def acceptance_rank_ranges(spark, sf_dir):
+    """The same ranks by counted ranges of the score, as tables beyond one task's reach are ranked."""
+    rows = _eligible(spark, sf_dir).withColumn("number", F.col("appid").cast("long"))
+    ranked = global_rank(rows, "acceptanceScore", "number", "rankAcceptance", rows_per_range=200)
+    return ranked.select("appid", "acceptanceScore", "rankAcceptance")
+
+
 def quartile_mid(spark, sf_dir):
     return C.quartile_slice(_eligible(spark, sf_dir), "keep_mid").select("appid", "acceptanceScore", "rankAcceptance", "rankFiltered")
 
@@ -166,7 +174,7 @@ def venue_counts(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    acceptance_metrics, acceptance_rank, quartile_mid, quartile_extremes, quartile_borders, top_catalog, first_genre, pair_candidates, select_pairs, pair_deltas,
+    acceptance_metrics, acceptance_rank, acceptance_rank_ranges, quartile_mid, quartile_extremes, quartile_borders, top_catalog, first_genre, pair_candidates, select_pairs, pair_deltas,
     qc_catalog, qc_filtered, qc_pairs, check_labels, pubs_per_year, pub_density, pub_growth, element_counts, category_totals, category_cooccurrence, facet_counts, source_totals, venue_counts,
 )}
 
@@ -186,6 +194,7 @@ members AS (SELECT DISTINCT id, category FROM elements JOIN (VALUES ('Technology
 
 ORACLES = {
     "acceptance_metrics": f"WITH {CATALOG_SQL} SELECT * FROM scored",
+    "acceptance_rank_ranges": f'WITH {ELIGIBLE_SQL} SELECT appid, "acceptanceScore", "rankAcceptance" FROM ranked',
     "acceptance_rank": f'WITH {ELIGIBLE_SQL} SELECT appid, "acceptanceScore", "rankAcceptance" FROM ranked',
     "quartile_mid": f'WITH {ELIGIBLE_SQL} SELECT appid, "acceptanceScore", "rankAcceptance", "rankFiltered" FROM mid',
     "quartile_extremes": f'WITH {ELIGIBLE_SQL} SELECT appid, "acceptanceScore", "rankAcceptance", "rankAcceptance" - CASE WHEN "rankAcceptance" - 1 >= q3 THEN q3 - q1 ELSE 0 END AS "rankFiltered" FROM cut WHERE NOT ("rankAcceptance" - 1 >= q1 AND "rankAcceptance" - 1 < q3)',
