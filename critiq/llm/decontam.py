@@ -39,10 +39,13 @@ def _tokens(texts: DataFrame, *keys: str) -> DataFrame:
     """(keys, low, name, word): lower-cased raw tokens, and the tokens of the templates with opening words as names and as words."""
     units = ", ".join(f"'{u}'" for u in UNITS)
     # the lambda sees nothing but its element: a column named in it would be evaluated anew for each element
+    # a token begins with a letter or a digit, and ASCII digits stand before all letters: most tokens need no pattern
+    number = "({0} < ':' OR {0} > '\\u007F' AND {0} RLIKE '^\\\\p{{N}}')"
+    signed = f"concat(regexp_extract(p.gap, '{SIGN}', 1), '<num>')"
     forms = f"""transform(parts, (p, i) -> CASE
-        WHEN p.token RLIKE '^\\\\p{{N}}' THEN named_struct('name', concat(regexp_extract(p.gap, '{SIGN}', 1), '<num>'), 'word', concat(regexp_extract(p.gap, '{SIGN}', 1), '<num>'))
-        WHEN p.low != p.token THEN named_struct('name', '<name>', 'word', IF(i > 0 AND NOT p.gap RLIKE '[.!?:\\\\n]', '<name>', p.low))
-        WHEN p.low IN ({units}) AND p.before RLIKE '^\\\\p{{N}}' THEN named_struct('name', '<unit>', 'word', '<unit>')
+        WHEN {number.format('p.token')} THEN named_struct('name', {signed}, 'word', {signed})
+        WHEN p.low != p.token THEN named_struct('name', '<name>', 'word', IF(i > 0 AND NOT p.gap RLIKE '[.!?:\\n]', '<name>', p.low))
+        WHEN p.before != '' AND {number.format('p.before')} AND p.low IN ({units}) THEN named_struct('name', '<unit>', 'word', '<unit>')
         ELSE named_struct('name', p.low, 'word', p.low) END)"""
     rows = texts.select(*keys, *[F.expr(f"regexp_extract_all(text, '{TOKEN}', {i})").alias(n) for i, n in ((2, "raw"), (1, "gaps"))])
     rows = rows.select(*keys, "raw", "gaps", F.expr("transform(raw, t -> lower(t))").alias("low"), F.expr("concat(array(''), raw)").alias("before"))
