@@ -1,10 +1,8 @@
-"""Helpers the operators share: the shared folder, saved tables, bounded samples, Arrow batches of text."""
+"""Helpers the operators share: saved tables, bounded samples, Arrow batches of text."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from critiq.sources.scratch import drop_saved, run_dir, saved, shared_dir  # noqa: F401
+
 #: Documents read by one numpy step hold about this many bytes of text, whatever the Arrow batch holds.
 CHUNK_BYTES = 1 << 20
 #: Bytes of `[\x20\x09-\x0D]`, the white space of the word definitions.
@@ -22,36 +22,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`. Where it is unset, a temporary one, in local mode only:
-    on a cluster every executor would write to its own disk, so that is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="critiq-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def run_dir(spark: SparkSession) -> str:
-    """The one folder of this application's saved tables and files; drop_saved() removes it."""
-    return f"{shared_dir(spark)}/critiq-{spark.sparkContext.applicationId}"
-
-
-def drop_saved(spark: SparkSession) -> None:
-    """Remove all that saved() and the operators wrote in this application. What was read from there can't be used any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: lineage ends there and survives a lost executor."""
-    path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
