@@ -30,10 +30,13 @@ def read_lexicon(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def token_counts(reviews: DataFrame, **options) -> DataFrame:
-    """(appid, token, count, freq_per_1000), summed up on each task before the shuffle."""
-    counts = token_rows(reviews, "review", "appid", **options).groupBy("appid", "token").agg(F.count("*").alias("count"))
+    """(appid, token, count, freq_per_1000), summed up on each task before the shuffle. Reviews without an appid do not count.
+
+    An app's counts stay dealt by token: its total is broadcast, a row per app, and left out where the frequency is not used.
+    """
+    counts = token_rows(reviews.filter("appid IS NOT NULL"), "review", "appid", **options).groupBy("appid", "token").agg(F.count("*").alias("count"))
     totals = counts.groupBy("appid").agg(F.sum("count").alias("__all"))
-    return counts.join(totals, "appid").withColumn("freq_per_1000", F.col("count") * 1000.0 / F.col("__all")).drop("__all")
+    return counts.join(F.broadcast(totals), "appid", "left").withColumn("freq_per_1000", F.col("count") * 1000.0 / F.col("__all")).drop("__all")
 
 
 def overall_counts(counts: DataFrame) -> DataFrame:
