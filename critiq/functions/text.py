@@ -25,11 +25,13 @@ def ascii_fold(c: Column) -> Column:
     """Compatibility decomposition without combining marks and without what is not ASCII.
 
     Characters that become one are translated, those that become several replaced one by one, in the texts alone that hold them.
+    These are looked for among a text's distinct characters beyond ASCII, since the class of them all is slow on a character.
     """
     one, more = _ascii_forms()
     forms = F.map_from_arrays(F.lit(list(more)), F.lit(list(more.values())))
-    found = F.array_distinct(F.regexp_extract_all(c, F.lit("[" + "".join(more) + "]"), F.lit(0)))
-    opened = F.when(c.rlike("[" + "".join(more) + "]"), F.aggregate(found, c, lambda t, x: F.replace(t, x, F.element_at(forms, x)))).otherwise(c)
+    beyond = F.array_join(F.array_distinct(F.split(F.regexp_replace(c, r"[\x00-\x7F]+", ""), "")), "")
+    found = F.regexp_extract_all(beyond, F.lit("[" + "".join(more) + "]"), F.lit(0))
+    opened = F.aggregate(found, c, lambda t, x: F.replace(t, x, F.element_at(forms, x)))
     plain = F.regexp_replace(F.translate(opened, "".join(one), "".join(one.values())), r"[^\x00-\x7F]", "")
     return F.when(c.rlike(r"[^\x00-\x7F]"), plain).otherwise(c)
 
