@@ -29,12 +29,16 @@ def read_lexicon(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return categories, scores
 
 
+def _app_tokens(reviews: DataFrame, *keys: str, **options) -> DataFrame:
+    return token_rows(reviews.filter("appid IS NOT NULL"), "review", *keys, **options)
+
+
 def token_counts(reviews: DataFrame, **options) -> DataFrame:
     """(appid, token, count, freq_per_1000), summed up on each task before the shuffle. Reviews without an appid do not count.
 
     An app's counts stay dealt by token: its total is broadcast, a row per app, and left out where the frequency is not used.
     """
-    counts = token_rows(reviews.filter("appid IS NOT NULL"), "review", "appid", **options).groupBy("appid", "token").agg(F.count("*").alias("count"))
+    counts = _app_tokens(reviews, "appid", **options).groupBy("appid", "token").agg(F.count("*").alias("count"))
     totals = counts.groupBy("appid").agg(F.sum("count").alias("__all"))
     return counts.join(F.broadcast(totals), "appid", "left").withColumn("freq_per_1000", F.col("count") * 1000.0 / F.col("__all")).drop("__all")
 
@@ -43,6 +47,11 @@ def overall_counts(counts: DataFrame) -> DataFrame:
     return counts.groupBy("token").agg(F.sum("count").alias("count"))
 
 
+def corpus_counts(reviews: DataFrame, **options) -> DataFrame:
+    """`overall_counts` of `token_counts`, without the counts per app between: tokens alone are summed up on each task and dealt."""
+    return _app_tokens(reviews, **options).groupBy("token").agg(F.count("*").alias("count"))
+
+
 def token_totals(counts: DataFrame) -> DataFrame:
     return counts.groupBy("appid").agg(F.sum("count").alias("total_tokens"), F.count("*").alias("distinct_tokens"))
 
