@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from critiq.operators import lexicon as L
-from critiq.plans import QUERIES
+from critiq.plans import QUERIES, views
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +39,32 @@ def test_corpus_counts_are_the_apps_counts_summed(spark, options):
     got, want = L.corpus_counts(rows, **options), L.overall_counts(L.token_counts(rows, **options))
     assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect())
     assert dict(got.collect())["two"] == 3 and dict(got.collect())["one"] == 1
+
+
+@pytest.mark.parametrize("query", ["lexicon_coverage", "token_totals", "tokens_overall", "tokens_per_app", "stemmed_tokens", "category_rates", "lexicon_scores"])
+def test_no_text_is_moved_to_its_label(dealt, query):
+    plan = QUERIES[query](dealt, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(" in plan and not re.search(r"Exchange hashpartitioning\([^\n]*\n[^\n]*Project \[[^\n]*text#", plan)
+    assert not re.search(r"SortMergeJoin \[doc_id", plan)
+
+
+@pytest.mark.parametrize("most", [1_000_000, 1, 0])
+def test_repeated_labels_repeat_their_document(spark, tmp_path, monkeypatch, most):
+    docs = [(1, "Ab cd", "en", "s"), (2, "cd", "de", "s"), (3, "ef", "en", None), (4, None, None, "t"), (5, "cd gh", "en", "t"), (None, "zz", "en", "t")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(1, 1), (1, 0), (1, None), (2, 1), (3, 0), (3, 1), (5, 1), (5, 1), (9, 0), (9, 0), (None, 1), (None, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(views, "REPEATS_BROADCAST", most)
+    columns = ["appid", "review", "lang"]
+    got, want = views.review_texts(spark, str(tmp_path)), views.reviews(spark, str(tmp_path)).select(columns)
+    assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert {r.token: r["count"] for r in QUERIES["tokens_overall"](spark, str(tmp_path)).collect()} == {"ab": 3, "cd": 6, "gh": 2, "zz": 1}
+
+
+def test_counts_of_one_app_are_spread(dealt, tmp_path):
+    dealt.range(400).selectExpr("id AS doc_id", "concat('w', id, ' v', id % 7) AS text", "'en' AS lang", "'one' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    dealt.range(400).selectExpr("id AS doc_id", "1 AS quality").write.parquet(f"{tmp_path}/labels.parquet")
+    counts = L.token_counts(views.review_texts(dealt, str(tmp_path)))
+    rows = [r["count"] for r in counts.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(rows) == 407 and max(rows) < 204
+    assert QUERIES["token_totals"](dealt, str(tmp_path)).collect() == [("one", 800, 407)]
