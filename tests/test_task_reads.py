@@ -68,3 +68,11 @@ def test_counts_of_one_app_are_spread(dealt, tmp_path):
     rows = [r["count"] for r in counts.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(rows) == 407 and max(rows) < 204
     assert QUERIES["token_totals"](dealt, str(tmp_path)).collect() == [("one", 800, 407)]
+
+
+def test_coverage_is_dealt_by_token_alone(dealt, tmp_path):
+    dealt.range(50).selectExpr("id AS doc_id", "concat('the la w', id) AS text", "'en' AS lang", "'one' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    dealt.range(50).selectExpr("id AS doc_id", "1 AS quality").write.parquet(f"{tmp_path}/labels.parquet")
+    coverage = QUERIES["lexicon_coverage"](dealt, str(tmp_path))
+    assert "token" in exchanges(coverage) and not {"appid", "source", "doc_id"} & set(", ".join(exchanges(coverage)).split(", "))
+    assert {r.category: r.seen for r in coverage.collect()} == {"Flow": 2, "Utility": 1, "Nostalgia": 0}
