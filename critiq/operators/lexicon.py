@@ -71,8 +71,12 @@ def lexicon_scores(counts: DataFrame, scores: DataFrame, per: int = 1000) -> Dat
 
 
 def lexicon_coverage(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Per category: its tokens, those that occur, and those that can never be one token."""
-    seen = counts.select("token").distinct().withColumn("__seen", F.lit(1))
+    """Per category: its tokens, those that occur, and those that can never be one token.
+
+    The lexicon's tokens are broadcast and looked up where texts are read, so a task sends on those it has met, not all its words.
+    """
+    terms = lexicon.select("token").distinct()
+    seen = counts.select("token").join(F.broadcast(terms), "token", "left_semi").distinct().withColumn("__seen", F.lit(1))
     rows = lexicon.join(seen, "token", "left")
     return rows.groupBy("category").agg(F.count_distinct("token").alias("tokens"), F.count("__seen").alias("seen"), F.count(F.when(F.col("token").rlike("[^a-z0-9]"), 1)).alias("unreachable"))
 

@@ -76,3 +76,32 @@ def test_coverage_is_dealt_by_token_alone(dealt, tmp_path):
     coverage = QUERIES["lexicon_coverage"](dealt, str(tmp_path))
     assert "token" in exchanges(coverage) and not {"appid", "source", "doc_id"} & set(", ".join(exchanges(coverage)).split(", "))
     assert {r.category: r.seen for r in coverage.collect()} == {"Flow": 2, "Utility": 1, "Nostalgia": 0}
+
+
+def moved(df) -> int:
+    """Rows that its exchanges have written; without adaptive plans, the plan that has run is the one asked for."""
+    rows, nodes = df.collect(), [df._jdf.queryExecution().executedPlan()]
+    assert rows
+    total = 0
+    while nodes:
+        node = nodes.pop()
+        children, written = node.children(), node.metrics().get("shuffleRecordsWritten")
+        nodes += [children.apply(i) for i in range(children.size())]
+        total += written.get().value() if written.isDefined() else 0
+    return total
+
+
+def test_coverage_moves_no_word_beyond_the_lexicon(dealt, tmp_path):
+    dealt.range(0, 2000, 1, 3).selectExpr("id AS doc_id", "concat('The la w', id, ' x', id, ' for the') AS text", "'en' AS lang", "'s' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    dealt.range(2000).selectExpr("id AS doc_id", "1 AS quality").write.parquet(f"{tmp_path}/labels.parquet")
+    coverage = QUERIES["lexicon_coverage"](dealt, str(tmp_path))
+    assert moved(coverage) < 200
+    assert {r.category: (r.tokens, r.seen, r.unreachable) for r in coverage.collect()} == {"Flow": (5, 2, 0), "Utility": (4, 1, 0), "Nostalgia": (4, 0, 1)}
+
+
+@pytest.mark.parametrize("terms", [[], [("the", "a"), ("THE ", "b"), ("for the", "b"), ("x", "b"), (None, "b"), ("w1", None), ("w1", "c")]])
+def test_coverage_of_odd_lexicons(spark, terms):
+    texts = spark.createDataFrame([("a", "the x w1"), ("b", None), (None, "for")], "appid string, review string")
+    rows = spark.createDataFrame([("f", i, *t) for i, t in enumerate(terms)], "file string, row int, token string, category string")
+    got = L.lexicon_coverage(L.token_counts(texts), L.read_lexicon(rows)[0]).collect()
+    assert sorted(map(tuple, got)) == ([("a", 1, 1, 0), ("b", 3, 1, 1), ("c", 1, 1, 0)] if terms else [])
