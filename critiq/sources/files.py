@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,9 +40,16 @@ def read_review_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, fallback: str | None = None) -> DataFrame:
-    """CSV with quoted line breaks; the master file if it has rows, else the per-app files under `fallback`."""
+    """CSV with quoted line breaks; the master file if it has rows, else the per-app files under `fallback`.
+
+    An empty field is null, `""` an empty text.
+    """
+    # Spark takes a field for null by its value after parsing, so what stands for an empty field must be no text of any file
+    none = uuid.uuid4().hex
+
     def read(at: str) -> DataFrame:
-        return spark.read.csv(at, schema=schema, header=True, multiLine=True, escape='"', recursiveFileLookup=True, emptyValue="", lineSep="\n")
+        # where nothing escapes the doubled quote, the parser loses characters 0 of quoted texts
+        return spark.read.csv(at, schema=schema, header=True, multiLine=True, escape='"', charToEscapeQuoteEscaping='"', recursiveFileLookup=True, nullValue=none, emptyValue="", lineSep="\n")
 
     if fallback is None:
         return read(path)
